@@ -1,13 +1,41 @@
-"""The corpus pipeline: quality, language, near-duplicates, mixing, packing."""
+"""The corpus pipeline: quality rules, language, near-duplicates, mixing, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-ORACLE_SQL = None
+from xpanel.llm import language, mixing, near_dup, packing, quality
+from xpanel.llm.catalog import TOKENIZERS
+from xpanel.llm.common import materialise
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_quality(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_identified(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.keep_first(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(docs).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+STAGES = [("quality rules", quality_rules), ("language", language_id), ("near-dedup", near_dedup), ("mixing", source_mixing), ("packing", best_fit_packing)]
+ORACLE_SQL = None  # perplexity, segmentation sums, MinHash and tokenizing are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir))
     return docs

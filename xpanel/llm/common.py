@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that the vectorised operators take at a time inside a task.
@@ -40,7 +41,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
     n = batch.num_rows
     if not n:
         return
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(lengths)
     start = 0
     while start < n:
@@ -54,7 +55,7 @@ def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts end to end (null: empty) and the n + 1 offsets between them."""
     column = column.fill_null("")
     data = np.frombuffer("".join(column.to_pylist()).encode(), np.uint8)
-    lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     return data, np.concatenate([[0], np.cumsum(lengths)])
 
 
