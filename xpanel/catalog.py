@@ -2,14 +2,143 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").count()
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from xpanel import oracle
+from xpanel.functions.exprs import change, rounded
+from xpanel.operators import factors
+from xpanel.sources import adapter
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, dates: tuple[str, ...] = ("date",)):
+    """Register a query; its date columns leave as text (ISO), in the SQL too, so that engines need not agree on a date type."""
+
+    def register(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)
+            return out.withColumns({c: F.col(c).cast("string") for c, t in out.dtypes if t == "date"})
+
+        run.__name__ = f.__name__
+        QUERIES[f.__name__] = run
+        if sql:
+            texts = ", ".join(f"CAST({d} AS VARCHAR) AS {d}" for d in dates)
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({texts}) FROM ({sql})" if dates else sql
+        return f
+
+    return register
+
+
+def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.with_returns(adapter.bars(spark, sf_dir))
+
+
+def _only(df: DataFrame, names) -> DataFrame:
+    return rounded(df.select("symbol", "date", *names))
+
+
+@query(f"WITH {oracle.BARS.strip()} SELECT * FROM bars")
+def s1_bars(spark, sf_dir):
+    return adapter.bars(spark, sf_dir)
+
+
+def _family(family: str) -> Query:
+    def run(spark, sf_dir):
+        names = [n for w in factors.WIDTHS for n in factors.PRICE_FAMILIES[family](w)]
+        return _only(factors.price_family(_returns(spark, sf_dir), family), names)
+
+    run.__name__ = f"f_{family}"
+    return run
+
+
+for _name in factors.PRICE_FAMILIES:
+    query(oracle.family(_name))(_family(_name))
+
+
+@query(oracle.weighted_spread())
+def f_weighted_spread(spark, sf_dir):
+    return _only(factors.weighted_spread(_returns(spark, sf_dir)), [f"WVMA_{w}" for w in factors.WIDTHS])
+
+
+def _aligned(spark, sf_dir):
+    rows = _returns(spark, sf_dir)
+    return factors.align_bench(rows, adapter.bench(spark, sf_dir, adapter.bars(spark, sf_dir)))
+
+
+@query(oracle.aligned())
+def j1_asof_benchmarks(spark, sf_dir):
+    return _only(_aligned(spark, sf_dir), [f"{p}_{t}" for t in oracle.TICKERS for p in ("px", "r")])
+
+
+def _extra(name: str, sql: str, make: Callable[[], dict], source: Callable = _returns) -> None:
+    def run(spark, sf_dir):
+        columns = make()
+        return _only(source(spark, sf_dir).withColumns(columns), columns)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_extra("f_market_relative", oracle.market_relative(), factors.market_relative, _aligned)
+_extra("f_etf_relative", oracle.etf_relative(), factors.etf_relative, _aligned)
+_extra("f_lead_signals", oracle.lead_signals(), factors.lead_signals, _aligned)
+_extra("f_higher_moments", oracle.higher_moments(), factors.higher_moments)
+_extra("f_volatility", oracle.volatility(), factors.volatility)
+_extra("f_relative_volume", oracle.relative_volume(), factors.relative_volume)
+_extra("f_gaps_intraday", oracle.gaps(), lambda: factors.gaps() | factors.intraday())
+
+
+@query(oracle.flow())
+def f_flow(spark, sf_dir):
+    return _only(factors.flow(_returns(spark, sf_dir)), ["MFI_14", "OBV_RATIO_20", "AMIHUD_20"])
+
+
+@query(oracle.event_proxies())
+def f_event_proxies(spark, sf_dir):
+    return _only(factors.event_proxies(_returns(spark, sf_dir)), ["ABNORMAL_VOLUME", "ABNORMAL_RETURN", "VOLUME_PRICE_CORR", "GAP_RATIO", "INTRADAY_REVERSAL"])
+
+
+def _macro(spark, sf_dir):
+    from xpanel.sources.tables import clean_macro
+
+    return factors.macro_features(adapter.bars(spark, sf_dir).select("date"), clean_macro(adapter.macro(spark, sf_dir)))
+
+
+@query(oracle.macro())
+def f_macro(spark, sf_dir):
+    return rounded(_macro(spark, sf_dir))
+
+
+@query(oracle.macro_join())
+def j3_macro_join(spark, sf_dir):
+    return _only(factors.join_macro(adapter.bars(spark, sf_dir), _macro(spark, sf_dir)), oracle.MACRO_NAMES)
+
+
+@query(oracle.labels())
+def f_forward_labels(spark, sf_dir):
+    return _only(factors.forward_labels(adapter.bars(spark, sf_dir)), [f"future_{k}_{h}d" for h in factors.HORIZONS for k in ("return", "up")])
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, date, close, score (20-week return), future_return_1d, future_return_5d; complete rows."""
+    rows = _returns(spark, sf_dir).withColumn("score", change("close", 20))
+    rows = factors.forward_labels(rows, (1, 5))
+    return rows.select("symbol", "date", "close", "score", "future_return_1d", "future_return_5d").dropna()
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return f_forward_labels(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
