@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from xpanel import oracle
 from xpanel.functions.exprs import change, rounded
-from xpanel.operators import factors
-from xpanel.sources import adapter
+from xpanel.operators import factors, panel, portfolio, stats, walkforward, xsection
+from xpanel.sources import adapter, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,9 +105,7 @@ def f_event_proxies(spark, sf_dir):
 
 
 def _macro(spark, sf_dir):
-    from xpanel.sources.tables import clean_macro
-
-    return factors.macro_features(adapter.bars(spark, sf_dir).select("date"), clean_macro(adapter.macro(spark, sf_dir)))
+    return factors.macro_features(adapter.bars(spark, sf_dir).select("date"), tables.clean_macro(adapter.macro(spark, sf_dir)))
 
 
 @query(oracle.macro())
@@ -142,3 +140,437 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+# --- sources, filters, joins ------------------------------------------------------------------------------------------
+
+
+@query("SELECT series_id, CAST(date AS VARCHAR) AS date, value FROM (WITH " + oracle.MACRO.strip() + " SELECT * FROM macro)", dates=())
+def s2_macro(spark, sf_dir):
+    return tables.clean_macro(adapter.macro(spark, sf_dir))
+
+
+@query(f"WITH {oracle.PLACES.strip(', ').strip()} SELECT ord, replace(trim(symbol), '.', '-') AS symbol, trim(sector) AS sector FROM places WHERE ord < 50", dates=())
+def s3_universe(spark, sf_dir):
+    return tables.clean_universe(adapter.universe(spark, sf_dir).filter("ord < 50"))
+
+
+@query(f"WITH {oracle.PLACES.strip(', ').strip()} SELECT sector, count(*) AS names FROM places GROUP BY sector", dates=())
+def j10_sector_counts(spark, sf_dir):
+    return adapter.universe(spark, sf_dir).groupBy("sector").agg(F.count("*").alias("names"))
+
+
+@query(f"WITH {oracle.BARS.strip()}, n AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS bars FROM bars) SELECT * EXCLUDE (bars) FROM n WHERE bars >= 280")
+def p2_minimum_history(spark, sf_dir):
+    return panel.minimum_history(adapter.bars(spark, sf_dir), 270, 10)
+
+
+@query(f"WITH {oracle.SCORED.strip()} SELECT symbol, date, close, round(score + 1e-9, 6) + 0.0 AS score, round(future_return_1d + 1e-9, 6) + 0.0 AS future_return_1d, round(future_return_5d + 1e-9, 6) + 0.0 AS future_return_5d FROM scored")
+def p3_complete_rows(spark, sf_dir):
+    return rounded(scored(spark, sf_dir))
+
+
+@query(
+    f"""WITH {oracle.MACRO.strip()}, p AS (SELECT b.*, f.VIX_PERCENTILE FROM bars b ASOF LEFT JOIN features f ON b.date >= f.date)
+    SELECT count(*) FILTER (VIX_PERCENTILE > 0) AS rows, count(DISTINCT date) FILTER (VIX_PERCENTILE > 0) AS days,
+           round(count(*) FILTER (VIX_PERCENTILE > 0) / count(*) + 1e-9, 6) + 0.0 AS share FROM p""",
+    dates=(),
+)
+def p7_regime_share(spark, sf_dir):
+    joined = factors.join_macro(adapter.bars(spark, sf_dir), _macro(spark, sf_dir))
+    return rounded(walkforward.regime_summary(joined, "VIX_PERCENTILE"))
+
+
+@query(f"WITH {oracle.BARS.strip()} SELECT symbol, date, close, date >= CAST((SELECT max(date) FROM bars) - INTERVAL 1 MONTH AS DATE) AS holdout FROM bars")
+def p11_last_month_split(spark, sf_dir):
+    return walkforward.last_month(adapter.bars(spark, sf_dir).select("symbol", "date", "close"))
+
+
+@query(
+    f"""WITH {oracle.MACRO.strip()}, m AS (SELECT b.symbol, b.date, arg_max(m.value, m.date) AS value FROM bars b LEFT JOIN macro m ON m.series_id = 'VIXCLS' AND m.date <= b.date GROUP BY b.symbol, b.date)
+    SELECT symbol, date, round(value + 1e-9, 6) + 0.0 AS value FROM m"""
+)
+def j2_asof_union(spark, sf_dir):
+    """The as-of join for right sides of any size: stacked and carried forward within the symbol."""
+    rows = adapter.bars(spark, sf_dir).select("symbol", "date")
+    vix = tables.clean_macro(adapter.macro(spark, sf_dir)).filter("series_id = 'VIXCLS'")
+    right = vix.join(rows.select("symbol").distinct()).select("symbol", "date", "value")
+    return rounded(factors.asof_join(rows, right, "symbol", ["value"]))
+
+
+# --- cross-section ----------------------------------------------------------------------------------------------------
+
+K = 2  #: small enough for the smallest tables; the operators' defaults are 10 and 25
+_S = f"WITH {oracle.SCORED.strip()}"
+_R = lambda *names: ", ".join(f"round({n} + 1e-9, 6) + 0.0 AS {n}" for n in names)
+_RANKS = """, ranks AS (
+  SELECT *, rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTITION BY date, score) - 1) / 2 AS rs,
+         rank() OVER (PARTITION BY date ORDER BY future_return_5d) + (count(*) OVER (PARTITION BY date, future_return_5d) - 1) / 2 AS rl,
+         count(*) OVER (PARTITION BY date) AS names FROM scored),
+ic AS (SELECT date, covar_pop(rs, rl) / nullif(stddev_pop(rs) * stddev_pop(rl), 0) AS ic FROM ranks WHERE names >= 5 GROUP BY date)"""
+
+
+@query(f"{_S} SELECT symbol, date, round(future_return_5d - avg(future_return_5d) OVER (PARTITION BY date) + 1e-9, 6) + 0.0 AS future_return_5d_neutral FROM scored")
+def x1_neutral_labels(spark, sf_dir):
+    return _only(xsection.neutralize_labels(scored(spark, sf_dir), ["future_return_5d"]), ["future_return_5d_neutral"])
+
+
+@query(f"{_S}{_RANKS} SELECT symbol, date, CAST(CASE WHEN rl / names <= 0.2 THEN 0 WHEN rl / names >= 0.8 THEN 2 ELSE 1 END AS INTEGER) AS tail FROM ranks")
+def x2_tail_labels(spark, sf_dir):
+    return _only(xsection.tail_labels(scored(spark, sf_dir), "future_return_5d"), ["tail"])
+
+
+def _edges(value: str) -> str:
+    return f", edges AS (SELECT date, list_distinct(quantile_cont({value}, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS edges, count(*) AS names FROM scored GROUP BY date)"
+
+
+def _bucket(value: str) -> str:
+    return f"CASE WHEN len(edges) > 1 THEN greatest(len(list_filter(edges, lambda e: e < {value})) - 1, 0) END"
+
+
+@query(f"{_S}{_edges('future_return_5d')} SELECT symbol, date, CAST(coalesce(CASE WHEN names >= 5 THEN {_bucket('future_return_5d')} END, 2) AS INTEGER) AS grade FROM scored JOIN edges USING (date)")
+def x3_relevance_grades(spark, sf_dir):
+    return _only(xsection.relevance_grades(scored(spark, sf_dir), "future_return_5d"), ["grade"])
+
+
+@query(f"{_S}{_RANKS} SELECT date, {_R('ic')} FROM ic WHERE ic IS NOT NULL")
+def x4_daily_rank_ic(spark, sf_dir):
+    return rounded(xsection.daily_rank_ic(scored(spark, sf_dir), "score", "future_return_5d", 5))
+
+
+@query(f"{_S}{_RANKS} SELECT round(avg(ic) + 1e-9, 6) + 0.0 AS mean_ic, count(ic) AS n_days, round(avg(ic) / stddev_pop(ic) + 1e-9, 6) + 0.0 AS icir FROM ic", dates=())
+def x4_ic_summary(spark, sf_dir):
+    return rounded(xsection.ic_summary(xsection.daily_rank_ic(scored(spark, sf_dir), "score", "future_return_5d", 5)))
+
+
+@query(
+    f"""{_S}, pooled AS (
+      SELECT year(date) AS year, rank() OVER (PARTITION BY year(date) ORDER BY score) + (count(*) OVER (PARTITION BY year(date), score) - 1) / 2 AS rs,
+             rank() OVER (PARTITION BY year(date) ORDER BY future_return_5d) + (count(*) OVER (PARTITION BY year(date), future_return_5d) - 1) / 2 AS rl FROM scored)
+    SELECT CAST(year AS INTEGER) AS year, round(covar_pop(rs, rl) / nullif(stddev_pop(rs) * stddev_pop(rl), 0) + 1e-9, 6) + 0.0 AS ic, count(*) AS n_rows FROM pooled GROUP BY year HAVING count(*) > 10""",
+    dates=(),
+)
+def x5_pooled_rank_ic(spark, sf_dir):
+    return rounded(xsection.pooled_rank_ic(scored(spark, sf_dir).withColumn("year", F.year("date")), "score", "future_return_5d", "year"))
+
+
+_ENDS = """, ends AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS top_place, count(*) OVER (PARTITION BY date) AS names FROM scored)"""
+
+
+def _daily(k: int, least: int, label: str) -> str:
+    return f"""(SELECT date, avg({label}) FILTER (top_place <= {k}) AS top, avg({label}) FILTER (names - top_place + 1 <= {k}) AS bottom FROM ends WHERE names >= {least} GROUP BY date)"""
+
+
+@query(
+    f"""{_S}{_ENDS}, d AS (SELECT *, top - bottom AS spread FROM {_daily(K, 2 * K, 'future_return_5d')})
+    SELECT {_R('top_k_return', 'bottom_k_return', 'spread', 'pct_positive_spread', 'pct_positive_spread_net')}, n_days, round(spread - 0.2 + 1e-9, 6) + 0.0 AS spread_net,
+           round((spread - 0.2) / sd * sqrt(252) + 1e-9, 6) + 0.0 AS long_short_sharpe
+    FROM (SELECT avg(top) AS top_k_return, avg(bottom) AS bottom_k_return, avg(spread) AS spread, stddev_pop(spread) AS sd, avg((spread > 0)::INT) * 100 AS pct_positive_spread,
+                 avg((spread - 0.2 > 0)::INT) * 100 AS pct_positive_spread_net, count(*) AS n_days FROM d)""",
+    dates=(),
+)
+def x6_topk_return(spark, sf_dir):
+    return rounded(xsection.topk_return(scored(spark, sf_dir), "future_return_5d", K, 10))
+
+
+@query(
+    f"""{_S}{_edges('score')}, placed AS (SELECT date, future_return_5d AS r, {_bucket('score')} AS bucket FROM scored JOIN edges USING (date) WHERE names >= 10),
+    daily AS (SELECT date, bucket, avg(r) AS r FROM placed WHERE bucket IS NOT NULL GROUP BY date, bucket),
+    m AS (SELECT bucket, avg(r) AS avg_return, CASE WHEN count(*) > 1 THEN stddev_pop(r) END AS std_return, count(*) AS days FROM daily GROUP BY bucket),
+    f AS (SELECT *, round(avg_return, 4) < lag(round(avg_return, 4)) OVER (ORDER BY bucket) AS falls FROM m)
+    SELECT CAST(bucket + 1 AS INTEGER) AS bucket, {_R('avg_return', 'std_return')}, days, NOT coalesce(bool_or(falls) OVER (), false) AS is_monotonic,
+           round(arg_max(avg_return, bucket) OVER () - arg_min(avg_return, bucket) OVER () + 1e-9, 6) + 0.0 AS spread_top_bottom
+    FROM f""",
+    dates=(),
+)
+def x7_bucket_returns(spark, sf_dir):
+    return rounded(xsection.bucket_returns(scored(spark, sf_dir), "future_return_5d"))
+
+
+def _nw(source: str, value: str, key: str, lag: int = 5, least: int = 20) -> str:
+    """key, n, mean, t_plain, t_nw."""
+    terms = " + ".join(f"2 * {1 - k / (lag + 1)!r} * coalesce(avg(d * p{k}), 0)" for k in range(1, lag + 1))
+    lags = ", ".join(f"lag(d, {k}) OVER (PARTITION BY {key} ORDER BY date) AS p{k}" for k in range(1, lag + 1))
+    return f"""(SELECT {key}, n, mean, CASE WHEN n < {least} OR g0 <= 1e-12 THEN 0 ELSE mean / sqrt(g0 / n) END AS t_plain, CASE WHEN n < {least} THEN 0 ELSE mean / sqrt(greatest(lrv, 1e-12) / n) END AS t_nw
+      FROM (SELECT {key}, count(*) AS n, avg(x) AS mean, avg(d * d) AS g0, avg(d * d) + {terms} AS lrv
+            FROM (SELECT *, {lags} FROM (SELECT {key}, date, {value} AS x, {value} - avg({value}) OVER (PARTITION BY {key}) AS d FROM {source} WHERE {value} IS NOT NULL)) GROUP BY {key}))"""
+
+
+@query(
+    f"""{_S}{_ENDS}, d AS (SELECT 1 AS k, date, top - bottom AS spread FROM {_daily(1, 4, 'future_return_1d')} UNION ALL SELECT 2, date, top - bottom FROM {_daily(2, 8, 'future_return_1d')}),
+    g AS (SELECT k, avg(spread) / nullif(stddev_pop(spread), 0) * sqrt(252) AS sharpe FROM d GROUP BY k)
+    SELECT CAST(k AS INTEGER) AS k, n, {_R('mean', 'sharpe', 't_nw')} FROM {_nw('d', 'spread', 'k')} JOIN g USING (k)""",
+    dates=(),
+)
+def x8_long_short(spark, sf_dir):
+    return rounded(portfolio.long_short_spread(scored(spark, sf_dir), "future_return_1d", (1, 2)))
+
+
+@query(
+    f"""{_S}, yy AS (SELECT *, year(date) AS year, median(score) OVER (PARTITION BY year(date)) AS mid FROM scored)
+    SELECT CAST(year AS INTEGER) AS year, {_R('dir_acc', 'dir_acc_median', 'rmse')} FROM (
+      SELECT year, avg(((score > 0) = (future_return_5d > 0))::INT) AS dir_acc, avg(((score > mid) = (future_return_5d > 0))::INT) AS dir_acc_median,
+             sqrt(avg((score - future_return_5d) * (score - future_return_5d))) AS rmse FROM yy GROUP BY year)""",
+    dates=(),
+)
+def x9_directional_accuracy(spark, sf_dir):
+    return rounded(xsection.directional_accuracy(scored(spark, sf_dir).withColumn("year", F.year("date")), "score", "future_return_5d", "year"))
+
+
+@query(f"{_S} SELECT date, count(*) AS names, round(avg(close) + 1e-9, 6) + 0.0 AS mean_weight FROM scored GROUP BY date")
+def x11_group_sizes(spark, sf_dir):
+    return rounded(xsection.group_sizes(scored(spark, sf_dir), "close"))
+
+
+@query(
+    """WITH s AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS date, CAST(user_id AS VARCHAR) AS symbol, avg(value) AS sentiment, count(*) AS news FROM events GROUP BY 1, 2),
+    m AS (SELECT *, avg(sentiment) OVER d AS mid, stddev_pop(sentiment) OVER d AS sd, avg(news) OVER d AS mean_news FROM s WINDOW d AS (PARTITION BY date))
+    SELECT date, symbol, round(least(greatest((sentiment - mid) / greatest(sd, 0.01), -3), 3) / 3 + 1e-9, 4) AS news_sent_cs, round(least(greatest(news / greatest(mean_news, 1) - 1, -1), 1) + 1e-9, 4) AS news_buzz_cs FROM m"""
+)
+def x12_sentiment(spark, sf_dir):
+    return xsection.sentiment_cross_section(adapter.sentiment(spark, sf_dir))
+
+
+# --- walk-forward -----------------------------------------------------------------------------------------------------
+
+STEPS = dict(train=24, val=3, test=3, step=6)
+IC_FEATURES = ["ROC_5", "MA_20", "STD_20", "RSV_20", "CNTP_20", "RVOL_5"]
+
+_WINDOWS = """
+b AS (SELECT min(date) AS first, max(date) AS last FROM scored),
+w0 AS (
+  WITH RECURSIVE w AS (
+    SELECT 0 AS win, first AS train_start, last FROM b
+    UNION ALL SELECT win + 1, CAST(train_start + INTERVAL 6 MONTH AS DATE), last FROM w WHERE win < 60)
+  SELECT * FROM w),
+w1 AS (SELECT *, CAST(train_start + INTERVAL 24 MONTH AS DATE) AS te FROM w0),
+w2 AS (SELECT *, te - 10 AS train_end, te + 5 AS val_start, CAST((te + 5) + INTERVAL 3 MONTH AS DATE) AS val_end FROM w1),
+wins AS (SELECT win, train_start, train_end, val_start, val_end, val_end AS test_start, CAST(val_end + INTERVAL 3 MONTH AS DATE) AS test_end FROM w2 WHERE CAST(val_end + INTERVAL 3 MONTH AS DATE) <= last),
+tagged AS (
+  SELECT s.*, win, 'train' AS role FROM scored s JOIN wins ON date >= train_start AND date < train_end
+  UNION ALL SELECT s.*, win, 'val' FROM scored s JOIN wins ON date >= val_start AND date < val_end
+  UNION ALL SELECT s.*, win, 'test' FROM scored s JOIN wins ON date >= test_start AND date < test_end)"""
+
+
+def _tagged(spark, sf_dir, rows=None):
+    rows = scored(spark, sf_dir) if rows is None else rows
+    return walkforward.tag_windows(rows, walkforward.walk_forward_windows(spark, scored(spark, sf_dir), **STEPS))
+
+
+@query(f"{_S}, {_WINDOWS} SELECT CAST(win AS INTEGER) AS \"window\", train_start, train_end, val_start, val_end, test_start, test_end FROM wins", dates=("train_start", "train_end", "val_start", "val_end", "test_start", "test_end"))
+def m1_windows(spark, sf_dir):
+    return walkforward.walk_forward_windows(spark, scored(spark, sf_dir), **STEPS)
+
+
+@query(
+    f"""{_S}, {_WINDOWS} SELECT CAST(win AS INTEGER) AS "window", count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'val') AS n_val, count(*) FILTER (role = 'test') AS n_test
+    FROM tagged GROUP BY win HAVING n_train >= 100 AND n_val >= 20 AND n_test >= 20""",
+    dates=(),
+)
+def j6_window_rows(spark, sf_dir):
+    return walkforward.usable_windows(_tagged(spark, sf_dir))
+
+
+def _features(spark, sf_dir):
+    rows = factors.forward_labels(_returns(spark, sf_dir), (5,))
+    made = {k: v for family, w in (("momentum", 5), ("momentum", 20), ("dispersion", 20), ("price_place", 20), ("up_down_counts", 20)) for k, v in factors.PRICE_FAMILIES[family](w).items()}
+    made |= factors.relative_volume()
+    return rows.withColumns({k: made[k] for k in IC_FEATURES}).select("symbol", "date", "future_return_5d", *IC_FEATURES)
+
+
+def _train(spark, sf_dir):
+    return _tagged(spark, sf_dir, _features(spark, sf_dir)).filter("role = 'train'")
+
+
+_F_SQL = {**oracle.momentum(5), **oracle.momentum(20), **oracle.dispersion(20), **oracle.price_place(20), **oracle.up_down_counts(20)}
+_F_SQL["RVOL_5"] = oracle.sdiv("volume", oracle.low(oracle.avg("volume", 5), 1.0))
+_IC_SQL = (
+    f"{_S}, {_WINDOWS}, feats AS (SELECT symbol, date, (lead(close, 5) OVER s / close - 1) * 100 AS y, {', '.join(f'{_F_SQL[k]} AS {k}' for k in IC_FEATURES)} FROM r {oracle.windows(5, 20)})"
+    + f""",
+    long AS (UNPIVOT (SELECT win, y, {', '.join(f'CAST({k} AS DOUBLE) AS {k}' for k in IC_FEATURES)} FROM feats JOIN wins ON date >= train_start AND date < train_end) ON {', '.join(IC_FEATURES)} INTO NAME feature VALUE v),
+    rk AS (SELECT win, feature, rank() OVER (PARTITION BY win, feature ORDER BY v) + (count(*) OVER (PARTITION BY win, feature, v) - 1) / 2 AS rv,
+                  rank() OVER (PARTITION BY win, feature ORDER BY y) + (count(*) OVER (PARTITION BY win, feature, y) - 1) / 2 AS ry FROM long WHERE v IS NOT NULL AND y IS NOT NULL),
+    ics AS (SELECT CAST(win AS INTEGER) AS "window", feature, covar_pop(rv, ry) / nullif(stddev_pop(rv) * stddev_pop(ry), 0) AS ic, count(*) AS n FROM rk GROUP BY win, feature HAVING count(*) >= 30)"""
+)
+
+
+@query(f'{_IC_SQL} SELECT "window", feature, {_R("ic")}, n FROM ics WHERE ic IS NOT NULL', dates=())
+def m2_feature_ic(spark, sf_dir):
+    return rounded(walkforward.feature_ic(_train(spark, sf_dir), IC_FEATURES, "future_return_5d"))
+
+
+_SELECTED = f"""{_IC_SQL}, kept AS (SELECT *, feature LIKE 'RVOL\\_%' ESCAPE '\\' AS forced FROM ics WHERE ic IS NOT NULL AND (feature LIKE 'RVOL\\_%' ESCAPE '\\' OR abs(ic) >= 0.01)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY forced DESC, abs(ic) DESC, feature) AS place FROM kept),
+    chosen AS (SELECT * FROM placed WHERE forced OR place <= 4)"""
+
+
+def _selected(spark, sf_dir):
+    ics = walkforward.feature_ic(_train(spark, sf_dir), IC_FEATURES, "future_return_5d")
+    return walkforward.select_features(ics, 0.01, 4)
+
+
+@query(f'{_SELECTED} SELECT "window", feature, {_R("ic")}, forced, CAST(place AS INTEGER) AS place FROM chosen', dates=())
+def m3_select_features(spark, sf_dir):
+    return rounded(_selected(spark, sf_dir))
+
+
+@query(f"{_SELECTED} SELECT feature, count(*) AS windows FROM chosen GROUP BY feature ORDER BY windows DESC, feature LIMIT 30", dates=())
+def m4_feature_frequency(spark, sf_dir):
+    return walkforward.feature_frequency(_selected(spark, sf_dir))
+
+
+@query(f'{_IC_SQL} SELECT "window", feature AS model, round(abs(ic) / sum(abs(ic)) OVER (PARTITION BY "window") + 1e-9, 6) + 0.0 AS weight FROM ics WHERE ic IS NOT NULL', dates=())
+def m7_raw_weights(spark, sf_dir):
+    ics = walkforward.feature_ic(_train(spark, sf_dir), IC_FEATURES, "future_return_5d")
+    return rounded(walkforward.raw_weights(ics.withColumnRenamed("feature", "model")))
+
+
+_STACK = f"""{_S}, {_WINDOWS}, preds AS (SELECT win, date, symbol, 'a' AS model, score AS p FROM tagged WHERE role <> 'train' UNION ALL SELECT win, date, symbol, 'b', -close / 1000 FROM tagged WHERE role <> 'train'),
+    blend AS (SELECT win, date, symbol, sum(p * CASE model WHEN 'a' THEN 0.6 ELSE 0.4 END) AS score FROM preds GROUP BY win, date, symbol)"""
+
+
+def _blend(spark, sf_dir):
+    rows = _tagged(spark, sf_dir).filter("role <> 'train'")
+    preds = rows.select("window", "date", "symbol", F.lit("a").alias("model"), F.col("score").alias("prediction")).unionByName(rows.select("window", "date", "symbol", F.lit("b").alias("model"), (-F.col("close") / 1000).alias("prediction")))
+    weights = rows.select("window").distinct().withColumn("w", F.explode(F.array(F.struct(F.lit("a").alias("model"), F.lit(0.6).alias("weight")), F.struct(F.lit("b").alias("model"), F.lit(0.4).alias("weight"))))).select("window", "w.*")
+    return walkforward.ensemble_score(preds, weights)
+
+
+@query(f'{_STACK} SELECT CAST(win AS INTEGER) AS "window", date, symbol, {_R("score")} FROM blend')
+def m8_ensemble_score(spark, sf_dir):
+    return rounded(_blend(spark, sf_dir))
+
+
+@query(f'{_STACK} SELECT CAST(win AS INTEGER) AS "window", date, symbol, {_R("score")} FROM blend QUALIFY row_number() OVER (PARTITION BY date, symbol ORDER BY win DESC) = 1')
+def m9_dedupe_scores(spark, sf_dir):
+    return rounded(walkforward.dedupe_scores(_blend(spark, sf_dir)))
+
+
+@query(f"{_S}, {_WINDOWS} SELECT DISTINCT s.date FROM scored s JOIN tagged t ON s.date = t.date WHERE t.role = 'test'")
+def u3_common_dates(spark, sf_dir):
+    tested = _tagged(spark, sf_dir).filter("role = 'test'")
+    return walkforward.common_dates(scored(spark, sf_dir), tested)[0].select("date").distinct()
+
+
+# --- portfolio and statistics -----------------------------------------------------------------------------------------
+
+_PLAN = f"""{_S}{_ENDS},
+days AS (SELECT date, count(*) AS names, row_number() OVER (ORDER BY date) - 1 AS i FROM scored GROUP BY date),
+td AS (SELECT tranche, date, i, row_number() OVER (PARTITION BY tranche ORDER BY date) = 1 OR i % 5 = tranche AS is_rebal FROM days, range(5) t(tranche) WHERE names >= {4 * K}),
+plan AS (SELECT *, lag(active) OVER (PARTITION BY tranche ORDER BY date) AS previous FROM
+  (SELECT *, max(CASE WHEN is_rebal THEN date END) OVER (PARTITION BY tranche ORDER BY date ROWS UNBOUNDED PRECEDING) AS active FROM td)),
+best AS (SELECT date, symbol FROM ends WHERE names >= {4 * K} AND top_place <= {K}),
+turn AS (SELECT p.tranche, p.date, 1 - count(o.symbol) / {K} AS turnover FROM plan p JOIN best n ON n.date = p.date LEFT JOIN best o ON o.date = p.previous AND o.symbol = n.symbol
+         WHERE p.is_rebal AND p.previous IS NOT NULL GROUP BY p.tranche, p.date),
+held AS (SELECT p.tranche, p.date, avg(s.future_return_1d) AS held FROM plan p JOIN best b ON b.date = p.active JOIN scored s ON s.date = p.date AND s.symbol = b.symbol GROUP BY p.tranche, p.date),
+costs AS (SELECT unnest([10.0, 20.0, 30.0])::DOUBLE AS cost_bps),
+port AS (SELECT cost_bps, date, avg(held - coalesce(turnover, 0) * 2 * cost_bps / 10000 * 100) AS ret FROM held LEFT JOIN turn USING (tranche, date), costs GROUP BY cost_bps, date)"""
+
+
+@query(f"{_PLAN} SELECT CAST(tranche AS INTEGER) AS tranche, date, active, is_rebal FROM plan", dates=("date", "active"))
+def j7_rebalance_map(spark, sf_dir):
+    return portfolio.schedule(scored(spark, sf_dir), K).drop("previous")
+
+
+@query(f"{_PLAN} SELECT CAST(tranche AS INTEGER) AS tranche, date, {_R('turnover')} FROM turn")
+def j8_turnover(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    return rounded(portfolio.turnover(portfolio.schedule(rows, K), portfolio.top_names(rows, K), K))
+
+
+@query(f"{_PLAN} SELECT cost_bps, date, {_R('ret')} FROM port")
+def a3_staggered_portfolio(spark, sf_dir):
+    return rounded(portfolio.staggered_portfolio(scored(spark, sf_dir), "future_return_1d", K))
+
+
+@query(
+    f"""{_PLAN}, u AS (SELECT date, avg(future_return_1d) AS everything FROM scored GROUP BY date), ex AS (SELECT date, avg(held - everything) AS ex FROM held JOIN u USING (date) GROUP BY date),
+    t AS (SELECT avg(coalesce(t, 0)) AS daily_turnover FROM (SELECT tranche, avg(turnover) / 5 AS t FROM (SELECT DISTINCT tranche FROM plan) LEFT JOIN turn USING (tranche) GROUP BY tranche)),
+    net AS (SELECT cost_bps, date, daily_turnover, ex - daily_turnover * 2 * cost_bps / 10000 * 100 AS net FROM ex, t, costs),
+    g AS (SELECT cost_bps, any_value(daily_turnover) AS daily_turnover, avg(net) * 252 AS ann_excess_pct, avg(net) / stddev_samp(net) * sqrt(252) AS sharpe FROM net GROUP BY cost_bps)
+    SELECT cost_bps, {_R('daily_turnover', 'ann_excess_pct', 'sharpe', 't_nw')} FROM g JOIN {_nw('net', 'net', 'cost_bps')} USING (cost_bps)""",
+    dates=(),
+)
+def a4_long_excess(spark, sf_dir):
+    return rounded(portfolio.long_excess(scored(spark, sf_dir), "future_return_1d", K))
+
+
+def _perf(source: str, value: str, prefix: str = "") -> str:
+    return f"""(SELECT cost_bps, (e - 1) * 100 AS {prefix}total_return_pct, (pow(e, 252 / n) - 1) * 100 AS {prefix}ann_return_pct, vol AS {prefix}ann_vol_pct, dd * 100 AS {prefix}max_drawdown_pct, n AS {prefix}n_days,
+      coalesce((pow(e, 252 / n) - 1) * 100 / nullif(vol, 0), 0) AS {prefix}sharpe
+      FROM (SELECT cost_bps, arg_max(equity, date) AS e, stddev_samp({value} / 100) * sqrt(252) * 100 AS vol, min(equity / peak - 1) AS dd, count(*) AS n
+            FROM (SELECT *, max(equity) OVER (PARTITION BY cost_bps ORDER BY date) AS peak FROM (SELECT cost_bps, date, {value}, product(1 + {value} / 100) OVER (PARTITION BY cost_bps ORDER BY date) AS equity FROM {source})) GROUP BY cost_bps))"""
+
+
+def _small(spark, sf_dir):
+    """Portfolio returns scaled down, as weekly prices of the adapter jump by factors."""
+    return portfolio.staggered_portfolio(scored(spark, sf_dir), "future_return_1d", K).withColumn("ret", F.col("ret") / 1000)
+
+
+_SMALL = f"{_PLAN}, small AS (SELECT cost_bps, date, ret / 1000 AS ret FROM port)"
+
+
+@query(f"{_SMALL} SELECT cost_bps, n_days, {_R('total_return_pct', 'ann_return_pct', 'ann_vol_pct', 'max_drawdown_pct', 'sharpe')} FROM {_perf('small', 'ret')}", dates=())
+def a5_perf_stats(spark, sf_dir):
+    return rounded(stats.perf_stats(_small(spark, sf_dir), "ret", "cost_bps"))
+
+
+_SPY = f"""{oracle.BENCH}, spy AS (SELECT date, (lead(close) OVER (ORDER BY date) / close - 1) * 100 / 1000 AS bench_ret FROM bench WHERE ticker = 'SPY'),
+    both_ AS (SELECT cost_bps, date, ret, bench_ret, ret - bench_ret AS excess FROM small JOIN spy USING (date) WHERE bench_ret IS NOT NULL)"""
+
+
+@query(
+    f"""{_SMALL}{_SPY} SELECT cost_bps, s.n_days, {_R('total_return_pct', 'ann_return_pct', 'ann_vol_pct', 'max_drawdown_pct', 'sharpe', 'bench_total_return_pct', 'bench_ann_return_pct', 'bench_ann_vol_pct', 'bench_sharpe', 'bench_max_drawdown_pct')},
+           round(mean * 252 + 1e-9, 6) + 0.0 AS excess_ann_pct, round(t_nw + 1e-9, 6) + 0.0 AS excess_t_nw
+    FROM {_perf('both_', 'ret')} s JOIN {_perf('both_', 'bench_ret', 'bench_')} b USING (cost_bps) JOIN {_nw('both_', 'excess', 'cost_bps', 5, 0)} USING (cost_bps)""",
+    dates=(),
+)
+def a6_portfolio_report(spark, sf_dir):
+    spy = adapter.bench(spark, sf_dir, adapter.bars(spark, sf_dir)).filter(F.col("ticker") == adapter.MARKET)
+    return rounded(portfolio.portfolio_report(_small(spark, sf_dir), portfolio.forward_benchmark(spy).withColumn("bench_ret", F.col("bench_ret") / 1000)))
+
+
+@query(
+    f"""{_SMALL}, c AS (SELECT cost_bps, date, ret, product(1 + ret / 100) OVER (PARTITION BY cost_bps ORDER BY date) AS equity FROM small)
+    SELECT cost_bps, date, {_R('ret', 'equity')}, round(equity / max(equity) OVER (PARTITION BY cost_bps ORDER BY date) - 1 + 1e-9, 6) + 0.0 AS drawdown FROM c"""
+)
+def a7_equity_curve(spark, sf_dir):
+    return rounded(stats.equity_curve(_small(spark, sf_dir), "ret", "cost_bps"))
+
+
+@query(f"{_SMALL} SELECT cost_bps, CAST(date_trunc('month', date) AS DATE) AS month, round(sum(ret) + 1e-9, 6) + 0.0 AS ret FROM small GROUP BY 1, 2", dates=("month",))
+def a7_monthly_sums(spark, sf_dir):
+    return rounded(stats.monthly_sums(_small(spark, sf_dir), "ret", "cost_bps"))
+
+
+@query(f"{_S}{_RANKS} SELECT year, n, {_R('mean', 't_plain', 't_nw')} FROM {_nw('(SELECT CAST(year(date) AS INTEGER) AS year, date, ic FROM ic)', 'ic', 'year')}", dates=())
+def a1_newey_west(spark, sf_dir):
+    ics = xsection.daily_rank_ic(scored(spark, sf_dir), "score", "future_return_5d", 5).withColumn("year", F.year("date"))
+    return rounded(stats.newey_west(ics, "ic", 5, 20, "year"))
+
+
+@query()
+def a2_p_values(spark, sf_dir):
+    ics = xsection.daily_rank_ic(scored(spark, sf_dir), "score", "future_return_5d", 5)
+    return rounded(stats.normal_p_value(stats.newey_west(ics, "ic")))
+
+
+@query(
+    f"""{_S}{_RANKS}{_ENDS}, d AS (SELECT year(date) AS y, date, top - bottom AS spread FROM {_daily(K, 2 * K, 'future_return_5d')}),
+    w AS (SELECT avg(i.ic) AS cs_ic, avg(i.ic) / stddev_pop(i.ic) AS icir, any_value(s.spread_net) AS spread_net FROM ic i JOIN (SELECT y, avg(spread) - 0.2 AS spread_net FROM d GROUP BY y) s ON year(i.date) = s.y GROUP BY year(i.date)),
+    g AS (SELECT avg(cs_ic) AS avg_cs_ic, avg(icir) AS avg_cs_icir, avg(spread_net) AS avg_spread_net, avg((spread_net > 0)::INT) AS pct_positive_spread_net, count(*) AS n_windows FROM w)
+    SELECT {_R('avg_cs_ic', 'avg_cs_icir', 'avg_spread_net', 'pct_positive_spread_net')}, n_windows, n AS n_ic_days, {_R('t_plain', 't_nw')},
+           avg_cs_ic >= 0.02 AND avg_cs_icir >= 0.3 AND avg_spread_net > 0 AND pct_positive_spread_net >= 0.55 AND t_nw >= 2 AS is_significant
+    FROM g, {_nw('(SELECT 1 AS one, date, ic FROM ic)', 'ic', 'one')}""",
+    dates=(),
+)
+def a8_significance(spark, sf_dir):
+    rows = scored(spark, sf_dir).withColumn("year", F.year("date"))
+    ics = xsection.daily_rank_ic(rows, "score", "future_return_5d", 5).withColumn("year", F.year("date"))
+    windows = xsection.ic_summary(ics, "year").join(xsection.topk_return(rows, "future_return_5d", K, 10, "year"), "year")
+    return rounded(stats.significance_summary(windows.select(F.col("mean_ic").alias("cs_ic"), "icir", "spread_net"), ics))
+
+
+@query(f"{_S} SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, count(DISTINCT date) AS days FROM scored", dates=())
+def a9_distinct_counts(spark, sf_dir):
+    return scored(spark, sf_dir).agg(F.count("*").alias("rows"), F.count_distinct("symbol").alias("symbols"), F.count_distinct("date").alias("days"))
