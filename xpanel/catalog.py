@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from xpanel import oracle
 from xpanel.functions.exprs import change, rounded
-from xpanel.operators import factors, panel, portfolio, stats, walkforward, xsection
+from xpanel.operators import factors, models, panel, portfolio, stats, walkforward, xsection
+from xpanel.plans import jobs
 from xpanel.sources import adapter, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -574,3 +577,87 @@ def a8_significance(spark, sf_dir):
 @query(f"{_S} SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, count(DISTINCT date) AS days FROM scored", dates=())
 def a9_distinct_counts(spark, sf_dir):
     return scored(spark, sf_dir).agg(F.count("*").alias("rows"), F.count_distinct("symbol").alias("symbols"), F.count_distinct("date").alias("days"))
+
+
+# --- panel, models, sinks ---------------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder: in the shared one where the cluster names it, else local (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def _panel(spark, sf_dir, **options):
+    prices = adapter.bars(spark, sf_dir)
+    return panel.build_panel(prices, adapter.bench(spark, sf_dir, prices), tables.clean_macro(adapter.macro(spark, sf_dir)), **options)
+
+
+@query()
+def s5_panel(spark, sf_dir):
+    """The whole panel (factors, macro, labels), complete rows, written and read again."""
+    path, built = _scratch(spark), _panel(spark, sf_dir)
+    tables.write_panel(built, path)
+    return spark.read.schema(built.schema).parquet(path)
+
+
+@query()
+def p8_core_projection(spark, sf_dir):
+    """Core factors over price inputs alone: absent blocks do not remove rows."""
+    return panel.project(panel.build_panel(adapter.bars(spark, sf_dir)))
+
+
+def _model_rows(spark, sf_dir):
+    return _features(spark, sf_dir).dropna()
+
+
+@query()
+def m5_residual_weights(spark, sf_dir):
+    return models.residual_weights(_model_rows(spark, sf_dir), IC_FEATURES, "future_return_5d", 2, 0.5, 3).select("symbol", "date", F.round("weight", 6).alias("weight"))
+
+
+_DECAY = f"{_S}, z AS (SELECT symbol, date, abs(future_return_5d) AS r FROM scored), e AS (SELECT min(r) AS lo, max(r) AS hi FROM z), w AS (SELECT symbol, date, exp(-0.5 * (r - lo) / (hi - lo)) AS w FROM z, e)"
+
+
+@query(f"{_DECAY} SELECT symbol, date, round(w / avg(w) OVER () + 1e-9, 6) + 0.0 AS weight FROM w")
+def m5_reweighting(spark, sf_dir):
+    """The reweighting step alone, with the label as residual."""
+    rows = scored(spark, sf_dir).withColumn("weight", F.lit(1.0))
+    return _only(models.mean_one(models.reweight(rows, "future_return_5d")), ["weight"])
+
+
+@query(f"{_S} SELECT symbol, date, round(score / 5 + 1e-9, 6) + 0.0 AS score FROM scored")
+def p10_rescaled(spark, sf_dir):
+    return _only(models.rescaled(scored(spark, sf_dir), "score"), ["score"])
+
+
+@query()
+def m6_walk_forward(spark, sf_dir):
+    """Two windows of the walk-forward job with small models; returns its significance row (scores and report are written)."""
+    steps = dict(train=48, val=6, test=6, step=12)
+    return rounded(jobs.walk_forward(spark, _model_rows(spark, sf_dir), IC_FEATURES, _scratch(spark), trees=3, min_ic=0.0, min_names=5, k=2, steps=steps))
+
+
+@query()
+def m10_tail_score(spark, sf_dir):
+    rows = walkforward.last_month(_model_rows(spark, sf_dir))
+    return rounded(models.tail_score(rows.filter(~F.col("holdout")), rows.filter("holdout"), IC_FEATURES, "future_return_5d", 5))
+
+
+@query()
+def m11_feature_importance(spark, sf_dir):
+    rows = walkforward.last_month(_model_rows(spark, sf_dir))
+    fitted = {"5d": models.fit_horizon(rows.filter(~F.col("holdout")), rows.filter("holdout"), IC_FEATURES, "future_return_5d", 3)}
+    return rounded(models.feature_importance(spark, fitted, IC_FEATURES))
+
+
+@query()
+def m12_final_model(spark, sf_dir):
+    out = models.final_model(spark, _model_rows(spark, sf_dir), IC_FEATURES, _scratch(spark), trees=3, min_ic=0.0)
+    return rounded(out.drop("version"))
+
+
+@query()
+def m13_regime_model(spark, sf_dir):
+    rows = factors.join_macro(_model_rows(spark, sf_dir), _macro(spark, sf_dir).select("date", "VIX_PERCENTILE"))
+    return rounded(models.regime_model(spark, rows, IC_FEATURES, threshold=-1.0, trees=3, least=(500, 300, 10)))
