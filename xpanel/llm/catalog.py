@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xpanel.llm import chat_format, language, license_scan, mixing, near_dup, packing, quality, topk_search, warc
+from xpanel.llm import chat_format, language, license_scan, lm_score, mixing, near_dup, packing, quality, topk_search, warc
 from xpanel.llm.common import read, shared_dir
 
 TOKENIZERS = "/opt/tokenizers"
@@ -49,6 +49,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_best_fit_packing, op4_source_mixing, op5_chat_format, op6_language_id, op7_warc, op9_quality_rules, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_best_fit_packing, op4_source_mixing, op5_chat_format, op6_language_id, op7_warc, op8_lm_scores, op9_quality_rules, op10_exact_top_k)}
 
 
 OP5_SQL = f"""
