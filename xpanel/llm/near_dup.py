@@ -10,10 +10,10 @@ each of the K coordinates keeps its dart of lowest rank. About K ln K + 2K darts
 hashes per element. Sets weigh each shingle 1 (weighted=True: its count).
 
 Nodes that agree on one of BANDS bands of ROWS coordinates (a similarity of 0.8 is missed once in 40,000) meet in a
-bucket. A bucket of up to SMALL nodes compares all its pairs. In a larger one the nodes are compared with a few leaders
-(those that meet most others in all bands, so the centre of a family of copies); nodes that link with a leader are done
-with, the others go on to a round with FAN times as many leaders, until none is left. So a family of n near copies costs
-about n comparisons, and no bucket is expanded into its pairs or gathered in a task. What this can miss is said in the README.
+bucket; of buckets with the same members one is kept. A bucket is cut into chunks of BLOCK nodes by a hash, and each pair
+of chunks is a group of its own: a task never holds more than 2 * BLOCK nodes, compares them all exactly by one matrix
+product over the shingles they share, and returns what connects them, not the pairs. So a hot bucket of n nodes is
+n / BLOCK times its rows and n * n comparisons dealt over many tasks, and no link between two of its nodes is lost.
 
 Null texts and texts without words have no shingles and are classes of their own. A class is named by its smallest
 doc_id (null only if it has no other). Repeated rows each get a row; further columns are ignored.
@@ -26,13 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xpanel.llm.common import materialise, mix64, text_slices
 
-SHINGLE, THRESHOLD, BANDS, ROWS, SMALL, FAN = 5, 0.8, 20, 4, 8, 4
+SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 20, 4, 256
 K = BANDS * ROWS
 SKETCH = "doc_id long, set_key long, n_shingles int, bands array<long>, shingles binary"
 _WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
@@ -155,54 +154,92 @@ def sketches(docs: DataFrame, weighted: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch(weighted), SKETCH)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = np.empty(b.num_rows)
-        for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"))):
-            x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out[i] = both / (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(out)], ["a", "b", "similarity"])
+def similarities(sets: list[np.ndarray]) -> np.ndarray:
+    """The exact Jaccard similarities of sorted distinct arrays, all with all."""
+    sizes = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = np.zeros((2, 2))
+        both[0, 1] = both[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+    else:
+        _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner, shared = np.repeat(np.arange(len(sets)), sizes), times > 1  # what one set alone has meets nothing
+        column, keep = np.cumsum(shared) - 1, shared[at]
+        owner, column, both = owner[keep], column[at[keep]], np.zeros((len(sets), len(sets)))
+        for lo in range(0, int(shared.sum()), 8192):
+            part = (column >= lo) & (column < lo + 8192)
+            has = np.zeros((len(sets), 8192), np.float32)
+            has[owner[part], column[part] - lo] = 1
+            both += has @ has.T
+    return both / (sizes[:, None] + sizes[None, :] - both)
+
+
+def connect(linked: np.ndarray) -> np.ndarray:
+    """For each node the smallest node that the symmetric matrix connects it with."""
+    n = len(linked)
+    linked = linked | np.eye(n, dtype=bool)
+    label = np.arange(n)
+    while True:
+        nearer = np.where(linked, label[None, :], n).min(1)
+        nearer = nearer[nearer]
+        if (nearer == label).all():
+            return label
+        label = nearer
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, similarity: the exact Jaccard similarity of each pair of sets (set_key, shingles)."""
-    x = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("x")), "a")
-    both = x.join(sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long, similarity double")
+def _compare(threshold: float):
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The rows of each (band, lo, hi), which come sorted."""
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            keys = np.column_stack([table.column(c).to_numpy() for c in ("band", "lo", "hi")])
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            starts = np.concatenate([[0], cuts])
+            for a, b in zip(starts[:-1], starts[1:]):
+                yield table.slice(a, b - a)
+            held = table.slice(starts[-1]) if len(table) else None
+        if held is not None and len(held):
+            yield held
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
+
+        for g in groups(batches):
+            if len(g) < 2:
+                continue
+            keys = g.column("set_key").to_numpy()
+            label = connect(similarities([np.frombuffer(x.as_buffer(), "<u4") for x in g.column("shingles")]) >= threshold)
+            for i in np.flatnonzero(label != np.arange(len(label))):
+                low.append(min(keys[i], keys[label[i]]))
+                high.append(max(keys[i], keys[label[i]]))
+            if len(low) > 10_000:
+                yield out()
+                low, high = [], []
+        yield out()
+
+    return compare
 
 
 def links(sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, similarity of linked sets, a < b. sketched: set_key, n_shingles, bands, shingles; its rows may repeat sets."""
+    """a, b (a < b): pairs of sets that connect all sets whose similarity is the threshold or more, as far as they meet in a band.
+
+    sketched: set_key, bands, shingles; its rows may repeat sets.
+    """
     sketched = sketched.filter(F.col("set_key").isNotNull())
     nodes = sketched.groupBy("set_key").agg(F.first("bands").alias("bands"))
     rows = nodes.select("set_key", F.explode("bands").alias("band"))
-    sizes = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    live = materialise(rows.join(sizes, "band"))
-    needed = live.select("set_key").distinct()
-    sets = materialise(sketched.groupBy("set_key").agg(F.first("shingles").alias("shingles")).join(needed, "set_key", "left_semi"))
-    found, leaders_each = None, 1
-    while not live.isEmpty():
-        central = live.groupBy("set_key").agg(F.sum("size").alias("meets"))
-        live = live.join(central, "set_key")
-        place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("meets"), "set_key"))
-        most = max(leaders_each, SMALL)
-        leaders = live.withColumn("place", place).filter(F.col("place") <= most).filter((F.col("place") <= leaders_each) | (F.col("size") <= SMALL))
-        met = live.join(leaders.select("band", F.col("set_key").alias("leader")), "band").filter("set_key <> leader")
-        met = materialise(met.select("band", "size", "set_key", F.least("set_key", "leader").alias("a"), F.greatest("set_key", "leader").alias("b"), "leader"))
-        pairs = met.select("a", "b").distinct()
-        similar = materialise(verify(pairs, sets))
-        fresh = similar.filter(F.col("similarity") >= threshold)
-        found = fresh if found is None else found.unionByName(fresh)
-        # on to the next round: what is in a large bucket and neither led it nor linked with a leader of it
-        done = met.filter(F.col("size") > SMALL).join(fresh.select("a", "b", F.lit(True).alias("linked")), ["a", "b"], "left")
-        rest = done.groupBy("band", "set_key").agg(F.max("linked").alias("linked")).filter("linked IS NULL").select("band", "set_key")
-        rest = rest.join(leaders.select("band", "set_key"), ["band", "set_key"], "left_anti")
-        live = materialise(rest)
-        live = live.join(live.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "band")
-        leaders_each *= FAN
-    schema = "a long, b long, similarity double"
-    return materialise(found.distinct()) if found is not None else sketched.sparkSession.createDataFrame([], schema)
+    buckets = rows.groupBy("band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_key")).alias("members")).filter("size > 1")
+    buckets = buckets.groupBy("size", "members").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks"))
+    live = rows.join(buckets, "band").withColumn("chunk", F.pmod(F.xxhash64("set_key", "band"), F.col("chunks")).cast("int"))
+    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    live = materialise(live.select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "set_key"))
+    sets = sketched.groupBy("set_key").agg(F.first("shingles").alias("shingles"))
+    dealt = live.join(sets, "set_key").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    return materialise(dealt.mapInArrow(_compare(threshold), "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,18 +257,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """doc_id, class_id, n_shingles, n_links (of the document's set with other sets): a row per row of docs."""
+    """doc_id, class_id, n_shingles: a row per row of docs."""
     sketched = materialise(sketches(docs, weighted))
     edges = links(sketched, threshold)
     labels = components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("n_links"))
     sets = sketched.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
-    sets = sets.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").join(degree, "set_key", "left")
-    sets = sets.select("set_key", "first_id", F.coalesce("label", "set_key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sets = sets.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "first_id", F.coalesce("label", "set_key").alias("label"))
     named = sets.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    sets = sets.join(named, "label").select("set_key", "class_id", "n_links")
+    sets = sets.join(named, "label").select("set_key", "class_id")
     out = sketched.select("doc_id", "set_key", "n_shingles").join(sets, "set_key", "left")
-    return out.select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_shingles")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
