@@ -16,14 +16,13 @@ further columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xpanel.llm.common import materialise, mix64, text_slices
+from xpanel.llm.common import materialise, mix64, release_shuffles, text_slices
 from xpanel.llm.near_dup import word_hashes
 
 ALPHA, MIN_COUNT, PASSES = 0.4, 2, 4
@@ -93,7 +92,10 @@ def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     total = float(words.agg(F.sum("c")).first()[0] or 1)
     firsts = materialise(docs.mapInArrow(_firsts, "doc_id long, word long, n_words long"))
     starts = firsts.join(words, "word").select("doc_id", F.log10(F.col("c") / F.lit(total)).alias("score"))
-    sums = reduce(DataFrame.unionByName, [materialise(pair_scores(docs, words, total, passes, i)) for i in range(passes)], starts)
+    sums = starts
+    for i in range(passes):
+        sums = sums.unionByName(materialise(pair_scores(docs, words, total, passes, i)))
+        release_shuffles(docs.sparkSession)
     scored = sums.groupBy("doc_id").agg(F.sum("score").alias("score"))
     sizes = firsts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
     out = sizes.join(scored, sizes["doc_id"].eqNullSafe(scored["doc_id"]), "left")
