@@ -219,3 +219,35 @@ def license_report(docs: DataFrame) -> DataFrame:
         F.coalesce(confidence, F.when(F.col("n_base") > 0, F.lit(0.9)), F.lit(0.0)).alias("score"),
         F.size("license_detections").cast("long").alias("n_detections"),
     )
+
+
+def oracle() -> str:
+    """license_report in SQL, by joining documents with the rules and comparing their detections pairwise."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    table = ", ".join(f"({i}, {p}, {quote(label)}, {quote(f'<{k}>')}, {quote(x)})" for i, (p, label, k, x) in enumerate(rules()))
+    phrases = {label: "".join(f"<{w}>" for w in p.split()) for p, label in BASE.items()}
+    base, upper = quote("|".join(phrases.values())), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    count = lambda s: f"(length({s}) - length(replace({s}, '<', '')))"
+    labels = ", ".join(f"CASE WHEN contains(c, {quote(p)}) THEN {quote(label)} END" for label, p in phrases.items())
+    confidence = "[" + ", ".join(map(str, CONFIDENCE)) + "]"
+    return f"""
+    WITH rules(rule, priority, label, keyword, pattern) AS (VALUES {table}),
+    w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), {quote(WORD)}) AS words FROM documents),
+    d AS (SELECT rid, doc_id, len(words) AS n_words, CASE WHEN len(words) > 0 THEN '<' || array_to_string(words, '><') || '>' ELSE '' END AS c FROM w),
+    b AS (SELECT *, string_split_regex(c, {base}) AS between, regexp_extract_all(c, {base}) AS hits, list_filter([{labels}], lambda x: x IS NOT NULL) AS base_labels FROM d),
+    found AS (
+      SELECT rid, rule, priority, label, unnest(range(1, len(h) + 1)) AS k, h, s
+      FROM (SELECT rid, rule, priority, label, regexp_extract_all(c, pattern) AS h, string_split_regex(c, pattern) AS s FROM d JOIN rules ON contains(c, keyword))),
+    spans AS (
+      SELECT rid, rule, priority, label, {count("array_to_string(s[1:k], '') || array_to_string(h[1:k - 1], '')")} AS a,
+             {count("array_to_string(s[1:k], '') || array_to_string(h[1:k], '')")} AS e FROM found),
+    kept AS (
+      SELECT x.* FROM spans x WHERE NOT EXISTS (
+        SELECT 1 FROM spans y WHERE y.rid = x.rid AND y.priority <= x.priority AND y.a <= x.a AND y.e >= x.e AND (y.a, -y.e, y.priority, y.rule) < (x.a, -x.e, x.priority, x.rule))),
+    per AS (SELECT rid, list(DISTINCT label) AS found_labels, max({confidence}[priority + 1]) AS confidence, count(*) AS n FROM kept GROUP BY rid)
+    SELECT doc_id, n_words, len(hits) AS n_base, CASE WHEN len(hits) > 0 THEN {count("between[1]")} END AS first_word,
+           CASE WHEN len(hits) > 0 THEN {count("array_to_string(between[1:len(hits)], '') || array_to_string(hits[1:len(hits) - 1], '')")} END AS last_word,
+           array_to_string(list_sort(list_distinct(base_labels)), ',') AS base_labels,
+           array_to_string(list_sort(list_distinct(list_concat(base_labels, coalesce(found_labels, [])))), ',') AS labels,
+           CAST(coalesce(confidence, CASE WHEN len(hits) > 0 THEN 0.9 END, 0.0) AS DOUBLE) AS score, coalesce(n, 0) AS n_detections
+    FROM b LEFT JOIN per USING (rid)"""
