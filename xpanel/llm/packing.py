@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,30 +29,56 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+#: Letters that normalisation only lower-cases, then marks that are one piece.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-;=?@\[-`{}~]*)")
+
+
 class WordTokenizer:
     """Token ids of texts as little-endian uint32 bytes, encoding each distinct blank-separated word once.
 
     The tokenizer drops white space and neither its normaliser nor its merges reach across a blank, so words can be
-    encoded apart. The memory of words is emptied when it holds CACHE_WORDS.
+    encoded apart; letters with punctuation after them are two pieces to it, and it lower-cases, so `Word,` is `word` and
+    `,`. Unknown runs of letters are encoded many in a string: each ends with the one id that carries the word end. The
+    memory of words is emptied when it holds CACHE_WORDS.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, {}
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[ends] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        parts = {w: m.groups() for w in words if (m := PLAIN.fullmatch(w))}
+        whole = [w for w in words if w not in parts]
+        self.known.update(zip(whole, self._encode(whole)))
+        letters = list(dict.fromkeys(x for a, _ in parts.values() if (x := a.lower()) not in self.letters))
+        marks = list(dict.fromkeys(b for _, b in parts.values() if b and b not in self.letters))
+        self.letters.update(zip(marks, self._encode(marks)))
+        for i in range(0, len(letters), 512):
+            some = letters[i : i + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(some):
+                self.letters.update(zip(some, (x.tobytes() for x in np.split(ids, ends[:-1]))))
+            else:
+                self.letters.update(zip(some, self._encode(some)))
+        self.known.update((w, self.letters[a.lower()] + (self.letters[b] if b else b"")) for w, (a, b) in parts.items())
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
+            self.letters.clear()
             new = list(dict.fromkeys(w for words in split for w in words))
-        for i in range(0, len(new), 4096):
-            self.known.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096])))
+        self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
