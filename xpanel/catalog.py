@@ -79,6 +79,11 @@ def j1_asof_benchmarks(spark, sf_dir):
     return _only(_aligned(spark, sf_dir), [f"{p}_{t}" for t in oracle.TICKERS for p in ("px", "r")])
 
 
+def _log_scaled(columns: dict) -> dict:
+    """Ratios to sums near zero vary by twelve orders: the queries give them as sign * ln(1 + |x|), named LN_*."""
+    return {(f"LN_{k}" if k.startswith("RS_") else k): (F.sign(x) * F.log1p(F.abs(x)) if k.startswith("RS_") else x) for k, x in columns.items()}
+
+
 def _extra(name: str, sql: str, make: Callable[[], dict], source: Callable = _returns) -> None:
     def run(spark, sf_dir):
         columns = make()
@@ -88,8 +93,8 @@ def _extra(name: str, sql: str, make: Callable[[], dict], source: Callable = _re
     query(sql)(run)
 
 
-_extra("f_market_relative", oracle.market_relative(), factors.market_relative, _aligned)
-_extra("f_etf_relative", oracle.etf_relative(), factors.etf_relative, _aligned)
+_extra("f_market_relative", oracle.market_relative(), lambda: _log_scaled(factors.market_relative()), _aligned)
+_extra("f_etf_relative", oracle.etf_relative(), lambda: _log_scaled(factors.etf_relative()), _aligned)
 _extra("f_lead_signals", oracle.lead_signals(), factors.lead_signals, _aligned)
 _extra("f_higher_moments", oracle.higher_moments(), factors.higher_moments)
 _extra("f_volatility", oracle.volatility(), factors.volatility)
