@@ -258,7 +258,7 @@ def event_proxies() -> str:
 
 MACRO = BARS + """,
 macro AS (
-  SELECT ['VIXCLS', 'T10Y2Y', 'FEDFUNDS', 'T10YIE', 'ICSA'][k] AS series_id, date, round(CASE WHEN k = 5 THEN v ELSE v / 10000 - 13 END, 6) AS value
+  SELECT ['VIXCLS', 'T10Y2Y', 'FEDFUNDS', 'T10YIE', 'ICSA'][k] AS series_id, date, round(CASE WHEN k = 5 THEN v ELSE v / 10000 - 13 END + 1e-9, 6) AS value
   FROM (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS k, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2)),
 calendar AS (SELECT DISTINCT date FROM bars),
 days AS (SELECT c.date, """ + asof("macro", "series_id", ("VIXCLS", "T10Y2Y", "FEDFUNDS", "T10YIE", "ICSA"), "") + """ FROM calendar c),

@@ -57,7 +57,7 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = orders.groupBy(number.alias("k"), month.alias("date")).agg(F.avg(F.col("o_totalprice").cast("double")).alias("v"))
     series = F.element_at(F.array(*map(F.lit, SERIES)), F.col("k"))
     value = F.when(F.col("k") == len(SERIES), F.col("v")).otherwise(F.col("v") / 10000 - 13)
-    return raw.select(series.alias("series_id"), F.col("date").cast("string").alias("date"), F.round(value, 6).cast("string").alias("value"))
+    return raw.select(series.alias("series_id"), F.col("date").cast("string").alias("date"), F.round(value + 1e-9, 6).cast("string").alias("value"))
 
 
 def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
