@@ -178,26 +178,26 @@ def _expect(path: str, languages: list[str], probs):
     return expect
 
 
-def training_rows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """About per_language labelled rows a language: those whose hash is in the language's share."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    shares = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
+def training_rows(docs: DataFrame, counts: dict[str, int], per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """About per_language labelled rows a language: those whose hash is in the language's share. A scan, no shuffle."""
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
-    return labelled.join(shares, "lang").filter(unit < F.col("share")).select("lang", "text")
+    return docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(unit < share[F.col("lang")]).select("lang", "text")
 
 
 def learn(docs: DataFrame, vocabulary_path: str, per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray | None]:
     """Languages in order and the piece probabilities [pieces + 1, languages]."""
-    rows = training_rows(docs, per_language)
-    languages = sorted(r[0] for r in docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang").distinct().collect())
-    if not languages:
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    if not counts:
         return [], None
+    languages, rows = sorted(counts), training_rows(docs, counts, per_language)
     context, size, probs = docs.sparkSession.sparkContext, len(vocabulary(vocabulary_path)), None
     for _ in range(rounds):
         shared = context.broadcast(probs) if probs is not None else None
-        counts = rows.mapInArrow(_expect(vocabulary_path, languages, shared), "piece long, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        expected = rows.mapInArrow(_expect(vocabulary_path, languages, shared), "piece long, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         table = np.full((size + 1, len(languages)), 0.1)
-        table[counts["piece"], counts["lang"]] += counts["n"]
+        table[expected["piece"], expected["lang"]] += expected["n"]
         probs = table / table[:size].sum(0)
         probs[size] = UNKNOWN
     return languages, probs
