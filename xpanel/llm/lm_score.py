@@ -15,11 +15,12 @@ further columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from xpanel.llm.common import materialise, mix64, release_shuffles, text_slices
@@ -30,7 +31,7 @@ ALPHA, MIN_COUNT, PASSES = 0.4, 2, 4
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in text_slices(batch, limit=16_000_000):
+        for b in text_slices(batch, limit=2_000_000):
             words, counts = np.unique(word_hashes([t or "" for t in b.column("text").to_pylist()])[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
 
@@ -42,7 +43,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for b in text_slices(batch):
+        for b in text_slices(batch, limit=2_000_000):
             words, offsets = word_hashes([t or "" for t in b.column("text").to_pylist()])
             n = np.diff(offsets)
             first = np.concatenate([words, np.zeros(1, np.uint64)])[offsets[:-1]].view(np.int64)
@@ -52,7 +53,7 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs(passes: int, which: int):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in text_slices(batch):
+            for b in text_slices(batch, limit=2_000_000):
                 words, offsets = word_hashes([t or "" for t in b.column("text").to_pylist()])
                 doc = np.repeat(np.arange(b.num_rows), np.diff(offsets))
                 inside = np.flatnonzero(doc[1:] == doc[:-1])
@@ -73,16 +74,17 @@ def _pairs(passes: int, which: int):
 
 
 def pair_scores(docs: DataFrame, words: DataFrame, total: float, passes: int, which: int) -> DataFrame:
-    """doc_id, score: the summed log10 scores of one pass's pairs."""
-    exploded = docs.mapInArrow(_pairs(passes, which), "doc_id long, pair long, first long, word long, n int").repartition("pair")
-    table = exploded.groupBy("pair").agg(F.sum("n").alias("both"), F.first("first").alias("first")).filter(F.col("both") >= MIN_COUNT)
-    table = table.join(words.withColumnRenamed("word", "first"), "first").select("pair", F.log10(F.col("both") / F.col("c")).alias("s"))
-    joined = exploded.join(table, "pair", "left")
-    # one row per document and word to look up; those that need none share the null word
-    need = joined.select("doc_id", F.when(F.col("s").isNull(), F.col("word")).alias("word"), "n", "s")
-    found = need.filter("s IS NOT NULL").select("doc_id", (F.col("n") * F.col("s")).alias("score"))
-    backed = need.filter("s IS NULL").select("doc_id", "word", "n").join(words, "word").select("doc_id", (F.col("n") * F.log10(F.lit(ALPHA) * F.col("c") / F.lit(total))).alias("score"))
-    return found.groupBy("doc_id").agg(F.sum("score").alias("score")).unionByName(backed.groupBy("doc_id").agg(F.sum("score").alias("score")))
+    """doc_id, score: the summed log10 scores of one pass's pairs.
+
+    The count of a pair meets its rows on their exchange by hash (a window over the hash is that join without a second
+    copy of the rows). Then a row needs one word's count: the first's if the pair is in the table, else the second's.
+    """
+    exploded = docs.mapInArrow(_pairs(passes, which), "doc_id long, pair long, first long, word long, n int")
+    counted = exploded.withColumn("both", F.sum("n").over(Window.partitionBy("pair")))
+    known = F.col("both") >= MIN_COUNT
+    need = counted.select("doc_id", F.when(known, F.col("first")).otherwise(F.col("word")).alias("word"), F.when(known, -F.col("n")).otherwise(F.col("n")).alias("n"), F.when(known, F.log10("both")).otherwise(math.log10(ALPHA / total)).alias("part"))
+    scored = need.join(words, "word").select("doc_id", (F.abs("n") * F.col("part") + F.col("n") * F.log10("c")).alias("score"))
+    return scored.groupBy("doc_id").agg(F.sum("score").alias("score"))
 
 
 def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
