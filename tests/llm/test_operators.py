@@ -123,6 +123,14 @@ def test_near_duplicates_edges_and_first_kept(spark):
     assert near_dup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_first_kept_with_null_and_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, c), (8, d), (8, e), (9, e), (None, ""), (None, None), (3, ""), (3, ""), (3, a + " more")]
+    kept = near_dup.keep_first(spark.createDataFrame([(i, t, None, "s", j) for j, (i, t) in enumerate(rows)], DOCS))
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == Counter([(3, a + " more"), (None, b), (7, c), (8, d), (8, e), (None, ""), (None, None), (3, "")])
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     el = rng.integers(1, 2**63, 300).astype(np.uint64)

@@ -17,6 +17,9 @@ n / BLOCK times its rows and n * n comparisons dealt over many tasks, and no lin
 
 Null texts and texts without words have no shingles and are classes of their own. A class is named by its smallest
 doc_id (null only if it has no other). Repeated rows each get a row; further columns are ignored.
+
+A null doc_id names nothing and a doc_id may stand with several texts, so the document that a class keeps is chosen by row:
+by id and a hash of the text. A text without shingles and without an id is a row of its own.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from xpanel.llm.common import materialise, mix64, text_slices
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 20, 4, 256
 K = BANDS * ROWS
-SKETCH = "doc_id long, set_key long, n_shingles int, bands array<long>, shingles binary"
+SKETCH = "doc_id long, text_key long, set_key long, n_shingles int, bands array<long>, shingles binary"
 _WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 _CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -141,17 +144,17 @@ def _sketch(weighted: bool):
                 bands = band_keys(dart_minhash(sets, weights, offsets)).ravel()
                 short = (sets >> np.uint64(32)).astype("<u4")
                 columns = [
-                    b.column("doc_id"), pa.array(set_key, mask=sizes == 0), pa.array(sizes.astype(np.int32)),
+                    b.column("doc_id"), b.column("text_key"), pa.array(set_key, mask=sizes == 0), pa.array(sizes.astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands)),
                     pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(short)]),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_key", "n_shingles", "bands", "shingles"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "set_key", "n_shingles", "bands", "shingles"])
 
     return sketch
 
 
 def sketches(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch(weighted), SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(_sketch(weighted), SKETCH)
 
 
 def similarities(sets: list[np.ndarray]) -> np.ndarray:
@@ -256,21 +259,31 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """doc_id, class_id, n_shingles: a row per row of docs."""
+def classify(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+    """doc_id, text_key, set_key, label, class_id, n_shingles: a row per row of docs; label tells classes apart, null if without shingles."""
     sketched = materialise(sketches(docs, weighted))
     edges = links(sketched, threshold)
     labels = components(edges)
     sets = sketched.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
     sets = sets.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "first_id", F.coalesce("label", "set_key").alias("label"))
     named = sets.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    sets = sets.join(named, "label").select("set_key", "class_id")
-    out = sketched.select("doc_id", "set_key", "n_shingles").join(sets, "set_key", "left")
-    return out.select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_shingles")
+    sets = sets.join(named, "label").select("set_key", "label", "class_id")
+    out = sketched.select("doc_id", "text_key", "set_key", "n_shingles").join(sets, "set_key", "left")
+    return out.withColumn("class_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+    """doc_id, class_id, n_shingles: a row per row of docs."""
+    return classify(docs, threshold, weighted).select("doc_id", "class_id", "n_shingles")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class: the row with the class's smallest doc_id (one row of equal ones), columns as given."""
-    classes = near_duplicates(docs, threshold).filter((F.col("doc_id") == F.col("class_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    kept = docs.join(classes, docs["doc_id"].eqNullSafe(classes["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else kept
+    """One document of each class, columns as given: the row with the smallest (doc_id, set_key, text hash), ids before nulls (one row of equal ones)."""
+    rows = classify(docs, threshold)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_key", "text_key")
+    chosen = rows.filter("label is not null").groupBy("label").agg(F.min(place).alias("p")).select("p.doc_id", "p.text_key", F.lit(False).alias("alone"))
+    single = rows.filter("label is null").select("doc_id", "text_key", F.col("doc_id").isNull().alias("alone")).distinct()
+    keep = materialise(chosen.unionByName(single)).toDF("_keep_id", "_keep_text", "_alone")
+    held = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep_id")) & (F.xxhash64(docs["text"]) == F.col("_keep_text")))
+    held = held.withColumn("_row", F.when(F.col("_alone"), F.monotonically_increasing_id()))
+    return held.dropDuplicates(["_keep_id", "_keep_text", "_row"]).select(*[docs[c] for c in docs.columns])
