@@ -332,6 +332,32 @@ def test_lm_scores_equal_brute_force(spark):
     assert lm_score.score_documents(docs_of(spark, [])).count() == 0
 
 
+def test_lm_scores_equal_brute_force_over_every_trigram(spark):
+    rows = [(i, t) for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()] + [(-1, None), (-2, "?"), (-3, "one"), (-4, "one two"), (-5, "a a a a b a a"), (None, "no id here")]
+    words = {i: WORD.findall((t or "").lower()) for i, t in rows}
+    c = Counter(tuple(ws[i : i + k]) for ws in words.values() for k in (1, 2, 3) for i in range(len(ws) - k + 1))
+    n = sum(map(len, words.values()))
+
+    def backoff(seen):
+        if len(seen) == 1:
+            return c[seen] / n
+        return c[seen] / c[seen[:-1]] if c[seen] else 0.4 * backoff(seen[1:])
+
+    got = lm_score.score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), passes=3).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ws = words[r["doc_id"]]
+        want = [math.log10(backoff(tuple(ws[max(i - 2, 0) : i + 1]))) for i in range(len(ws))]
+        assert r["n_words"] == len(ws) and r["score"] == (pytest.approx(sum(want) / len(ws), abs=2e-6) if ws else None)
+    assert lm_score.score_corpus(docs_of(spark, [])).count() == 0
+
+
+def test_lm_query_scores_pairs_seen_once(spark, tmp_path):
+    spark.createDataFrame([(1, "p q r s"), (2, "p x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in catalog.op8_lm_scores(spark, str(tmp_path)).collect()}
+    assert got == {1: pytest.approx(math.log10(2 / 6 * 1 / 2) / 4, abs=2e-6), 2: pytest.approx(math.log10(2 / 6 * 1 / 2) / 2, abs=2e-6)}
+
+
 # --- 9 ----------------------------------------------------------------------------------------------------------------
 
 

@@ -50,7 +50,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(read(spark, sf_dir, "documents"))
+    return lm_score.score_corpus(read(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -75,3 +76,15 @@ def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished jobs now: it does so once the driver has collected their handles."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Inside, each query's shuffle files go when it has ended, not when the driver collects their handles."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

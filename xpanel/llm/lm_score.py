@@ -1,13 +1,18 @@
-"""Stupid-backoff scores of all documents under the bigram counts of all documents, computed relationally.
+"""Stupid-backoff scores of all documents under the trigram counts of all documents, computed relationally.
 
-A word (as in near_dup: lower-cased runs of ASCII letters and digits and of non-ASCII characters) after another scores
-c(pair) / c(first) if the pair stands MIN_COUNT times or more in the corpus, else ALPHA * c(word) / N; a text's first
-word scores c(word) / N. A document's score is the mean log10 of its words' scores.
+A word (as in near_dup: lower-cased runs of ASCII letters and digits and of non-ASCII characters) after two others scores
+c(trigram) / c(its first two), if unseen ALPHA * c(pair) / c(first), if that is unseen too ALPHA^2 * c(word) / N; a text's
+first word scores c(word) / N and its second c(pair) / c(first). A document's score is the mean log10 of its words' scores.
 
-Tables are keyed by 64-bit hashes. Pairs are first added up within a document, so a pair that all documents have is a row
-a document, never more; they are shuffled once by hash, and that exchange serves both the count and the join with it. The
-pairs are dealt into PASSES by their hash, one pass after the other, each ending in a sum per document in the shared
-folder: what stands on disk at a time is a pass's share, whatever the corpus. Nothing is dropped or capped.
+The counts are those of the scored texts, nothing pruned, so every n-gram of a document is seen and no word backs off. The
+sum over a document is then a weighted sum of log10 counts: +1 for each trigram, -1 for each pair that begins one, and for
+the first pair +1 (the count of the first word cancels). score_corpus' rows are n-grams with occurrences and weight.
+
+Tables are keyed by 64-bit hashes. N-grams are first added up within a document, so one that all documents have is a row
+a document, never more; they are shuffled once by hash, and that exchange serves both the count and the join with it. They
+are dealt into PASSES by their hash, one pass after the other, each ending in a sum per document in the shared folder:
+what stands on disk at a time is a pass's share, whatever the corpus. score_corpus drops and caps nothing;
+score_documents is the older form over pairs, which treats pairs below MIN_COUNT as unseen, and no query uses it.
 
 Null texts and texts without words have n_words 0 and a null score. Rows that repeat a doc_id count as one document;
 further columns are ignored; an empty table gives no rows.
@@ -23,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from xpanel.llm.common import materialise, mix64, release_shuffles, text_slices
+from xpanel.llm.common import materialise, mix64, release_shuffles, shuffles_released, text_slices
 from xpanel.llm.near_dup import word_hashes
 
 ALPHA, MIN_COUNT, PASSES = 0.4, 2, 4
+CORPUS_PASSES = 8
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,9 +42,11 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c: each task adds up its own words before the shuffle."""
-    return docs.select("text").mapInArrow(_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("c"))
+def word_counts(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """word, c: each task adds up its own words before the shuffle; of the wanted words alone if given."""
+    words = docs.select("text").mapInArrow(_words, "word long, n long")
+    words = words if wanted is None else words.join(wanted, "word", "left_semi")
+    return words.groupBy("word").agg(F.sum("n").alias("c"))
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,3 +110,61 @@ def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
     sizes = firsts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
     out = sizes.join(scored, sizes["doc_id"].eqNullSafe(scored["doc_id"]), "left")
     return out.select(sizes["doc_id"], "n_words", F.round(F.try_divide(F.col("score"), F.col("n_words")), 6).alias("score"))
+
+
+def _weighted_grams(passes: int, which: int):
+    """doc_id, gram, n, weight: a document's trigrams and pairs of one pass, with occurrences and the weight of their log count."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in text_slices(batch, limit=2_000_000):
+                words, offsets = word_hashes([t or "" for t in b.column("text").to_pylist()])
+                doc = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+                pair_at = np.flatnonzero(doc[1:] == doc[:-1])
+                pair = mix64(words[pair_at] * np.uint64(0x9E3779B97F4A7C15) + words[pair_at + 1])
+                begins = np.zeros(len(pair_at), bool)
+                begins[:-1] = doc[pair_at[1:]] == doc[pair_at[:-1]]  # the next pair of the document: a trigram begins here
+                three = np.flatnonzero(begins)
+                tri = mix64(pair[three] * np.uint64(0xD6E8FEB86659FD93) + words[pair_at[three] + 2])
+                weight = (pair_at == offsets[doc[pair_at]]).astype(np.int32) - begins
+                gram, owner = np.concatenate([pair, tri]), np.concatenate([doc[pair_at], doc[pair_at[three]]])
+                weight = np.concatenate([weight, np.ones(len(tri), np.int32)])
+                mine = gram % np.uint64(passes) == which
+                gram, owner, weight = gram[mine], owner[mine], weight[mine]
+                order = np.lexsort((gram, owner))
+                gram, owner, weight = gram[order], owner[order], weight[order]
+                new = np.ones(len(gram), bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+                starts = np.flatnonzero(new)
+                n = np.diff(np.concatenate([starts, [len(gram)]])).astype(np.int32)
+                weights = np.add.reduceat(weight, starts).astype(np.int32) if len(starts) else np.empty(0, np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner[starts])), pa.array(gram[starts].view(np.int64)), pa.array(n), pa.array(weights)], ["doc_id", "gram", "n", "weight"])
+
+    return grams
+
+
+def gram_scores(docs: DataFrame, passes: int, which: int) -> DataFrame:
+    """doc_id, score: the weighted sum of log10 counts of one pass's n-grams; the window is the count's join with its rows."""
+    exploded = docs.mapInArrow(_weighted_grams(passes, which), "doc_id long, gram long, n int, weight int")
+    counted = exploded.withColumn("c", F.sum("n").over(Window.partitionBy("gram"))).filter("weight != 0")
+    return counted.groupBy("doc_id").agg(F.sum(F.col("weight") * F.log10("c")).alias("score"))
+
+
+def score_corpus(docs: DataFrame, passes: int = CORPUS_PASSES) -> DataFrame:
+    """doc_id, n_words, score: the mean log10 stupid-backoff score of a document's words, by trigrams, every count used."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    firsts = materialise(docs.mapInArrow(_firsts, "doc_id long, word long, n_words long"))
+    total = float(firsts.agg(F.sum("n_words")).first()[0] or 1)
+    # a text of two words or more: the first word's count cancels against that of its first pair's first word
+    single = firsts.filter("n_words = 1").select("doc_id", "word")
+    with shuffles_released(docs.sparkSession):
+        counts = materialise(word_counts(docs, single.select("word").distinct()))
+        sums = single.join(counts, "word").select("doc_id", F.log10("c").alias("score"))
+        for i in range(passes):
+            sums = sums.unionByName(materialise(gram_scores(docs, passes, i)))
+            release_shuffles(docs.sparkSession)
+    sums = sums.unionByName(firsts.filter("n_words > 0").select("doc_id", F.lit(-math.log10(total)).alias("score")))
+    scored = sums.groupBy("doc_id").agg(F.sum("score").alias("score"))
+    sizes = firsts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
+    out = sizes.join(scored, sizes["doc_id"].eqNullSafe(scored["doc_id"]), "left")
+    return out.select(sizes["doc_id"], "n_words", F.round(F.try_divide(F.col("score"), F.col("n_words")), 6).alias("score"))
