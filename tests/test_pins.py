@@ -2,10 +2,13 @@
 
 import datetime as dt
 import math
+from collections import Counter
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
+from xpanel import catalog
 from xpanel.functions import exprs
 from xpanel.operators import factors, models, panel, portfolio, stats, walkforward, xsection
 from xpanel.sources import tables
@@ -229,3 +232,27 @@ def test_empty_inputs(spark):
     scored = spark.createDataFrame([], "date date, symbol string, score double, y double")
     assert xsection.daily_rank_ic(scored, "score", "y", 5).count() == 0
     assert portfolio.staggered_portfolio(scored, "y", 2).count() == 0
+
+
+def test_walk_forward_query_tests_the_whole_history(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(catalog.jobs, "walk_forward", lambda spark, rows, *a, **k: seen.update(k) or spark.range(1))
+    catalog.m6_walk_forward(spark, DATA)
+    bounds = walkforward.window_bounds(dt.date(2020, 1, 1), dt.date(2026, 5, 1), **(seen.get("steps") or {}))
+    assert len(bounds) >= 60 and all(a[6] == b[5] for a, b in zip(bounds, bounds[1:]))
+
+
+def test_regime_query_takes_the_regime(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(catalog.models, "regime_model", lambda spark, rows, *a, **k: seen.update(k) or spark.range(1))
+    catalog.m13_regime_model(spark, DATA)
+    assert seen.get("threshold", 0.0) == 0 and seen.get("least", (500, 300, 50)) == (500, 300, 50)
+
+
+def test_overlapping_windows_give_one_score(spark):
+    twice = [(r["date"], r["symbol"], r["window"]) for r in catalog._blend(spark, DATA, catalog.OVERLAPPING).collect()]
+    last = {}
+    for day, symbol, window in twice:
+        last[day, symbol] = max(window, last.get((day, symbol), -1))
+    got = Counter((str(r["date"]), r["symbol"], r["window"]) for r in catalog.m9_overlapping_scores(spark, DATA).collect())
+    assert len(twice) > len(last) and got == Counter((str(d), s, w) for (d, s), w in last.items())

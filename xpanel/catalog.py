@@ -342,6 +342,7 @@ def x12_sentiment(spark, sf_dir):
 # --- walk-forward -----------------------------------------------------------------------------------------------------
 
 STEPS = dict(train=24, val=3, test=3, step=6)
+OVERLAPPING = STEPS | dict(step=3)
 IC_FEATURES = ["ROC_5", "MA_20", "STD_20", "RSV_20", "CNTP_20", "RVOL_5"]
 
 _WINDOWS = """
@@ -360,9 +361,9 @@ tagged AS (
   UNION ALL SELECT s.*, win, 'test' FROM scored s JOIN wins ON date >= test_start AND date < test_end)"""
 
 
-def _tagged(spark, sf_dir, rows=None):
+def _tagged(spark, sf_dir, rows=None, steps=STEPS):
     rows = scored(spark, sf_dir) if rows is None else rows
-    return walkforward.tag_windows(rows, walkforward.walk_forward_windows(spark, scored(spark, sf_dir), **STEPS))
+    return walkforward.tag_windows(rows, walkforward.walk_forward_windows(spark, scored(spark, sf_dir), **steps))
 
 
 @query(f"{_S}, {_WINDOWS} SELECT CAST(win AS INTEGER) AS \"window\", train_start, train_end, val_start, val_end, test_start, test_end FROM wins", dates=("train_start", "train_end", "val_start", "val_end", "test_start", "test_end"))
@@ -437,8 +438,8 @@ _STACK = f"""{_S}, {_WINDOWS}, preds AS (SELECT win, date, symbol, 'a' AS model,
     blend AS (SELECT win, date, symbol, sum(p * CASE model WHEN 'a' THEN 0.6 ELSE 0.4 END) AS score FROM preds GROUP BY win, date, symbol)"""
 
 
-def _blend(spark, sf_dir):
-    rows = _tagged(spark, sf_dir).filter("role <> 'train'")
+def _blend(spark, sf_dir, steps=STEPS):
+    rows = _tagged(spark, sf_dir, steps=steps).filter("role <> 'train'")
     preds = rows.select("window", "date", "symbol", F.lit("a").alias("model"), F.col("score").alias("prediction")).unionByName(rows.select("window", "date", "symbol", F.lit("b").alias("model"), (-F.col("close") / 1000).alias("prediction")))
     weights = rows.select("window").distinct().withColumn("w", F.explode(F.array(F.struct(F.lit("a").alias("model"), F.lit(0.6).alias("weight")), F.struct(F.lit("b").alias("model"), F.lit(0.4).alias("weight"))))).select("window", "w.*")
     return walkforward.ensemble_score(preds, weights)
@@ -454,6 +455,12 @@ def m9_dedupe_scores(spark, sf_dir):
     return rounded(walkforward.dedupe_scores(_blend(spark, sf_dir)))
 
 
+@query()
+def m9_overlapping_scores(spark, sf_dir):
+    """Windows that overlap: each validation range is the test range of the window before, so a (date, symbol) has two scores."""
+    return rounded(walkforward.dedupe_scores(_blend(spark, sf_dir, OVERLAPPING)))
+
+
 @query(f"{_S}, {_WINDOWS} SELECT DISTINCT s.date FROM scored s JOIN tagged t ON s.date = t.date WHERE t.role = 'test'")
 def u3_common_dates(spark, sf_dir):
     tested = _tagged(spark, sf_dir).filter("role = 'test'")
@@ -638,9 +645,8 @@ def p10_rescaled(spark, sf_dir):
 
 @query()
 def m6_walk_forward(spark, sf_dir):
-    """Two windows of the walk-forward job with small models; returns its significance row (scores and report are written)."""
-    steps = dict(train=48, val=6, test=6, step=12)
-    return rounded(jobs.walk_forward(spark, _model_rows(spark, sf_dir), IC_FEATURES, _scratch(spark), trees=3, min_ic=0.0, min_names=5, k=2, steps=steps))
+    """The walk-forward job over the whole history, its own windows (test ranges abut) with small models; returns its significance row (scores and report are written)."""
+    return rounded(jobs.walk_forward(spark, _model_rows(spark, sf_dir), IC_FEATURES, _scratch(spark), trees=3, min_ic=0.0, min_names=5, k=2))
 
 
 @query()
@@ -665,4 +671,4 @@ def m12_final_model(spark, sf_dir):
 @query()
 def m13_regime_model(spark, sf_dir):
     rows = factors.join_macro(_model_rows(spark, sf_dir), _macro(spark, sf_dir).select("date", "VIX_PERCENTILE"))
-    return rounded(models.regime_model(spark, rows, IC_FEATURES, threshold=-1.0, trees=3, least=(500, 300, 10)))
+    return rounded(models.regime_model(spark, rows, IC_FEATURES, trees=3))
