@@ -32,7 +32,7 @@ from xpanel.llm.common import materialise, mix64, release_shuffles, shuffles_rel
 from xpanel.llm.near_dup import word_hashes
 
 ALPHA, MIN_COUNT, PASSES = 0.4, 2, 4
-CORPUS_PASSES = 8
+CORPUS_PASSES = 4
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
