@@ -256,3 +256,9 @@ def test_overlapping_windows_give_one_score(spark):
         last[day, symbol] = max(window, last.get((day, symbol), -1))
     got = Counter((str(r["date"]), r["symbol"], r["window"]) for r in catalog.m9_overlapping_scores(spark, DATA).collect())
     assert len(twice) > len(last) and got == Counter((str(d), s, w) for (d, s), w in last.items())
+
+
+def test_whole_universe_is_cleaned_beyond_the_first_rows(spark):
+    path = "/root/testdata/sf0.01"
+    first, whole = ({r["symbol"] for r in q(spark, path).collect()} for q in (catalog.s3_universe, catalog.s3_whole_universe))
+    assert first < whole and len(whole) == 100

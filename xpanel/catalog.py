@@ -163,6 +163,12 @@ def s3_universe(spark, sf_dir):
     return tables.clean_universe(adapter.universe(spark, sf_dir).filter("ord < 50"))
 
 
+@query()
+def s3_whole_universe(spark, sf_dir):
+    """The whole table cleaned, not the first 50 rows that s3_universe's SQL fixes."""
+    return tables.clean_universe(adapter.universe(spark, sf_dir))
+
+
 @query(f"WITH {oracle.PLACES.strip(', ').strip()} SELECT sector, count(*) AS names FROM places GROUP BY sector", dates=())
 def j10_sector_counts(spark, sf_dir):
     return adapter.universe(spark, sf_dir).groupBy("sector").agg(F.count("*").alias("names"))
