@@ -11,10 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Characters of text that the vectorised operators take at a time inside a task.
-CHUNK_BYTES = 4_000_000
+#: Bytes of text that the vectorised operators take at a time inside a task.
+CHUNK_BYTES = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,11 +23,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """A new folder under spark.checkpoint.dir. Where that is unset a local one, if driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -53,12 +55,45 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
         start = stop
 
 
-def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of all texts end to end (null: empty) and the n + 1 offsets between them."""
-    column = column.fill_null("")
-    data = np.frombuffer("".join(column.to_pylist()).encode(), np.uint8)
-    lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-    return data, np.concatenate([[0], np.cumsum(lengths)])
+def text_pieces(texts: list[str | None], size: int, overlap: int = 0, pad: str = "") -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Lists of about `size` characters in all: text numbers and pieces. A longer text is cut, each piece beginning with the
+    last `overlap` characters of the piece before; the first begins with as many pads. Null and empty texts have none."""
+    owners, pieces, held = [], [], 0
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        for at in range(0, len(text), size):
+            before = text[max(0, at - overlap) : at]
+            piece = pad * (overlap - len(before)) + before + text[at : at + size]
+            owners.append(i)
+            pieces.append(piece)
+            held += len(piece)
+            if held >= size:
+                yield np.array(owners), pieces
+                owners, pieces, held = [], [], 0
+    if pieces:
+        yield np.array(owners), pieces
+
+
+def nested(df: DataFrame) -> Column:
+    """All columns of df in one struct: an operator's own columns beside it cannot clash with them."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns])
+
+
+def small(df: DataFrame, rows: int) -> bool:
+    """Whether df has at most so many rows; looks at one row more."""
+    return df.limit(rows + 1).count() <= rows
+
+
+_CACHE: dict = {}
+
+
+def worker_cache(name: str, make):
+    """What make() gives, kept in this Python worker until another operator asks for its own: a worker holds one operator's cache."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        _CACHE[name] = make()
+    return _CACHE[name]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -207,7 +207,7 @@ def _predict(path: str, languages: list[str], probs, keep: list[str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, names = Pieces(vocabulary(path)), np.array([*languages, UND], object)
         for batch in batches:
-            for b in text_slices(batch, limit=8_000_000):
+            for b in text_slices(batch, limit=4_000_000):
                 words, ids, owners = distinct_words([t or "" for t in b.column("text").to_pylist()])
                 n, best, score = b.num_rows, np.full(b.num_rows, len(languages)), np.zeros(b.num_rows)
                 if words and languages:

@@ -135,7 +135,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 def _sketch(weighted: bool):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in text_slices(batch, limit=2_000_000):
+            for b in text_slices(batch, limit=1_000_000):
                 sets, counts, offsets = shingle_sets([t or "" for t in b.column("text").to_pylist()])
                 sizes, n = np.diff(offsets), b.num_rows
                 weights = counts if weighted else np.ones(len(sets), np.int64)

@@ -10,7 +10,6 @@ Null and empty texts are the end id alone. Repeated rows are documents of their
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -24,7 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, SHARD_PIECES, CACHE_WORDS = 2048, 20_000, 600_000
+from xpanel.llm.common import worker_cache
+
+CAPACITY, SHARD_PIECES, CACHE_WORDS, CACHE_BYTES = 2048, 20_000, 600_000, 16_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -39,14 +40,14 @@ class WordTokenizer:
     The tokenizer drops white space and neither its normaliser nor its merges reach across a blank, so words can be
     encoded apart; letters with punctuation after them are two pieces to it, and it lower-cases, so `Word,` is `word` and
     `,`. Unknown runs of letters are encoded many in a string: each ends with the one id that carries the word end. The
-    memory of words is emptied when it holds CACHE_WORDS.
+    memory of words is emptied when it holds CACHE_WORDS words or CACHE_BYTES of their characters.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.letters, self.held = Tokenizer.from_file(path), {}, {}, 0
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[ends] = True
@@ -74,19 +75,19 @@ class WordTokenizer:
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) + len(new) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.known.clear()
             self.letters.clear()
-            new = list(dict.fromkeys(w for words in split for w in words))
+            self.held, new = 0, list(dict.fromkeys(w for words in split for w in words))
+        self.held += sum(map(len, new))
         self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
-@functools.cache
 def tokenizer(path: str) -> WordTokenizer:
     """One per Python worker, so its words are known across batches and tasks."""
-    return WordTokenizer(path)
+    return worker_cache(f"packing {path}", lambda: WordTokenizer(path))
 
 
 def _cut(path: str, end_id: int, capacity: int):

@@ -1,220 +1,305 @@
 """Quality rules: word and line counts, and n-gram perplexity under a modified Kneser-Ney model of the corpus.
 
-The model is over characters, folded to an alphabet of ALPHABET symbols, so a model of order ORDER has at most
-ALPHABET ** ORDER entries a language, however large the corpus: that is the proof that it can be broadcast. N-grams of
-all documents are counted in Spark (each task adds up its own counts first); continuation counts, discounts and
-interpolated probabilities follow from the counts, and are kept as one sorted array of n-gram hashes a language with
-their log probabilities beside it. A document's perplexity must lie within its language's band, whose ends come from the
-perplexities of all documents: LOW and HIGH times the distance from the median to the 16th and 84th percentile. Below
-stand texts that repeat a pattern; the upper end is far out, so that texts in two languages stay.
-
-The language is the `lang` column; null and languages beyond `languages` share one model and one band. A null, empty or
-too short text has no words, fails the base rule and has no perplexity. Repeated rows are judged alike, further columns stay.
+The model is over characters as they stand (case, marks, digits and every script), ORDER of them to an n-gram, and over all
+languages together, so a text in two languages is no surprise to it. Spark counts the n-grams of all documents (a task adds
+up its own first) and smooths them: continuation counts, discounts and interpolation are groupings and joins by context and
+by suffix. Nothing is pruned: the model grows with the corpus as its alphabet and spelling do. What is kept is a table of n-gram
+hashes with log probabilities. Up to BROADCAST_ROWS of them (12 bytes each) go to the tasks as two sorted arrays; a larger
+model is joined to the n-grams of each distinct text, which gives the same sums.
+
+A document's cross entropy (log perplexity, nats a character) must lie within its language's band: LOW distances from the
+median to the 16th percentile below, HIGH distances from the median to the 84th above, percentiles being exact over the
+documents that pass the base rule, at a resolution of 1e-4. The language is the `lang` column as it stands (null is a language);
+one of fewer than MIN_BAND such documents takes the band of all documents.
+
+A null, empty or too short text has no words, fails the base rule and has no perplexity. Repeated rows are judged alike.
+Columns of any other name stay as they are, whatever they are called. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from xpanel.llm.common import materialise, text_slices
+from xpanel.llm.common import materialise, mix64, nested, small, text_pieces, text_slices, worker_cache
 
-ALPHABET, ORDER = 40, 4
-LOW, HIGH, LEAST = 6.0, 30.0, 0.01  #: the band's ends, and the least distance that counts (a language of a few equal texts)
-LANGUAGES = ("en", "fr", "de", "es")
-OTHER = "other"
+ORDER, PIECE_CHARS = 5, 1_000_000
+LOW, HIGH, LEAST, MIN_BAND = 6.0, 4.5, 0.01, 100  #: the band's ends, the least distance that counts, documents for a band
+BROADCAST_ROWS = 4_000_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def word_keys(text: str, step: int = 1_000_000) -> np.ndarray:
+    """A 64-bit hash of each word; the words themselves are held for about `step` characters at a time."""
+    parts, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + step)
+        while end < len(text) and text[end] not in BLANKS:
+            end += 1
+        parts.append(np.fromiter(map(hash, text[at:end].encode().split()), np.int64))  # bytes.split() splits at exactly BLANKS
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+def repeated_words(words: np.ndarray) -> int:
+    """Words in 3-word windows that the text has twice or more."""
+    if len(words) < 4:
+        return 0
+    w = words.view(np.uint64)
+    windows = mix64(mix64(mix64(w[:-2]) + w[1:-1]) + w[2:])
+    order = np.sort(windows)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return 0
+    hit = np.isin(windows, twice)
+    covered = np.zeros(len(words), bool)
+    for k in range(3):
+        covered[k : len(words) - 2 + k] |= hit
+    return int(covered.sum())
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
     if not text:
         return 0, 0, 0, 0, 0
-    words = text.encode().split()  # bytes.split() splits at exactly BLANKS
+    words = word_keys(text)
     word_chars = len(text) - sum(map(text.count, BLANKS))
     symbols = sum(map(text.count, SYMBOLS))
-    lines = [x for x in text.split("\n") if x.strip(BLANKS)]
-    windows = list(zip(words, words[1:], words[2:]))
-    repeated = 0
-    if len(set(windows)) < len(windows):
-        times, covered = Counter(windows), 0
-        for i, w in enumerate(windows):
-            if times[w] > 1:
-                repeated += i + 3 - max(covered, i)
-                covered = i + 3
-    return len(words), word_chars, symbols, len(lines) - len(set(lines)), repeated
-
-
-def _fold_table() -> np.ndarray:
-    """Code point (up to U+024F) to symbol: 0 blank, 1 digit, 2 punctuation, 3 other, then letters by lower case."""
-    table = np.full(0x250, 3, np.uint8)
-    for c in range(0x250):
-        x = chr(c).lower()[0]
-        if chr(c).isspace():
-            table[c] = 0
-        elif chr(c).isdigit():
-            table[c] = 1
-        elif "a" <= x <= "z":
-            table[c] = 4 + ord(x) - ord("a")
-        elif x.isalpha():
-            table[c] = 30 + ord(x) % (ALPHABET - 30)
-        elif c > 32:
-            table[c] = 2
-    return table
-
-
-FOLD = _fold_table()
-
-
-def ngram_keys(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram at each character of all texts (each begins after order - 1 blanks) and the n + 1 offsets between texts."""
-    texts = texts.fill_null("")
-    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    symbols = FOLD[np.minimum(points, len(FOLD) - 1)].astype(np.int64)
-    keys, place = symbols.copy(), np.arange(len(symbols)) - np.repeat(offsets[:-1], lengths)
-    for back in range(1, order):
-        earlier = np.concatenate([np.zeros(back, np.int64), symbols[:-back]])[: len(symbols)]
-        keys += np.where(place >= back, earlier, 0) * ALPHABET**back
-    return keys, offsets
-
-
-def _language(batch: pa.RecordBatch, languages: tuple[str, ...]) -> np.ndarray:
-    index = {x: i for i, x in enumerate(languages)}
-    return np.array([index.get(x, len(languages)) for x in batch.column("lang").to_pylist()])
-
-
-def _count(languages: tuple[str, ...]):
+    lines = np.fromiter((hash(x.removesuffix("\n")) for x in io.StringIO(text, newline="\n") if x.strip(BLANKS)), np.int64)
+    return len(words), word_chars, symbols, len(lines) - len(np.unique(lines)), repeated_words(words)
+
+
+# --- n-grams ----------------------------------------------------------------------------------------------------------
+
+
+def gram_keys(points: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """A 64-bit hash of the n-gram that ends at each code point from the (order - 1)-th on."""
+    n = len(points) - order + 1
+    key = np.zeros(max(n, 0), np.uint64)
+    for k in range(order):
+        key = mix64(key + points[k : k + n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
+    return key
+
+
+def text_grams(texts: list[str | None], order: int = ORDER, size: int = PIECE_CHARS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys and text numbers of n-grams, all code points, and each n-gram's place among them, for about `size` characters at a time.
+
+    A text begins after order - 1 line feeds, so it has an n-gram a character; a long text goes on in further pieces.
+    """
+    for owners, pieces in text_pieces(texts, size, order - 1, "\n"):
+        points = np.frombuffer("".join(pieces).encode("utf-32-le", "replace"), np.uint32)
+        lengths = np.array([len(p) for p in pieces])
+        starts = np.cumsum(lengths) - lengths
+        inside = np.ones(len(points) - order + 1, bool)
+        for k in range(1, order):  # n-grams that would begin in one piece and end in the next
+            cut = starts[1:] - k
+            inside[cut[cut < len(inside)]] = False
+        yield gram_keys(points, order)[inside], np.repeat(owners, lengths - order + 1), points, np.flatnonzero(inside)
+
+
+def _strings(points: np.ndarray) -> pa.Array:
+    """Rows of code points as strings."""
+    order = points.shape[1]
+    joined = points.astype("<u4").tobytes().decode("utf-32-le")
+    return pa.array([joined[i : i + order] for i in range(0, len(joined), order)], pa.string())
+
+
+def _count(order: int, limit: int = 1_000_000):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((len(languages) + 1, ALPHABET**ORDER), np.int64)
+        worker_cache("quality", dict)
+        keys, n, points = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, order), np.uint32)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(keys), 50_000):
+                yield pa.RecordBatch.from_arrays([_strings(points[i : i + 50_000]), pa.array(n[i : i + 50_000])], ["gram", "n"])
+
         for batch in batches:
             for b in text_slices(batch):
-                langs = _language(b, languages)
-                for k in np.unique(langs):
-                    keys, _ = ngram_keys(b.column("text").filter(pa.array(langs == k)))
-                    held[k] += np.bincount(keys, minlength=held.shape[1])
-        lang, key = np.nonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(key), pa.array(held[lang, key])], ["lang", "key", "n"])
+                for new_keys, _, all_points, places in text_grams(b.column("text").to_pylist(), order):
+                    some, first, times = np.unique(new_keys, return_index=True, return_counts=True)
+                    new_points = all_points[places[first][:, None] + np.arange(order)]
+                    both = np.concatenate([keys, some])
+                    keys, at, inverse = np.unique(both, return_index=True, return_inverse=True)
+                    n = np.bincount(inverse, np.concatenate([n, times]), len(keys)).astype(np.int64)
+                    points = np.concatenate([points, new_points])[at]
+                    if len(keys) > limit:
+                        yield from out()
+                        keys, n, points = keys[:0], n[:0], points[:0]
+        yield from out()
 
     return count
 
 
-def count_ngrams(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """lang (number), key, n: n-gram counts of all documents; at most (languages + 1) * ALPHABET ** ORDER rows."""
-    partial = docs.select("lang", "text").mapInArrow(_count(languages), "lang int, key long, n long")
-    return partial.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, n: the n-grams of all documents, nothing left out."""
+    partial = docs.select("text").filter("text <> ''").mapInArrow(_count(order), "gram string, n long")
+    return partial.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(keys: np.ndarray, counts: np.ndarray, order: int = ORDER, alphabet: int = ALPHABET) -> np.ndarray:
-    """Log probabilities of the n-grams' last symbols: interpolated modified Kneser-Ney. Keys are sorted and distinct."""
-    levels = [(keys, counts)]
-    for m in range(order - 1, 0, -1):  # continuation counts: how many different symbols stand before
-        levels.insert(0, np.unique(levels[0][0] % alphabet**m, return_counts=True))
-    lower_keys, lower = np.empty(0, np.int64), np.empty(0)
-    for m, (ks, ns) in enumerate(levels, 1):
-        n1, n2, n3, n4 = (max(int((ns == i).sum()), 1) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        discounts = np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0, [0, 1, 2, 3])
-        d = discounts[np.minimum(ns, 3)]
-        contexts, at = np.unique(ks // alphabet, return_inverse=True)
-        total, kept_back = np.bincount(at, ns), np.bincount(at, d)
-        below = lower[np.searchsorted(lower_keys, ks % alphabet ** (m - 1))] if m > 1 else 1 / alphabet
-        lower_keys, lower = ks, (ns - d) / total[at] + kept_back[at] / total[at] * below
-    return np.log(lower)
+def discounts(counts: list[int]) -> list[float]:
+    """The discounts of counts 0, 1, 2 and 3 or more from how many n-grams have a count of 1, 2, 3 and 4."""
+    n1, n2, n3, n4 = (max(c, 1) for c in counts)
+    y = n1 / (n1 + 2 * n2)
+    raw = [0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+    return [min(max(d, 0.0), float(i)) for i, d in enumerate(raw)]
 
 
-class Model:
-    """Per language: sorted n-gram hashes and the log probabilities beside them."""
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, p: the interpolated modified Kneser-Ney probability of each n-gram's last character after the others."""
+    levels = [counts]
+    for _ in range(order - 1):  # continuation counts: how many different characters stand before
+        levels.insert(0, materialise(levels[0].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))))
+    below = None
+    for m, level in enumerate(levels, 1):
+        seen = level.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)], F.count("*")).first()
+        d = F.element_at(F.array(*map(F.lit, discounts(list(seen[:4])))), F.least(F.col("n"), F.lit(3)).cast("int") + 1)
+        rows = level.withColumn("d", d)
+        if m == 1:  # one context: the empty one
+            sums = rows.agg(F.sum("n"), F.sum("d")).first()
+            below = rows.select("gram", ((F.col("n") - F.col("d")) / F.lit(sums[0] or 1) + F.lit((sums[1] or 0) / (sums[0] or 1) / max(seen[4], 1))).alias("p"))
+            continue
+        context = F.expr(f"left(gram, {m - 1})")
+        totals = rows.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum("d").alias("back"))
+        joined = rows.join(totals, context == totals["context"]).join(below.withColumnsRenamed({"gram": "suffix", "p": "q"}), F.expr("substring(gram, 2)") == F.col("suffix"))
+        below = joined.select("gram", ((F.col("n") - F.col("d") + F.col("back") * F.col("q")) / F.col("total")).alias("p"))
+    return below
 
-    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.tables = tables
 
-    def log_probabilities(self, lang: int, keys: np.ndarray) -> np.ndarray:
-        known, values = self.tables.get(lang, (np.empty(0, np.int64), np.empty(0)))
-        if not len(known):
-            return np.full(len(keys), -np.log(ALPHABET))
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, values[at], values.min())
+def _hashed(order: int):
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = np.frombuffer("".join(b.column("gram").to_pylist()).encode("utf-32-le"), np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(gram_keys(points, order)[::order].view(np.int64)), b.column("log_p")], ["key", "log_p"])
 
+    return hashed
 
-def fit_model(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> Model:
-    rows = count_ngrams(docs, languages).toPandas().sort_values(["lang", "key"])
-    return Model({int(k): (g["key"].to_numpy(), kneser_ney(g["key"].to_numpy(), g["n"].to_numpy())) for k, g in rows.groupby("lang")})
 
+def fit_model(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """key, log_p: the model over all documents, written to the shared folder."""
+    counts = materialise(count_grams(docs, order))
+    rows = kneser_ney(counts, order).select("gram", F.log("p").cast("float").alias("log_p"))
+    return materialise(rows.mapInArrow(_hashed(order), "key long, log_p float"))
 
-def _judge(model, languages: tuple[str, ...], schema: pa.Schema, keep: list[str]):
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in text_slices(batch):
-                langs, n = _language(b, languages), b.num_rows
-                entropy = np.full(n, np.nan)
-                for k in np.unique(langs):
-                    mine = np.flatnonzero(langs == k)
-                    keys, offsets = ngram_keys(b.column("text").take(pa.array(mine)))
-                    sums = np.concatenate([[0], np.cumsum(model.value.log_probabilities(int(k), keys))])
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        entropy[mine] = -(sums[offsets[1:]] - sums[offsets[:-1]]) / np.diff(offsets)
-                counts = np.array([base_counts(t) for t in b.column("text").to_pylist()], np.int64).reshape(n, 5)
-                columns = [b.column(c) for c in keep] + [pa.array(counts[:, i]) for i in range(5)]
-                columns += [pa.array(langs.astype(np.int32)), pa.array(entropy, mask=np.isnan(entropy))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(f.name for f in schema)])
-
-    return judge
 
+def sorted_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The model as hashes in order and the log probabilities beside them."""
+    rows = model.toArrow()
+    keys, log_p = rows.column("key").to_numpy().view(np.uint64), rows.column("log_p").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], log_p[order]
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
+# --- measures and verdicts --------------------------------------------------------------------------------------------
 
-def measure(docs: DataFrame, keep: list[str], model: Model, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """The kept columns with the base counts, the language's number and the cross entropy per character (nats)."""
-    need = list(dict.fromkeys([*keep, "lang", "text"]))
-    added = pa.schema([(c, pa.int64()) for c in COUNTS] + [("lang_no", pa.int32()), ("entropy", pa.float64())])
-    names = {f.name for f in added}
-    fields = [f.simpleString().replace(":", " ", 1) for f in docs.select(*keep).schema]
-    clash = names & set(keep)
-    assert not clash, f"columns with the operator's names: {clash}"
-    schema = ", ".join([*(f"`{f.split(' ', 1)[0]}` {f.split(' ', 1)[1]}" for f in fields), *(f"{c} long" for c in COUNTS), "lang_no int", "entropy double"])
-    return docs.select(*need).mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(model), languages, added, keep), schema)
 
+def _entropies(texts: list[str | None], keys: np.ndarray, log_p: np.ndarray, order: int) -> np.ndarray:
+    """The cross entropy of each text (NaN without n-grams); n-grams that the model lacks count as its least likely."""
+    sums, n = np.zeros(len(texts)), np.zeros(len(texts))
+    for grams, owners, _, _ in text_grams(texts, order):
+        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+        found = np.where(keys[at] == grams, log_p[at], log_p.min()).astype(np.float64)
+        sums += np.bincount(owners, found, len(texts))
+        n += np.bincount(owners, minlength=len(texts))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return -sums / n
 
-def bands(measured: DataFrame) -> DataFrame:
-    """lang_no, low, high: the band of cross entropies of each language, from all its documents that pass the base rule."""
-    p = F.percentile_approx("entropy", F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)), F.lit(10000))
-    low, mid, high = F.col("p")[0], F.col("p")[1], F.col("p")[2]
-    ends = (mid - LOW * F.greatest(mid - low, F.lit(LEAST))).alias("low"), (mid + HIGH * F.greatest(high - mid, F.lit(LEAST))).alias("high")
-    return measured.filter(~base_failed()).groupBy("lang_no").agg(p.alias("p")).select("lang_no", *ends)
 
+def _measure(model, order: int, keep_text: bool):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in text_slices(batch):
+                texts = b.column("text").to_pylist()
+                counts = np.array([base_counts(t) for t in texts], np.int64).reshape(len(texts), 5)
+                entropy = _entropies(texts, *model.value, order) if model is not None and len(model.value[0]) else np.full(len(texts), np.nan)
+                columns = [b.column("row"), *([b.column("text")] if keep_text else []), b.column("lang"), *(pa.array(counts[:, i]) for i in range(5)), pa.array(np.round(entropy, 6), mask=np.isnan(entropy))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", *(["text"] if keep_text else []), "lang", *COUNTS, "entropy"])
+
+    return measure
 
-def base_failed():
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
+def _text_grams(order: int):
+    """text_key, key, n: the n-grams of each text."""
 
-def _verdict(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """The bands are a row per language, len(languages) + 1 at most: broadcast."""
-    joined = measured.join(F.broadcast(limits), "lang_no", "left")
-    inside = F.coalesce(F.col("entropy").between(F.col("low"), F.col("high")), F.lit(False))
-    return joined.withColumn("base_failed", base_failed()).withColumn("perplexity", F.exp("entropy")).withColumn("kept", ~F.col("base_failed") & inside)
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in text_slices(batch, limit=PIECE_CHARS):
+                names = b.column("text_key").to_numpy()
+                for keys, owners, _, _ in text_grams(b.column("text").to_pylist(), order):
+                    by = np.lexsort((keys, owners))
+                    keys, owners = keys[by], owners[by]
+                    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])])[: len(keys)]
+                    first = np.flatnonzero(new)
+                    n = np.diff(np.concatenate([first, [len(keys)]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[owners[first]]), pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int64))], ["text_key", "key", "n"])
+
+    return grams
+
+
+def measure(docs: DataFrame, row: Column, model: DataFrame, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """row, text, lang, the base counts and entropy of each document; text is left out if row has none."""
+    whole = "text" in getattr(docs.select(row.alias("row")).schema["row"].dataType, "names", [])
+    rows = docs.select(row.alias("row"), F.col("text"), F.col("lang").cast("string").alias("lang"))
+    fits = small(model, broadcast_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(sorted_arrays(model)) if fits else None
+    keep_text = not fits
+    fields = [rows.schema["row"], *([StructField("text", StringType())] if keep_text else []), StructField("lang", StringType()), *(StructField(c, LongType()) for c in COUNTS), StructField("entropy", DoubleType())]
+    out = rows.mapInArrow(_measure(shared, order, keep_text), StructType(fields))
+    if fits:
+        return out
+    texts = docs.select("text").filter("text <> ''").distinct().select(F.xxhash64("text").alias("text_key"), "text")
+    grams = texts.mapInArrow(_text_grams(order), "text_key long, key long, n long")
+    sums = grams.join(model, "key").groupBy("text_key").agg((-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("entropy"))
+    joined = out.drop("entropy").join(sums.withColumn("entropy", F.round("entropy", 6)), F.xxhash64("text") == F.col("text_key"), "left")
+    return joined.select("row", "lang", *COUNTS, "entropy")
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def quality_report(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+def bands(measured: DataFrame) -> DataFrame:
+    """lang, n, low, high of each language, and of all documents in a row marked `every`.
+
+    Percentiles are exact by a histogram of cross entropies in steps of 1e-4: some ten thousand bins, however many documents.
+    """
+    bins = measured.filter(~base_failed() & F.col("entropy").isNotNull()).groupBy("lang", F.round(F.col("entropy") * 10000).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    bins = bins.withColumn("every", F.explode(F.array(F.lit(False), F.lit(True)))).groupBy(F.when(~F.col("every"), F.col("lang")).alias("lang"), "every", "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("lang", "every")
+    ranked = bins.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("all", F.sum("n").over(group))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * F.lit(p)), F.col("bin"))) / 10000
+    ends = ranked.groupBy("lang", "every").agg(F.first("all").alias("n"), at(0.16).alias("a"), at(0.5).alias("b"), at(0.84).alias("c"))
+    low, high = F.col("b") - LOW * F.greatest(F.col("b") - F.col("a"), F.lit(LEAST)), F.col("b") + HIGH * F.greatest(F.col("c") - F.col("b"), F.lit(LEAST))
+    return ends.select("lang", "every", "n", low.alias("low"), high.alias("high"))
+
+
+def verdicts(measured: DataFrame) -> DataFrame:
+    """measured with base_failed, kept and perplexity."""
+    limits = materialise(bands(measured))
+    every = limits.filter("every").select("low", "high").first()
+    own = limits.filter(f"NOT every AND n >= {MIN_BAND}").select(F.col("lang").alias("_lang"), "low", "high")
+    own = F.broadcast(own) if small(own, 10_000) else own
+    joined = measured.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    low, high = (F.coalesce(c, F.lit(every[c] if every else None).cast("double")) for c in ("low", "high"))
+    inside = F.coalesce(F.col("entropy").between(low, high), F.lit(False))
+    return joined.withColumn("kept", ~base_failed() & inside).drop("_lang", "low", "high").withColumn("base_failed", base_failed()).withColumn("perplexity", F.round(F.exp("entropy"), 6))
+
+
+def quality_report(docs: DataFrame, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document: doc_id, base counts, base_failed, kept, perplexity."""
-    measured = materialise(measure(docs, ["doc_id"], fit_model(docs, languages), languages))
-    out = _verdict(measured, bands(measured))
-    return out.select("doc_id", *COUNTS, "base_failed", "kept", F.round("perplexity", 6).alias("perplexity"))
+    measured = materialise(measure(docs, F.struct("doc_id"), fit_model(docs, order), order, broadcast_rows))
+    return verdicts(measured).select("row.doc_id", *COUNTS, "base_failed", "kept", "perplexity")
 
 
-def keep_quality(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """The documents that the rules keep, columns as given; measured twice so that no text is stored for the bands."""
-    model = fit_model(docs, languages)
-    limits = materialise(bands(measure(docs, ["doc_id"], model, languages)))
-    out = _verdict(measure(docs, docs.columns, model, languages), limits)
-    return out.filter("kept").select(*[f"`{c}`" for c in docs.columns])
+def keep_quality(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """The documents that the rules keep, columns as given; the measured documents are stored once, for the bands."""
+    measured = materialise(measure(docs, nested(docs), fit_model(docs, order), order))
+    return verdicts(measured).filter("kept").select("row.*")
