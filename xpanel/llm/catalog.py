@@ -102,4 +102,4 @@ FROM scored QUALIFY rank <= 5"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op4_source_mixing": mixing.oracle(), "op5_chat_format": OP5_SQL, "op7_warc": OP7_SQL, "op10_exact_top_k": OP10_SQL}
+    return {"op1_license_scan": license_scan.oracle(), "op4_source_mixing": mixing.oracle(), "op5_chat_format": OP5_SQL, "op7_warc": OP7_SQL, "op8_lm_scores": lm_score.oracle(), "op10_exact_top_k": OP10_SQL}

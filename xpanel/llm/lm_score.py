@@ -1,21 +1,22 @@
-"""Stupid-backoff scores of all documents under the trigram counts of all documents, computed relationally.
+"""Stupid-backoff scores of all documents by trigrams, computed relationally.
 
-A word (as in near_dup: lower-cased runs of ASCII letters and digits and of non-ASCII characters) after two others scores
-c(trigram) / c(its first two), if unseen ALPHA * c(pair) / c(first), if that is unseen too ALPHA^2 * c(word) / N; a text's
-first word scores c(word) / N and its second c(pair) / c(first). A document's score is the mean log10 of its words' scores.
+A document does not vote for itself: documents are dealt into two halves by a hash of their id, and each half is scored by
+the counts of the other. A word scores c(trigram) / c(its first two words); where the other half has not seen the trigram ALPHA *
+c(pair) / c(first); where it has not seen the pair ALPHA^2 * u(word), u being c(word) / N or, of an unseen word, ALPHA / N. A
+text's first word scores u(word), its second begins with pairs. A document's score is the mean log10 of its words' scores.
 
-The counts are those of the scored texts, nothing pruned, so every n-gram of a document is seen and no word backs off. The
-sum over a document is then a weighted sum of log10 counts: +1 for each trigram, -1 for each pair that begins one, and for
-the first pair +1 (the count of the first word cancels). score_corpus' rows are n-grams with occurrences and weight.
+Nothing is pruned or capped. An n-gram changes the score of a document only if both halves have it, and by an amount that
+depends on the n-gram and the half alone. So the n-gram tables (counts of words, pairs and trigrams, added up in each task
+before their shuffle by hash) become one table of differences to the level below, and a document's score is a constant of its
+length plus the sum of the differences of its n-grams, which are exploded, joined with the table by hash and summed.
 
-Tables are keyed by 64-bit hashes. N-grams are first added up within a document, so one that all documents have is a row
-a document, never more; they are shuffled once by hash, and that exchange serves both the count and the join with it. They
-are dealt into PASSES by their hash, one pass after the other, each ending in a sum per document in the shared folder:
-what stands on disk at a time is a pass's share, whatever the corpus. score_corpus drops and caps nothing;
-score_documents is the older form over pairs, which treats pairs below MIN_COUNT as unseen, and no query uses it.
+A trigram that both halves have consists of pairs that both halves have. Tasks therefore leave out n-grams that cannot be in a
+table before they shuffle them, by a Bloom filter of its keys as long as that is small (FILTER_KEYS, 16 bits each; false
+positives go in the join). A larger table is used without one, in PASSES of the exploded rows.
 
-Null texts and texts without words have n_words 0 and a null score. Rows that repeat a doc_id count as one document;
-further columns are ignored; an empty table gives no rows.
+Words are as in `words`, lower-cased; they and n-grams are 64-bit hashes. Null texts and texts without words have n_words 0 and
+a null score. Rows that repeat a doc_id (null too) are texts of one document; further columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -25,146 +26,233 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xpanel.llm.common import materialise, mix64, release_shuffles, shuffles_released, text_slices
-from xpanel.llm.near_dup import word_hashes
+from xpanel.llm.common import materialise, mix64, shuffles_released, text_slices, worker_cache
+from xpanel.llm.words import WORD_SQL, word_chunks
 
-ALPHA, MIN_COUNT, PASSES = 0.4, 2, 4
-CORPUS_PASSES = 4
+ALPHA, PASSES, FILTER_KEYS, SEGMENTS = 0.4, 4, 16_000_000, 64
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in text_slices(batch, limit=2_000_000):
-            words, counts = np.unique(word_hashes([t or "" for t in b.column("text").to_pylist()])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+def half(doc_id: Column) -> Column:
+    """0 or 1 by an MD5 of the id (null: empty)."""
+    return (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long") % 2).cast("int")
 
 
-def word_counts(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """word, c: each task adds up its own words before the shuffle; of the wanted words alone if given."""
-    words = docs.select("text").mapInArrow(_words, "word long, n long")
-    words = words if wanted is None else words.join(wanted, "word", "left_semi")
-    return words.groupBy("word").agg(F.sum("n").alias("c"))
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(a * _A + b)
 
 
-def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in text_slices(batch, limit=2_000_000):
-            words, offsets = word_hashes([t or "" for t in b.column("text").to_pylist()])
-            n = np.diff(offsets)
-            first = np.concatenate([words, np.zeros(1, np.uint64)])[offsets[:-1]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(first, mask=n == 0), pa.array(n)], ["doc_id", "word", "n_words"])
+def trigram_keys(ab: np.ndarray, bc: np.ndarray) -> np.ndarray:
+    return mix64(ab * _B + bc)
+
+
+# --- filters ----------------------------------------------------------------------------------------------------------
+
+
+class Filter:
+    """A Bloom filter in SEGMENTS parts by the keys' high bits."""
+
+    def __init__(self, segments: np.ndarray):
+        self.segments = segments  # [segment, byte]
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), bool)
+        for place in _places(keys, self.segments.shape[1] * 8):
+            found &= (self.segments[keys >> np.uint64(58), place >> 3] >> (place & 7)).astype(bool) & True
+        return found
+
+
+def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for shift in (0, 29):
+        yield ((keys >> np.uint64(shift)) % np.uint64(bits)).astype(np.int64)
+
+
+def _segment(bits: int):
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
+
+        for b in batches:
+            keys, numbers = b.column("key").to_numpy().view(np.uint64), b.column("segment").to_numpy()
+            for k in np.unique(numbers):
+                if k != now:
+                    if now is not None:
+                        yield out()
+                    now, held = int(k), np.zeros(bits, bool)
+                for place in _places(keys[numbers == k], bits):
+                    held[place] = True
+        if now is not None:
+            yield out()
+
+    return segment
+
+
+def key_filter(table: DataFrame, key: str = "key", limit: int = FILTER_KEYS):
+    """A broadcast Filter of the keys, or None if there are more than `limit`."""
+    n = table.count()
+    if n > limit:
+        return None
+    bits = 1 << max(10, math.ceil(math.log2(max(n, 1) * 16 / SEGMENTS)))
+    rows = table.select(F.col(key).alias("key"), F.shiftrightunsigned(key, 58).cast("int").alias("segment")).repartition("segment").sortWithinPartitions("segment")
+    segments = np.zeros((SEGMENTS, bits // 8), np.uint8)
+    for r in rows.mapInArrow(_segment(bits), "segment int, bits binary").toLocalIterator():
+        segments[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.sparkSession.sparkContext.broadcast(Filter(segments))
+
+
+# --- counts -----------------------------------------------------------------------------------------------------------
+
+
+def _grams(words: np.ndarray, docs: np.ndarray, new: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For words, pairs and trigrams: keys, the two parts (of a word: itself), and the text of each that ends in a new word."""
+    yield words[new:], words[new:], words[new:], docs[new:]
+    pairs = pair_keys(words[:-1], words[1:])
+    at = np.flatnonzero(docs[1:] == docs[:-1]) + 1
+    at = at[at >= new]
+    yield pairs[at - 1], words[at - 1], words[at], docs[at]
+    at = np.flatnonzero(docs[2:] == docs[:-2]) + 2
+    at = at[at >= new]
+    ab, bc = pairs[at - 2], pairs[at - 1]
+    yield trigram_keys(ab, bc), ab, bc, docs[at]
 
 
-def _pairs(passes: int, which: int):
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(level: int, possible):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("lm", dict)
         for batch in batches:
-            for b in text_slices(batch, limit=2_000_000):
-                words, offsets = word_hashes([t or "" for t in b.column("text").to_pylist()])
-                doc = np.repeat(np.arange(b.num_rows), np.diff(offsets))
-                inside = np.flatnonzero(doc[1:] == doc[:-1])
-                pair = mix64(words[inside] * np.uint64(0x9E3779B97F4A7C15) + words[inside + 1])
-                mine = pair % np.uint64(passes) == which
-                at, pair = inside[mine], pair[mine]
-                order = np.lexsort((pair, doc[at]))
-                at, pair = at[order], pair[order]
-                new = np.ones(len(at), bool)
-                new[1:] = (pair[1:] != pair[:-1]) | (doc[at[1:]] != doc[at[:-1]])
-                starts = np.flatnonzero(new)
-                n = np.diff(np.concatenate([starts, [len(at)]])).astype(np.int32)
-                at = at[starts]
-                columns = [b.column("doc_id").take(pa.array(doc[at])), pa.array(pair[starts].view(np.int64)), pa.array(words[at].view(np.int64)), pa.array(words[at + 1].view(np.int64)), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pair", "first", "word", "n"])
-
-    return pairs
-
-
-def pair_scores(docs: DataFrame, words: DataFrame, total: float, passes: int, which: int) -> DataFrame:
-    """doc_id, score: the summed log10 scores of one pass's pairs.
-
-    The count of a pair meets its rows on their exchange by hash (a window over the hash is that join without a second
-    copy of the rows). Then a row needs one word's count: the first's if the pair is in the table, else the second's.
-    """
-    exploded = docs.mapInArrow(_pairs(passes, which), "doc_id long, pair long, first long, word long, n int")
-    counted = exploded.withColumn("both", F.sum("n").over(Window.partitionBy("pair")))
-    known = F.col("both") >= MIN_COUNT
-    need = counted.select("doc_id", F.when(known, F.col("first")).otherwise(F.col("word")).alias("word"), F.when(known, -F.col("n")).otherwise(F.col("n")).alias("n"), F.when(known, F.log10("both")).otherwise(math.log10(ALPHA / total)).alias("part"))
-    scored = need.join(words, "word").select("doc_id", (F.abs("n") * F.col("part") + F.col("n") * F.log10("c")).alias("score"))
-    return scored.groupBy("doc_id").agg(F.sum("score").alias("score"))
-
-
-def score_documents(docs: DataFrame, passes: int = PASSES) -> DataFrame:
-    """doc_id, n_words, score: the mean log10 stupid-backoff score of a document's words."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    words = materialise(word_counts(docs))
-    total = float(words.agg(F.sum("c")).first()[0] or 1)
-    firsts = materialise(docs.mapInArrow(_firsts, "doc_id long, word long, n_words long"))
-    starts = firsts.join(words, "word").select("doc_id", F.log10(F.col("c") / F.lit(total)).alias("score"))
-    sums = starts
-    for i in range(passes):
-        sums = sums.unionByName(materialise(pair_scores(docs, words, total, passes, i)))
-        release_shuffles(docs.sparkSession)
-    scored = sums.groupBy("doc_id").agg(F.sum("score").alias("score"))
-    sizes = firsts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
-    out = sizes.join(scored, sizes["doc_id"].eqNullSafe(scored["doc_id"]), "left")
-    return out.select(sizes["doc_id"], "n_words", F.round(F.try_divide(F.col("score"), F.col("n_words")), 6).alias("score"))
-
-
-def _weighted_grams(passes: int, which: int):
-    """doc_id, gram, n, weight: a document's trigrams and pairs of one pass, with occurrences and the weight of their log count."""
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in text_slices(batch):
+                halves = b.column("half").to_numpy()
+                for words, docs, new in word_chunks(b.column("text").to_pylist(), level - 1):
+                    keys, x, y, owners = list(_grams(words, docs, new))[level - 1]
+                    if possible is not None:
+                        keep = possible.value(x) & possible.value(y)
+                        keys, x, y, owners = keys[keep], x[keep], y[keep], owners[keep]
+                    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+                    side = halves[owners]
+                    both = np.bincount(at, minlength=len(first))
+                    ones = np.bincount(at, side, len(first)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(y[first].view(np.int64)), pa.array(both - ones), pa.array(ones)], ["x", "y", "c0", "c1"])
+
+    return count
+
+
+def _keyed(level: int):
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(c).to_numpy().view(np.uint64) for c in "xy")
+            key = x if level == 1 else pair_keys(x, y) if level == 2 else trigram_keys(x, y)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(b.column(c) for c in ("x", "y", "c0", "c1"))], ["key", "x", "y", "c0", "c1"])
+
+    return keyed
+
+
+def count_table(docs: DataFrame, level: int, possible=None) -> DataFrame:
+    """key, x, y, c0, c1: the n-grams of `level` words that both halves have, with their counts in each; tasks add up their own first."""
+    partial = docs.select("text", "half").mapInArrow(_count(level, possible), "x long, y long, c0 long, c1 long")
+    both = partial.groupBy("x", "y").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter("c0 > 0 AND c1 > 0")
+    return both.mapInArrow(_keyed(level), "key long, x long, y long, c0 long, c1 long")
+
+
+# --- scores -----------------------------------------------------------------------------------------------------------
+
+
+def _explode(possible, passes: int, which: int):
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in text_slices(batch, limit=2_000_000):
-                words, offsets = word_hashes([t or "" for t in b.column("text").to_pylist()])
-                doc = np.repeat(np.arange(b.num_rows), np.diff(offsets))
-                pair_at = np.flatnonzero(doc[1:] == doc[:-1])
-                pair = mix64(words[pair_at] * np.uint64(0x9E3779B97F4A7C15) + words[pair_at + 1])
-                begins = np.zeros(len(pair_at), bool)
-                begins[:-1] = doc[pair_at[1:]] == doc[pair_at[:-1]]  # the next pair of the document: a trigram begins here
-                three = np.flatnonzero(begins)
-                tri = mix64(pair[three] * np.uint64(0xD6E8FEB86659FD93) + words[pair_at[three] + 2])
-                weight = (pair_at == offsets[doc[pair_at]]).astype(np.int32) - begins
-                gram, owner = np.concatenate([pair, tri]), np.concatenate([doc[pair_at], doc[pair_at[three]]])
-                weight = np.concatenate([weight, np.ones(len(tri), np.int32)])
-                mine = gram % np.uint64(passes) == which
-                gram, owner, weight = gram[mine], owner[mine], weight[mine]
-                order = np.lexsort((gram, owner))
-                gram, owner, weight = gram[order], owner[order], weight[order]
-                new = np.ones(len(gram), bool)
-                new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-                starts = np.flatnonzero(new)
-                n = np.diff(np.concatenate([starts, [len(gram)]])).astype(np.int32)
-                weights = np.add.reduceat(weight, starts).astype(np.int32) if len(starts) else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner[starts])), pa.array(gram[starts].view(np.int64)), pa.array(n), pa.array(weights)], ["doc_id", "gram", "n", "weight"])
-
-    return grams
-
-
-def gram_scores(docs: DataFrame, passes: int, which: int) -> DataFrame:
-    """doc_id, score: the weighted sum of log10 counts of one pass's n-grams; the window is the count's join with its rows."""
-    exploded = docs.mapInArrow(_weighted_grams(passes, which), "doc_id long, gram long, n int, weight int")
-    counted = exploded.withColumn("c", F.sum("n").over(Window.partitionBy("gram"))).filter("weight != 0")
-    return counted.groupBy("doc_id").agg(F.sum(F.col("weight") * F.log10("c")).alias("score"))
-
-
-def score_corpus(docs: DataFrame, passes: int = CORPUS_PASSES) -> DataFrame:
-    """doc_id, n_words, score: the mean log10 stupid-backoff score of a document's words, by trigrams, every count used."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    firsts = materialise(docs.mapInArrow(_firsts, "doc_id long, word long, n_words long"))
-    total = float(firsts.agg(F.sum("n_words")).first()[0] or 1)
-    # a text of two words or more: the first word's count cancels against that of its first pair's first word
-    single = firsts.filter("n_words = 1").select("doc_id", "word")
+            for b in text_slices(batch):
+                ids, halves = b.column("doc_id"), b.column("half")
+                for words, docs, new in word_chunks(b.column("text").to_pylist(), 2):
+                    parts = [(k, o) for k, _, _, o in _grams(words, docs, new)]
+                    keys, owners = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                    keep = keys % np.uint64(passes) == which if passes > 1 else np.ones(len(keys), bool)
+                    if possible is not None:
+                        keep &= possible.value(keys)
+                    keys, owners = keys[keep], owners[keep]
+                    _, first, n = np.unique(mix64(keys + owners.astype(np.uint64) * _C), return_index=True, return_counts=True)
+                    owner = pa.array(owners[first])
+                    yield pa.RecordBatch.from_arrays([ids.take(owner), halves.take(owner), pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int32))], ["doc_id", "half", "key", "n"])
+
+    return explode
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in text_slices(batch):
+            n = np.zeros(b.num_rows, np.int64)
+            for _, docs, _ in word_chunks(b.column("text").to_pylist(), 0):
+                n += np.bincount(docs, minlength=b.num_rows)
+            backed = np.maximum(n - 1, 0) + np.maximum(n - 2, 0)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("half"), pa.array(n), pa.array(backed)], ["doc_id", "half", "n_words", "backed"])
+
+
+def differences(docs: DataFrame, totals: list[float], filter_keys: int = FILTER_KEYS) -> DataFrame:
+    """key, d0, d1: what an n-gram adds to log10 scores under the counts of half 0 and of half 1, against the level below."""
+    log = lambda c: F.log10(c)
+    a = math.log10(ALPHA)
+    words = materialise(count_table(docs, 1).select("key", *[log(f"c{g}").alias(f"l{g}") for g in (0, 1)]))
+    pairs = materialise(count_table(docs, 2))
+    first, second = (words.toDF(k, f"{k}0", f"{k}1") for k in ("f", "s"))
+    joined = pairs.join(first, F.col("x") == F.col("f")).join(second, F.col("y") == F.col("s"))
+    pairs = materialise(
+        joined.select(
+            "key", *[log(f"c{g}").alias(f"l{g}") for g in (0, 1)], *[(log(f"c{g}") - F.col(f"f{g}")).alias(f"q{g}") for g in (0, 1)],
+            *[(log(f"c{g}") - F.col(f"f{g}") - a - F.col(f"s{g}") + math.log10(totals[g])).alias(f"d{g}") for g in (0, 1)],
+        )
+    )
+    three = count_table(docs, 3, key_filter(pairs, limit=filter_keys))
+    context, below = pairs.select(F.col("key").alias("k1"), "l0", "l1"), pairs.select(F.col("key").alias("k2"), "q0", "q1")
+    three = three.join(context, F.col("x") == F.col("k1")).join(below, F.col("y") == F.col("k2"))
+    three = three.select("key", *[(log(f"c{g}") - F.col(f"l{g}") - a - F.col(f"q{g}")).alias(f"d{g}") for g in (0, 1)])
+    return materialise(words.select("key", (F.col("l0") - a).alias("d0"), (F.col("l1") - a).alias("d1")).unionByName(pairs.select("key", "d0", "d1")).unionByName(three))
+
+
+def score_corpus(docs: DataFrame, filter_keys: int = FILTER_KEYS, passes: int = PASSES) -> DataFrame:
+    """doc_id, n_words, score: the mean log10 stupid-backoff score of a document's words under the other half's counts."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", half(F.col("doc_id")).alias("half"))
+    lengths = materialise(docs.mapInArrow(_lengths, "doc_id long, half int, n_words long, backed long"))
+    counted = {r["half"]: r["n"] for r in lengths.groupBy("half").agg(F.sum("n_words").alias("n")).collect()}  # two rows
+    totals = [float(max(counted.get(g, 0), 1)) for g in (0, 1)]
+    a = math.log10(ALPHA)
     with shuffles_released(docs.sparkSession):
-        counts = materialise(word_counts(docs, single.select("word").distinct()))
-        sums = single.join(counts, "word").select("doc_id", F.log10("c").alias("score"))
-        for i in range(passes):
-            sums = sums.unionByName(materialise(gram_scores(docs, passes, i)))
-            release_shuffles(docs.sparkSession)
-    sums = sums.unionByName(firsts.filter("n_words > 0").select("doc_id", F.lit(-math.log10(total)).alias("score")))
-    scored = sums.groupBy("doc_id").agg(F.sum("score").alias("score"))
-    sizes = firsts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
-    out = sizes.join(scored, sizes["doc_id"].eqNullSafe(scored["doc_id"]), "left")
-    return out.select(sizes["doc_id"], "n_words", F.round(F.try_divide(F.col("score"), F.col("n_words")), 6).alias("score"))
+        table = differences(docs, totals, filter_keys)
+        possible = key_filter(table, limit=filter_keys)
+        sums, rounds = None, passes if possible is None else 1
+        for i in range(rounds):
+            rows = docs.mapInArrow(_explode(possible, rounds, i), "doc_id long, half int, key long, n int")
+            other = F.when(F.col("half") == 0, F.col("d1")).otherwise(F.col("d0"))
+            part = materialise(rows.join(table, "key").groupBy("doc_id").agg(F.sum(F.col("n") * other).alias("score")))
+            sums = part if sums is None else sums.unionByName(part)
+    other = F.when(F.col("half") == 0, math.log10(totals[1])).otherwise(math.log10(totals[0]))
+    constant = lengths.select("doc_id", (F.col("n_words") * (F.lit(a) - other) + F.col("backed") * a).alias("score"), "n_words")
+    every = sums.select("doc_id", "score", F.lit(0).cast("long").alias("n_words")).unionByName(constant)
+    out = every.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
+    return out.select("doc_id", "n_words", F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6).alias("score"))
+
+
+def oracle() -> str:
+    """score_corpus in SQL: every word with its counts in the other half."""
+    return f"""
+    WITH d AS (
+      SELECT row_number() OVER () AS rid, doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT % 2 AS INTEGER) AS half,
+             regexp_extract_all(lower(coalesce(text, '')), '{WORD_SQL}') AS ws FROM documents),
+    t AS (SELECT rid, doc_id, half, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+    n AS (SELECT h.half, greatest(count(t.w), 1)::DOUBLE AS n FROM (VALUES (0), (1)) h(half) LEFT JOIN t ON t.half = 1 - h.half GROUP BY h.half),
+    c1 AS (SELECT 1 - half AS half, w, count(*) AS c FROM t GROUP BY ALL),
+    c2 AS (SELECT 1 - half AS half, v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY ALL),
+    c3 AS (SELECT 1 - half AS half, u, v, w, count(*) AS c FROM t WHERE u IS NOT NULL GROUP BY ALL),
+    s AS (
+      SELECT t.doc_id, log10(CASE
+        WHEN c3.c IS NOT NULL THEN c3.c / ctx.c
+        WHEN t.u IS NOT NULL THEN CASE WHEN c2.c IS NOT NULL THEN {ALPHA} * c2.c / mid.c ELSE {ALPHA} * {ALPHA} * coalesce(c1.c, {ALPHA}) / n.n END
+        WHEN t.v IS NOT NULL THEN CASE WHEN c2.c IS NOT NULL THEN c2.c / mid.c ELSE {ALPHA} * coalesce(c1.c, {ALPHA}) / n.n END
+        ELSE coalesce(c1.c, {ALPHA}) / n.n END) AS score
+      FROM t JOIN n USING (half) LEFT JOIN c1 ON c1.half = t.half AND c1.w = t.w LEFT JOIN c1 mid ON mid.half = t.half AND mid.w = t.v
+      LEFT JOIN c2 ON c2.half = t.half AND c2.v = t.v AND c2.w = t.w LEFT JOIN c2 ctx ON ctx.half = t.half AND ctx.v = t.u AND ctx.w = t.v
+      LEFT JOIN c3 ON c3.half = t.half AND c3.u = t.u AND c3.v = t.v AND c3.w = t.w),
+    g AS (SELECT doc_id, sum(score) AS total FROM s GROUP BY doc_id), sizes AS (SELECT doc_id, CAST(sum(len(ws)) AS BIGINT) AS n_words FROM d GROUP BY doc_id)
+    SELECT sizes.doc_id, n_words, round(total / nullif(n_words, 0), 6) AS score FROM sizes LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM sizes.doc_id"""

@@ -33,30 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xpanel.llm.common import materialise, mix64, text_slices
+from xpanel.llm.words import word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 20, 4, 256
 K = BANDS * ROWS
 SKETCH = "doc_id long, text_key long, set_key long, n_shingles int, bands array<long>, shingles binary"
-_WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 _CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of all texts and the n + 1 offsets between texts."""
-    encoded = [t.lower().encode() for t in texts]
-    data = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
-    lengths = np.array([len(e) + 1 for e in encoded], np.int64)
-    inside = _WORD[data]
-    first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-    if not len(first):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    place = np.arange(len(data)) - first[np.maximum(np.searchsorted(first, np.arange(len(data)), "right") - 1, 0)]
-    values = np.where(inside, mix64(data.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)), np.uint64(0))
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    return mix64(np.add.reduceat(values, first)), np.searchsorted(first, ends)
-
-
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text the sorted distinct shingle hashes, their counts, and the n + 1 offsets between texts."""
     words, offsets = word_hashes(texts)
@@ -136,7 +121,7 @@ def _sketch(weighted: bool):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in text_slices(batch, limit=1_000_000):
-                sets, counts, offsets = shingle_sets([t or "" for t in b.column("text").to_pylist()])
+                sets, counts, offsets = shingle_sets(b.column("text").to_pylist())
                 sizes, n = np.diff(offsets), b.num_rows
                 weights = counts if weighted else np.ones(len(sets), np.int64)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(sets * _B + weights.astype(np.uint64)))])
