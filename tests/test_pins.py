@@ -88,6 +88,23 @@ def test_months_stay_clamped_and_windows_do_not_leak():
     assert all(x[2] < x[3] and x[4] == x[5] for x in w)
 
 
+#: The last train date's bound and the test ranges of the published report's 19 monthly windows, from 2023-09-27.
+PUBLISHED_TRAIN_ENDS = [dt.date(2024 + (8 + i) // 12, (8 + i) % 12 + 1, 17) for i in range(19)]
+PUBLISHED_TESTS = [(dt.date(2024 + (9 + i) // 12, (9 + i) % 12 + 1, 27), dt.date(2024 + (10 + i) // 12, (10 + i) % 12 + 1, 27)) for i in range(19)]
+
+
+def test_windows_are_the_published_ones():
+    w = walkforward.window_bounds(dt.date(2023, 9, 27), dt.date(2026, 6, 20))
+    assert w[0][1:] == (dt.date(2023, 9, 27), dt.date(2024, 9, 17), dt.date(2024, 10, 2), dt.date(2024, 10, 27), dt.date(2024, 10, 27), dt.date(2024, 11, 27))
+    assert [x[2] for x in w] == PUBLISHED_TRAIN_ENDS and [(x[5], x[6]) for x in w] == PUBLISHED_TESTS
+    assert w[-1][2] == dt.date(2026, 3, 17) and w[-1][5:] == (dt.date(2026, 4, 27), dt.date(2026, 5, 27))
+
+
+def test_excess_weight_is_handed_on_in_equal_parts():
+    assert walkforward.capped({"a": 0.7, "b": 0.2, "c": 0.08, "d": 0.02}) == pytest.approx({"a": 0.4, "b": 0.3, "c": 0.18, "d": 0.12})
+    assert walkforward.capped({"a": 0.7, "b": 0.3}) == pytest.approx({"a": 0.5, "b": 0.5})
+
+
 def test_cap(spark):
     assert walkforward.capped({"a": 5.0}) == {"a": 1.0}
     assert walkforward.capped({"a": 5.0, "b": 5.0}) == {"a": 0.5, "b": 0.5}

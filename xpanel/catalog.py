@@ -359,7 +359,7 @@ w0 AS (
     UNION ALL SELECT win + 1, CAST(train_start + INTERVAL 6 MONTH AS DATE), last FROM w WHERE win < 60)
   SELECT * FROM w),
 w1 AS (SELECT *, CAST(train_start + INTERVAL 24 MONTH AS DATE) AS te FROM w0),
-w2 AS (SELECT *, te - 10 AS train_end, te + 5 AS val_start, CAST((te + 5) + INTERVAL 3 MONTH AS DATE) AS val_end FROM w1),
+w2 AS (SELECT *, te - 10 AS train_end, te + 5 AS val_start, CAST(te + INTERVAL 3 MONTH AS DATE) AS val_end FROM w1),
 wins AS (SELECT win, train_start, train_end, val_start, val_end, val_end AS test_start, CAST(val_end + INTERVAL 3 MONTH AS DATE) AS test_end FROM w2 WHERE CAST(val_end + INTERVAL 3 MONTH AS DATE) <= last),
 tagged AS (
   SELECT s.*, win, 'train' AS role FROM scored s JOIN wins ON date >= train_start AND date < train_end

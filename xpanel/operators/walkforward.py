@@ -24,12 +24,15 @@ def add_months(day: date, n: int) -> date:
 
 
 def window_bounds(first: date, last: date, train: int = 12, val: int = 1, test: int = 1, step: int = 1, purge: int = 10, embargo: int = 5) -> list[tuple]:
-    """Half-open date ranges of each window; steps add up, so a clamped day of month stays clamped. Purge and embargo are calendar days."""
+    """Half-open date ranges of each window; steps add up, so a clamped day of month stays clamped.
+
+    Purge and embargo are calendar days; they shorten training and validation, and do not move what follows.
+    """
     out, start = [], first
     while True:
         train_end = add_months(start, train)
         val_start = train_end + timedelta(days=embargo)
-        val_end = add_months(val_start, val)
+        val_end = add_months(train_end, val)
         test_end = add_months(val_end, test)
         if test_end > last:
             return out
@@ -89,9 +92,9 @@ def feature_frequency(selected: DataFrame, top: int = 30) -> DataFrame:
 
 
 def capped(weights: dict[str, float], cap: float = 0.40) -> dict[str, float]:
-    """Weights summing to 1 with none over the cap where that can be: up to five rounds hand the excess to the others in proportion.
+    """Weights summing to 1, none over the cap where that can be: up to five rounds hand the excess in equal parts to those below it, which stop at it.
 
-    One model keeps 1; two models over the cap end at a half each.
+    One model keeps 1; what no model may take is shared by the last scaling, so two models end at a half each.
     """
     total = sum(weights.values())
     w = {k: v / total for k, v in weights.items()} if total else dict(weights)
@@ -102,8 +105,7 @@ def capped(weights: dict[str, float], cap: float = 0.40) -> dict[str, float]:
         below = {k: v for k, v in w.items() if v < cap}
         if excess < 1e-6 or not below:
             break
-        room = sum(below.values())
-        w = {k: cap if v >= cap else v + excess * (v / room if room else 1 / len(below)) for k, v in w.items()}
+        w = {k: min(v + excess / len(below), cap) if k in below else cap for k, v in w.items()}
     total = sum(w.values())
     return {k: v / total for k, v in w.items()} if total else w
 
