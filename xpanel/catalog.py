@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from xpanel import oracle
 from xpanel.functions.exprs import change, rounded
+from xpanel.functions.rolling import Rolling
 from xpanel.operators import factors, models, panel, portfolio, stats, walkforward, xsection
 from xpanel.plans import jobs
 from xpanel.sources import adapter, tables
@@ -53,8 +54,7 @@ def s1_bars(spark, sf_dir):
 
 def _family(family: str) -> Query:
     def run(spark, sf_dir):
-        names = [n for w in factors.WIDTHS for n in factors.PRICE_FAMILIES[family](w)]
-        return _only(factors.price_family(_returns(spark, sf_dir), family), names)
+        return _only(factors.price_family(_returns(spark, sf_dir), family), factors.price_names(family))
 
     run.__name__ = f"f_{family}"
     return run
@@ -70,8 +70,8 @@ def f_weighted_spread(spark, sf_dir):
 
 
 def _aligned(spark, sf_dir):
-    rows = _returns(spark, sf_dir)
-    return factors.align_bench(rows, adapter.bench(spark, sf_dir, adapter.bars(spark, sf_dir)))
+    bars = _kept(adapter.bars(spark, sf_dir))
+    return factors.align_bench(factors.with_returns(bars), adapter.bench(spark, sf_dir, bars))
 
 
 @query(oracle.aligned())
@@ -84,32 +84,31 @@ def _log_scaled(columns: dict) -> dict:
     return {(f"LN_{k}" if k.startswith("RS_") else k): (F.sign(x) * F.log1p(F.abs(x)) if k.startswith("RS_") else x) for k, x in columns.items()}
 
 
-def _extra(name: str, sql: str, make: Callable[[], dict], source: Callable = _returns) -> None:
+def _extra(name: str, sql: str, make: Callable[[Rolling], dict], source: Callable = _returns) -> None:
     def run(spark, sf_dir):
-        columns = make()
-        return _only(source(spark, sf_dir).withColumns(columns), columns)
+        return _only(factors.with_factors(source(spark, sf_dir), make), make(Rolling()))
 
     run.__name__ = name
     query(sql)(run)
 
 
-_extra("f_market_relative", oracle.market_relative(), lambda: _log_scaled(factors.market_relative()), _aligned)
-_extra("f_etf_relative", oracle.etf_relative(), lambda: _log_scaled(factors.etf_relative()), _aligned)
+_extra("f_market_relative", oracle.market_relative(), lambda r: _log_scaled(factors.market_relative(r)), _aligned)
+_extra("f_etf_relative", oracle.etf_relative(), lambda r: _log_scaled(factors.etf_relative(r)), _aligned)
 _extra("f_lead_signals", oracle.lead_signals(), factors.lead_signals, _aligned)
 _extra("f_higher_moments", oracle.higher_moments(), factors.higher_moments)
 _extra("f_volatility", oracle.volatility(), factors.volatility)
 _extra("f_relative_volume", oracle.relative_volume(), factors.relative_volume)
-_extra("f_gaps_intraday", oracle.gaps(), lambda: factors.gaps() | factors.intraday())
+_extra("f_gaps_intraday", oracle.gaps(), lambda r: factors.gaps(r) | factors.intraday(r))
 
 
 @query(oracle.flow())
 def f_flow(spark, sf_dir):
-    return _only(factors.flow(_returns(spark, sf_dir)), ["MFI_14", "OBV_RATIO_20", "AMIHUD_20"])
+    return _only(factors.flow(_returns(spark, sf_dir)), factors.FLOW)
 
 
 @query(oracle.event_proxies())
 def f_event_proxies(spark, sf_dir):
-    return _only(factors.event_proxies(_returns(spark, sf_dir)), ["ABNORMAL_VOLUME", "ABNORMAL_RETURN", "VOLUME_PRICE_CORR", "GAP_RATIO", "INTRADAY_REVERSAL"])
+    return _only(factors.event_proxies(_returns(spark, sf_dir)), factors.EVENTS)
 
 
 def _macro(spark, sf_dir):
@@ -205,11 +204,10 @@ def p11_last_month_split(spark, sf_dir):
     SELECT symbol, date, round(value + 1e-9, 6) + 0.0 AS value FROM m"""
 )
 def j2_asof_union(spark, sf_dir):
-    """The as-of join for right sides of any size: stacked and carried forward within the symbol."""
+    """The as-of join for right sides of any length: stacked and carried forward over the calendar."""
     rows = adapter.bars(spark, sf_dir).select("symbol", "date")
     vix = tables.clean_macro(adapter.macro(spark, sf_dir)).filter("series_id = 'VIXCLS'")
-    right = vix.join(rows.select("symbol").distinct()).select("symbol", "date", "value")
-    return rounded(factors.asof_join(rows, right, "symbol", ["value"]))
+    return rounded(factors.asof_join(rows, vix.select("date", "value"), None, ["value"]))
 
 
 # --- cross-section ----------------------------------------------------------------------------------------------------
@@ -388,9 +386,13 @@ def j6_window_rows(spark, sf_dir):
 
 def _features(spark, sf_dir):
     rows = factors.forward_labels(_returns(spark, sf_dir), (5,))
-    made = {k: v for family, w in (("momentum", 5), ("momentum", 20), ("dispersion", 20), ("price_place", 20), ("up_down_counts", 20)) for k, v in factors.PRICE_FAMILIES[family](w).items()}
-    made |= factors.relative_volume()
-    return rows.withColumns({k: made[k] for k in IC_FEATURES}).select("symbol", "date", "future_return_5d", *IC_FEATURES)
+    parts = (("momentum", 5), ("momentum", 20), ("dispersion", 20), ("price_place", 20), ("up_down_counts", 20))
+
+    def make(r):
+        made = {k: v for family, w in parts for k, v in factors.PRICE_FAMILIES[family](r, w).items()} | factors.relative_volume(r)
+        return {k: made[k] for k in IC_FEATURES}
+
+    return factors.with_factors(rows, make).select("symbol", "date", "future_return_5d", *IC_FEATURES)
 
 
 def _train(spark, sf_dir):
@@ -601,13 +603,23 @@ def a9_distinct_counts(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder: in the shared one where the cluster names it, else local (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder in the shared one; where that is unset a local one, if driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base}/{uuid.uuid4().hex}"
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df written once and read again: several plans use it."""
+    path = _scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _panel(spark, sf_dir, **options):
-    prices = adapter.bars(spark, sf_dir)
+    prices = _kept(adapter.bars(spark, sf_dir))
     return panel.build_panel(prices, adapter.bench(spark, sf_dir, prices), tables.clean_macro(adapter.macro(spark, sf_dir)), **options)
 
 
@@ -619,10 +631,14 @@ def s5_panel(spark, sf_dir):
     return spark.read.schema(built.schema).parquet(path)
 
 
-@query()
+@query(oracle.core_panel(panel.CORE))
 def p8_core_projection(spark, sf_dir):
-    """Core factors over price inputs alone: absent blocks do not remove rows."""
-    return panel.project(panel.build_panel(adapter.bars(spark, sf_dir)))
+    """Core factors over price inputs alone: absent blocks do not remove rows, and factors not asked for are not made."""
+    return rounded(panel.project(panel.build_panel(adapter.bars(spark, sf_dir), only=panel.CORE)))
+
+
+TREES = 20  #: boosting rounds of the queries' models; the operators' default is 100
+TILES = dict(train=12, val=3, test=3, step=3)  #: test ranges tile the history
 
 
 def _model_rows(spark, sf_dir):
@@ -631,7 +647,7 @@ def _model_rows(spark, sf_dir):
 
 @query()
 def m5_residual_weights(spark, sf_dir):
-    return models.residual_weights(_model_rows(spark, sf_dir), IC_FEATURES, "future_return_5d", 2, 0.5, 3).select("symbol", "date", F.round("weight", 6).alias("weight"))
+    return models.residual_weights(_kept(_model_rows(spark, sf_dir)), IC_FEATURES, "future_return_5d", 3, 0.5, TREES).select("symbol", "date", F.round("weight", 6).alias("weight"))
 
 
 _DECAY = f"{_S}, z AS (SELECT symbol, date, abs(future_return_5d) AS r FROM scored), e AS (SELECT min(r) AS lo, max(r) AS hi FROM z), w AS (SELECT symbol, date, exp(-0.5 * (r - lo) / (hi - lo)) AS w FROM z, e)"
@@ -651,30 +667,57 @@ def p10_rescaled(spark, sf_dir):
 
 @query()
 def m6_walk_forward(spark, sf_dir):
-    """The walk-forward job over the whole history, its own windows (test ranges abut) with small models; returns its significance row (scores and report are written)."""
-    return rounded(jobs.walk_forward(spark, _model_rows(spark, sf_dir), IC_FEATURES, _scratch(spark), trees=3, min_ic=0.0, min_names=5, k=2))
+    """The walk-forward job over the whole history, its test ranges one after the other; returns its summary (scores and reports are written)."""
+    return rounded(jobs.walk_forward(spark, _model_rows(spark, sf_dir), IC_FEATURES, _scratch(spark), trees=TREES, min_ic=0.0, k=K, steps=TILES))
 
 
 @query()
 def m10_tail_score(spark, sf_dir):
-    rows = walkforward.last_month(_model_rows(spark, sf_dir))
-    return rounded(models.tail_score(rows.filter(~F.col("holdout")), rows.filter("holdout"), IC_FEATURES, "future_return_5d", 5))
+    """The tail model against the walk-forward scores of the momentum factor alone, over the dates that both have."""
+    rows = _kept(_model_rows(spark, sf_dir))
+    tail = jobs.tail_walk_forward(spark, rows, IC_FEATURES, _scratch(spark), "future_return_5d", TREES, 0.0, steps=TILES)
+    base = rows.select("date", "symbol", F.col("ROC_5").alias("score"), "future_return_5d")
+    return rounded(jobs.compare_scores({"tail": tail, "momentum": base}, "future_return_5d", 5, (1, K), K))
 
 
 @query()
 def m11_feature_importance(spark, sf_dir):
-    rows = walkforward.last_month(_model_rows(spark, sf_dir))
-    fitted = {"5d": models.fit_horizon(rows.filter(~F.col("holdout")), rows.filter("holdout"), IC_FEATURES, "future_return_5d", 3)}
+    rows = walkforward.last_month(_kept(_model_rows(spark, sf_dir)))
+    fitted = {"5d": models.fit_horizon(rows.filter(~F.col("holdout")), rows.filter("holdout"), IC_FEATURES, "future_return_5d", TREES)}
     return rounded(models.feature_importance(spark, fitted, IC_FEATURES))
 
 
 @query()
 def m12_final_model(spark, sf_dir):
-    out = models.final_model(spark, _model_rows(spark, sf_dir), IC_FEATURES, _scratch(spark), trees=3, min_ic=0.0)
+    out = models.final_model(spark, _kept(_model_rows(spark, sf_dir)), IC_FEATURES, _scratch(spark), trees=TREES, min_ic=0.0)
+    return rounded(out.drop("version"))
+
+
+@query()
+def m12_ranking_model(spark, sf_dir):
+    """The final model as a ranking: grades as target, residual weights on the rows."""
+    out = models.final_model(spark, _kept(_model_rows(spark, sf_dir)), IC_FEATURES, _scratch(spark), trees=TREES, min_ic=0.0, task="ranking")
     return rounded(out.drop("version"))
 
 
+@query(
+    f"""{_PLAN}{oracle.BENCH}, spy AS (SELECT date, (lead(close) OVER (ORDER BY date) / close - 1) * 100 AS bench_ret FROM bench WHERE ticker = 'SPY'),
+    both_ AS (SELECT cost_bps, date, ret / 1000 AS ret, bench_ret / 1000 AS bench_ret FROM port JOIN spy USING (date) WHERE bench_ret IS NOT NULL)
+    SELECT cost_bps, count(*) AS n_days, {_R('mean_ret', 'mean_bench')} FROM (SELECT *, avg(ret) OVER (PARTITION BY cost_bps) AS mean_ret, avg(bench_ret) OVER (PARTITION BY cost_bps) AS mean_bench FROM both_) GROUP BY cost_bps, mean_ret, mean_bench""",
+    dates=(),
+)
+def j4_scores_with_returns(spark, sf_dir):
+    """Scores and returns as written tables, joined by date and symbol, held in tranches, beside the benchmark."""
+    rows = scored(spark, sf_dir)
+    path = _scratch(spark)
+    tables.write_scores(rows.select("date", "symbol", "score"), f"{path}/scores")
+    held = spark.read.parquet(f"{path}/scores").join(rows.select("date", "symbol", "future_return_1d"), ["date", "symbol"])
+    spy = adapter.bench(spark, sf_dir, adapter.bars(spark, sf_dir)).filter(F.col("ticker") == adapter.MARKET)
+    both = portfolio.staggered_portfolio(held, "future_return_1d", K).join(F.broadcast(portfolio.forward_benchmark(spy)), "date")
+    return rounded(both.groupBy("cost_bps").agg(F.count("*").alias("n_days"), F.avg(F.col("ret") / 1000).alias("mean_ret"), F.avg(F.col("bench_ret") / 1000).alias("mean_bench")))
+
+
 @query()
 def m13_regime_model(spark, sf_dir):
     rows = factors.join_macro(_model_rows(spark, sf_dir), _macro(spark, sf_dir).select("date", "VIX_PERCENTILE"))
-    return rounded(models.regime_model(spark, rows, IC_FEATURES, trees=3))
+    return rounded(models.regime_model(spark, rows, IC_FEATURES, trees=TREES))

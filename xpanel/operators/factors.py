@@ -5,10 +5,13 @@ All windows share one partition and order, so any number of families costs one s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from xpanel.functions.exprs import at_least, back, by_symbol, change, correlation, finite, full, mean, ratio, rows, safe_div, std, total
+from xpanel.functions.exprs import at_least, back, by_symbol, change, finite, ratio, rows, safe_div, total
+from xpanel.functions.rolling import Rolling
 from xpanel.sources.adapter import MARKET, NATIONS, SECTORS
 
 WIDTHS = (5, 10, 20, 30, 60)
@@ -26,95 +29,106 @@ def with_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumn("ret", change("close")).withColumn("nr", F.row_number().over(by_symbol()))
 
 
-def candle(w: int) -> Factors:
-    O, H, L, C, _, _ = _columns()
-    o = mean(O, w)
+def with_factors(df: DataFrame, make: Callable[[Rolling], Factors]) -> DataFrame:
+    """df with the factors that make() gives; what they have in common is made once."""
+    r = Rolling()
+    made = make(r)
+    return r.add(df).withColumns(made).drop(*r.columns())
+
+
+def candle(r: Rolling, w: int) -> Factors:
+    O, _, _, C, _, _ = _columns()
+    o, h, low, c = (r.mean(x, w) for x in ("open", "high", "low", "close"))
+    top, bottom = r.mean("body_top", w, F.greatest(O, C)), r.mean("body_bottom", w, F.least(O, C))
     return {
-        f"KMID_{w}": safe_div(mean(C, w) - o, o), f"KLEN_{w}": safe_div(mean(H, w) - mean(L, w), o),
-        f"KUP_{w}": safe_div(mean(H - F.greatest(O, C), w), o), f"KLOW_{w}": safe_div(mean(F.least(O, C) - L, w), o),
-        f"KSFT_{w}": safe_div(mean(2 * C - H - L, w), o),
+        f"KMID_{w}": safe_div(c - o, o), f"KLEN_{w}": safe_div(h - low, o), f"KUP_{w}": safe_div(h - top, o),
+        f"KLOW_{w}": safe_div(bottom - low, o), f"KSFT_{w}": safe_div(2 * c - h - low, o),
     }
 
 
-def momentum(w: int) -> Factors:
+def momentum(r: Rolling, w: int) -> Factors:
     _, _, _, C, _, _ = _columns()
-    return {f"ROC_{w}": safe_div(C - back(C, w), back(C, w)), f"MA_{w}": safe_div(C, mean(C, w)) - 1.0}
+    return {f"ROC_{w}": safe_div(C - back(C, w), back(C, w)), f"MA_{w}": safe_div(C, r.mean("close", w)) - 1.0}
 
 
-def dispersion(w: int) -> Factors:
+def dispersion(r: Rolling, w: int) -> Factors:
     _, _, _, C, _, _ = _columns()
-    return {f"STD_{w}": safe_div(std(C, w), C)}
+    return {f"STD_{w}": safe_div(r.std("close", w), C)}
 
 
-def regression(w: int) -> Factors:
+def regression(r: Rolling, w: int) -> Factors:
     """Least squares of close / first close - 1 on 0..w-1: slope, R squared and last residual; null for a constant close."""
     _, _, _, C, _, _ = _columns()
-    x, frame, first = F.col("nr"), rows(w), back(C, w - 1)
-    slope, unit = F.regr_slope(C, x).over(frame), F.when(first == 0, F.lit(1.0)).otherwise(first)
-    moves = (F.count(C).over(frame) == w) & (F.stddev_pop(C).over(frame) > 0)
-    residual = (C - F.avg(C).over(frame) - slope * ((w - 1) / 2)) / unit
-    return {f"BETA_{w}": F.when(moves, slope / unit), f"RSQR_{w}": F.when(moves, F.regr_r2(C, x).over(frame)), f"RESI_{w}": F.when(moves, residual)}
+    first, time = back(C, w - 1), w * (w * w - 1) / 12
+    r.total("nr", w, F.col("nr").cast("double"))
+    both, square = r.products("nr", "close", w), r.squares("close", w)
+    slope, unit, moves = both / time, F.when(first == 0, F.lit(1.0)).otherwise(first), square > 0
+    residual = (C - r.mean("close", w) - slope * ((w - 1) / 2)) / unit
+    return {f"BETA_{w}": F.when(moves, slope / unit), f"RSQR_{w}": F.when(moves, both * both / (square * time)), f"RESI_{w}": F.when(moves, residual)}
 
 
-def price_place(w: int) -> Factors:
+def price_place(r: Rolling, w: int) -> Factors:
+    """RSV, MAX, MIN by the highest and lowest close; QTLU and QTLD: the share of the other closes below and above."""
     _, _, _, C, _, _ = _columns()
-    high, low = full(C, w, F.max(C)), full(C, w, F.min(C))
-    closes = F.collect_list(C).over(rows(w))
-    share = lambda test: F.when(F.count(C).over(rows(w)) == w, F.size(F.filter(closes, test)) / F.lit(w - 1))
+    high, low = r.highest("close", w), r.lowest("close", w)
+    closes = F.slice(F.collect_list(C).over(rows(max(WIDTHS))), -w, w)  # one list for all widths
+    share = lambda test: F.when(high.isNotNull(), F.size(F.filter(closes, test)) / F.lit(w - 1))
     return {
         f"RSV_{w}": safe_div(C - low, high - low), f"MAX_{w}": safe_div(C, high) - 1.0, f"MIN_{w}": safe_div(C, low) - 1.0,
         f"QTLU_{w}": share(lambda c: c < C), f"QTLD_{w}": share(lambda c: c > C),
     }
 
 
-def time_place(w: int) -> Factors:
+def time_place(r: Rolling, w: int) -> Factors:
     """Bars since the first highest and the first lowest close, as a share of w. IMXD is positive if the high is older."""
     _, _, _, C, _, _ = _columns()
-    top = full(C, w, F.max(F.struct(C.alias("c"), (-F.col("nr")).alias("r"))))
-    bottom = full(C, w, F.min(F.struct(C.alias("c"), F.col("nr").alias("r"))))
-    imax, imin = safe_div(F.col("nr") + top["r"], F.lit(w)), safe_div(F.col("nr") - bottom["r"], F.lit(w))
+    row = F.col("nr")
+    top = r.highest("high_close", w, F.when(C.isNotNull(), F.struct(C.alias("c"), (-row).alias("r"))))
+    bottom = r.lowest("low_close", w, F.when(C.isNotNull(), F.struct(C.alias("c"), row.alias("r"))))
+    imax, imin = safe_div(row + top["r"], F.lit(w)), safe_div(row - bottom["r"], F.lit(w))
     return {f"IMAX_{w}": imax, f"IMIN_{w}": imin, f"IMXD_{w}": imax - imin}
 
 
-def price_volume(w: int) -> Factors:
-    _, _, _, C, V, _ = _columns()
-    return {f"CORR_{w}": correlation(C, V, w), f"CORD_{w}": correlation(C, F.log1p(V), w)}
+def price_volume(r: Rolling, w: int) -> Factors:
+    _, _, _, _, V, _ = _columns()
+    return {f"CORR_{w}": r.correlation("close", "volume", w), f"CORD_{w}": r.correlation("close", "log_volume", w, xb=F.log1p(V))}
 
 
 def _flag(test: Column) -> Column:
     return F.coalesce(test.cast("double"), F.lit(0.0))
 
 
-def up_down_counts(w: int) -> Factors:
+def up_down_counts(r: Rolling, w: int) -> Factors:
     _, _, _, _, _, RET = _columns()
-    up, down = mean(_flag(RET > 0), w), mean(_flag(RET < 0), w)
+    up, down = r.mean("rises", w, _flag(RET > 0)), r.mean("falls", w, _flag(RET < 0))
     return {f"CNTP_{w}": up, f"CNTN_{w}": down, f"CNTD_{w}": up - down}
 
 
-def up_down_sums(w: int) -> Factors:
+def up_down_sums(r: Rolling, w: int) -> Factors:
     _, _, _, _, _, RET = _columns()
-    up, down = total(at_least(RET, 0), w), total(at_least(-RET, 0), w)
+    up, down = r.total("gain", w, at_least(RET, 0)), r.total("loss", w, at_least(-RET, 0))
     return {f"SUMP_{w}": up, f"SUMN_{w}": down, f"SUMD_{w}": up - down}
 
 
-def volume_level(w: int) -> Factors:
+def volume_level(r: Rolling, w: int) -> Factors:
     _, _, _, _, V, _ = _columns()
-    return {f"VMA_{w}": safe_div(V, mean(V, w)) - 1.0, f"VSTD_{w}": safe_div(std(V, w), mean(V, w))}
+    return {f"VMA_{w}": safe_div(V, r.mean("volume", w)) - 1.0, f"VSTD_{w}": safe_div(r.std("volume", w), r.mean("volume", w))}
 
 
-def volume_direction(w: int) -> Factors:
+def volume_direction(r: Rolling, w: int) -> Factors:
     _, _, _, _, V, RET = _columns()
-    up, down = safe_div(total(V * _flag(RET > 0), w), total(V, w)), safe_div(total(V * _flag(RET < 0), w), total(V, w))
+    every = r.total("volume", w)
+    up, down = safe_div(r.total("volume_up", w, V * _flag(RET > 0)), every), safe_div(r.total("volume_down", w, V * _flag(RET < 0)), every)
     return {f"VSUMP_{w}": up, f"VSUMN_{w}": down, f"VSUMD_{w}": up - down}
 
 
-def weighted_spread(bars: DataFrame) -> DataFrame:
+def weighted_spread(bars: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """WVMA: each row deviates from its own rolling weighted price, so the look-back is 2w - 1 rows (two chained windows)."""
     _, _, _, C, V, _ = _columns()
-    priced = bars.withColumns({f"_vwap{w}": ratio(total(C * V, w), total(V, w)) for w in WIDTHS})
+    priced = bars.withColumns({f"_vwap{w}": ratio(total(C * V, w), total(V, w)) for w in widths})
     spread = lambda w: (C - F.col(f"_vwap{w}")) * (C - F.col(f"_vwap{w}")) * V
-    out = priced.withColumns({f"WVMA_{w}": F.sqrt(safe_div(total(spread(w), w), total(V, w))) for w in WIDTHS})
-    return out.drop(*[f"_vwap{w}" for w in WIDTHS])
+    out = priced.withColumns({f"WVMA_{w}": F.sqrt(safe_div(total(spread(w), w), total(V, w))) for w in widths})
+    return out.drop(*[f"_vwap{w}" for w in widths])
 
 
 #: family -> factors of one width; WVMA comes from weighted_spread
@@ -124,9 +138,17 @@ PRICE_FAMILIES = {
 }
 
 
+def price_factors(r: Rolling, family: str, widths: tuple[int, ...] = WIDTHS) -> Factors:
+    return {k: v for w in widths for k, v in PRICE_FAMILIES[family](r, w).items()}
+
+
+def price_names(family: str, widths: tuple[int, ...] = WIDTHS) -> list[str]:
+    return list(price_factors(Rolling(), family, widths))
+
+
 def price_family(bars: DataFrame, family: str, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """bars (with_returns) and one family's columns for all widths."""
-    return bars.withColumns({k: v for w in widths for k, v in PRICE_FAMILIES[family](w).items()})
+    return with_factors(bars, lambda r: price_factors(r, family, widths))
 
 
 # --- benchmarks -------------------------------------------------------------------------------------------------------
@@ -144,11 +166,16 @@ def asof_wide(calendar: DataFrame, series: DataFrame, key: str, value: str, name
     return both.select("date", "_asked", *[F.last(n, ignorenulls=True).over(history).alias(n) for n in names]).filter("_asked").drop("_asked")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str | None, values: list[str]) -> DataFrame:
     """left with the values of the latest row of right (by, date, values) at or before its date.
 
-    For right sides of any size: both are stacked and the last known values carried forward within `by`.
+    For right sides of any size: both are stacked and the last known values carried forward within `by`. Without `by` the right
+    side is one series: it is carried over the calendar of left's dates, and that is joined by date.
     """
+    if by is None:
+        dates = left.select("date").distinct().withColumn("_one", F.lit(0))
+        known = asof_join(dates, right.select("date", *values, F.lit(0).alias("_one")), "_one", values).drop("_one")
+        return left.join(known, "date", "left")
     empty = [F.lit(None).cast(dict(right.dtypes)[v]).alias(v) for v in values]
     carried = [F.lit(None).cast(t).alias(c) for c, t in left.dtypes if c not in (by, "date")]
     stacked = left.select("*", *empty, F.lit(1).alias("_left")).unionByName(right.select(by, "date", *carried, *values, F.lit(0).alias("_left")))
@@ -164,33 +191,32 @@ def align_bench(bars: DataFrame, bench: DataFrame, tickers: tuple[str, ...] = (M
     return joined.withColumns({f"r_{t}": change(f"px_{t}") for t in tickers})
 
 
-def market_relative() -> Factors:
+def market_relative(r: Rolling) -> Factors:
     """Relative strength, beta and correlation against the market."""
-    _, _, _, _, _, RET = _columns()
-    m = F.col(f"r_{MARKET}")
-    pair = F.when(RET.isNotNull(), m)
-    both = lambda n, v: F.when(F.count(pair).over(rows(n)) == n, v.over(rows(n)))
-    out = {f"RS_{MARKET}_{w}": safe_div(total(RET, w), at_least(F.abs(total(m, w)), 1e-6)) for w in (5, 20)}
-    out |= {f"BETA_{MARKET}_{w}": safe_div(both(w, F.covar_samp(RET, m)), at_least(full(m, w, F.var_samp(m)), 1e-10)) for w in (20, 60)}
-    return out | {f"CORR_{MARKET}_20": correlation(RET, m, 20)}
+    m = f"r_{MARKET}"
+    for name in ("ret", m):
+        r.total(name, 5)
+    out = {f"RS_{MARKET}_{w}": safe_div(r.total("ret", w), at_least(F.abs(r.total(m, w)), 1e-6)) for w in (5, 20)}
+    sample = lambda x, w: x / F.lit(float(w - 1))
+    out |= {f"BETA_{MARKET}_{w}": safe_div(sample(r.products("ret", m, w), w), at_least(sample(r.squares(m, w), w), 1e-10)) for w in (20, 60)}
+    return out | {f"CORR_{MARKET}_20": r.correlation("ret", m, 20)}
 
 
-def etf_relative(tickers: tuple[str, ...] = ETFS) -> Factors:
-    _, _, _, _, _, RET = _columns()
+def etf_relative(r: Rolling, tickers: tuple[str, ...] = ETFS) -> Factors:
     out: Factors = {}
     for t in tickers:
-        e = F.col(f"r_{t}")
-        out |= {f"CORR_{t}_20": correlation(RET, e, 20), f"RS_{t}_20": safe_div(total(RET, 20) - total(e, 20), at_least(F.abs(total(e, 20)), 1e-6))}
+        e = f"r_{t}"
+        corr, own, other = r.correlation("ret", e, 20), r.total("ret", 20), r.total(e, 20)
+        out |= {f"CORR_{t}_20": corr, f"RS_{t}_20": safe_div(own - other, at_least(F.abs(other), 1e-6))}
     return out
 
 
-def lead_signals() -> Factors:
+def lead_signals(r: Rolling) -> Factors:
     """Bonds, dollar, volatility and credit."""
-    _, _, _, _, _, RET = _columns()
     return {
-        "TLT_MOM_5": change("px_TLT", 5), "TLT_MOM_20": change("px_TLT", 20), "STOCK_BOND_DIVERGE": total(RET, 5) - total(F.col("r_TLT"), 5),
+        "TLT_MOM_5": change("px_TLT", 5), "TLT_MOM_20": change("px_TLT", 20), "STOCK_BOND_DIVERGE": r.total("ret", 5) - r.total("r_TLT", 5),
         "USD_MOM_5": change("px_UUP", 5), "USD_MOM_20": change("px_UUP", 20), "VIX_MOM_5": change("px_VIXY", 5),
-        "CREDIT_SPREAD_MOM": total(F.col("r_HYG") - F.col("r_IEF"), 5),
+        "CREDIT_SPREAD_MOM": r.total("credit", 5, F.col("r_HYG") - F.col("r_IEF")),
     }
 
 
@@ -207,50 +233,53 @@ def flow(bars: DataFrame) -> DataFrame:
     money = F.col("_tp") * V
     up = F.when(F.col("_dtp") > 0, money).otherwise(0.0)
     down = F.when(F.col("_dtp") < 0, money).otherwise(0.0)
-    mfr = ratio(total(up, 14), total(down, 14))
-    obv, obv_mean = F.col("_obv"), mean(F.col("_obv"), 20)
     cost = safe_div(F.abs(RET), at_least(C * V, 1.0))
-    out = staged.withColumns({
-        "MFI_14": (100.0 - ratio(F.lit(100.0), 1.0 + mfr)) / 100.0, "OBV_RATIO_20": safe_div(obv - obv_mean, at_least(F.abs(obv_mean), 1e-6)),
-        "AMIHUD_20": mean(cost, 20) * 1e6,
-    })
-    return out.drop("_tp", "_dtp", "_obv")
 
+    def made(r: Rolling) -> Factors:
+        mfr = ratio(r.total("money_up", 14, up), r.total("money_down", 14, down))
+        obv, obv_mean = F.col("_obv"), r.mean("_obv", 20)
+        return {
+            "MFI_14": (100.0 - ratio(F.lit(100.0), 1.0 + mfr)) / 100.0, "OBV_RATIO_20": safe_div(obv - obv_mean, at_least(F.abs(obv_mean), 1e-6)),
+            "AMIHUD_20": r.mean("cost", 20, cost) * 1e6,
+        }
 
-def higher_moments() -> Factors:
+    return with_factors(staged, made).drop("_tp", "_dtp", "_obv")
+
+
+def higher_moments(r: Rolling) -> Factors:
     """Bias-corrected skewness and kurtosis, and the lag-5 autocorrelation within 20 returns."""
     _, _, _, _, _, RET = _columns()
     n = 20.0
     # the moments of a constant window are undefined
-    moves = (F.count(RET).over(rows(20)) == 20) & (F.stddev_pop(RET).over(rows(20)) > 0)
+    moves = r.squares("ret", 20) > 0
     g1, g2 = F.skewness(RET).over(rows(20)), F.kurtosis(RET).over(rows(20))
-    auto = F.when(F.count(RET).over(rows(20)) == 20, correlation(RET, back(RET, 5), 15))
+    auto = F.when(r.total("ret", 20).isNotNull(), r.correlation("ret", "ret_before", 15, xb=back(RET, 5)))
     return {
         "SKEW_20": F.when(moves, g1 * ((n * (n - 1)) ** 0.5 / (n - 2))), "KURT_20": F.when(moves, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)),
         "AUTOCORR_5": auto,
     }
 
 
-def volatility() -> Factors:
+def volatility(r: Rolling) -> Factors:
     _, _, _, _, _, RET = _columns()
-    square, cube = mean(RET * RET, 20), mean(RET * RET * RET, 20)
-    gain, loss = mean(at_least(RET, 0), 14), mean(at_least(-RET, 0), 14)
+    square, cube = r.mean("ret_2", 20, RET * RET), r.mean("ret_3", 20, RET * RET * RET)
+    gain, loss = r.mean("gain", 14, at_least(RET, 0)), r.mean("loss", 14, at_least(-RET, 0))
     strength = safe_div(gain, at_least(loss, 1e-10))
     return {
-        "VOL_REGIME": safe_div(std(RET, 10), at_least(std(RET, 60), 1e-6)), "REALIZED_SKEW_20": safe_div(cube, at_least(F.pow(square, 1.5), 1e-15)),
+        "VOL_REGIME": safe_div(r.std("ret", 10), at_least(r.std("ret", 60), 1e-6)), "REALIZED_SKEW_20": safe_div(cube, at_least(F.pow(square, 1.5), 1e-15)),
         "RSI_14": 1.0 - ratio(F.lit(1.0), 1.0 + strength),
     }
 
 
-def relative_volume() -> Factors:
+def relative_volume(r: Rolling) -> Factors:
     _, _, _, _, V, _ = _columns()
     rocp = {w: change("close", w) for w in (5, 20)}
-    rvol = {w: safe_div(V, at_least(mean(V, w), 1.0)) for w in (5, 20)}
+    rvol = {w: safe_div(V, at_least(r.mean("volume", w), 1.0)) for w in (5, 20)}
     out = {f"ROCP_{w}": rocp[w] for w in rocp} | {f"RVOL_{w}": rvol[w] for w in rvol} | {f"MOM_RVOL_{w}": rocp[w] * rvol[w] for w in rocp}
     return out | {"MOMENTUM_ACCEL": rocp[5] - rocp[20]}
 
 
-def gaps() -> Factors:
+def gaps(_: Rolling) -> Factors:
     O, _, _, C, _, RET = _columns()
     gap = safe_div(O - back(C), at_least(back(C), 0.01)) * 100
     return {
@@ -259,20 +288,23 @@ def gaps() -> Factors:
     }
 
 
-def intraday() -> Factors:
+def intraday(_: Rolling) -> Factors:
     O, H, L, C, _, _ = _columns()
     return {"INTRADAY_RANGE": safe_div(H - L, at_least(C, 0.01)), "INTRADAY_DIR": safe_div(C - O, at_least(H - L, 0.01))}
 
 
 def event_proxies(bars: DataFrame) -> DataFrame:
     O, H, L, C, V, RET = _columns()
-    staged = bars.withColumn("_dv", change("volume"))
-    return staged.withColumns({
-        "ABNORMAL_VOLUME": safe_div(V - mean(V, 20), at_least(std(V, 20), 1)), "ABNORMAL_RETURN": safe_div(RET, at_least(std(RET, 20), 1e-6)),
-        "VOLUME_PRICE_CORR": correlation(RET, F.col("_dv"), 5), "GAP_RATIO": safe_div(O - back(C), at_least(mean(H - L, 14), 1e-4)),
+    made = lambda r: {
+        "ABNORMAL_VOLUME": safe_div(V - r.mean("volume", 20), at_least(r.std("volume", 20), 1)), "ABNORMAL_RETURN": safe_div(RET, at_least(r.std("ret", 20), 1e-6)),
+        "VOLUME_PRICE_CORR": r.correlation("ret", "_dv", 5), "GAP_RATIO": safe_div(O - back(C), at_least(r.mean("range", 14, H - L), 1e-4)),
         "INTRADAY_REVERSAL": finite((C - O) / at_least(H - L, 1e-4)),
-    }).drop("_dv")
+    }
+    return with_factors(bars.withColumn("_dv", change("volume")), made).drop("_dv")
+
 
+FLOW = ("MFI_14", "OBV_RATIO_20", "AMIHUD_20")
+EVENTS = ("ABNORMAL_VOLUME", "ABNORMAL_RETURN", "VOLUME_PRICE_CORR", "GAP_RATIO", "INTRADAY_REVERSAL")
 
 # --- macro ------------------------------------------------------------------------------------------------------------
 

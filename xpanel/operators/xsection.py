@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xpanel.functions.exprs import average_rank, clip, group_correlation, quantile_bucket
+from xpanel.functions.places import medians, with_average_rank
 
 ANNUAL = 252.0
 
@@ -62,9 +63,9 @@ def ic_summary(ics: DataFrame, *keys: str) -> DataFrame:
 
 def pooled_rank_ic(df: DataFrame, score: str, label: str, *keys: str) -> DataFrame:
     """Spearman over all rows of each key (more than ten)."""
-    big = df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).filter("_n > 10")
-    ranked = big.withColumn("_rs", average_rank(score, *keys)).withColumn("_rl", average_rank(label, *keys))
-    return ranked.groupBy(*keys).agg(group_correlation("_rs", "_rl").alias("ic"), F.count("*").alias("n_rows"))
+    ranked = with_average_rank(with_average_rank(df, score, "_rs", *keys), label, "_rl", *keys)
+    out = ranked.groupBy(*keys).agg(group_correlation("_rs", "_rl").alias("ic"), F.count("*").alias("n_rows"))
+    return out.filter("n_rows > 10")
 
 
 def ranked_ends(df: DataFrame, score: str = "score", *keys: str) -> DataFrame:
@@ -119,8 +120,7 @@ def bucket_returns(df: DataFrame, label: str, n_buckets: int = 5) -> DataFrame:
 
 def directional_accuracy(df: DataFrame, score: str, label: str, *keys: str) -> DataFrame:
     """Share of rows where score and label have the same sign, and where score above its median goes with a positive label; RMSE."""
-    middle = df.groupBy(*keys).agg(F.percentile(score, 0.5).alias("_median"))
-    rows = df.join(middle, list(keys))
+    rows = df.join(medians(df, score, "_median", *keys), list(keys))
     up = F.col(label) > 0
     return rows.groupBy(*keys).agg(
         F.avg(((F.col(score) > 0) == up).cast("double")).alias("dir_acc"), F.avg(((F.col(score) > F.col("_median")) == up).cast("double")).alias("dir_acc_median"),

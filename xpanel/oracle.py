@@ -178,6 +178,16 @@ def family(name: str) -> str:
     return select({k: x for w in WIDTHS for k, x in FAMILIES[name](w).items()}, "r", RETURNS, WIDTHS)
 
 
+def core_panel(names) -> str:
+    """The named price factors and the labels of complete rows of symbols with 90 bars or more."""
+    made = {k: x for w in WIDTHS for f in FAMILIES.values() for k, x in f(w).items() if k in names}
+    hs = (1, 3, 5, 10)
+    columns = ", ".join([*(f"{x} AS {k}" for k, x in made.items()), *(f"(lead(close, {h}) OVER s / nullif(close, 0) - 1) * 100 AS future_return_{h}d" for h in hs), "count(*) OVER (PARTITION BY symbol) AS n_bars"])
+    there = " AND ".join(f"{c} IS NOT NULL" for c in [*made, *(f"future_return_{h}d" for h in hs)])
+    shown = ", ".join([*(f"round({c} + 1e-9, 6) + 0.0 AS {c}" for c in ["close", *made, *(f"future_return_{h}d" for h in hs)]), *(f"CAST(future_return_{h}d > 0 AS INTEGER) AS future_up_{h}d" for h in hs)])
+    return f"WITH {RETURNS.strip()}, p AS (SELECT symbol, date, close, {columns} FROM r {windows(*WIDTHS)}) SELECT symbol, date, {shown} FROM p WHERE n_bars >= 90 AND {there}"
+
+
 def weighted_spread() -> str:
     vwap = ", ".join(f"{total('(close * volume)', w)} / nullif({total('volume', w)}, 0) AS vwap{w}" for w in WIDTHS)
     ctes = RETURNS + f", p AS (SELECT *, {vwap} FROM r {windows(*WIDTHS)})"
