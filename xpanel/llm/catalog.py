@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from xpanel.llm import chat_format, language, license_scan, lm_score, mixing, near_dup, packing, quality, topk_search, warc
 from xpanel.llm.common import read, shared_dir
 
-TOKENIZERS = "/opt/tokenizers"
+#: Names of public vocabularies; a path does as well.
+WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +21,8 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-def op3_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str = WORD_BPE) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer)
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +39,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chats(table.unionByName(hostile)))
 
 
-def op6_language_id(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return language.language_report(read(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model")
+def op6_language_id(spark: SparkSession, sf_dir: str, vocabulary: str = PIECE_BPE) -> DataFrame:
+    return language.language_report(read(spark, sf_dir, "documents"), vocabulary)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

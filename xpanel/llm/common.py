@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,20 +33,44 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def intermediates() -> Iterator[list[str]]:
+    """Inside, the folders that materialise() writes are listed."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared file system."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    for made in _SCOPES:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each slice holds about `limit` bytes of text (a longer text stands alone)."""
+    """Cut a batch so that each slice holds about `limit` bytes of text (a longer text stands alone). The text may be a field of `row`."""
     n = batch.num_rows
     if not n:
         return
-    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    texts = batch.column(column) if column in batch.schema.names else batch.column("row").field(column)
+    lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(lengths)
     start = 0
     while start < n:
@@ -96,6 +121,13 @@ def worker_cache(name: str, make):
     return _CACHE[name]
 
 
+def vocabulary_path(name: str) -> str:
+    """An absolute path as it is; else the place of a public tokenizer's file, on the machine that asks."""
+    import public_tokenizers
+
+    return name if os.path.isabs(name) else public_tokenizers.path(name)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

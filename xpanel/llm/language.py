@@ -5,16 +5,20 @@ the product of the pieces' probabilities; a forward algorithm adds them up for m
 piece probabilities come from expectation maximisation (forward-backward) over labelled documents: each task adds up the
 expected counts of its words, and Spark adds up the tasks (vocabulary x languages numbers, whatever the corpus).
 
-Words are runs of letters, lower-cased, longer ones cut at MAX_WORD letters; a character outside the vocabulary is a piece
-of probability UNKNOWN in every language. A text's language is the one with the highest total, its score that language's
-posterior at a tempering of one word in TEMPER. Null texts and texts without letters are ``und`` with score 0, as are all
-texts where there is nothing to learn from. Repeated rows get equal results; further columns stay.
-
-Training is on a bounded sample: about SAMPLE_PER_LANGUAGE labelled documents a language, chosen by a hash of their id.
+Words are runs of letters, lower-cased, longer ones cut at MAX_WORD letters; all letter pieces of the vocabulary take part, whatever
+their length; a character outside the vocabulary is a piece of probability UNKNOWN in every language. A text's language is
+the one with the highest total, its score that language's posterior at a tempering of one word in TEMPER. Null texts and
+texts without letters are ``und`` with score 0, as are all texts where there is nothing to learn from. Repeated rows get
+equal results; further columns stay, whatever they are called.
+
+Training is on a bounded sample: about SAMPLE_PER_LANGUAGE labelled documents a language, chosen by a hash of their id, in
+EM_ROUNDS rounds. A model is a number per piece and language; more than MAX_LANGUAGES distinct labels are an error, so that it
+stays small enough to broadcast (24,000 pieces: 96 MB at most). A Python worker keeps the scores of CACHE_WORDS words.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,23 +26,24 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from xpanel.llm.common import text_slices
+from xpanel.llm.common import nested, text_slices, vocabulary_path, worker_cache
 
 UND = "und"
-MAX_PIECE, MAX_WORD, UNKNOWN, TEMPER = 8, 24, 1e-9, 4.0
-SAMPLE_PER_LANGUAGE, EM_ROUNDS = 3000, 2
+MAX_WORD, UNKNOWN, TEMPER = 24, 1e-9, 4.0
+SAMPLE_PER_LANGUAGE, EM_ROUNDS, MAX_LANGUAGES, CACHE_WORDS = 3000, 2, 500, 250_000
 WORDS = regex.compile(r"\p{L}+")
 MARK = "▁"  # the vocabulary's sign for the beginning of a word
 
 
 def vocabulary(path: str) -> list[str]:
-    """The letter pieces of a sentencepiece vocabulary, of MAX_PIECE characters at most, in sorted order."""
+    """The letter pieces of a sentencepiece vocabulary, in sorted order. path: a file, or the name of a public one."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(path))
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return sorted(p for p in pieces if len(p) <= MAX_PIECE and p.strip(MARK).isalpha() and MARK not in p[1:])
+    return sorted(p for p in pieces if p.strip(MARK).isalpha() and MARK not in p[1:])
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -56,8 +61,8 @@ class Pieces:
     """The vocabulary as sorted hashes; the row beyond the last is the unknown piece."""
 
     def __init__(self, pieces: list[str]):
-        self.size = len(pieces)
-        h = _hashes(word_codes(pieces, MAX_PIECE, ""))
+        self.size, self.longest = len(pieces), max(map(len, pieces))
+        h = _hashes(word_codes(pieces, self.longest, ""))
         self.order = np.argsort(h)
         self.hashes = h[self.order]
 
@@ -77,11 +82,12 @@ def word_codes(words: list[str], width: int, mark: str = MARK) -> np.ndarray:
 def lattice(codes: np.ndarray, pieces: Pieces) -> np.ndarray:
     """[word, start, length - 1] -> piece number; -1 where none, the unknown piece for single characters without one."""
     n, width = codes.shape
-    found = np.full((n, width, MAX_PIECE), -1, np.int32)
+    longest = min(pieces.longest, width)
+    found = np.full((n, width, longest), -1, np.int32)
     for start in range(width):
         live = np.flatnonzero(codes[:, start])
         h = np.zeros(len(live), np.uint64)
-        for k in range(min(MAX_PIECE, width - start)):
+        for k in range(min(longest, width - start)):
             c = codes[live, start + k]
             if not (inside := c > 0).all():
                 live, h, c = live[inside], h[inside], c[inside]
@@ -99,7 +105,7 @@ def forward(codes: np.ndarray, found: np.ndarray, probs: np.ndarray) -> np.ndarr
     alpha = np.zeros((n, width + 1, probs.shape[1]))
     alpha[:, 0] = 1
     for start in range(width):
-        for k in range(min(MAX_PIECE, width - start)):
+        for k in range(min(found.shape[2], width - start)):
             use = np.flatnonzero(found[:, start, k] >= 0)
             if len(use):
                 alpha[use, start + k + 1] += alpha[use, start] * probs[found[use, start, k]]
@@ -131,7 +137,7 @@ def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, probs
         beta[np.arange(len(part)), lengths] = 1
         z = np.maximum(alpha[np.arange(len(part)), lengths], 1e-300)
         for start in reversed(range(codes.shape[1])):
-            for k in range(min(MAX_PIECE, codes.shape[1] - start)):
+            for k in range(min(found.shape[2], codes.shape[1] - start)):
                 use = np.flatnonzero(found[:, start, k] >= 0)
                 if len(use):
                     p = probs[found[use, start, k]]
@@ -185,17 +191,19 @@ def training_rows(docs: DataFrame, counts: dict[str, int], per_language: int = S
     return docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(unit < share[F.col("lang")]).select("lang", "text")
 
 
-def learn(docs: DataFrame, vocabulary_path: str, per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray | None]:
+def learn(docs: DataFrame, pieces_path: str, per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray | None]:
     """Languages in order and the piece probabilities [pieces + 1, languages]."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not counts:
         return [], None
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{len(counts)} labels are more than {MAX_LANGUAGES} languages")
     languages, rows = sorted(counts), training_rows(docs, counts, per_language)
-    context, size, probs = docs.sparkSession.sparkContext, len(vocabulary(vocabulary_path)), None
+    context, size, probs = docs.sparkSession.sparkContext, len(vocabulary(pieces_path)), None
     for _ in range(rounds):
         shared = context.broadcast(probs) if probs is not None else None
-        expected = rows.mapInArrow(_expect(vocabulary_path, languages, shared), "piece long, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        expected = rows.mapInArrow(_expect(pieces_path, languages, shared), "piece long, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         table = np.full((size + 1, len(languages)), 0.1)
         table[expected["piece"], expected["lang"]] += expected["n"]
         probs = table / table[:size].sum(0)
@@ -203,46 +211,70 @@ def learn(docs: DataFrame, vocabulary_path: str, per_language: int = SAMPLE_PER_
     return languages, probs
 
 
-def _predict(path: str, languages: list[str], probs, keep: list[str]):
+class WordScores:
+    """log_scores of words, those of up to CACHE_WORDS kept."""
+
+    def __init__(self, pieces: Pieces, probs: np.ndarray):
+        self.pieces, self.probs = pieces, probs
+        self._empty()
+
+    def _empty(self) -> None:
+        self.index: dict[str, int] = {}
+        self.rows = np.empty((0, self.probs.shape[1]))
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) > CACHE_WORDS:
+            self._empty()
+            new = words
+        self.index.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.rows = np.concatenate([self.rows, log_scores(new, self.pieces, self.probs)])
+        return self.rows[[self.index[w] for w in words]]
+
+
+def _predict(path: str, languages: list[str], probs, model: str):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, names = Pieces(vocabulary(path)), np.array([*languages, UND], object)
+        names = np.array([*languages, UND], object)
+        scores = worker_cache(f"language {model}", lambda: WordScores(Pieces(vocabulary(path)), probs.value))
         for batch in batches:
-            for b in text_slices(batch, limit=4_000_000):
-                words, ids, owners = distinct_words([t or "" for t in b.column("text").to_pylist()])
+            for b in text_slices(batch, limit=2_000_000):
+                words, ids, owners = distinct_words([t or "" for t in b.column("row").field("text").to_pylist()])
                 n, best, score = b.num_rows, np.full(b.num_rows, len(languages)), np.zeros(b.num_rows)
                 if words and languages:
-                    each = log_scores(words, pieces, probs.value)
+                    each = scores(words)
                     total = np.column_stack([np.bincount(owners, each[ids, k], n) for k in range(len(languages))])
                     lettered = np.bincount(owners, minlength=n) > 0
                     best = np.where(lettered, total.argmax(1), best)
                     rest = np.exp(np.maximum((total - total.max(1, keepdims=True)) / TEMPER, -700)).sum(1)
                     score = np.where(lettered, 1 / rest, 0)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=["row", "lang_pred", "lang_score"])
 
     return predict
 
 
-def identify(docs: DataFrame, keep: list[str], vocabulary_path: str, model: tuple[list[str], np.ndarray | None]) -> DataFrame:
-    """The kept columns with lang_pred and lang_score."""
+def identify(docs: DataFrame, pieces_path: str, model: tuple[list[str], np.ndarray | None]) -> DataFrame:
+    """row (the columns of docs), lang_pred and lang_score."""
     languages, probs = model
-    shared = docs.sparkSession.sparkContext.broadcast(probs)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    need = docs.select(*dict.fromkeys([*keep, "text"]))
-    return need.mapInArrow(_predict(vocabulary_path, languages, shared, keep), ", ".join([*fields, "lang_pred string", "lang_score double"]))
+    shared = docs.sparkSession.sparkContext.broadcast(np.empty((0, 0)) if probs is None else probs)
+    rows = docs.select(nested(docs).alias("row"))
+    schema = StructType([*rows.schema, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
+    return rows.mapInArrow(_predict(pieces_path, languages, shared, uuid.uuid4().hex), schema)
 
 
 def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def language_report(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+def language_report(docs: DataFrame, pieces_path: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learnt from what is not held out."""
-    model = learn(docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))), vocabulary_path)
-    out = identify(docs, ["doc_id"], vocabulary_path, model)
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    model = learn(docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))), pieces_path)
+    out = identify(docs.select("doc_id", "text"), pieces_path, model)
+    return out.select("row.doc_id", F.coalesce(held_out(F.col("row.doc_id")), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, vocabulary_path: str, least: float = 0.5) -> DataFrame:
-    """The documents whose language is recognised with a score of at least `least`, columns as given."""
-    out = identify(docs, docs.columns, vocabulary_path, learn(docs, vocabulary_path))
-    return out.filter((F.col("lang_pred") != UND) & (F.col("lang_score") >= least)).select(*[f"`{c}`" for c in docs.columns])
+def keep_identified(docs: DataFrame, pieces_path: str, least: float = 0.5) -> DataFrame:
+    """The documents whose language is recognised with a score of at least `least`, columns as given; all, if nothing can be learnt."""
+    model = learn(docs, pieces_path)
+    if model[1] is None:
+        return docs
+    return identify(docs, pieces_path, model).filter((F.col("lang_pred") != UND) & (F.col("lang_score") >= least)).select("row.*")

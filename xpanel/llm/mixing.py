@@ -9,7 +9,8 @@ permutation of its N_BLOCKS blocks, and the partial epoch takes blocks in that o
 The default budget is the smallest that visits every document once, so nothing is lost. Tokens are estimated as a
 quarter of the UTF-8 bytes, rounded up; pass a column for other counts. A null source is a source of its own. Documents
 without tokens, and sources that have no tokens at all, are taken once per whole epoch (once at least under the default
-budget). Repeated rows share a block and stay together; null doc_ids share one block; further columns stay.
+budget). Repeated rows share a block and stay together; null doc_ids share one block. mix_sources gives the columns of docs as one
+struct `row`, so they may have any names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from xpanel.llm.common import materialise
+from xpanel.llm.common import materialise, nested
 
 N_BLOCKS, SECTIONS, ROUNDS = 4096, 32, 11
 BROADCAST_SOURCES = 50_000  #: up to so many sources (a few MB) the plan is broadcast, beyond it is joined by shuffle
@@ -59,11 +60,12 @@ def exponent(totals: DataFrame, target_entropy: float | None, max_repetition: fl
 
 
 def mix_sources(docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = 1.5, budget_tokens: int | None = None, tokens: Column | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """docs, a row per draw, with n_tokens, source_weight, epoch, block and block_order (its place in that epoch's permutation)."""
+    """row (the columns of docs), a row per draw, with n_tokens, source_weight, epoch, block and block_order (its place in that epoch's
+    permutation)."""
     tokens = estimated_tokens(F.col("text")) if tokens is None else tokens
     block = F.pmod(hash48(F.lit("block"), F.col(key)), F.lit(N_BLOCKS)).cast("int")
-    rows = docs.select(*[docs[c] for c in docs.columns], tokens.alias("n_tokens"), block.alias("block"))
-    by_block = materialise(rows.groupBy(F.col(source).alias("_source"), "block").agg(F.sum("n_tokens").alias("block_tokens")))
+    rows = docs.select(nested(docs).alias("row"), F.col(source).alias("source"), tokens.alias("n_tokens"), block.alias("block"))
+    by_block = materialise(rows.groupBy(F.col("source").alias("_source"), "block").agg(F.sum("n_tokens").alias("block_tokens")))
     totals = materialise(by_block.groupBy("_source").agg(F.sum("block_tokens").alias("total")))
     summary = totals.agg(F.sum("total").alias("all"), F.max("total").alias("most"), F.count("*").alias("n")).first()
     every, most = summary["all"] or 0, summary["most"] or 0
@@ -82,14 +84,14 @@ def mix_sources(docs: DataFrame, target_entropy: float | None = None, max_repeti
     cut = placed.withColumn("run", run).filter("run <= part").groupBy("_source").agg(F.max("at").alias("cut"))
     chosen = plan.join(cut.withColumnRenamed("_source", "_cut_source"), F.col("_source").eqNullSafe(F.col("_cut_source")), "left").select("_source", "whole", "source_weight", F.coalesce("cut", F.lit(-1)).alias("cut"))
     chosen = F.broadcast(chosen) if summary["n"] <= BROADCAST_SOURCES else chosen
-    mixed = rows.join(chosen, rows[source].eqNullSafe(chosen["_source"])).withColumn("_last", order(F.col("whole"), rows[source]) <= F.col("cut"))
+    mixed = rows.join(chosen, rows["source"].eqNullSafe(chosen["_source"])).withColumn("_last", order(F.col("whole"), rows["source"]) <= F.col("cut"))
     upto = F.col("whole") - F.when(F.col("_last"), 0).otherwise(1)
     mixed = mixed.filter(upto >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), upto)))
-    return mixed.select(*docs.columns, "n_tokens", "source_weight", "epoch", "block", order(F.col("epoch"), F.col(source)).alias("block_order"))
+    return mixed.select("row", "n_tokens", "source_weight", "epoch", "block", order(F.col("epoch"), F.col("source")).alias("block_order"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    return mix_sources(docs).select("doc_id", "source", "n_tokens", F.round("source_weight", 9).alias("source_weight"), "epoch", "block", "block_order")
+    return mix_sources(docs).select("row.doc_id", "row.source", "n_tokens", F.round("source_weight", 9).alias("source_weight"), "epoch", "block", "block_order")
 
 
 def oracle(max_repetition: float = 1.5) -> str:

@@ -7,11 +7,12 @@ THRESHOLD or more, and a class is what links connect. Documents with equal sets
 DartMinHash throws darts into the plane of weight and rank over each element: every unit cell of an element holds a
 Poisson(1) number of darts that depend on the element alone; a dart counts if it is below the element's weight, and
 each of the K coordinates keeps its dart of lowest rank. About K ln K + 2K darts per document are looked at, not K
-hashes per element. Sets weigh each shingle 1 (weighted=True: its count).
+hashes per element. Sets weigh each shingle 1. With weighted=True a shingle weighs its count, and similarity is that of multisets
+(the sum of least counts over the sum of greatest): a shingle's copies are compared as elements of their own.
 
 Nodes that agree on one of BANDS bands of ROWS coordinates (a similarity of 0.8 is missed once in 40,000) meet in a
-bucket; of buckets with the same members one is kept. A bucket is cut into chunks of BLOCK nodes by a hash, and each pair
-of chunks is a group of its own: a task never holds more than 2 * BLOCK nodes, compares them all exactly by one matrix
+bucket; of buckets with the same members one is kept. A bucket is cut into chunks of about BLOCK nodes by a hash (fewer, if they
+have more than BLOCK_SHINGLES), and each pair of chunks is a group of its own: a task holds two chunks, compares them all exactly by one matrix
 product over the shingles they share, and returns what connects them, not the pairs. So a hot bucket of n nodes is
 n / BLOCK times its rows and n * n comparisons dealt over many tasks, and no link between two of its nodes is lost.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from xpanel.llm.common import materialise, mix64, text_slices
 from xpanel.llm.words import word_hashes
 
-SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK = 5, 0.8, 20, 4, 256
+SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK, BLOCK_SHINGLES = 5, 0.8, 20, 4, 256, 2_000_000
 K = BANDS * ROWS
 SKETCH = "doc_id long, text_key long, set_key long, n_shingles int, bands array<long>, shingles binary"
 _CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
@@ -127,11 +128,16 @@ def _sketch(weighted: bool):
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(sets * _B + weights.astype(np.uint64)))])
                 set_key = mix64(sums[offsets[1:]] - sums[offsets[:-1]] + sizes.astype(np.uint64)).view(np.int64)
                 bands = band_keys(dart_minhash(sets, weights, offsets)).ravel()
-                short = (sets >> np.uint64(32)).astype("<u4")
+                short, spans = (sets >> np.uint64(32)).astype("<u4"), offsets
+                if weighted:  # the copies of a shingle are elements of their own
+                    ends = np.cumsum(counts)
+                    copy = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+                    short = (mix64(np.repeat(sets, counts) + copy.astype(np.uint64)) >> np.uint64(32)).astype("<u4")
+                    spans = np.concatenate([[0], ends])[offsets]
                 columns = [
                     b.column("doc_id"), b.column("text_key"), pa.array(set_key, mask=sizes == 0), pa.array(sizes.astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands)),
-                    pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(short)]),
+                    pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((spans * 4).astype(np.int32)), pa.py_buffer(short)]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "set_key", "n_shingles", "bands", "shingles"])
 
@@ -218,10 +224,12 @@ def links(sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sketched: set_key, bands, shingles; its rows may repeat sets.
     """
     sketched = sketched.filter(F.col("set_key").isNotNull())
-    nodes = sketched.groupBy("set_key").agg(F.first("bands").alias("bands"))
-    rows = nodes.select("set_key", F.explode("bands").alias("band"))
-    buckets = rows.groupBy("band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("set_key")).alias("members")).filter("size > 1")
-    buckets = buckets.groupBy("size", "members").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks"))
+    nodes = sketched.groupBy("set_key").agg(F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    rows = nodes.select("set_key", "n", F.explode("bands").alias("band"))
+    buckets = rows.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("members")).filter("size > 1")
+    chunks = F.ceil(F.greatest(F.col("size") / BLOCK, F.least(F.col("n") / BLOCK_SHINGLES, F.col("size")))).cast("int")
+    buckets = buckets.groupBy("size", "members").agg(F.min("band").alias("band"), F.first("n").alias("n")).select("band", chunks.alias("chunks"))
+    rows = rows.drop("n")
     live = rows.join(buckets, "band").withColumn("chunk", F.pmod(F.xxhash64("set_key", "band"), F.col("chunks")).cast("int"))
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     live = materialise(live.select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "set_key"))

@@ -1,9 +1,9 @@
 """Best-fit decreasing packing of tokenised documents into sequences.
 
-Tokenising happens once, in Arrow batches; what is shuffled is a short row per piece. Pieces that fill a sequence stand
-alone. The others are dealt evenly into shards of about SHARD_PIECES by their place in the scan (so no key can be hot),
-and each shard is packed by best-fit decreasing: a segment tree over remaining capacities finds the tightest open
-sequence in logarithmic time. A shard loses less than one sequence against packing all at once.
+Tokenising happens once, in Arrow batches, and its short row per piece is written to the shared folder. Pieces that fill a
+sequence are one, and are not shuffled. The others are dealt evenly into shards of about SHARD_PIECES by their place in the scan
+(so no key can be hot), and each shard is packed by best-fit decreasing: a segment tree over remaining capacities finds the
+tightest open sequence in logarithmic time. A shard loses less than one sequence against packing all at once.
 
 Null and empty texts are the end id alone. Repeated rows are documents of their own. Further columns are ignored.
 """
@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xpanel.llm.common import worker_cache
+from xpanel.llm.common import materialise, text_slices, vocabulary_path, worker_cache
 
 CAPACITY, SHARD_PIECES, CACHE_WORDS, CACHE_BYTES = 2048, 20_000, 600_000, 16_000_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -47,7 +47,7 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.letters, self.held = Tokenizer.from_file(path), {}, {}, 0
+        self.tokenizer, self.known, self.letters, self.held = Tokenizer.from_file(vocabulary_path(path)), {}, {}, 0
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[ends] = True
@@ -92,11 +92,10 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def _cut(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, deal = tokenizer(path), TaskContext.get().partitionId() * 7919, 0
+        encode, place = tokenizer(path), TaskContext.get().partitionId() << 33
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in text_slices(batch, limit=1_000_000):
                 out = [array("q") for _ in range(6)]
                 docs = part.column("doc_id").to_pylist()
                 ids_of = []
@@ -105,11 +104,11 @@ def _cut(path: str, end_id: int, capacity: int):
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at : at + 4 * capacity]
                         ids_of.append(doc)
-                        for column, value in zip(out[1:], (k, at // 4, len(piece) // 4, zlib.crc32(piece), task + deal)):
+                        for column, value in zip(out[1:], (k, at // 4, len(piece) // 4, zlib.crc32(piece), place)):
                             column.append(value)
-                        deal += 1
+                        place += 1
                 columns = [pa.array(ids_of, pa.int64()), pa.array(np.array(out[1], np.int32)), *[pa.array(np.array(c, np.int64)) for c in out[2:]]]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
 
     return cut
 
@@ -169,7 +168,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 def _pack(capacity: int):
     def pack(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values("deal", kind="stable")
+        pieces = pieces.sort_values("place", kind="stable")
         sequence, offset = best_fit_decreasing(pieces["length"].to_numpy(np.int64), capacity)
         return pieces.assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)[[c.split()[0] for c in PACKED.split(", ")]]
 
@@ -177,9 +176,11 @@ def _pack(capacity: int):
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of documents with their sequence and their place in it."""
-    shards = max(1, round(docs.count() / SHARD_PIECES))
-    pieces = tokenised_pieces(docs, tokenizer_path, end_id, capacity)
-    # A piece that fills a sequence takes a shard of its own kind: the tree opens a sequence for it at once.
-    shard = F.pmod(F.col("deal"), F.lit(shards)).cast("int")
-    return pieces.groupBy(shard.alias("shard")).applyInPandas(_pack(capacity), PACKED)
+    """Pieces of documents with their sequence and their place in it. tokenizer_path: a file, or the name of a public one."""
+    pieces = materialise(tokenised_pieces(docs, tokenizer_path, end_id, capacity))
+    full, rest = pieces.filter(F.col("length") == capacity), pieces.filter(F.col("length") < capacity)
+    shards = max(1, round(rest.count() / SHARD_PIECES))
+    shard = F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int")
+    packed = rest.groupBy(shard.alias("shard")).applyInPandas(_pack(capacity), PACKED)
+    alone = full.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(alone)

@@ -247,7 +247,7 @@ def _text_grams(order: int):
 def measure(docs: DataFrame, row: Column, model: DataFrame, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """row, text, lang, the base counts and entropy of each document; text is left out if row has none."""
     whole = "text" in getattr(docs.select(row.alias("row")).schema["row"].dataType, "names", [])
-    rows = docs.select(row.alias("row"), F.col("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(row.alias("row"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
     fits = small(model, broadcast_rows)
     shared = docs.sparkSession.sparkContext.broadcast(sorted_arrays(model)) if fits else None
     keep_text = not fits
