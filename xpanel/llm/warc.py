@@ -20,8 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xpanel.llm.common import materialise, small
+
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 4_000_000
+BROADCAST_KEEPERS, READ_BYTES = 300_000, 4_000_000  #: up to so many repeated payloads pages stay where they are; payload bytes a batch
 ARCHIVES = "archive string, n_records int, warc binary"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, payload binary"
 
@@ -31,7 +34,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha1(html).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
     keepers = rows.filter(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(keepers, "payload_digest", "left")
+    keepers = materialise(keepers)
+    joined = rows.join(F.broadcast(keepers) if small(keepers, BROADCAST_KEEPERS) else keepers, "payload_digest", "left")
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     return joined.select("page_id", "url", "html", "payload_digest", "payload_bytes", refers.alias("refers_to"))
 
@@ -127,17 +131,22 @@ def _number(urn: str | None) -> int | None:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("payload", pa.binary())])
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
     for b in batches:
         for data, n in zip(b.column("warc"), b.column("n_records")):
-            rows = []
+            rows, held, count = [], 0, 0
             for header, http, payload in records(data.as_py()):
                 revisit = header["WARC-Type"] == "revisit"
                 size = int(re.search(rb"Content-Length: (\d+)", http)[1])
                 rows.append((_number(header["WARC-Record-ID"]), size, header["WARC-Payload-Digest"][5:], header["WARC-Type"], _number(header.get("WARC-Refers-To")), header["WARC-Target-URI"], None if revisit else payload))
-            if len(rows) != n.as_py():
+                held, count = held + len(payload), count + 1
+                if held >= READ_BYTES or len(rows) >= 1000:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if count != n.as_py():
                 raise WarcError("an archive has lost records")
-            for i in range(0, len(rows), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 1000]), schema.types)], schema=schema)
+            if rows:
+                yield batch(rows)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
