@@ -100,7 +100,7 @@ def key_filter(table: DataFrame, key: str = "key", limit: int = FILTER_KEYS):
     bits = 1 << max(10, math.ceil(math.log2(max(n, 1) * 16 / SEGMENTS)))
     rows = table.select(F.col(key).alias("key"), F.shiftrightunsigned(key, 58).cast("int").alias("segment")).repartition("segment").sortWithinPartitions("segment")
     segments = np.zeros((SEGMENTS, bits // 8), np.uint8)
-    for r in rows.mapInArrow(_segment(bits), "segment int, bits binary").toLocalIterator():
+    for r in materialise(rows.mapInArrow(_segment(bits), "segment int, bits binary")).collect():  # SEGMENTS rows
         segments[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
     return table.sparkSession.sparkContext.broadcast(Filter(segments))
 
