@@ -5,7 +5,8 @@ interval of word positions. A rule runs only where its keyword occurs. Every mat
 priority; a detection is suppressed if its interval lies within that of a detection of the same or a higher priority
 (lower number; of equal intervals the earlier rule stays). All work on a document happens inside its row: no shuffle.
 
-Null and empty texts have no words and no detections. Repeated rows and further columns are kept as they are.
+Null and empty texts have no words and no detections. Repeated rows are kept; scan_licenses gives the columns of docs as one struct
+`row`, so they may have any names.
 """
 
 from __future__ import annotations
@@ -13,97 +14,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from xpanel.llm.common import nested
+from xpanel.llm.license_rules import RULES
+
 #: Fixed values of the base scan: words, and phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = f"[{WORD[2:-2]}]+"
 
 #: Substrings of the lower-cased text, one of which every rule's matches contain.
-GATE = ("licen", "gpl", "copyright", "cc0", "creative", "public", "permission", "redistribution", "warranty", "software", "copying", "rights", "wtfpl", "fuck")
-
-#: (label, title as a word pattern, keyword, abbreviations, versions). In a pattern, words are separated by blanks,
-#: a word is a regular expression, and a last "?" makes the whole word optional.
-FAMILIES = [
-    ("agpl", "gnu? affero general public licen[cs]e", "affero", "agpl|agplv?3", ("3",)),
-    ("lgpl", "gnu? lesser|library general public licen[cs]e", "general", "lgpl|lgplv[23]", ("2", "2 1", "3")),
-    ("gpl", "gnu general public licen[cs]e", "gnu", "gpl|gplv[23]", ("1", "2", "3")),
-    ("gfdl", "gnu? free documentation licen[cs]e", "documentation", "gfdl|fdl", ("1 1", "1 2", "1 3")),
-    ("apache", "apache software? licen[cs]e", "apache", "apache|asl", ("1", "1 0", "1 1", "2", "2 0")),
-    ("mit", "mit x11? licen[cs]e", "mit", "mit", ()),
-    ("bsd-2-clause", "bsd 2|two|simplified|freebsd clause? licen[cs]e", "bsd", "bsd2", ()),
-    ("bsd-3-clause", "bsd 3|three|new|revised|modified clause? licen[cs]e", "bsd", "bsd3", ()),
-    ("bsd-4-clause", "bsd 4|four|original|old clause? licen[cs]e", "bsd", "bsd4", ()),
-    ("0bsd", "bsd zero|0 clause licen[cs]e", "bsd", "0bsd", ()),
-    ("bsd", "bsd style? licen[cs]e", "bsd", "bsd", ()),
-    ("mpl", "mozilla public licen[cs]e", "mozilla", "mpl|mplv2", ("1 0", "1 1", "2", "2 0")),
-    ("epl", "eclipse public licen[cs]e", "eclipse", "epl", ("1 0", "2 0")),
-    ("edl", "eclipse distribution licen[cs]e", "eclipse", "edl", ("1 0",)),
-    ("cpl", "common public licen[cs]e", "common", "cpl", ("1 0",)),
-    ("ipl", "ibm public licen[cs]e", "ibm", "ipl", ("1 0",)),
-    ("cddl", "common development and distribution licen[cs]e", "development", "cddl", ("1 0", "1 1")),
-    ("cpal", "common public attribution licen[cs]e", "attribution", "cpal", ("1 0",)),
-    ("eupl", "european union public licen[cs]e", "european", "eupl", ("1 0", "1 1", "1 2")),
-    ("osl", "open software licen[cs]e", "open", "osl", ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "academic free licen[cs]e", "academic", "afl", ("1 1", "2 0", "2 1", "3 0")),
-    ("artistic", "artistic licen[cs]e", "artistic", "artistic", ("1 0", "2 0")),
-    ("zlib", "zlib libpng? licen[cs]e", "zlib", "zlib", ()),
-    ("libpng", "libpng licen[cs]e", "libpng", "libpng", ()),
-    ("isc", "isc licen[cs]e", "isc", "isc", ()),
-    ("bsl", "boost software licen[cs]e", "boost", "bsl", ("1 0",)),
-    ("busl", "business source licen[cs]e", "business", "busl", ("1 1",)),
-    ("psf", "python software foundation licen[cs]e", "python", "psf|psfl", ("2",)),
-    ("php", "php licen[cs]e", "php", "php", ("3 0", "3 01")),
-    ("ruby", "ruby licen[cs]e", "ruby", "ruby", ()),
-    ("openssl", "openssl licen[cs]e", "openssl", "openssl", ()),
-    ("postgresql", "postgresql licen[cs]e", "postgresql", "postgresql", ()),
-    ("vim", "vim licen[cs]e", "vim", "vim", ()),
-    ("ofl", "sil? open font licen[cs]e", "font", "ofl", ("1 0", "1 1")),
-    ("ms-pl", "microsoft public licen[cs]e", "microsoft", "mspl", ()),
-    ("ms-rl", "microsoft reciprocal licen[cs]e", "microsoft", "msrl", ()),
-    ("ncsa", "university of illinois ncsa? open source licen[cs]e", "illinois", "ncsa", ()),
-    ("ecl", "educational community licen[cs]e", "educational", "ecl", ("1 0", "2 0")),
-    ("upl", "universal permissive licen[cs]e", "universal", "upl", ("1 0",)),
-    ("qpl", "q public licen[cs]e", "q", "qpl", ("1 0",)),
-    ("zpl", "zope public licen[cs]e", "zope", "zpl", ("2 0", "2 1")),
-    ("w3c", "w3c software notice? and? licen[cs]e", "w3c", "w3c", ()),
-    ("sleepycat", "sleepycat licen[cs]e", "sleepycat", "sleepycat", ()),
-    ("rpl", "reciprocal public licen[cs]e", "reciprocal", "rpl", ("1 1", "1 5")),
-    ("sspl", "server side public licen[cs]e", "server", "sspl", ("1",)),
-    ("elastic", "elastic licen[cs]e", "elastic", "elastic", ("2 0",)),
-    ("odbl", "open data commons open database licen[cs]e", "database", "odbl", ("1 0",)),
-    ("odc-by", "open data commons attribution licen[cs]e", "commons", "odc", ("1 0",)),
-    ("pddl", "public domain dedication and licen[cs]e", "dedication", "pddl", ("1 0",)),
-    ("cecill", "cecill [bc]? licen[cs]e", "cecill", "cecill", ("1 0", "2 0", "2 1")),
-    ("mulan", "mulan permissive software licen[cs]e", "mulan", "mulanpsl", ("1", "2")),
-    ("json", "json licen[cs]e", "json", "json", ()),
-    ("unicode", "unicode licen[cs]e agreement", "unicode", "unicode", ()),
-    ("openrail", "creative ml open rail m", "rail", "openrail", ()),
-]
-
-#: Rules without a family: (priority, label, keyword, word pattern).
-SINGLES = [
-    (0, "cc0", "cc0", "cc0 v?1? 0? universal?"), (0, "cc0", "zero", "creative commons zero"),
-    (0, "cc-by", "cc", "cc by [1-4] [05]"), (1, "cc-by", "cc", "cc by"), (1, "cc-by", "commons", "creative commons attribution"),
-    (0, "cc-by-sa", "cc", "cc by sa [1-4]? [05]?"), (0, "cc-by-sa", "sharealike", "creative commons attribution sharealike"),
-    (0, "cc-by-nc", "cc", "cc by nc [1-4]? [05]?"), (0, "cc-by-nc", "noncommercial", "creative commons attribution noncommercial"),
-    (0, "cc-by-nd", "cc", "cc by nd [1-4]? [05]?"), (0, "cc-by-nd", "commons", "creative commons attribution noderiv(s|atives)"),
-    (0, "cc-by-nc-sa", "cc", "cc by nc sa [1-4]? [05]?"), (0, "cc-by-nc-nd", "cc", "cc by nc nd [1-4]? [05]?"),
-    (0, "cc-by-nc-sa", "sharealike", "creative commons attribution noncommercial sharealike"),
-    (0, "cc-by-nc-nd", "noncommercial", "creative commons attribution noncommercial noderiv(s|atives)"),
-    (2, "creative-commons", "commons", "creative commons"),
-    (0, "mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
-    (0, "isc", "permission", "permission to use copy modify and or? distribute this software for any purpose with or without fee"),
-    (0, "bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    (0, "zlib", "warranty", "this software is provided as is without any express or implied warranty"),
-    (0, "unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    (1, "unlicense", "unlicense", "unlicense"), (1, "wtfpl", "wtfpl", "wtfpl"),
-    (0, "wtfpl", "fuck", "do what the fuck you want to public licen[cs]e"),
-    (1, "public-domain", "domain", "released|dedicated|placed into|in|to the public domain"), (2, "public-domain", "domain", "public domain"),
-    (2, "proprietary", "rights", "all rights reserved"), (3, "copyright", "copyright", "copyright c? (19|20)[0-9]{2}"),
-    (3, "unknown-licence", "licensed", "licensed under a|this|following licen[cs]e"), (3, "unknown-licence", "license", "under the terms of the license"),
-    (3, "unknown-licence", "copying", "see copying for details"), (3, "warranty", "warranty", "without warranty of any kind"),
-]
+GATE = ("licen", "gpl", "copyright", "cc0", "creative", "public", "permi", "redistribut", "warrant", "software", "copying", "rights", "wtfpl")
 
 CONFIDENCE = (1.0, 0.9, 0.6, 0.3)  #: by priority
 
@@ -114,17 +36,9 @@ def _pattern(words: str) -> str:
 
 
 def rules() -> list[tuple[int, str, str, str]]:
-    """(priority, label, keyword, regular expression) in rule order: hand-written titles in the forms that notices take."""
-    out = []
-    for label, title, keyword, short, versions in FAMILIES:
-        for v in versions:
-            out.append((0, f"{label}-{v.replace(' ', '.')}", keyword, _pattern(f"{title} (version|v)? v?{v}")))
-        out.append((1, label, keyword, _pattern(title)))
-        out.append((0, label, "spdx", _pattern(f"spdx licen[cs]e identifier {short}")))
-        out.append((2, label, "licensed", _pattern(f"licensed under the? terms? of? the? {short} licen[cs]e?")))
-        out.append((2, label, "license", _pattern(f"license {short}")))
-    out += [(p, label, keyword, _pattern(words)) for p, label, keyword, words in SINGLES]
-    return out
+    """(priority, label, keyword, regular expression) in rule order."""
+    parts = [[x.strip() for x in line.split(" | ")] for line in RULES.strip().splitlines()]
+    return [(int(priority), label, keyword, _pattern(words)) for priority, label, keyword, words in parts]
 
 
 def base_pattern() -> str:
@@ -142,15 +56,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SEPARATORS), "")
 
 
-def detections(canonical: Column) -> Column:
-    """Unsuppressed and suppressed detections of a canonical text: array<struct<start, end, priority, rule, label>>, sorted."""
-    table = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(f"<{k}>").alias("keyword"), F.lit(x).alias("pattern")) for i, (p, label, k, x) in enumerate(rules())])
+def detections(canonical: str) -> Column:
+    """Unsuppressed and suppressed detections of the canonical text in a column: array<struct<start, end, priority, rule, label>>, sorted.
+
+    Each rule is an expression of its own with a literal pattern, which Java compiles once: its matches and what stands between
+    them, null where its keyword or the pattern is missing. What matched is then walked for word positions.
+    """
+    hit = "IF(contains({c}, '<{k}>') AND {c} RLIKE r'{x}', named_struct('priority', {p}, 'rule', {i}, 'label', '{label}', 'got', regexp_extract_all({c}, r'{x}', 0), 'between', split({c}, r'{x}', -1)), NULL)"
+    hits = F.array_compact(F.array(*[F.expr(hit.format(c=canonical, k=k, x=x, p=p, i=i, label=label)) for i, (p, label, k, x) in enumerate(rules())]))
     n_words = lambda s: F.length(s) - F.length(F.replace(s, F.lit("<"), F.lit("")))
 
-    def found(r: Column) -> Column:
-        got = F.regexp_extract_all(canonical, r["pattern"], F.lit(0))
-        between = F.split(canonical, r["pattern"], -1)
-        pairs = F.arrays_zip(F.slice(between, 1, F.size(got)).alias("before"), got.alias("hit"))
+    def walk(r: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(r["between"], 1, F.size(r["got"])).alias("before"), r["got"].alias("hit"))
         walked = F.aggregate(
             pairs,
             F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out")),
@@ -161,8 +78,7 @@ def detections(canonical: Column) -> Column:
         )
         return F.transform(walked["out"], lambda x: F.struct(x["s"].alias("start"), (-x["e"]).alias("minus_end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label")))
 
-    candidates = F.filter(table, lambda r: F.contains(canonical, r["keyword"]))
-    return F.array_sort(F.flatten(F.transform(candidates, found)))
+    return F.array_sort(F.flatten(F.transform(hits, walk)))
 
 
 def unsuppressed(found: Column) -> Column:
@@ -181,11 +97,11 @@ def unsuppressed(found: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, the base scan (n_base, first_word, last_word, base_labels) and license_detections.
+    """row (the columns of docs) with n_words, the base scan (n_base, first_word, last_word, base_labels) and license_detections.
 
     license_detections holds the unsuppressed detections (word interval, priority, rule number, label).
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, UPPER.lower())
     base, any_before = base_pattern(), "(?s)^(.*{lazy})(?:" + base_pattern() + ")"
     cc_by = F.contains(F.col("_low"), F.lit("cc")) & F.col("_low").rlike(base_pattern_of("cc by"))
     gate = cc_by
@@ -193,13 +109,13 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         gate = gate | F.contains(F.col("_low"), F.lit(g))
     is_base = F.contains(F.col("_low"), F.lit("license")) | cc_by
     words_before = lambda lazy: F.size(words(F.regexp_extract("_low", any_before.replace("{lazy}", lazy), 1))).cast("long")
-    out = docs.withColumn("_low", low)
+    out = docs.select(nested(docs).alias("row"), low.alias("_low"))
     out = out.withColumn("_n", F.when(is_base, F.regexp_count("_low", F.lit(base))).otherwise(0)).withColumn(
         "_canonical", F.when(gate, F.concat(F.lit("<"), F.array_join(words(F.col("_low")), "><"), F.lit(">")))
     )
-    out = out.withColumn("_found", F.when(F.col("_canonical").isNotNull(), detections(F.col("_canonical"))))
+    out = out.withColumn("_found", F.when(F.col("_canonical").isNotNull(), detections("_canonical")))
     return out.select(
-        *[docs[c] for c in docs.columns],
+        "row",
         F.size(words(F.col("_low"))).cast("long").alias("n_words"),
         F.col("_n").cast("long").alias("n_base"),
         F.when(F.col("_n") > 0, words_before("?")).alias("first_word"),
@@ -213,7 +129,7 @@ def license_report(docs: DataFrame) -> DataFrame:
     """The digest of scan_licenses: one row per document."""
     confidence = F.array_max(F.transform("license_detections", lambda d: F.element_at(F.array(*map(F.lit, CONFIDENCE)), d["priority"] + 1)))
     return scan_licenses(docs).select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        "row.doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base_labels", F.array_distinct(F.col("license_detections.label")))), ",").alias("labels"),
         F.coalesce(confidence, F.when(F.col("n_base") > 0, F.lit(0.9)), F.lit(0.0)).alias("score"),
@@ -226,7 +142,7 @@ def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = ", ".join(f"({i}, {p}, {quote(label)}, {quote(f'<{k}>')}, {quote(x)})" for i, (p, label, k, x) in enumerate(rules()))
     phrases = {label: "".join(f"<{w}>" for w in p.split()) for p, label in BASE.items()}
-    base, upper = quote("|".join(phrases.values())), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    base, upper = quote("|".join(phrases.values())), UPPER
     count = lambda s: f"(length({s}) - length(replace({s}, '<', '')))"
     labels = ", ".join(f"CASE WHEN contains(c, {quote(p)}) THEN {quote(label)} END" for label, p in phrases.items())
     confidence = "[" + ", ".join(map(str, CONFIDENCE)) + "]"
