@@ -6,13 +6,17 @@ c(pair) / c(first); where it has not seen the pair ALPHA^2 * u(word), u being c(
 text's first word scores u(word), its second begins with pairs. A document's score is the mean log10 of its words' scores.
 
 Nothing is pruned or capped. An n-gram changes the score of a document only if both halves have it, and by an amount that
-depends on the n-gram and the half alone. So the n-gram tables (counts of words, pairs and trigrams, added up in each task
-before their shuffle by hash) become one table of differences to the level below, and a document's score is a constant of its
-length plus the sum of the differences of its n-grams, which are exploded, joined with the table by hash and summed.
+depends on the n-gram and the half alone. So the n-gram tables become tables of differences to the level below, and a document's
+score is a constant of its length plus the sum of the differences of its n-grams, which are exploded, joined by hash and summed.
+
+N-grams are counted per chunk of text first, and a chunk's counts travel as one sorted array for each hash partition, of about
+PART_BYTES in all, so the exchange moves few rows; a partition is added up whole. The table of words is broadcast up to
+BROADCAST_WORDS rows (24 bytes each). Pairs and trigrams are joined in PASSES by hash, each ending in a sum per document, so what
+stands on disk is a pass's share.
 
 A trigram that both halves have consists of pairs that both halves have. Tasks therefore leave out n-grams that cannot be in a
 table before they shuffle them, by a Bloom filter of its keys as long as that is small (FILTER_KEYS, 16 bits each; false
-positives go in the join). A larger table is used without one, in PASSES of the exploded rows.
+positives go in the join).
 
 Words are as in `words`, lower-cased; they and n-grams are 64-bit hashes. Null texts and texts without words have n_words 0 and
 a null score. Rows that repeat a doc_id (null too) are texts of one document; further columns are ignored; an empty table gives
@@ -29,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xpanel.llm.common import materialise, mix64, shuffles_released, text_slices, worker_cache
+from xpanel.llm.common import materialise, mix64, shuffles_released, small, text_slices, worker_cache
 from xpanel.llm.words import WORD_SQL, word_chunks
 
-ALPHA, PASSES, FILTER_KEYS, SEGMENTS = 0.4, 4, 16_000_000, 64
+ALPHA, PASSES, FILTER_KEYS, SEGMENTS = 0.4, 2, 16_000_000, 64
+CHUNK, PART_BYTES, BROADCAST_WORDS = 4_000_000, 16_000_000, 1_000_000
+COUNTS = "part int, x binary, y binary, c0 binary, c1 binary"
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -121,61 +127,89 @@ def _grams(words: np.ndarray, docs: np.ndarray, new: int) -> Iterator[tuple[np.n
     yield trigram_keys(ab, bc), ab, bc, docs[at]
 
 
-def _count(level: int, possible):
+def _count(level: int, possible, parts: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("lm", dict)
         for batch in batches:
-            for b in text_slices(batch):
+            for b in text_slices(batch, limit=CHUNK):
                 halves = b.column("half").to_numpy()
-                for words, docs, new in word_chunks(b.column("text").to_pylist(), level - 1):
+                for words, docs, new in word_chunks(b.column("text").to_pylist(), level - 1, CHUNK):
                     keys, x, y, owners = list(_grams(words, docs, new))[level - 1]
                     if possible is not None:
                         keep = possible.value(x) & possible.value(y)
                         keys, x, y, owners = keys[keep], x[keep], y[keep], owners[keep]
-                    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-                    side = halves[owners]
-                    both = np.bincount(at, minlength=len(first))
-                    ones = np.bincount(at, side, len(first)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(y[first].view(np.int64)), pa.array(both - ones), pa.array(ones)], ["x", "y", "c0", "c1"])
+                    keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+                    both, ones = np.bincount(at, minlength=len(keys)), np.bincount(at, halves[owners], len(keys))
+                    part = (keys % np.uint64(parts)).astype(np.int32)
+                    order = np.argsort(part, kind="stable")
+                    part, first = part[order], first[order]
+                    columns = x[first], y[first], (both - ones).astype("<u4")[order], ones.astype("<u4")[order]
+                    cuts = np.concatenate([np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]])
+                    rows = [[c[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), *(pa.array(r, pa.binary()) for r in rows)], ["part", "x", "y", "c0", "c1"])
 
     return count
 
 
-def _keyed(level: int):
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key(level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return x if level == 1 else pair_keys(x, y) if level == 2 else trigram_keys(x, y)
+
+
+def _merge(level: int):
+    """The n-grams of each partition that both halves have; the arrays of a partition come one after the other."""
+
+    def added(held: list[tuple[bytes, ...]]) -> pa.RecordBatch:
+        x, y, c0, c1 = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held), ("<u8", "<u8", "<u4", "<u4")))
+        keys, first, at = np.unique(_key(level, x, y), return_index=True, return_inverse=True)
+        c0, c1 = (np.bincount(at, c, len(keys)).astype(np.int64) for c in (c0, c1))
+        keep = (c0 > 0) & (c1 > 0)
+        columns = [a.view(np.int64) for a in (keys[keep], x[first][keep], y[first][keep])] + [c0[keep], c1[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "x", "y", "c0", "c1"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for b in batches:
-            x, y = (b.column(c).to_numpy().view(np.uint64) for c in "xy")
-            key = x if level == 1 else pair_keys(x, y) if level == 2 else trigram_keys(x, y)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(b.column(c) for c in ("x", "y", "c0", "c1"))], ["key", "x", "y", "c0", "c1"])
+            for part, *arrays in zip(*(b.column(c).to_pylist() for c in ("part", "x", "y", "c0", "c1"))):
+                if part != now and held:
+                    yield added(held)
+                    held = []
+                now = part
+                held.append(tuple(arrays))
+        if held:
+            yield added(held)
 
-    return keyed
+    return merge
 
 
-def count_table(docs: DataFrame, level: int, possible=None) -> DataFrame:
+def count_table(docs: DataFrame, level: int, n_words: float, possible=None) -> DataFrame:
     """key, x, y, c0, c1: the n-grams of `level` words that both halves have, with their counts in each; tasks add up their own first."""
-    partial = docs.select("text", "half").mapInArrow(_count(level, possible), "x long, y long, c0 long, c1 long")
-    both = partial.groupBy("x", "y").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter("c0 > 0 AND c1 > 0")
-    return both.mapInArrow(_keyed(level), "key long, x long, y long, c0 long, c1 long")
+    parts = max(8, math.ceil(n_words * 24 / PART_BYTES))
+    partial = docs.select("text", "half").mapInArrow(_count(level, possible, parts), COUNTS)
+    return partial.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge(level), "key long, x long, y long, c0 long, c1 long")
 
 
 # --- scores -----------------------------------------------------------------------------------------------------------
 
 
-def _explode(possible, passes: int, which: int):
+def _explode(levels: tuple[int, ...], possible, passes: int, which: int):
+    """doc_id, key, n: a document's n-grams of the levels with their occurrences, counted below zero in half 1."""
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in text_slices(batch):
-                ids, halves = b.column("doc_id"), b.column("half")
-                for words, docs, new in word_chunks(b.column("text").to_pylist(), 2):
-                    parts = [(k, o) for k, _, _, o in _grams(words, docs, new)]
+                ids, sign = b.column("doc_id"), np.where(b.column("half").to_numpy() == 0, 1, -1)
+                for words, docs, new in word_chunks(b.column("text").to_pylist(), max(levels) - 1):
+                    parts = [(k, o) for i, (k, _, _, o) in enumerate(_grams(words, docs, new), 1) if i in levels]
                     keys, owners = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-                    keep = keys % np.uint64(passes) == which if passes > 1 else np.ones(len(keys), bool)
+                    if passes > 1:
+                        mine = keys % np.uint64(passes) == which
+                        keys, owners = keys[mine], owners[mine]
                     if possible is not None:
-                        keep &= possible.value(keys)
-                    keys, owners = keys[keep], owners[keep]
+                        mine = possible.value(keys)
+                        keys, owners = keys[mine], owners[mine]
                     _, first, n = np.unique(mix64(keys + owners.astype(np.uint64) * _C), return_index=True, return_counts=True)
-                    owner = pa.array(owners[first])
-                    yield pa.RecordBatch.from_arrays([ids.take(owner), halves.take(owner), pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int32))], ["doc_id", "half", "key", "n"])
+                    owner = owners[first]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(keys[first].view(np.int64)), pa.array((n * sign[owner]).astype(np.int32))], ["doc_id", "key", "n"])
 
     return explode
 
@@ -190,13 +224,16 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("half"), pa.array(n), pa.array(backed)], ["doc_id", "half", "n_words", "backed"])
 
 
-def differences(docs: DataFrame, totals: list[float], filter_keys: int = FILTER_KEYS) -> DataFrame:
-    """key, d0, d1: what an n-gram adds to log10 scores under the counts of half 0 and of half 1, against the level below."""
+def differences(docs: DataFrame, totals: list[float], filter_keys: int = FILTER_KEYS) -> tuple[DataFrame, DataFrame]:
+    """Of words, and of pairs and trigrams: key, d0, d1, what an n-gram adds to log10 scores under the counts of half 0 and of half 1,
+    against the level below."""
     log = lambda c: F.log10(c)
-    a = math.log10(ALPHA)
-    words = materialise(count_table(docs, 1).select("key", *[log(f"c{g}").alias(f"l{g}") for g in (0, 1)]))
-    pairs = materialise(count_table(docs, 2))
+    a, n_words = math.log10(ALPHA), sum(totals)
+    words = materialise(count_table(docs, 1, n_words).select("key", *[log(f"c{g}").alias(f"l{g}") for g in (0, 1)]))
+    pairs = count_table(docs, 2, n_words)
     first, second = (words.toDF(k, f"{k}0", f"{k}1") for k in ("f", "s"))
+    if small(words, BROADCAST_WORDS):
+        first, second = F.broadcast(first), F.broadcast(second)
     joined = pairs.join(first, F.col("x") == F.col("f")).join(second, F.col("y") == F.col("s"))
     pairs = materialise(
         joined.select(
@@ -204,11 +241,16 @@ def differences(docs: DataFrame, totals: list[float], filter_keys: int = FILTER_
             *[(log(f"c{g}") - F.col(f"f{g}") - a - F.col(f"s{g}") + math.log10(totals[g])).alias(f"d{g}") for g in (0, 1)],
         )
     )
-    three = count_table(docs, 3, key_filter(pairs, limit=filter_keys))
+    three = materialise(count_table(docs, 3, n_words, key_filter(pairs, limit=filter_keys)))
     context, below = pairs.select(F.col("key").alias("k1"), "l0", "l1"), pairs.select(F.col("key").alias("k2"), "q0", "q1")
     three = three.join(context, F.col("x") == F.col("k1")).join(below, F.col("y") == F.col("k2"))
     three = three.select("key", *[(log(f"c{g}") - F.col(f"l{g}") - a - F.col(f"q{g}")).alias(f"d{g}") for g in (0, 1)])
-    return materialise(words.select("key", (F.col("l0") - a).alias("d0"), (F.col("l1") - a).alias("d1")).unionByName(pairs.select("key", "d0", "d1")).unionByName(three))
+    return words.select("key", (F.col("l0") - a).alias("d0"), (F.col("l1") - a).alias("d1")), materialise(pairs.select("key", "d0", "d1").unionByName(three))
+
+
+def _summed(rows: DataFrame, table: DataFrame) -> DataFrame:
+    other = F.when(F.col("n") > 0, F.col("d1")).otherwise(F.col("d0"))
+    return materialise(rows.join(table, "key").groupBy("doc_id").agg(F.sum(F.abs("n") * other).alias("score")))
 
 
 def score_corpus(docs: DataFrame, filter_keys: int = FILTER_KEYS, passes: int = PASSES) -> DataFrame:
@@ -217,16 +259,14 @@ def score_corpus(docs: DataFrame, filter_keys: int = FILTER_KEYS, passes: int =
     lengths = materialise(docs.mapInArrow(_lengths, "doc_id long, half int, n_words long, backed long"))
     counted = {r["half"]: r["n"] for r in lengths.groupBy("half").agg(F.sum("n_words").alias("n")).collect()}  # two rows
     totals = [float(max(counted.get(g, 0), 1)) for g in (0, 1)]
-    a = math.log10(ALPHA)
+    a, schema = math.log10(ALPHA), "doc_id long, key long, n int"
     with shuffles_released(docs.sparkSession):
-        table = differences(docs, totals, filter_keys)
+        words, table = differences(docs, totals, filter_keys)
+        words = F.broadcast(words) if small(words, BROADCAST_WORDS) else words
+        sums = _summed(docs.mapInArrow(_explode((1,), None, 1, 0), schema), words)
         possible = key_filter(table, limit=filter_keys)
-        sums, rounds = None, passes if possible is None else 1
-        for i in range(rounds):
-            rows = docs.mapInArrow(_explode(possible, rounds, i), "doc_id long, half int, key long, n int")
-            other = F.when(F.col("half") == 0, F.col("d1")).otherwise(F.col("d0"))
-            part = materialise(rows.join(table, "key").groupBy("doc_id").agg(F.sum(F.col("n") * other).alias("score")))
-            sums = part if sums is None else sums.unionByName(part)
+        for i in range(passes):
+            sums = sums.unionByName(_summed(docs.mapInArrow(_explode((2, 3), possible, passes, i), schema), table))
     other = F.when(F.col("half") == 0, math.log10(totals[1])).otherwise(math.log10(totals[0]))
     constant = lengths.select("doc_id", (F.col("n_words") * (F.lit(a) - other) + F.col("backed") * a).alias("score"), "n_words")
     every = sums.select("doc_id", "score", F.lit(0).cast("long").alias("n_words")).unionByName(constant)
