@@ -5,7 +5,6 @@ import math
 import random
 import re
 from collections import Counter
-from itertools import product
 
 import duckdb
 import numpy as np
@@ -15,9 +14,10 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from xpanel.llm import catalog, chat_format, language, license_scan, lm_score, mixing, near_dup, packing, quality, topk_search, warc
+from xpanel.llm import words as words_module
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-TOKENIZER, PIECES = f"{catalog.TOKENIZERS}/word_bpe_49k.json", f"{catalog.TOKENIZERS}/piece_bpe_32k.model"
+TOKENIZER, PIECES = catalog.WORD_BPE, catalog.PIECE_BPE
 WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 
 LONG = " ".join(f"w{i % 997}x{i // 7}" for i in range(60_000))
@@ -32,8 +32,9 @@ def docs_of(spark, rows=None):
 
 
 def with_clash(df):
-    """Further columns, some named as operators name theirs."""
-    return df.withColumn("score", F.lit(1)).withColumn("labels", F.lit("x")).withColumn("epoch", F.lit(0)).withColumn("words", F.lit(1))
+    """Further columns, named as operators name theirs."""
+    names = "score labels epoch words n_words _low _n _found n_tokens block source_weight lang_pred lang_score row entropy kept n_base class_id set_key half key part"
+    return df.withColumns({n: F.lit(7) for n in names.split()})
 
 
 # --- 1 ----------------------------------------------------------------------------------------------------------------
@@ -49,7 +50,7 @@ def base_scan(text):
 def test_license_base_columns_equal_brute_force(spark):
     texts = ["GNU General-Public\nLicense, the mit license mit license", "cc by cc-by CC (BY)", "xcc by", "apache licenses", "gnu general public", None, "", "MIT\x7fLicense é", LONG + " apache license"]
     df = with_clash(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
-    got = {r["doc_id"]: tuple(r)[1:6] for r in license_scan.license_report(df.drop("score", "labels")).collect()}
+    got = {r["doc_id"]: tuple(r)[1:6] for r in license_scan.license_report(df).collect()}
     assert got == {i: base_scan(t) for i, t in enumerate(texts)}
 
 
@@ -62,12 +63,36 @@ def test_license_containment_and_priority(spark):
     rows = [(1, "This work is licensed under the GNU General Public License, version 3."), (2, "Licensed under CC BY-NC 4.0."), (3, "GNU Lesser General Public License v2.1"), (4, "nothing here")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.license_report(df).collect()}
-    assert got == {1: ("gpl,gpl-3", 1.0), 2: ("cc-by,cc-by-nc", 1.0), 3: ("lgpl-2.1", 1.0), 4: ("", 0.0)}
-    spans = license_scan.scan_licenses(df).filter("doc_id = 3").first()["license_detections"]
+    assert got == {1: ("gpl,gpl-3.0", 1.0), 2: ("cc-by,cc-by-nc-4.0", 1.0), 3: ("lgpl-2.1", 1.0), 4: ("", 0.0)}
+    spans = license_scan.scan_licenses(df).filter("row.doc_id = 3").first()["license_detections"]
     assert [(d["start"], d["end"]) for d in spans] == [(0, 7)]
     assert len(license_scan.rules()) > 200
 
 
+def test_license_signatures(spark):
+    """Identifiers with versions and suffixes, headers and clauses."""
+    cases = {
+        "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0-or-later",
+        "SPDX-License-Identifier: MS-PL": "ms-pl", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl-2.1-only",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse": "bsd-3-clause",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.": "apache,apache-2.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
+        "GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version": "gpl,gpl-2.0-or-later",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_report(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_license_gate_holds_every_rule():
+    """Every rule has a word that has to stand in a match and that the gate looks for."""
+    for line in license_scan.RULES.strip().splitlines():
+        keyword, words = [x.strip() for x in line.split(" | ")][2:]
+        fixed = [x.replace("licen[cs]e", "license") for x in words.split() if not x.endswith("?")]
+        assert keyword in fixed, line
+        assert words.startswith("cc by") or any(all(any(g in alternative for g in license_scan.GATE) for alternative in x.split("|")) for x in fixed), line
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -142,6 +167,14 @@ def test_dart_minhash_estimates_weighted_jaccard():
     assert (sig != 0).all() and abs((sig[0] == sig[1]).mean() - true) < 4 * math.sqrt(true * (1 - true) / k)
 
 
+def test_weighted_copies_are_compared_by_counts(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, " ".join([a] * 2)), (2, " ".join([a] * 3)), (3, " ".join([a] * 30)), (4, " ".join([a] * 29))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["class_id"] for r in near_dup.near_duplicates(df, weighted=False).collect()} == {1}
+    assert [r["class_id"] for r in near_dup.near_duplicates(df, weighted=True).orderBy("doc_id").collect()] == [1, 2, 3, 3]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "a long, b long")
     got = {r["node"]: r["label"] for r in near_dup.components(edges).collect()}
@@ -155,7 +188,9 @@ def test_packing_is_whole_and_tight(spark):
     from tokenizers import Tokenizer
 
     rows = packing.pack_documents(docs_of(spark), TOKENIZER).collect()
-    t = Tokenizer.from_file(TOKENIZER)
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
     want = Counter((d, len(t.encode(x or "", add_special_tokens=False).ids) + 1) for d, x, *_ in EDGE)
     got = Counter()
     for d in {r["doc_id"] for r in rows}:
@@ -171,6 +206,22 @@ def test_packing_is_whole_and_tight(spark):
     assert len(by) == math.ceil(sum(r["length"] for r in rows) / 2048)
 
 
+def test_packing_query_equals_the_tokenizer(spark):
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    want = set()
+    for i, text in duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        want |= {(i, k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))}
+    rows = catalog.op3_best_fit_packing(spark, DATA).collect()
+    assert {tuple(r)[:5] for r in rows} == want and len(rows) == len(want)
+    assert all(r["offset"] == 0 for r in rows if r["length"] == 2048) and len({r["sequence_id"] for r in rows if r["length"] == 2048}) == sum(r["length"] == 2048 for r in rows)
+
+
 def test_words_apart_encode_as_the_text():
     texts = ["Don't STOP! It's 3,000.50 naïve Straße İstanbul ﬁ 你好 <|endoftext|> a<|startoftext|>b 'tis ÀÉ ́x ΑΣ ΟΔΟΣ. \x1c x\x1fy\xa0z ((a)) ~b` #x# a_b", "", " ", "x" * 3000]
     w = packing.WordTokenizer(TOKENIZER)
@@ -198,8 +249,8 @@ def test_best_fit_equals_a_scan():
 def test_mixing_keeps_all_and_meets_the_limit(spark):
     rng = random.Random(5)
     rows = [(i, "x" * rng.randrange(1, 400), "en", "big" if i % 10 else "small", 1) for i in range(3000)] + [(9001, None, None, None, None), (9002, "", "en", "empty", 0)]
-    out = mixing.mix_sources(with_clash(docs_of(spark, rows)).drop("epoch"), max_repetition=2.0)
-    got = out.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count_distinct("doc_id").alias("docs")).collect()
+    out = mixing.mix_sources(with_clash(docs_of(spark, rows)), max_repetition=2.0)
+    got = out.select("row.doc_id", "row.source", out["n_tokens"]).groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count_distinct("doc_id").alias("docs")).collect()
     tokens = {s: sum(-(-len(t or "") // 4) for _, t, _, x, _ in rows if x == s) for s in ("big", "small")}
     by = {r["source"]: r for r in got}
     assert by["big"]["n"] == tokens["big"] and by["small"]["n"] == pytest.approx(2 * tokens["small"], rel=0.01)
@@ -208,7 +259,7 @@ def test_mixing_keeps_all_and_meets_the_limit(spark):
 
 def test_mixing_meets_an_entropy(spark):
     rows = [(i, "x" * 40, "en", "abcd"[min(i % 16, 3)], 40) for i in range(1600)]
-    w = {r["source"]: r["source_weight"] for r in mixing.mix_sources(docs_of(spark, rows), target_entropy=0.9).select("source", "source_weight").distinct().collect()}
+    w = {r["source"]: r["source_weight"] for r in mixing.mix_sources(docs_of(spark, rows), target_entropy=0.9).select("row.source", "source_weight").distinct().collect()}
     h = -sum(p * math.log(p) for p in w.values())
     assert sum(w.values()) == pytest.approx(1.0) and h == pytest.approx(0.9 * math.log(4), abs=1e-6)
 
@@ -254,7 +305,7 @@ def oracle_equals(spark, name):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("name", ["op4_source_mixing", "op5_chat_format", "op7_warc", "op10_exact_top_k"])
+@pytest.mark.parametrize("name", ["op4_source_mixing", "op5_chat_format", "op7_warc", "op8_lm_scores", "op10_exact_top_k"])
 def test_query_equals_sql(spark, name):
     oracle_equals(spark, name)
 
@@ -289,6 +340,19 @@ def test_language_edges(spark):
     assert got[1] == got[2] == got[3] == got[7] == ("und", 0.0) and got[6][0] != "und"
     assert all(r["lang_pred"] == "und" for r in language.language_report(docs_of(spark).withColumn("lang", F.lit(None).cast("string")), PIECES).collect())
     assert language.language_report(docs_of(spark, []), PIECES).count() == 0
+    kept = language.keep_identified(with_clash(docs_of(spark)), PIECES)
+    assert kept.columns == with_clash(docs_of(spark)).columns and {5, 6} <= {r["doc_id"] for r in kept.collect()}
+    unlabelled = docs_of(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert language.keep_identified(unlabelled, PIECES).count() == unlabelled.count()
+
+
+def test_language_vocabulary_is_whole():
+    import public_tokenizers
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
+    letters = {p for p in (m.id_to_piece(i).lower() for i in range(m.get_piece_size())) if p.strip("▁").isalpha() and "▁" not in p[1:]}
+    assert set(language.vocabulary(PIECES)) == letters
 
 
 # --- 7 ----------------------------------------------------------------------------------------------------------------
@@ -318,44 +382,53 @@ def test_warc_round_trip_and_damage(spark, tmp_path):
 # --- 8 ----------------------------------------------------------------------------------------------------------------
 
 
-def test_lm_scores_equal_brute_force(spark):
-    rows = [(i, t) for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()] + [(-1, None), (-2, "?"), (-3, "one")]
-    words = {i: WORD.findall((t or "").lower()) for i, t in rows}
-    c = Counter(w for ws in words.values() for w in ws)
-    pairs = Counter(p for ws in words.values() for p in zip(ws, ws[1:]))
-    n = sum(c.values())
-    for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), passes=2).collect():
-        ws = words[r["doc_id"]]
-        assert r["n_words"] == len(ws)
-        want = [math.log10(c[w] / n) for w in ws[:1]] + [math.log10(pairs[p] / c[p[0]] if pairs[p] > 1 else 0.4 * c[p[1]] / n) for p in zip(ws, ws[1:])]
-        assert r["score"] == (pytest.approx(sum(want) / len(ws), abs=2e-6) if ws else None)
-    assert lm_score.score_documents(docs_of(spark, [])).count() == 0
-
-
-def test_lm_scores_equal_brute_force_over_every_trigram(spark):
+def half_of(i):
+    return int(hashlib.md5(b"" if i is None else str(i).encode()).hexdigest()[:12], 16) % 2
+
+
+@pytest.mark.parametrize(("filter_keys", "passes"), [(10**6, 1), (3, 3)])
+def test_lm_scores_equal_brute_force(spark, monkeypatch, filter_keys, passes):
+    """Every n-gram of the other half counts, with two levels of back-off; with and without filters and broadcast words."""
+    if filter_keys == 3:
+        monkeypatch.setattr(lm_score, "BROADCAST_WORDS", 3)
     rows = [(i, t) for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()] + [(-1, None), (-2, "?"), (-3, "one"), (-4, "one two"), (-5, "a a a a b a a"), (None, "no id here")]
     words = {i: WORD.findall((t or "").lower()) for i, t in rows}
-    c = Counter(tuple(ws[i : i + k]) for ws in words.values() for k in (1, 2, 3) for i in range(len(ws) - k + 1))
-    n = sum(map(len, words.values()))
+    c = {g: Counter(tuple(ws[i : i + k]) for d, ws in words.items() if half_of(d) != g for k in (1, 2, 3) for i in range(len(ws) - k + 1)) for g in (0, 1)}
+    n = {g: sum(len(ws) for d, ws in words.items() if half_of(d) != g) for g in (0, 1)}
 
-    def backoff(seen):
+    def backoff(seen, g):
         if len(seen) == 1:
-            return c[seen] / n
-        return c[seen] / c[seen[:-1]] if c[seen] else 0.4 * backoff(seen[1:])
+            return (c[g][seen] or 0.4) / n[g]
+        return c[g][seen] / c[g][seen[:-1]] if c[g][seen] else 0.4 * backoff(seen[1:], g)
 
-    got = lm_score.score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), passes=3).collect()
+    got = lm_score.score_corpus(spark.createDataFrame(rows, "doc_id long, text string").withColumn("half", F.lit(7)), filter_keys, passes).collect()
     assert len(got) == len(rows)
+    levels = Counter()
     for r in got:
-        ws = words[r["doc_id"]]
-        want = [math.log10(backoff(tuple(ws[max(i - 2, 0) : i + 1]))) for i in range(len(ws))]
+        ws, g = words[r["doc_id"]], half_of(r["doc_id"])
+        grams = [tuple(ws[max(i - 2, 0) : i + 1]) for i in range(len(ws))]
+        levels.update(next((len(x[k:]) for k in range(len(x)) if c[g][x[k:]]), 0) for x in grams)
+        want = [math.log10(backoff(x, g)) for x in grams]
         assert r["n_words"] == len(ws) and r["score"] == (pytest.approx(sum(want) / len(ws), abs=2e-6) if ws else None)
+    assert min(levels[k] for k in range(4)) > 0  # every level of back-off takes place
     assert lm_score.score_corpus(docs_of(spark, [])).count() == 0
 
 
-def test_lm_query_scores_pairs_seen_once(spark, tmp_path):
-    spark.createDataFrame([(1, "p q r s"), (2, "p x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["score"] for r in catalog.op8_lm_scores(spark, str(tmp_path)).collect()}
-    assert got == {1: pytest.approx(math.log10(2 / 6 * 1 / 2) / 4, abs=2e-6), 2: pytest.approx(math.log10(2 / 6 * 1 / 2) / 2, abs=2e-6)}
+def test_lm_texts_of_one_id_and_long_texts(spark, monkeypatch):
+    whole = lm_score.score_corpus(docs_of(spark)).collect()
+    monkeypatch.setattr(words_module, "PIECE_BYTES", 50)
+    monkeypatch.setattr(lm_score, "CHUNK", 50)
+    assert sorted(map(str, lm_score.score_corpus(docs_of(spark)).collect())) == sorted(map(str, whole))
+    assert len(whole) == len({d for d, *_ in EDGE})
+
+
+def test_word_pieces_do_not_change_words():
+    texts = ["", None, "Hello, World hello", " a", "ÉCOLE école" * 9, "z" * 300 + " " + "z" * 301, " ".join(f"w{i % 91}" for i in range(3000))]
+    whole, cut = words_module.word_hashes(texts), words_module.word_hashes(texts, 40)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    assert list(np.diff(whole[1])) == [len(WORD.findall((t or "").lower())) for t in texts]
+    flat = [w for t in texts for w in WORD.findall((t or "").lower())]
+    assert len(set(zip(flat, whole[0].tolist()))) == len(set(flat)) == len(set(whole[0].tolist()))
 
 
 # --- 9 ----------------------------------------------------------------------------------------------------------------
@@ -385,39 +458,77 @@ def test_base_counts_on_the_table(spark):
     assert got == {i: brute_counts(t) for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()}
 
 
-def brute_kneser_ney(counts, order, alphabet):
-    """Straight from the definition, over dictionaries of tuples."""
+def brute_kneser_ney(counts, order):
+    """Straight from the definition, over dictionaries of strings."""
     levels = {order: dict(counts)}
     for m in range(order - 1, 0, -1):
         levels[m] = Counter(g[1:] for g in levels[m + 1])
-    out = {}
-
-    def p(gram):
-        if not gram:
-            return 1 / alphabet
-        if gram not in out:
-            m, level = len(gram), levels[len(gram)]
-            n = [max(sum(v == i for v in level.values()), 1) for i in (1, 2, 3, 4)]
-            y = n[0] / (n[0] + 2 * n[1])
-            d = lambda v: min(max((0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2])[min(v, 3)], 0), min(v, 3))
-            same = {g: v for g, v in level.items() if g[:-1] == gram[:-1]}
-            total = sum(same.values())
-            out[gram] = (level[gram] - d(level[gram])) / total + sum(map(d, same.values())) / total * p(gram[1:])
-        return out[gram]
+    out = {"": 1 / len(levels[1])}
+    for m in range(1, order + 1):
+        level = levels[m]
+        n = [max(sum(v == i for v in level.values()), 1) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = lambda v: min(max((0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2])[min(v, 3)], 0), min(v, 3))  # noqa: E731, B023
+        total, back = Counter(), Counter()
+        for g, v in level.items():
+            total[g[:-1]] += v
+            back[g[:-1]] += d(v)
+        out |= {g: (v - d(v)) / total[g[:-1]] + back[g[:-1]] / total[g[:-1]] * out[g[1:]] for g, v in level.items()}
+    return {g: out[g] for g in counts}
+
+
+def brute_verdicts(rows, order=5):
+    """doc_id -> (kept, cross entropy) of (doc_id, text, lang)."""
+    grams = {i: [("\n" * (order - 1) + t)[k : k + order] for k in range(len(t))] for i, t, _ in rows if t}
+    p = brute_kneser_ney(Counter(g for gs in grams.values() for g in gs), order)
+    entropy = {i: -sum(math.log(p[g]) for g in gs) / len(gs) for i, gs in grams.items()}
+    failed = {i: (lambda c: c[0] < 50 or 100 * c[4] > 50 * c[0])(brute_counts(t)) for i, t, _ in rows}
+    scored = {i: lang for i, _, lang in rows if not failed[i]}
+
+    def band(ids):
+        bins = sorted(round(entropy[i] * 10000) for i in ids)
+        low, mid, high = (bins[math.ceil(len(bins) * q) - 1] / 10000 for q in (0.16, 0.5, 0.84))
+        return mid - quality.LOW * max(mid - low, quality.LEAST), mid + quality.HIGH * max(high - mid, quality.LEAST)
+
+    every = band(scored)
+    own = {lang: band([i for i in scored if scored[i] == lang]) for lang in set(scored.values()) if sum(x == lang for x in scored.values()) >= quality.MIN_BAND}
+    return {i: (not failed[i] and own.get(lang, every)[0] <= entropy[i] <= own.get(lang, every)[1], entropy.get(i)) for i, _, lang in rows}
+
+
+def odd_documents():
+    """Documents of one vocabulary, with some of other letters (above the band) and some that vary one pattern (below it)."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeioustrnl") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(120)), "en" if i % 2 else "fr") for i in range(300)]
+    rows += [(1000 + i, " ".join("".join(rng.choice("zqxjkvwбгд|#") for _ in range(5)) for _ in range(60)), "en") for i in range(3)]
+    return rows + [(2000, " ".join(w for k in range(40) for w in ("aaaa", "aaaa", f"b{k}b")), "fr"), (2001, "short", "en"), (2002, None, None), (2003, "", "fr")]
+
+
+@pytest.mark.parametrize("broadcast_rows", [10**6, 3])
+def test_kept_equals_brute_force_and_both_ends_reject(spark, broadcast_rows):
+    rows = odd_documents()
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], DOCS)
+    got = {r["doc_id"]: r for r in quality.quality_report(docs, broadcast_rows=broadcast_rows).collect()}
+    want = brute_verdicts(rows)
+    assert {i: r["kept"] for i, r in got.items()} == {i: k for i, (k, _) in want.items()}
+    for i, (_, entropy) in want.items():
+        assert got[i]["perplexity"] == (None if entropy is None else pytest.approx(math.exp(entropy), rel=1e-4))
+    assert not any(got[i]["kept"] for i in (1000, 1001, 1002, 2000)) and not got[2000]["base_failed"] and sum(got[i]["kept"] for i in range(300)) >= 298
+
+
+def test_kneser_ney_equals_the_definition(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abbcdé") for _ in range(400))
+    counts = Counter(text[i : i + 3] for i in range(len(text) - 2))
+    got = {r["gram"]: r["p"] for r in quality.kneser_ney(spark.createDataFrame(list(counts.items()), "gram string, n long"), 3).collect()}
+    assert got == pytest.approx(brute_kneser_ney(counts, 3))
 
-    return {g: math.log(p(g)) for g in counts}
 
-
-def test_kneser_ney_equals_the_definition():
-    rng = random.Random(4)
-    text = [rng.choice([0, 1, 1, 2, 3]) for _ in range(300)]
-    order, alphabet = 3, 4
-    counts = Counter(tuple(text[i : i + order]) for i in range(len(text) - order + 1))
-    keys = sorted(product(range(alphabet), repeat=order))
-    seen = [g for g in keys if g in counts]
-    got = quality.kneser_ney(np.array([sum(x * alphabet ** (order - 1 - i) for i, x in enumerate(g)) for g in seen]), np.array([counts[g] for g in seen]), order, alphabet)
-    want = brute_kneser_ney(counts, order, alphabet)
-    assert got == pytest.approx([want[g] for g in seen])
+def test_long_texts_are_cut_without_a_change():
+    texts = ["abc" * 500, None, "x", "", "длинный текст " * 90]
+    flat = lambda size: sorted((int(o), int(k)) for keys, owners, _, _ in quality.text_grams(texts, 5, size) for k, o in zip(keys, owners))
+    assert flat(10**6) == flat(37) == flat(4) and len(flat(4)) == sum(len(t or "") for t in texts)
+    assert quality.base_counts("w1 w2 w3 " * 5000) == brute_counts("w1 w2 w3 " * 5000) and len(quality.word_keys("ab cd " * 100, 7)) == 200
 
 
 def test_quality_edges_and_columns(spark):
@@ -446,3 +557,9 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard):
             want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
     assert {tuple(r) for r in topk_search.top_k(df).collect()} == want
     assert topk_search.top_k(df.limit(0)).count() == 0
+
+
+def test_top_k_of_huge_components(spark):
+    df = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 0.0]), (2, [-1e18, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    big = 2**63 - 1
+    assert [tuple(r) for r in topk_search.top_k(df).orderBy("rank").collect()] == [(0, 1, 1, big), (0, 2, 3, big), (0, 3, 2, -(2**63))]

@@ -5,16 +5,14 @@ keyword, a whole word of every match. Priorities: 0 a certain licence and versio
 """
 
 RULES = """
-0 | gpl-1.0 | gnu | gnu general public licen[cs]e version|v 1
-0 | gpl-2.0 | gnu | gnu general public licen[cs]e version|v 2
-0 | gpl-2.0 | v2 | gnu general public licen[cs]e v2
-0 | gpl-3.0 | gnu | gnu general public licen[cs]e version|v 3
-0 | gpl-3.0 | v3 | gnu general public licen[cs]e v3
-0 | gpl-1.0-or-later | published | gnu general public licen[cs]e as published by the free software foundation either version 1 or at your option any later version
-0 | gpl-2.0-or-later | published | gnu general public licen[cs]e as published by the free software foundation either version 2 of the licen[cs]e or at your option any later version
-0 | gpl-3.0-or-later | published | gnu general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e or at your option any later version
-0 | gpl-2.0-only | published | gnu general public licen[cs]e version 2 as published by the free software foundation
-0 | gpl-3.0-only | published | gnu general public licen[cs]e version 3 as published by the free software foundation
+0 | gpl-1.0 | gnu | gnu general public licen[cs]e version|v? v?1
+0 | gpl-2.0 | gnu | gnu general public licen[cs]e version|v? v?2
+0 | gpl-3.0 | gnu | gnu general public licen[cs]e version|v? v?3
+0 | gpl-1.0-or-later | published | gnu general public licen[cs]e as published by the free software foundation either version? v?1 or at your option any later version
+0 | gpl-2.0-or-later | published | gnu general public licen[cs]e as published by the free software foundation either version? v?2 of the licen[cs]e or at your option any later version
+0 | gpl-3.0-or-later | published | gnu general public licen[cs]e as published by the free software foundation either version? v?3 of the licen[cs]e or at your option any later version
+0 | gpl-2.0-only | published | gnu general public licen[cs]e version? v?2 as published by the free software foundation
+0 | gpl-3.0-only | published | gnu general public licen[cs]e version? v?3 as published by the free software foundation
 0 | gpl-1.0-only | spdx | spdx licen[cs]e identifier gpl 1 0 only
 0 | gpl-1.0-or-later | spdx | spdx licen[cs]e identifier gpl 1 0 or later
 0 | gpl-2.0-only | spdx | spdx licen[cs]e identifier gpl 2 0 only
@@ -34,20 +32,20 @@ RULES = """
 3 | gpl | program | this program is free software you can redistribute it and or modify it
 3 | gpl | merchantability | without even the implied warranty of merchantability or fitness for a particular purpose see the gnu
 3 | gpl | received | you should have received a copy of the gnu general public licen[cs]e
-0 | agpl-3.0 | affero | gnu? affero general public licen[cs]e version|v 3
-0 | agpl-3.0-or-later | affero | gnu affero general public licen[cs]e as published by the free software foundation either version 3
-0 | agpl-1.0 | affero | affero general public licen[cs]e version 1
+0 | agpl-3.0 | affero | gnu? affero general public licen[cs]e version|v? v?3
+0 | agpl-3.0-or-later | affero | gnu affero general public licen[cs]e as published by the free software foundation either version? v?3
+0 | agpl-1.0 | affero | affero general public licen[cs]e version? v?1
 0 | agpl-3.0-only | spdx | spdx licen[cs]e identifier agpl 3 0 only
 0 | agpl-3.0-or-later | spdx | spdx licen[cs]e identifier agpl 3 0 or later
 0 | agpl-3.0 | spdx | spdx licen[cs]e identifier agpl 3 0
 1 | agpl | affero | gnu? affero general public licen[cs]e
 2 | agpl | agpl | licensed under the? agpl
 2 | agpl | agplv3 | licensed under the? agplv3
-0 | lgpl-2.0 | library | gnu library general public licen[cs]e version|v 2
-0 | lgpl-2.1 | lesser | gnu lesser general public licen[cs]e version|v 2 1
-0 | lgpl-3.0 | lesser | gnu lesser general public licen[cs]e version|v 3
-0 | lgpl-2.1-or-later | lesser | gnu lesser general public licen[cs]e as published by the free software foundation either version 2 1
-0 | lgpl-3.0-or-later | lesser | gnu lesser general public licen[cs]e as published by the free software foundation either version 3
+0 | lgpl-2.0 | library | gnu library general public licen[cs]e version|v? v?2
+0 | lgpl-2.1 | lesser | gnu lesser general public licen[cs]e version|v? v?2 1
+0 | lgpl-3.0 | lesser | gnu lesser general public licen[cs]e version|v? v?3
+0 | lgpl-2.1-or-later | lesser | gnu lesser general public licen[cs]e as published by the free software foundation either version? v?2 1
+0 | lgpl-3.0-or-later | lesser | gnu lesser general public licen[cs]e as published by the free software foundation either version? v?3
 0 | lgpl-2.0-only | spdx | spdx licen[cs]e identifier lgpl 2 0 only
 0 | lgpl-2.0-or-later | spdx | spdx licen[cs]e identifier lgpl 2 0 or later
 0 | lgpl-2.1-only | spdx | spdx licen[cs]e identifier lgpl 2 1 only
@@ -58,18 +56,18 @@ RULES = """
 1 | lgpl | library | gnu? library general public licen[cs]e
 2 | lgpl | lgpl | licensed under the? lgpl
 2 | lgpl | lgpl | lgpl licen[cs]e
-0 | gfdl-1.1 | documentation | gnu free documentation licen[cs]e version 1 1
-0 | gfdl-1.2 | documentation | gnu free documentation licen[cs]e version 1 2
-0 | gfdl-1.3 | documentation | gnu free documentation licen[cs]e version 1 3
+0 | gfdl-1.1 | documentation | gnu free documentation licen[cs]e version? v?1 1
+0 | gfdl-1.2 | documentation | gnu free documentation licen[cs]e version? v?1 2
+0 | gfdl-1.3 | documentation | gnu free documentation licen[cs]e version? v?1 3
 0 | gfdl-1.3-or-later | spdx | spdx licen[cs]e identifier gfdl 1 3 or later
 0 | gfdl-1.3-only | spdx | spdx licen[cs]e identifier gfdl 1 3 only
 1 | gfdl | documentation | gnu? free documentation licen[cs]e
 3 | gfdl | invariant | with no invariant sections no front cover texts and no back cover texts a copy of the licen[cs]e
-0 | apache-1.0 | apache | apache software? licen[cs]e version 1 0
-0 | apache-1.1 | apache | apache software? licen[cs]e version 1 1
-0 | apache-2.0 | apache | apache software? licen[cs]e version|v 2 0?
+0 | apache-1.0 | apache | apache software? licen[cs]e version? v?1 0
+0 | apache-1.1 | apache | apache software? licen[cs]e version? v?1 1
+0 | apache-2.0 | apache | apache software? licen[cs]e version|v? v?2 0?
 0 | apache-2.0 | apache | apache software? licen[cs]e 2 0
-0 | apache-2.0 | apache | licensed under the apache licen[cs]e version 2 0 the licen[cs]e you may not use this file except in compliance with the licen[cs]e
+0 | apache-2.0 | apache | licensed under the apache licen[cs]e version? v?2 0 the licen[cs]e you may not use this file except in compliance with the licen[cs]e
 0 | apache-2.0 | licenses | apache org licenses license 2 0
 0 | apache-1.1 | spdx | spdx licen[cs]e identifier apache 1 1
 0 | apache-2.0 | spdx | spdx licen[cs]e identifier apache 2 0
@@ -131,25 +129,25 @@ RULES = """
 1 | zlib | zlib | zlib licen[cs]e
 1 | libpng | libpng | zlib? libpng licen[cs]e
 3 | zlib | express | this software is provided as is without any express or implied warranty
-0 | mpl-1.0 | mozilla | mozilla public licen[cs]e version|v 1 0
-0 | mpl-1.1 | mozilla | mozilla public licen[cs]e version|v 1 1
-0 | mpl-2.0 | mozilla | mozilla public licen[cs]e version|v 2 0?
+0 | mpl-1.0 | mozilla | mozilla public licen[cs]e version|v? v?1 0
+0 | mpl-1.1 | mozilla | mozilla public licen[cs]e version|v? v?1 1
+0 | mpl-2.0 | mozilla | mozilla public licen[cs]e version|v? v?2 0?
 0 | mpl-2.0 | source | this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0
 0 | mpl-1.1 | spdx | spdx licen[cs]e identifier mpl 1 1
 0 | mpl-2.0 | spdx | spdx licen[cs]e identifier mpl 2 0
 0 | mpl-2.0-no-copyleft-exception | incompatible | incompatible with secondary licenses as defined by the mozilla public licen[cs]e
 1 | mpl | mozilla | mozilla public licen[cs]e
 1 | npl | netscape | netscape public licen[cs]e
-0 | epl-1.0 | eclipse | eclipse public licen[cs]e version|v 1 0
-0 | epl-2.0 | eclipse | eclipse public licen[cs]e version|v 2 0
+0 | epl-1.0 | eclipse | eclipse public licen[cs]e version|v? v?1 0
+0 | epl-2.0 | eclipse | eclipse public licen[cs]e version|v? v?2 0
 0 | epl-1.0 | spdx | spdx licen[cs]e identifier epl 1 0
 0 | epl-2.0 | spdx | spdx licen[cs]e identifier epl 2 0
 1 | epl | eclipse | eclipse public licen[cs]e
 1 | edl-1.0 | eclipse | eclipse distribution licen[cs]e
 1 | cpl-1.0 | common | common public licen[cs]e
 1 | ipl-1.0 | ibm | ibm public licen[cs]e
-0 | cddl-1.0 | cddl | common development and distribution licen[cs]e cddl version 1 0
-0 | cddl-1.1 | cddl | common development and distribution licen[cs]e cddl version 1 1
+0 | cddl-1.0 | cddl | common development and distribution licen[cs]e cddl version? v?1 0
+0 | cddl-1.1 | cddl | common development and distribution licen[cs]e cddl version? v?1 1
 0 | cddl-1.0 | spdx | spdx licen[cs]e identifier cddl 1 0
 1 | cddl | development | common development and distribution licen[cs]e
 1 | cpal-1.0 | attribution | common public attribution licen[cs]e
@@ -157,26 +155,26 @@ RULES = """
 0 | eupl-1.2 | eupl | european union public licen[cs]e eupl v 1 2
 0 | eupl-1.2 | spdx | spdx licen[cs]e identifier eupl 1 2
 1 | eupl | union | european union public licen[cs]e
-0 | osl-3.0 | open | open software licen[cs]e version|v 3 0
+0 | osl-3.0 | open | open software licen[cs]e version|v? v?3 0
 1 | osl | open | open software licen[cs]e
-0 | afl-2.1 | academic | academic free licen[cs]e version 2 1
-0 | afl-3.0 | academic | academic free licen[cs]e version 3 0
+0 | afl-2.1 | academic | academic free licen[cs]e version? v?2 1
+0 | afl-3.0 | academic | academic free licen[cs]e version? v?3 0
 1 | afl | academic | academic free licen[cs]e
 0 | artistic-1.0 | artistic | artistic licen[cs]e 1 0
 0 | artistic-2.0 | artistic | artistic licen[cs]e version? 2 0
 0 | artistic-2.0 | spdx | spdx licen[cs]e identifier artistic 2 0
 1 | artistic | artistic | artistic licen[cs]e
 2 | artistic | perl | licensed under the same terms as perl itself
-0 | bsl-1.0 | boost | boost software licen[cs]e version 1 0
+0 | bsl-1.0 | boost | boost software licen[cs]e version? v?1 0
 0 | bsl-1.0 | spdx | spdx licen[cs]e identifier bsl 1 0
 1 | bsl-1.0 | boost | boost software licen[cs]e
 0 | busl-1.1 | business | business source licen[cs]e 1 1
 0 | busl-1.1 | spdx | spdx licen[cs]e identifier busl 1 1
 1 | busl | business | business source licen[cs]e
-0 | psf-2.0 | python | python software foundation licen[cs]e version 2
+0 | psf-2.0 | python | python software foundation licen[cs]e version? v?2
 1 | psf | python | python software foundation licen[cs]e
 1 | cnri-python | cnri | cnri open source licen[cs]e agreement
-0 | php-3.01 | php | php licen[cs]e version 3 01
+0 | php-3.01 | php | php licen[cs]e version? v?3 01
 1 | php | php | php licen[cs]e
 1 | ruby | ruby | ruby licen[cs]e
 1 | openssl | openssl | openssl licen[cs]e
@@ -187,7 +185,7 @@ RULES = """
 1 | curl | curl | curl licen[cs]e
 1 | tcl | tcl | tcl tk licen[cs]e
 1 | ntp | ntp | ntp licen[cs]e
-0 | ofl-1.1 | font | sil open font licen[cs]e version 1 1
+0 | ofl-1.1 | font | sil open font licen[cs]e version? v?1 1
 0 | ofl-1.1 | spdx | spdx licen[cs]e identifier ofl 1 1
 1 | ofl | font | sil? open font licen[cs]e
 0 | ms-pl | spdx | spdx licen[cs]e identifier ms pl
@@ -195,16 +193,16 @@ RULES = """
 1 | ms-pl | microsoft | microsoft public licen[cs]e
 1 | ms-rl | microsoft | microsoft reciprocal licen[cs]e
 1 | ncsa | illinois | university of illinois ncsa? open source licen[cs]e
-0 | ecl-2.0 | educational | educational community licen[cs]e version 2 0
+0 | ecl-2.0 | educational | educational community licen[cs]e version? v?2 0
 1 | ecl | educational | educational community licen[cs]e
 1 | upl-1.0 | permissive | universal permissive licen[cs]e
 1 | qpl-1.0 | q | q public licen[cs]e
-0 | zpl-2.1 | zope | zope public licen[cs]e version 2 1
+0 | zpl-2.1 | zope | zope public licen[cs]e version? v?2 1
 1 | zpl | zope | zope public licen[cs]e
 1 | w3c | w3c | w3c software notice? and? licen[cs]e
 1 | sleepycat | sleepycat | sleepycat licen[cs]e
 1 | rpl | reciprocal | reciprocal public licen[cs]e
-0 | sspl-1.0 | server | server side public licen[cs]e version 1
+0 | sspl-1.0 | server | server side public licen[cs]e version? v?1
 1 | sspl | server | server side public licen[cs]e
 0 | elastic-2.0 | elastic | elastic licen[cs]e 2 0
 1 | elastic | elastic | elastic licen[cs]e
@@ -213,7 +211,7 @@ RULES = """
 1 | pddl-1.0 | dedication | public domain dedication and licen[cs]e
 1 | cdla-permissive | community | community data licen[cs]e agreement permissive
 1 | cdla-sharing | community | community data licen[cs]e agreement sharing
-0 | cecill-2.1 | cecill | cecill free software licen[cs]e agreement version 2 1
+0 | cecill-2.1 | cecill | cecill free software licen[cs]e agreement version? v?2 1
 1 | cecill-b | cecill | cecill b licen[cs]e
 1 | cecill-c | cecill | cecill c licen[cs]e
 1 | cecill | cecill | cecill licen[cs]e
