@@ -52,6 +52,15 @@ def s1_bars(spark, sf_dir):
     return adapter.bars(spark, sf_dir)
 
 
+@query(f"WITH {oracle.BARS.strip()} SELECT * FROM bars")
+def s1_read_bars(spark, sf_dir):
+    """Bars written as a table, with rows that lack a key among them, and read by the reader."""
+    path, bars = _scratch(spark), adapter.bars(spark, sf_dir)
+    broken = bars.limit(5).withColumn("symbol", F.lit(None).cast("string")).unionByName(bars.limit(5).withColumn("date", F.lit(None).cast("date")))
+    bars.unionByName(broken).write.parquet(path)
+    return tables.read_bars(spark, path)
+
+
 def _family(family: str) -> Query:
     def run(spark, sf_dir):
         return _only(factors.price_family(_returns(spark, sf_dir), family), factors.price_names(family))
@@ -162,10 +171,22 @@ def s3_universe(spark, sf_dir):
     return tables.clean_universe(adapter.universe(spark, sf_dir).filter("ord < 50"))
 
 
-@query()
+@query("SELECT series_id, CAST(date AS VARCHAR) AS date, value FROM (WITH " + oracle.MACRO.strip() + " SELECT * FROM macro)", dates=())
+def s2_read_macro(spark, sf_dir):
+    """Observations written as text, with missing markers and bad dates among them, and read by the reader."""
+    path, rows = _scratch(spark), adapter.macro(spark, sf_dir).select("series_id", "date", "value")
+    missing = rows.limit(3).withColumn("value", F.lit(".")).unionByName(rows.limit(3).withColumn("value", F.lit(""))).unionByName(rows.limit(3).withColumn("date", F.lit("n/a")))
+    rows.unionByName(missing).write.csv(path, header=True)
+    return tables.read_macro(spark, path)
+
+
+@query(f"WITH {oracle.PLACES.strip(', ').strip()} SELECT replace(trim(symbol), '.', '-') AS symbol, trim(sector) AS sector FROM places", dates=())
 def s3_whole_universe(spark, sf_dir):
-    """The whole table cleaned, not the first 50 rows that s3_universe's SQL fixes."""
-    return tables.clean_universe(adapter.universe(spark, sf_dir))
+    """The whole snapshot written as text and read by the reader."""
+    path = _scratch(spark)
+    places = adapter.universe(spark, sf_dir)
+    places.select(F.concat(F.lit(" "), "symbol").alias("symbol"), "sector", F.lit("2024-01-01").alias("snapshot_date")).write.csv(path, header=True)
+    return tables.read_universe(spark, path).drop("ord")
 
 
 @query(f"WITH {oracle.PLACES.strip(', ').strip()} SELECT sector, count(*) AS names FROM places GROUP BY sector", dates=())
@@ -641,6 +662,16 @@ TREES = 20  #: boosting rounds of the queries' models; the operators' default is
 TILES = dict(train=12, val=3, test=3, step=3)  #: test ranges tile the history
 
 
+@query(oracle.core_panel(panel.CORE))
+def s4_read_panel(spark, sf_dir):
+    """The core panel written by year, one half of the symbols after the other, and read again with its columns."""
+    path = _scratch(spark)
+    built = _kept(panel.project(panel.build_panel(adapter.bars(spark, sf_dir), only=panel.CORE)))
+    first = F.pmod(F.xxhash64("symbol"), F.lit(2)) == 0
+    tables.write_panel(tables.stack([built.filter(first), built.filter(~first)]), path)
+    return rounded(tables.read_panel(spark, path, built.columns))
+
+
 def _model_rows(spark, sf_dir):
     return _features(spark, sf_dir).dropna()
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,7 +95,3 @@ def quantile_bucket(x: Column, edges: Column) -> Column:
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All double columns rounded, -0.0 as 0.0; moved a little first, as engines differ on which way an exact half goes."""
     return df.select(*[(F.round(F.col(c) + 1e-9, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def product_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a * b, columns)

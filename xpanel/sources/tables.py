@@ -38,6 +38,14 @@ def clean_universe(universe: DataFrame, order: str = "ord") -> DataFrame:
     return rows.withColumn("_first", first).filter("_first = 1").drop("_first")
 
 
+def stack(panels: list[DataFrame]) -> DataFrame:
+    """Panels of different symbols under one another; a column that a panel lacks is null there."""
+    out = panels[0]
+    for p in panels[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def read_universe(spark: SparkSession, path: str, top_n: int | None = None) -> DataFrame:
     """A snapshot file in its order (small: one file), the first top_n rows if given."""
     rows = spark.read.schema(UNIVERSE).csv(path, header=True).withColumn("ord", F.monotonically_increasing_id())
