@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xpanel.llm.common import materialise, mix64, shuffles_released, small, text_slices, worker_cache
+from xpanel.llm.common import delete, intermediates, materialise, mix64, shuffles_released, small, text_slices, worker_cache
 from xpanel.llm.words import WORD_SQL, word_chunks
 
-ALPHA, PASSES, FILTER_KEYS, SEGMENTS = 0.4, 2, 16_000_000, 64
+ALPHA, PASSES, FILTER_KEYS, SEGMENTS = 0.4, 4, 16_000_000, 64
 CHUNK, PART_BYTES, BROADCAST_WORDS = 4_000_000, 16_000_000, 1_000_000
 COUNTS = "part int, x binary, y binary, c0 binary, c1 binary"
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -114,17 +114,17 @@ def key_filter(table: DataFrame, key: str = "key", limit: int = FILTER_KEYS):
 # --- counts -----------------------------------------------------------------------------------------------------------
 
 
-def _grams(words: np.ndarray, docs: np.ndarray, new: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For words, pairs and trigrams: keys, the two parts (of a word: itself), and the text of each that ends in a new word."""
-    yield words[new:], words[new:], words[new:], docs[new:]
-    pairs = pair_keys(words[:-1], words[1:])
-    at = np.flatnonzero(docs[1:] == docs[:-1]) + 1
-    at = at[at >= new]
-    yield pairs[at - 1], words[at - 1], words[at], docs[at]
-    at = np.flatnonzero(docs[2:] == docs[:-2]) + 2
+def _grams(words: np.ndarray, docs: np.ndarray, new: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the n-grams of `level` words that end in a new word: keys, the two parts (of a word: itself), and the texts they stand in."""
+    if level == 1:
+        return words[new:], words[new:], words[new:], docs[new:]
+    at = np.flatnonzero(docs[level - 1 :] == docs[: 1 - level]) + level - 1
     at = at[at >= new]
+    if level == 2:
+        return pair_keys(words[at - 1], words[at]), words[at - 1], words[at], docs[at]
+    pairs = pair_keys(words[:-1], words[1:])
     ab, bc = pairs[at - 2], pairs[at - 1]
-    yield trigram_keys(ab, bc), ab, bc, docs[at]
+    return trigram_keys(ab, bc), ab, bc, docs[at]
 
 
 def _count(level: int, possible, parts: int):
@@ -134,7 +134,7 @@ def _count(level: int, possible, parts: int):
             for b in text_slices(batch, limit=CHUNK):
                 halves = b.column("half").to_numpy()
                 for words, docs, new in word_chunks(b.column("text").to_pylist(), level - 1, CHUNK):
-                    keys, x, y, owners = list(_grams(words, docs, new))[level - 1]
+                    keys, x, y, owners = _grams(words, docs, new, level)
                     if possible is not None:
                         keep = possible.value(x) & possible.value(y)
                         keys, x, y, owners = keys[keep], x[keep], y[keep], owners[keep]
@@ -156,13 +156,13 @@ def _key(level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _merge(level: int):
-    """The n-grams of each partition that both halves have; the arrays of a partition come one after the other."""
+    """The n-grams of each partition (of two words or more: that both halves have); the arrays of a partition come one after the other."""
 
     def added(held: list[tuple[bytes, ...]]) -> pa.RecordBatch:
         x, y, c0, c1 = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held), ("<u8", "<u8", "<u4", "<u4")))
         keys, first, at = np.unique(_key(level, x, y), return_index=True, return_inverse=True)
         c0, c1 = (np.bincount(at, c, len(keys)).astype(np.int64) for c in (c0, c1))
-        keep = (c0 > 0) & (c1 > 0)
+        keep = (c0 > 0) & (c1 > 0) | (level == 1)
         columns = [a.view(np.int64) for a in (keys[keep], x[first][keep], y[first][keep])] + [c0[keep], c1[keep]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "x", "y", "c0", "c1"])
 
@@ -181,9 +181,9 @@ def _merge(level: int):
     return merge
 
 
-def count_table(docs: DataFrame, level: int, n_words: float, possible=None) -> DataFrame:
-    """key, x, y, c0, c1: the n-grams of `level` words that both halves have, with their counts in each; tasks add up their own first."""
-    parts = max(8, math.ceil(n_words * 24 / PART_BYTES))
+def count_table(docs: DataFrame, level: int, parts: int, possible=None) -> DataFrame:
+    """key, x, y, c0, c1: n-grams of `level` words with their counts in each half, added up in `parts` partitions; but for words, those
+    that both halves have."""
     partial = docs.select("text", "half").mapInArrow(_count(level, possible, parts), COUNTS)
     return partial.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge(level), "key long, x long, y long, c0 long, c1 long")
 
@@ -192,15 +192,17 @@ def count_table(docs: DataFrame, level: int, n_words: float, possible=None) -> D
 
 
 def _explode(levels: tuple[int, ...], possible, passes: int, which: int):
-    """doc_id, key, n: a document's n-grams of the levels with their occurrences, counted below zero in half 1."""
+    """doc_id, key, n: a document's n-grams of the levels with their occurrences, counted below zero in half 1. With words comes a row
+    without a key for each text: its steps of back-off if no n-gram were known."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in text_slices(batch):
-                ids, sign = b.column("doc_id"), np.where(b.column("half").to_numpy() == 0, 1, -1)
+                ids, sign, sizes = b.column("doc_id"), np.where(b.column("half").to_numpy() == 0, 1, -1), np.zeros(b.num_rows, np.int64)
                 for words, docs, new in word_chunks(b.column("text").to_pylist(), max(levels) - 1):
-                    parts = [(k, o) for i, (k, _, _, o) in enumerate(_grams(words, docs, new), 1) if i in levels]
-                    keys, owners = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                    sizes += np.bincount(docs[new:], minlength=len(sizes))
+                    parts = [_grams(words, docs, new, level) for level in levels]
+                    keys, owners = (np.concatenate([p[i] for p in parts]) for i in (0, 3))
                     if passes > 1:
                         mine = keys % np.uint64(passes) == which
                         keys, owners = keys[mine], owners[mine]
@@ -210,67 +212,66 @@ def _explode(levels: tuple[int, ...], possible, passes: int, which: int):
                     _, first, n = np.unique(mix64(keys + owners.astype(np.uint64) * _C), return_index=True, return_counts=True)
                     owner = owners[first]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(keys[first].view(np.int64)), pa.array((n * sign[owner]).astype(np.int32))], ["doc_id", "key", "n"])
+                if 1 in levels:
+                    backed = np.maximum(sizes - 1, 0) + np.maximum(sizes - 2, 0)
+                    yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(sizes), pa.int64()), pa.array(backed.astype(np.int32))], ["doc_id", "key", "n"])
 
     return explode
 
 
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in text_slices(batch):
-            n = np.zeros(b.num_rows, np.int64)
-            for _, docs, _ in word_chunks(b.column("text").to_pylist(), 0):
-                n += np.bincount(docs, minlength=b.num_rows)
-            backed = np.maximum(n - 1, 0) + np.maximum(n - 2, 0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("half"), pa.array(n), pa.array(backed)], ["doc_id", "half", "n_words", "backed"])
-
-
-def differences(docs: DataFrame, totals: list[float], filter_keys: int = FILTER_KEYS) -> tuple[DataFrame, DataFrame]:
-    """Of words, and of pairs and trigrams: key, d0, d1, what an n-gram adds to log10 scores under the counts of half 0 and of half 1,
-    against the level below."""
+def differences(docs: DataFrame, counts: DataFrame, totals: list[float], filter_keys: int = FILTER_KEYS) -> DataFrame:
+    """key, d0, d1 of pairs and trigrams: what an n-gram adds to log10 scores under the counts of half 0 and of half 1, against the level
+    below. counts: those of words."""
     log = lambda c: F.log10(c)
-    a, n_words = math.log10(ALPHA), sum(totals)
-    words = materialise(count_table(docs, 1, n_words).select("key", *[log(f"c{g}").alias(f"l{g}") for g in (0, 1)]))
-    pairs = count_table(docs, 2, n_words)
+    a, parts = math.log10(ALPHA), partitions(totals)
+    words = counts.filter("c0 > 0 AND c1 > 0").select("key", *[log(f"c{g}").alias(f"l{g}") for g in (0, 1)])
     first, second = (words.toDF(k, f"{k}0", f"{k}1") for k in ("f", "s"))
     if small(words, BROADCAST_WORDS):
         first, second = F.broadcast(first), F.broadcast(second)
-    joined = pairs.join(first, F.col("x") == F.col("f")).join(second, F.col("y") == F.col("s"))
-    pairs = materialise(
-        joined.select(
-            "key", *[log(f"c{g}").alias(f"l{g}") for g in (0, 1)], *[(log(f"c{g}") - F.col(f"f{g}")).alias(f"q{g}") for g in (0, 1)],
-            *[(log(f"c{g}") - F.col(f"f{g}") - a - F.col(f"s{g}") + math.log10(totals[g])).alias(f"d{g}") for g in (0, 1)],
-        )
-    )
-    three = materialise(count_table(docs, 3, n_words, key_filter(pairs, limit=filter_keys)))
-    context, below = pairs.select(F.col("key").alias("k1"), "l0", "l1"), pairs.select(F.col("key").alias("k2"), "q0", "q1")
-    three = three.join(context, F.col("x") == F.col("k1")).join(below, F.col("y") == F.col("k2"))
-    three = three.select("key", *[(log(f"c{g}") - F.col(f"l{g}") - a - F.col(f"q{g}")).alias(f"d{g}") for g in (0, 1)])
-    return words.select("key", (F.col("l0") - a).alias("d0"), (F.col("l1") - a).alias("d1")), materialise(pairs.select("key", "d0", "d1").unionByName(three))
-
-
-def _summed(rows: DataFrame, table: DataFrame) -> DataFrame:
-    other = F.when(F.col("n") > 0, F.col("d1")).otherwise(F.col("d0"))
-    return materialise(rows.join(table, "key").groupBy("doc_id").agg(F.sum(F.abs("n") * other).alias("score")))
+    with intermediates() as made:
+        joined = count_table(docs, 2, parts).join(first, F.col("x") == F.col("f")).join(second, F.col("y") == F.col("s"))
+        pairs = materialise(
+            joined.select(
+                "key", *[log(f"c{g}").alias(f"l{g}") for g in (0, 1)], *[(log(f"c{g}") - F.col(f"f{g}")).alias(f"q{g}") for g in (0, 1)],
+                *[(log(f"c{g}") - F.col(f"f{g}") - a - F.col(f"s{g}") + math.log10(totals[g])).alias(f"d{g}") for g in (0, 1)],
+            )
+        )
+        three = materialise(count_table(docs, 3, parts, key_filter(pairs, limit=filter_keys)))
+        context, below = pairs.select(F.col("key").alias("k1"), "l0", "l1"), pairs.select(F.col("key").alias("k2"), "q0", "q1")
+        three = three.join(context, F.col("x") == F.col("k1")).join(below, F.col("y") == F.col("k2"))
+        three = three.select("key", *[(log(f"c{g}") - F.col(f"l{g}") - a - F.col(f"q{g}")).alias(f"d{g}") for g in (0, 1)])
+        table = materialise(pairs.select("key", "d0", "d1").unionByName(three))
+    delete(docs.sparkSession, made[:-1])
+    return table
+
+
+def partitions(totals: list[float]) -> int:
+    """Hash partitions of an n-gram table: an n-gram a word, of 24 bytes, PART_BYTES in each."""
+    return max(8, math.ceil(sum(totals) * 24 / PART_BYTES))
 
 
 def score_corpus(docs: DataFrame, filter_keys: int = FILTER_KEYS, passes: int = PASSES) -> DataFrame:
     """doc_id, n_words, score: the mean log10 stupid-backoff score of a document's words under the other half's counts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", half(F.col("doc_id")).alias("half"))
-    lengths = materialise(docs.mapInArrow(_lengths, "doc_id long, half int, n_words long, backed long"))
-    counted = {r["half"]: r["n"] for r in lengths.groupBy("half").agg(F.sum("n_words").alias("n")).collect()}  # two rows
-    totals = [float(max(counted.get(g, 0), 1)) for g in (0, 1)]
-    a, schema = math.log10(ALPHA), "doc_id long, key long, n int"
+    exploded = lambda *how: docs.mapInArrow(_explode(*how), "doc_id long, key long, n int")
+    other = lambda a, b: F.when(F.col("n") > 0, b).otherwise(a)  # noqa: E731  n is below zero in half 1, which is scored by half 0
+    a = math.log10(ALPHA)
     with shuffles_released(docs.sparkSession):
-        words, table = differences(docs, totals, filter_keys)
+        size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+        counts = materialise(count_table(docs, 1, partitions([size / 50])).select("key", "c0", "c1"))  # far fewer distinct words than words
+        totals = [float(max(n or 0, 1)) for n in counts.agg(F.sum("c0"), F.sum("c1")).first()]
+        table = differences(docs, counts, totals, filter_keys)
+        words = counts.select("key", *[F.log10(F.when(F.col(f"c{g}") > 0, F.col(f"c{g}")).otherwise(ALPHA)).alias(f"d{g}") for g in (0, 1)])
         words = F.broadcast(words) if small(words, BROADCAST_WORDS) else words
-        sums = _summed(docs.mapInArrow(_explode((1,), None, 1, 0), schema), words)
+        value = F.abs("n") * (other(F.col("d0"), F.col("d1")) - other(F.lit(math.log10(totals[0])), F.lit(math.log10(totals[1]))))
+        of_words = exploded((1,), None, 1, 0).join(words, "key", "left")
+        sums = materialise(of_words.groupBy("doc_id").agg(F.sum(F.when(F.col("key").isNull(), F.col("n") * a).otherwise(value)).alias("score"), F.sum(F.when(F.col("key").isNull(), 0).otherwise(F.abs("n"))).alias("n_words")))
         possible = key_filter(table, limit=filter_keys)
         for i in range(passes):
-            sums = sums.unionByName(_summed(docs.mapInArrow(_explode((2, 3), possible, passes, i), schema), table))
-    other = F.when(F.col("half") == 0, math.log10(totals[1])).otherwise(math.log10(totals[0]))
-    constant = lengths.select("doc_id", (F.col("n_words") * (F.lit(a) - other) + F.col("backed") * a).alias("score"), "n_words")
-    every = sums.select("doc_id", "score", F.lit(0).cast("long").alias("n_words")).unionByName(constant)
-    out = every.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
+            joined = exploded((2, 3), possible, passes, i).join(table, "key")
+            part = joined.groupBy("doc_id").agg(F.sum(F.abs("n") * other(F.col("d0"), F.col("d1"))).alias("score"))
+            sums = sums.unionByName(materialise(part.withColumn("n_words", F.lit(0).cast("long"))))
+    out = sums.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
     return out.select("doc_id", "n_words", F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6).alias("score"))
 
 

@@ -261,8 +261,9 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Fal
     sets = sets.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "first_id", F.coalesce("label", "set_key").alias("label"))
     named = sets.groupBy("label").agg(F.min("first_id").alias("class_id"))
     sets = sets.join(named, "label").select("set_key", "label", "class_id")
-    out = sketched.select("doc_id", "text_key", "set_key", "n_shingles").join(sets, "set_key", "left")
-    return out.withColumn("class_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
+    rows, named = sketched.select("doc_id", "text_key", "set_key", "n_shingles"), ["set_key", "doc_id", "text_key", "n_shingles", "label", "class_id"]
+    without = rows.filter(F.col("set_key").isNull()).withColumn("label", F.lit(None).cast("long")).withColumn("class_id", F.col("doc_id"))  # not shuffled to one task
+    return rows.filter(F.col("set_key").isNotNull()).join(sets, "set_key").select(named).unionByName(without.select(named))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:

@@ -58,6 +58,8 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         parts = {w: m.groups() for w in words if (m := PLAIN.fullmatch(w))}
         whole = [w for w in words if w not in parts]
+        if len(self.letters) > CACHE_WORDS // 3:  # only new words look here
+            self.letters.clear()
         self.known.update(zip(whole, self._encode(whole)))
         letters = list(dict.fromkeys(x for a, _ in parts.values() if (x := a.lower()) not in self.letters))
         marks = list(dict.fromkeys(b for _, b in parts.values() if b and b not in self.letters))
