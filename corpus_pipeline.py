@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from xpanel.llm import language, mixing, near_dup, packing, quality
 from xpanel.llm.catalog import PIECE_BPE, WORD_BPE
-from xpanel.llm.common import delete, intermediates, shared_dir
+from xpanel.llm.common import delete, intermediates, read, shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: list[str] = []
@@ -63,7 +63,7 @@ ORACLE_SQL = None  # perplexity, segmentation sums, MinHash and tokenizing are b
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again, and goes when the next one is written."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, apply in STAGES:
         out, path = apply(spark, docs, sf_dir), shared_dir(spark)
         out.write.parquet(path)
