@@ -698,8 +698,8 @@ def p10_rescaled(spark, sf_dir):
 
 @query()
 def m6_walk_forward(spark, sf_dir):
-    """The walk-forward job over the whole history, its test ranges one after the other; returns its summary (scores and reports are written)."""
-    return rounded(jobs.walk_forward(spark, _model_rows(spark, sf_dir), IC_FEATURES, _scratch(spark), trees=TREES, min_ic=0.0, k=K, steps=TILES))
+    """The walk-forward job over the whole history, its own windows (test ranges abut); returns its summary (scores and reports are written)."""
+    return rounded(jobs.walk_forward(spark, _model_rows(spark, sf_dir), IC_FEATURES, _scratch(spark), trees=TREES, min_ic=0.0, k=K))
 
 
 @query()
