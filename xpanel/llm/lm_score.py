@@ -10,13 +10,12 @@ depends on the n-gram and the half alone. So the n-gram tables become tables of
 score is a constant of its length plus the sum of the differences of its n-grams, which are exploded, joined by hash and summed.
 
 N-grams are counted per chunk of text first, and a chunk's counts travel as one sorted array for each hash partition, of about
-PART_BYTES in all, so the exchange moves few rows; a partition is added up whole. The table of words is broadcast up to
-BROADCAST_WORDS rows (24 bytes each). Pairs and trigrams are joined in PASSES by hash, each ending in a sum per document, so what
-stands on disk is a pass's share.
+PART_BYTES in all, so the exchange moves few rows; a partition is added up whole. The table of words that both halves have is
+broadcast up to BROADCAST_WORDS rows (24 bytes each). Pairs and trigrams are joined in PASSES by hash, each ending in a sum per
+document, so what stands on disk is a pass's share.
 
-A trigram that both halves have consists of pairs that both halves have. Tasks therefore leave out n-grams that cannot be in a
-table before they shuffle them, by a Bloom filter of its keys as long as that is small (FILTER_KEYS, 16 bits each; false
-positives go in the join).
+A trigram that both halves have consists of pairs that both halves have. Tasks therefore leave out other trigrams before they shuffle
+counts, by a Bloom filter of the pairs as long as that is small (FILTER_KEYS, 16 bits each; false positives go later).
 
 Words are as in `words`, lower-cased; they and n-grams are 64-bit hashes. Null texts and texts without words have n_words 0 and
 a null score. Rows that repeat a doc_id (null too) are texts of one document; further columns are ignored; an empty table gives
@@ -36,8 +35,8 @@ from pyspark.sql import functions as F
 from xpanel.llm.common import delete, intermediates, materialise, mix64, shuffles_released, small, text_slices, worker_cache
 from xpanel.llm.words import WORD_SQL, word_chunks
 
-ALPHA, PASSES, FILTER_KEYS, SEGMENTS = 0.4, 4, 16_000_000, 64
-CHUNK, PART_BYTES, BROADCAST_WORDS = 4_000_000, 16_000_000, 1_000_000
+ALPHA, PASSES, FILTER_KEYS, SEGMENTS = 0.4, 2, 16_000_000, 64
+CHUNK, PART_BYTES, BROADCAST_WORDS = 4_000_000, 16_000_000, 2_000_000
 COUNTS = "part int, x binary, y binary, c0 binary, c1 binary"
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -191,7 +190,7 @@ def count_table(docs: DataFrame, level: int, parts: int, possible=None) -> DataF
 # --- scores -----------------------------------------------------------------------------------------------------------
 
 
-def _explode(levels: tuple[int, ...], possible, passes: int, which: int):
+def _explode(levels: tuple[int, ...], passes: int, which: int):
     """doc_id, key, n: a document's n-grams of the levels with their occurrences, counted below zero in half 1. With words comes a row
     without a key for each text: its steps of back-off if no n-gram were known."""
 
@@ -206,9 +205,6 @@ def _explode(levels: tuple[int, ...], possible, passes: int, which: int):
                     if passes > 1:
                         mine = keys % np.uint64(passes) == which
                         keys, owners = keys[mine], owners[mine]
-                    if possible is not None:
-                        mine = possible.value(keys)
-                        keys, owners = keys[mine], owners[mine]
                     _, first, n = np.unique(mix64(keys + owners.astype(np.uint64) * _C), return_index=True, return_counts=True)
                     owner = owners[first]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(keys[first].view(np.int64)), pa.array((n * sign[owner]).astype(np.int32))], ["doc_id", "key", "n"])
@@ -261,14 +257,14 @@ def score_corpus(docs: DataFrame, filter_keys: int = FILTER_KEYS, passes: int =
         counts = materialise(count_table(docs, 1, partitions([size / 50])).select("key", "c0", "c1"))  # far fewer distinct words than words
         totals = [float(max(n or 0, 1)) for n in counts.agg(F.sum("c0"), F.sum("c1")).first()]
         table = differences(docs, counts, totals, filter_keys)
-        words = counts.select("key", *[F.log10(F.when(F.col(f"c{g}") > 0, F.col(f"c{g}")).otherwise(ALPHA)).alias(f"d{g}") for g in (0, 1)])
+        # a word of one half alone is unseen wherever it stands
+        words = counts.filter("c0 > 0 AND c1 > 0").select("key", *[F.log10(f"c{g}").alias(f"d{g}") for g in (0, 1)])
         words = F.broadcast(words) if small(words, BROADCAST_WORDS) else words
-        value = F.abs("n") * (other(F.col("d0"), F.col("d1")) - other(F.lit(math.log10(totals[0])), F.lit(math.log10(totals[1]))))
-        of_words = exploded((1,), None, 1, 0).join(words, "key", "left")
+        value = F.abs("n") * (F.coalesce(other(F.col("d0"), F.col("d1")), F.lit(a)) - other(F.lit(math.log10(totals[0])), F.lit(math.log10(totals[1]))))
+        of_words = exploded((1,), 1, 0).join(words, "key", "left")
         sums = materialise(of_words.groupBy("doc_id").agg(F.sum(F.when(F.col("key").isNull(), F.col("n") * a).otherwise(value)).alias("score"), F.sum(F.when(F.col("key").isNull(), 0).otherwise(F.abs("n"))).alias("n_words")))
-        possible = key_filter(table, limit=filter_keys)
         for i in range(passes):
-            joined = exploded((2, 3), possible, passes, i).join(table, "key")
+            joined = exploded((2, 3), passes, i).join(table, "key")
             part = joined.groupBy("doc_id").agg(F.sum(F.abs("n") * other(F.col("d0"), F.col("d1"))).alias("score"))
             sums = sums.unionByName(materialise(part.withColumn("n_words", F.lit(0).cast("long"))))
     out = sums.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
