@@ -504,11 +504,11 @@ def odd_documents():
     return rows + [(2000, " ".join(w for k in range(40) for w in ("aaaa", "aaaa", f"b{k}b")), "fr"), (2001, "short", "en"), (2002, None, None), (2003, "", "fr")]
 
 
-@pytest.mark.parametrize("broadcast_rows", [10**6, 3])
-def test_kept_equals_brute_force_and_both_ends_reject(spark, broadcast_rows):
+@pytest.mark.parametrize(("broadcast_rows", "max_parts"), [(10**6, 16), (4000, 16), (3, 2)])
+def test_kept_equals_brute_force_and_both_ends_reject(spark, broadcast_rows, max_parts):
     rows = odd_documents()
     docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], DOCS)
-    got = {r["doc_id"]: r for r in quality.quality_report(docs, broadcast_rows=broadcast_rows).collect()}
+    got = {r["doc_id"]: r for r in quality.quality_report(docs, broadcast_rows=broadcast_rows, max_parts=max_parts).collect()}
     want = brute_verdicts(rows)
     assert {i: r["kept"] for i, r in got.items()} == {i: k for i, (k, _) in want.items()}
     for i, (_, entropy) in want.items():

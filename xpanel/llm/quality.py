@@ -4,8 +4,8 @@ The model is over characters as they stand (case, marks, digits and every script
 languages together, so a text in two languages is no surprise to it. Spark counts the n-grams of all documents (a task adds
 up its own first) and smooths them: continuation counts, discounts and interpolation are groupings and joins by context and
 by suffix. Nothing is pruned: the model grows with the corpus as its alphabet and spelling do. What is kept is a table of n-gram
-hashes with log probabilities. Up to BROADCAST_ROWS of them (12 bytes each) go to the tasks as two sorted arrays; a larger
-model is joined to the n-grams of each distinct text, which gives the same sums.
+hashes with log probabilities. Up to BROADCAST_ROWS of them (12 bytes each) go to the tasks as two sorted arrays; a larger model goes
+there in up to MAX_PARTS parts, one scan each; one still larger is joined to the n-grams of each text. All give the same sums.
 
 A document's cross entropy (log perplexity, nats a character) must lie within its language's band: LOW distances from the
 median to the 16th percentile below, HIGH distances from the median to the 84th above, percentiles being exact over the
@@ -31,7 +31,7 @@ from xpanel.llm.common import materialise, mix64, nested, small, text_pieces, te
 
 ORDER, PIECE_CHARS = 5, 1_000_000
 LOW, HIGH, LEAST, MIN_BAND = 6.0, 4.5, 0.01, 100  #: the band's ends, the least distance that counts, documents for a band
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS, MAX_PARTS = 4_000_000, 16
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -244,9 +244,42 @@ def _text_grams(order: int):
     return grams
 
 
-def measure(docs: DataFrame, row: Column, model: DataFrame, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """row, text, lang, the base counts and entropy of each document; text is left out if row has none."""
-    whole = "text" in getattr(docs.select(row.alias("row")).schema["row"].dataType, "names", [])
+def _sums(model, order: int):
+    """text_key, log_p, n: what a part of the model says of each text."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, log_p = model.value
+        for batch in batches:
+            for b in text_slices(batch):
+                total, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+                for grams, owners, _, _ in text_grams(b.column("text").to_pylist(), order):
+                    at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+                    found = keys[at] == grams
+                    total += np.bincount(owners[found], log_p[at[found]], len(total))
+                    n += np.bincount(owners[found], minlength=len(n))
+                yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array(total), pa.array(n)], ["text_key", "log_p", "n"])
+
+    return sums
+
+
+def _text_entropies(docs: DataFrame, model: DataFrame, order: int, broadcast_rows: int, max_parts: int) -> DataFrame:
+    """text_key, entropy of a model too large to be broadcast whole. A text that stands twice counts twice above and below the line."""
+    texts = docs.filter("text <> ''").select(F.xxhash64("text").alias("text_key"), "text")
+    parts = -(-model.count() // broadcast_rows)
+    if parts > max_parts:
+        sums = texts.mapInArrow(_text_grams(order), "text_key long, key long, n long").join(model, "key").select("text_key", (F.col("n") * F.col("log_p")).alias("log_p"), "n")
+    else:
+        sums = None
+        for i in range(parts):
+            shared = docs.sparkSession.sparkContext.broadcast(sorted_arrays(model.filter(F.pmod("key", F.lit(parts)) == i)))
+            part = materialise(texts.mapInArrow(_sums(shared, order), "text_key long, log_p double, n long"))
+            shared.unpersist()
+            sums = part if sums is None else sums.unionByName(part)
+    return sums.groupBy("text_key").agg(F.round(-F.sum("log_p") / F.sum("n"), 6).alias("entropy"))
+
+
+def measure(docs: DataFrame, row: Column, model: DataFrame, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS, max_parts: int = MAX_PARTS) -> DataFrame:
+    """row, lang, the base counts and entropy of each document."""
     rows = docs.select(row.alias("row"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
     fits = small(model, broadcast_rows)
     shared = docs.sparkSession.sparkContext.broadcast(sorted_arrays(model)) if fits else None
@@ -255,10 +288,8 @@ def measure(docs: DataFrame, row: Column, model: DataFrame, order: int = ORDER,
     out = rows.mapInArrow(_measure(shared, order, keep_text), StructType(fields))
     if fits:
         return out
-    texts = docs.select("text").filter("text <> ''").distinct().select(F.xxhash64("text").alias("text_key"), "text")
-    grams = texts.mapInArrow(_text_grams(order), "text_key long, key long, n long")
-    sums = grams.join(model, "key").groupBy("text_key").agg((-F.sum(F.col("n") * F.col("log_p")) / F.sum("n")).alias("entropy"))
-    joined = out.drop("entropy").join(sums.withColumn("entropy", F.round("entropy", 6)), F.xxhash64("text") == F.col("text_key"), "left")
+    keyed = out.select("row", "lang", *COUNTS, F.xxhash64("text").alias("own_key"))
+    joined = keyed.join(_text_entropies(docs, model, order, broadcast_rows, max_parts), F.col("own_key") == F.col("text_key"), "left")
     return joined.select("row", "lang", *COUNTS, "entropy")
 
 
@@ -293,9 +324,9 @@ def verdicts(measured: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~base_failed() & inside).drop("_lang", "low", "high").withColumn("base_failed", base_failed()).withColumn("perplexity", F.round(F.exp("entropy"), 6))
 
 
-def quality_report(docs: DataFrame, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def quality_report(docs: DataFrame, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS, max_parts: int = MAX_PARTS) -> DataFrame:
     """One row per document: doc_id, base counts, base_failed, kept, perplexity."""
-    measured = materialise(measure(docs, F.struct("doc_id"), fit_model(docs, order), order, broadcast_rows))
+    measured = materialise(measure(docs, F.struct("doc_id"), fit_model(docs, order), order, broadcast_rows, max_parts))
     return verdicts(measured).select("row.doc_id", *COUNTS, "base_failed", "kept", "perplexity")
 
 
