@@ -484,7 +484,7 @@ def m9_dedupe_scores(spark, sf_dir):
     return rounded(walkforward.dedupe_scores(_blend(spark, sf_dir)))
 
 
-@query()
+@query(f'{_STACK} SELECT CAST(win AS INTEGER) AS "window", date, symbol, {_R("score")} FROM blend QUALIFY row_number() OVER (PARTITION BY date, symbol ORDER BY win DESC) = 1'.replace("train_start + INTERVAL 6 MONTH", "train_start + INTERVAL 3 MONTH"))
 def m9_overlapping_scores(spark, sf_dir):
     """Windows that overlap: each validation range is the test range of the window before, so a (date, symbol) has two scores."""
     return rounded(walkforward.dedupe_scores(_blend(spark, sf_dir, OVERLAPPING)))
