@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from xpanel.llm.common import delete, intermediates, materialise, mix64, shuffles_released, small, text_slices, worker_cache
 from xpanel.llm.words import WORD_SQL, word_chunks
 
-ALPHA, PASSES, FILTER_KEYS, SEGMENTS = 0.4, 2, 16_000_000, 64
+ALPHA, PASSES, FILTER_KEYS, SEGMENTS = 0.4, 4, 16_000_000, 64
 CHUNK, PART_BYTES, BROADCAST_WORDS = 4_000_000, 16_000_000, 2_000_000
 COUNTS = "part int, x binary, y binary, c0 binary, c1 binary"
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -203,7 +203,7 @@ def _explode(levels: tuple[int, ...], passes: int, which: int):
                     parts = [_grams(words, docs, new, level) for level in levels]
                     keys, owners = (np.concatenate([p[i] for p in parts]) for i in (0, 3))
                     if passes > 1:
-                        mine = keys % np.uint64(passes) == which
+                        mine = (keys >> np.uint64(8)) % np.uint64(passes) == which
                         keys, owners = keys[mine], owners[mine]
                     _, first, n = np.unique(mix64(keys + owners.astype(np.uint64) * _C), return_index=True, return_counts=True)
                     owner = owners[first]
@@ -264,7 +264,8 @@ def score_corpus(docs: DataFrame, filter_keys: int = FILTER_KEYS, passes: int =
         of_words = exploded((1,), 1, 0).join(words, "key", "left")
         sums = materialise(of_words.groupBy("doc_id").agg(F.sum(F.when(F.col("key").isNull(), F.col("n") * a).otherwise(value)).alias("score"), F.sum(F.when(F.col("key").isNull(), 0).otherwise(F.abs("n"))).alias("n_words")))
         for i in range(passes):
-            joined = exploded((2, 3), passes, i).join(table, "key")
+            mine = table.filter(F.shiftrightunsigned("key", 8) % passes == i)
+            joined = exploded((2, 3), passes, i).join(mine, "key")
             part = joined.groupBy("doc_id").agg(F.sum(F.abs("n") * other(F.col("d0"), F.col("d1"))).alias("score"))
             sums = sums.unionByName(materialise(part.withColumn("n_words", F.lit(0).cast("long"))))
     out = sums.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
