@@ -144,7 +144,7 @@ def test_tail_walk_forward_and_comparison_over_common_dates(spark, tmp_path):
 def test_portfolio_from_written_scores(spark, tmp_path):
     rows = learnable(spark, days=40, names=20).withColumnRenamed("future_return_5d", "future_return_1d")
     tables.write_scores(rows.select("date", "symbol", F.col("ROCP_1").alias("score")), str(tmp_path / "s"))
-    bench = spark.createDataFrame([(DAY + dt.timedelta(days=i), 100.0 + i) for i in range(41)], "date date, close double")
+    bench = spark.createDataFrame([(DAY + dt.timedelta(days=i), 100.0 + 0.01 * i) for i in range(41)], "date date, close double")
     got = {r["cost_bps"]: r for r in jobs.portfolio_report(spark.read.parquet(str(tmp_path / "s")), rows, bench, 5).collect()}
     assert set(got) == {10.0, 20.0, 30.0} and all(r["n_days"] == 40 for r in got.values())
     assert got[10.0]["total_return_pct"] > got[20.0]["total_return_pct"] > got[30.0]["total_return_pct"] and got[10.0]["excess_ann_pct"] > 0
