@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xpanel.llm import chat_format, language, license_scan, lm_score, mixing, near_dup, packing, quality, topk_search, warc
+from xpanel.llm import centroids, chat_format, filter_audit, language, license_scan, line_dedup, lm_score, mixing, near_dup, packing, quality, topk_search, warc
 from xpanel.llm.common import read, shared_dir
 
 #: Names of public vocabularies; a path does as well.
@@ -62,8 +62,26 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(read(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(read(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (
+    op1_license_scan, op2_minhash_near_dedup, op3_best_fit_packing, op4_source_mixing, op5_chat_format, op6_language_id, op7_warc, op8_lm_scores, op9_quality_rules, op10_exact_top_k,
+    op11_filter_audit, op12_line_dedup, op13_centroids,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_minhash_near_dedup, op3_best_fit_packing, op4_source_mixing, op5_chat_format, op6_language_id, op7_warc, op8_lm_scores, op9_quality_rules, op10_exact_top_k)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 OP5_SQL = f"""
@@ -103,4 +121,7 @@ FROM scored QUALIFY rank <= 5"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op4_source_mixing": mixing.oracle(), "op5_chat_format": OP5_SQL, "op7_warc": OP7_SQL, "op8_lm_scores": lm_score.oracle(), "op10_exact_top_k": OP10_SQL}
+    return {
+        "op1_license_scan": license_scan.oracle(), "op4_source_mixing": mixing.oracle(), "op5_chat_format": OP5_SQL, "op7_warc": OP7_SQL, "op8_lm_scores": lm_score.oracle(), "op10_exact_top_k": OP10_SQL,
+        "op11_filter_audit": filter_audit.oracle(), "op12_line_dedup": line_dedup.oracle(), "op13_centroids": centroids.oracle(),
+    }
