@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +10,9 @@ from pyspark.sql import functions as F
 from xpanel import oracle
 from xpanel.functions.exprs import change, rounded
 from xpanel.functions.rolling import Rolling
-from xpanel.operators import factors, models, panel, portfolio, stats, walkforward, xsection
-from xpanel.plans import jobs
-from xpanel.sources import adapter, tables
+from xpanel.operators import factors, models, panel, portfolio, ranks, stats, walkforward, xsection
+from xpanel.plans import jobs, publish
+from xpanel.sources import adapter, scratch, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,7 +53,7 @@ def s1_bars(spark, sf_dir):
 @query(f"WITH {oracle.BARS.strip()} SELECT * FROM bars")
 def s1_read_bars(spark, sf_dir):
     """Bars written as a table, with rows that lack a key among them, and read by the reader."""
-    path, bars = _scratch(spark), adapter.bars(spark, sf_dir)
+    path, bars = scratch.folder(spark), adapter.bars(spark, sf_dir)
     broken = bars.limit(5).withColumn("symbol", F.lit(None).cast("string")).unionByName(bars.limit(5).withColumn("date", F.lit(None).cast("date")))
     bars.unionByName(broken).write.parquet(path)
     return tables.read_bars(spark, path)
@@ -79,7 +77,7 @@ def f_weighted_spread(spark, sf_dir):
 
 
 def _aligned(spark, sf_dir):
-    bars = _kept(adapter.bars(spark, sf_dir))
+    bars = scratch.kept(adapter.bars(spark, sf_dir))
     return factors.align_bench(factors.with_returns(bars), adapter.bench(spark, sf_dir, bars))
 
 
@@ -174,7 +172,7 @@ def s3_universe(spark, sf_dir):
 @query("SELECT series_id, CAST(date AS VARCHAR) AS date, value FROM (WITH " + oracle.MACRO.strip() + " SELECT * FROM macro)", dates=())
 def s2_read_macro(spark, sf_dir):
     """Observations written as text, with missing markers and bad dates among them, and read by the reader."""
-    path, rows = _scratch(spark), adapter.macro(spark, sf_dir).select("series_id", "date", "value")
+    path, rows = scratch.folder(spark), adapter.macro(spark, sf_dir).select("series_id", "date", "value")
     missing = rows.limit(3).withColumn("value", F.lit(".")).unionByName(rows.limit(3).withColumn("value", F.lit(""))).unionByName(rows.limit(3).withColumn("date", F.lit("n/a")))
     rows.unionByName(missing).write.csv(path, header=True)
     return tables.read_macro(spark, path)
@@ -183,7 +181,7 @@ def s2_read_macro(spark, sf_dir):
 @query(f"WITH {oracle.PLACES.strip(', ').strip()} SELECT replace(trim(symbol), '.', '-') AS symbol, trim(sector) AS sector FROM places", dates=())
 def s3_whole_universe(spark, sf_dir):
     """The whole snapshot written as text and read by the reader."""
-    path = _scratch(spark)
+    path = scratch.folder(spark)
     places = adapter.universe(spark, sf_dir)
     places.select(F.concat(F.lit(" "), "symbol").alias("symbol"), "sector", F.lit("2024-01-01").alias("snapshot_date")).write.csv(path, header=True)
     return tables.read_universe(spark, path).drop("ord")
@@ -416,8 +414,9 @@ def _features(spark, sf_dir):
     return factors.with_factors(rows, make).select("symbol", "date", "future_return_5d", *IC_FEATURES)
 
 
-def _train(spark, sf_dir):
-    return _tagged(spark, sf_dir, _features(spark, sf_dir)).filter("role = 'train'")
+def _ics(spark, sf_dir):
+    rows = scratch.kept(_features(spark, sf_dir))
+    return ranks.window_ic(rows, walkforward.walk_forward_windows(spark, scored(spark, sf_dir), **STEPS), IC_FEATURES, "future_return_5d")
 
 
 _F_SQL = {**oracle.momentum(5), **oracle.momentum(20), **oracle.dispersion(20), **oracle.price_place(20), **oracle.up_down_counts(20)}
@@ -434,7 +433,7 @@ _IC_SQL = (
 
 @query(f'{_IC_SQL} SELECT "window", feature, {_R("ic")}, n FROM ics WHERE ic IS NOT NULL', dates=())
 def m2_feature_ic(spark, sf_dir):
-    return rounded(walkforward.feature_ic(_train(spark, sf_dir), IC_FEATURES, "future_return_5d"))
+    return rounded(_ics(spark, sf_dir))
 
 
 _SELECTED = f"""{_IC_SQL}, kept AS (SELECT *, feature LIKE 'RVOL\\_%' ESCAPE '\\' AS forced FROM ics WHERE ic IS NOT NULL AND (feature LIKE 'RVOL\\_%' ESCAPE '\\' OR abs(ic) >= 0.01)),
@@ -443,8 +442,7 @@ _SELECTED = f"""{_IC_SQL}, kept AS (SELECT *, feature LIKE 'RVOL\\_%' ESCAPE '\\
 
 
 def _selected(spark, sf_dir):
-    ics = walkforward.feature_ic(_train(spark, sf_dir), IC_FEATURES, "future_return_5d")
-    return walkforward.select_features(ics, 0.01, 4)
+    return walkforward.select_features(_ics(spark, sf_dir), 0.01, 4)
 
 
 @query(f'{_SELECTED} SELECT "window", feature, {_R("ic")}, forced, CAST(place AS INTEGER) AS place FROM chosen', dates=())
@@ -459,8 +457,7 @@ def m4_feature_frequency(spark, sf_dir):
 
 @query(f'{_IC_SQL} SELECT "window", feature AS model, round(abs(ic) / sum(abs(ic)) OVER (PARTITION BY "window") + 1e-9, 6) + 0.0 AS weight FROM ics WHERE ic IS NOT NULL', dates=())
 def m7_raw_weights(spark, sf_dir):
-    ics = walkforward.feature_ic(_train(spark, sf_dir), IC_FEATURES, "future_return_5d")
-    return rounded(walkforward.raw_weights(ics.withColumnRenamed("feature", "model")))
+    return rounded(walkforward.raw_weights(_ics(spark, sf_dir).withColumnRenamed("feature", "model")))
 
 
 _STACK = f"""{_S}, {_WINDOWS}, preds AS (SELECT win, date, symbol, 'a' AS model, score AS p FROM tagged WHERE role <> 'train' UNION ALL SELECT win, date, symbol, 'b', -close / 1000 FROM tagged WHERE role <> 'train'),
@@ -623,31 +620,15 @@ def a9_distinct_counts(spark, sf_dir):
 # --- panel, models, sinks ---------------------------------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one; where that is unset a local one, if driver and executors are one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df written once and read again: several plans use it."""
-    path = _scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _panel(spark, sf_dir, **options):
-    prices = _kept(adapter.bars(spark, sf_dir))
+    prices = scratch.kept(adapter.bars(spark, sf_dir))
     return panel.build_panel(prices, adapter.bench(spark, sf_dir, prices), tables.clean_macro(adapter.macro(spark, sf_dir)), **options)
 
 
 @query()
 def s5_panel(spark, sf_dir):
     """The whole panel (factors, macro, labels), complete rows, written and read again."""
-    path, built = _scratch(spark), _panel(spark, sf_dir)
+    path, built = scratch.folder(spark), _panel(spark, sf_dir)
     tables.write_panel(built, path)
     return spark.read.schema(built.schema).parquet(path)
 
@@ -665,8 +646,8 @@ TILES = dict(train=12, val=3, test=3, step=3)  #: test ranges tile the history
 @query(oracle.core_panel(panel.CORE))
 def s4_read_panel(spark, sf_dir):
     """The core panel written by year, one half of the symbols after the other, and read again with its columns."""
-    path = _scratch(spark)
-    built = _kept(panel.project(panel.build_panel(adapter.bars(spark, sf_dir), only=panel.CORE)))
+    path = scratch.folder(spark)
+    built = scratch.kept(panel.project(panel.build_panel(adapter.bars(spark, sf_dir), only=panel.CORE)))
     first = F.pmod(F.xxhash64("symbol"), F.lit(2)) == 0
     tables.write_panel(tables.stack([built.filter(first), built.filter(~first)]), path)
     return rounded(tables.read_panel(spark, path, built.columns))
@@ -678,7 +659,7 @@ def _model_rows(spark, sf_dir):
 
 @query()
 def m5_residual_weights(spark, sf_dir):
-    return models.residual_weights(_kept(_model_rows(spark, sf_dir)), IC_FEATURES, "future_return_5d", 3, 0.5, TREES).select("symbol", "date", F.round("weight", 6).alias("weight"))
+    return models.residual_weights(scratch.kept(_model_rows(spark, sf_dir)), IC_FEATURES, "future_return_5d", 3, 0.5, TREES).select("symbol", "date", F.round("weight", 6).alias("weight"))
 
 
 _DECAY = f"{_S}, z AS (SELECT symbol, date, abs(future_return_5d) AS r FROM scored), e AS (SELECT min(r) AS lo, max(r) AS hi FROM z), w AS (SELECT symbol, date, exp(-0.5 * (r - lo) / (hi - lo)) AS w FROM z, e)"
@@ -699,35 +680,35 @@ def p10_rescaled(spark, sf_dir):
 @query()
 def m6_walk_forward(spark, sf_dir):
     """The walk-forward job over the whole history, its own windows (test ranges abut); returns its summary (scores and reports are written)."""
-    return rounded(jobs.walk_forward(spark, _model_rows(spark, sf_dir), IC_FEATURES, _scratch(spark), trees=TREES, min_ic=0.0, k=K))
+    return rounded(jobs.walk_forward(spark, _model_rows(spark, sf_dir), IC_FEATURES, scratch.folder(spark), trees=TREES, min_ic=0.0, k=K))
 
 
 @query()
 def m10_tail_score(spark, sf_dir):
     """The tail model against the walk-forward scores of the momentum factor alone, over the dates that both have."""
-    rows = _kept(_model_rows(spark, sf_dir))
-    tail = jobs.tail_walk_forward(spark, rows, IC_FEATURES, _scratch(spark), "future_return_5d", TREES, 0.0, steps=TILES)
+    rows = scratch.kept(_model_rows(spark, sf_dir))
+    tail = jobs.tail_walk_forward(spark, rows, IC_FEATURES, scratch.folder(spark), "future_return_5d", TREES, 0.0, steps=TILES, depth=4)
     base = rows.select("date", "symbol", F.col("ROC_5").alias("score"), "future_return_5d")
     return rounded(jobs.compare_scores({"tail": tail, "momentum": base}, "future_return_5d", 5, (1, K), K))
 
 
 @query()
 def m11_feature_importance(spark, sf_dir):
-    rows = walkforward.last_month(_kept(_model_rows(spark, sf_dir)))
+    rows = walkforward.last_month(scratch.kept(_model_rows(spark, sf_dir)))
     fitted = {"5d": models.fit_horizon(rows.filter(~F.col("holdout")), rows.filter("holdout"), IC_FEATURES, "future_return_5d", TREES)}
     return rounded(models.feature_importance(spark, fitted, IC_FEATURES))
 
 
 @query()
 def m12_final_model(spark, sf_dir):
-    out = models.final_model(spark, _kept(_model_rows(spark, sf_dir)), IC_FEATURES, _scratch(spark), trees=TREES, min_ic=0.0)
+    out = publish.final_model(spark, scratch.kept(_model_rows(spark, sf_dir)), IC_FEATURES, scratch.folder(spark), trees=TREES, min_ic=0.0)
     return rounded(out.drop("version"))
 
 
 @query()
 def m12_ranking_model(spark, sf_dir):
     """The final model as a ranking: grades as target, residual weights on the rows."""
-    out = models.final_model(spark, _kept(_model_rows(spark, sf_dir)), IC_FEATURES, _scratch(spark), trees=TREES, min_ic=0.0, task="ranking")
+    out = publish.final_model(spark, scratch.kept(_model_rows(spark, sf_dir)), IC_FEATURES, scratch.folder(spark), trees=TREES, min_ic=0.0, task="ranking")
     return rounded(out.drop("version"))
 
 
@@ -740,7 +721,7 @@ def m12_ranking_model(spark, sf_dir):
 def j4_scores_with_returns(spark, sf_dir):
     """Scores and returns as written tables, joined by date and symbol, held in tranches, beside the benchmark."""
     rows = scored(spark, sf_dir)
-    path = _scratch(spark)
+    path = scratch.folder(spark)
     tables.write_scores(rows.select("date", "symbol", "score"), f"{path}/scores")
     held = spark.read.parquet(f"{path}/scores").join(rows.select("date", "symbol", "future_return_1d"), ["date", "symbol"])
     spy = adapter.bench(spark, sf_dir, adapter.bars(spark, sf_dir)).filter(F.col("ticker") == adapter.MARKET)

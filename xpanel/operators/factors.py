@@ -341,11 +341,13 @@ MACRO_FACTORS = ("VIX_PERCENTILE", "VIX_CHANGE_5D", "YIELD_CURVE", "YIELD_CURVE_
 
 
 def join_macro(panel: DataFrame, features: DataFrame) -> DataFrame:
-    """The macro columns as of each row's date; features has a row per trading day at most and is broadcast as intervals."""
-    until = F.lead("date").over(Window.orderBy("date"))
-    spans = features.withColumn("_until", until).withColumnRenamed("date", "_from")
-    inside = (panel["date"] >= F.col("_from")) & (F.col("_until").isNull() | (panel["date"] < F.col("_until")))
-    return panel.join(F.broadcast(spans), inside, "left").drop("_from", "_until")
+    """The macro columns as of each row's date, by day: features has a row per trading day at most, and each stands for the calendar
+    days up to the next (the last for all later dates). That table is as long as the history has days, and broadcast."""
+    names = [c for c in features.columns if c != "date"]
+    until = F.coalesce(F.lead("date").over(Window.orderBy("date")), F.date_add("date", 1))
+    days = features.withColumn("_until", until).select(F.explode(F.sequence("date", F.date_sub("_until", 1))).alias("_day"), *names)
+    last = features.agg(F.max("date").alias("last")).scalar()
+    return panel.withColumn("_as_of", F.least("date", last)).join(F.broadcast(days), F.col("_as_of") == F.col("_day"), "left").drop("_as_of", "_day")
 
 
 # --- labels -----------------------------------------------------------------------------------------------------------

@@ -8,8 +8,6 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from xpanel.functions.exprs import average_rank, group_correlation
-
 WINDOWS = "window int, train_start date, train_end date, val_start date, val_end date, test_start date, test_end date"
 
 #: Factors that selection always keeps, and which of them are macro.
@@ -47,10 +45,17 @@ def walk_forward_windows(spark: SparkSession, panel: DataFrame, **steps: int) ->
     return spark.createDataFrame(rows, WINDOWS)
 
 
+def window_days(windows: DataFrame) -> DataFrame:
+    """window, role, date: the calendar days of every window's ranges. windows is a bounded table, and so is this (windows times days)."""
+    ranges = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_start").alias("lo"), F.col(f"{r}_end").alias("hi")) for r in ("train", "val", "test")])
+    spans = windows.select("window", F.explode(ranges).alias("s")).filter("s.lo < s.hi")
+    return spans.select("window", "s.role", F.explode(F.sequence("s.lo", F.date_sub("s.hi", 1))).alias("date"))
+
+
 def tag_windows(panel: DataFrame, windows: DataFrame) -> DataFrame:
-    """panel rows with window and role, once per window and role whose range holds the date. windows is a bounded table (broadcast)."""
-    spans = windows.select("window", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}_start").alias("lo"), F.col(f"{r}_end").alias("hi")) for r in ("train", "val", "test")])).alias("s")).select("window", "s.*")
-    return panel.join(F.broadcast(spans), (panel["date"] >= F.col("lo")) & (panel["date"] < F.col("hi"))).drop("lo", "hi")
+    """panel rows with window and role, once per window and role whose range holds the date: a join by day."""
+    days = window_days(windows).select("window", "role", F.col("date").alias("_day"))
+    return panel.join(F.broadcast(days), panel["date"] == F.col("_day")).drop("_day")
 
 
 def usable_windows(tagged: DataFrame, train: int = 100, val: int = 20, test: int = 20) -> DataFrame:
@@ -60,14 +65,6 @@ def usable_windows(tagged: DataFrame, train: int = 100, val: int = 20, test: int
     return counts.filter((F.col("n_train") >= train) & (F.col("n_val") >= val) & (F.col("n_test") >= test))
 
 
-def feature_ic(rows: DataFrame, features: list[str], label: str, min_rows: int = 30) -> DataFrame:
-    """window, feature, ic, n: pooled Spearman of each feature over the rows where it and the label are there."""
-    long = rows.select("window", label, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["window", label], features, "feature", "value").dropna(subset=["value", label])
-    ranked = long.withColumn("_rv", average_rank("value", "window", "feature")).withColumn("_rl", average_rank(label, "window", "feature"))
-    out = ranked.groupBy("window", "feature").agg(group_correlation("_rv", "_rl").alias("ic"), F.count("*").alias("n"))
-    return out.filter(F.col("n") >= min_rows).dropna(subset=["ic"])
-
-
 def _starts(prefixes: tuple[str, ...]):
     test = F.lit(False)
     for p in prefixes:
