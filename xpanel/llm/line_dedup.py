@@ -143,7 +143,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, batches: in
     # two hashes of a text stand for it: what goes from a text is found once for all its copies
     own = [F.xxhash64(F.coalesce(text, F.lit(""))).alias("_k"), F.xxhash64(F.coalesce(text, F.lit("")), F.lit(1)).alias("_l")]
     places = docs.select(*own, F.posexplode(line_hashes(F.col(text), least)).alias("_pos", "line")).filter("line IS NOT NULL")
-    dropped = places.join(frequent, "line", "left_semi").groupBy("_k", "_l").agg(F.sort_array(F.collect_set("_pos")).alias("_dropped"))
+    # written first, so the join below has an exchange on either side and nothing else, and Spark can split a text with many copies
+    dropped = materialise(places.join(frequent, "line", "left_semi").groupBy("_k", "_l").agg(F.sort_array(F.collect_set("_pos")).alias("_dropped")))
     out = docs.select(nested(docs).alias("row"), *own).join(dropped, ["_k", "_l"], "left")
     gone, whole = F.coalesce("_dropped", F.array().cast("array<int>")), F.col("row").getField(text)
     return out.select("row", F.size(lines_of(whole)).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), without(whole, gone).alias("kept"))
