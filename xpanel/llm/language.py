@@ -5,15 +5,16 @@ the product of the pieces' probabilities; a forward algorithm adds them up for m
 piece probabilities come from expectation maximisation (forward-backward) over labelled documents: each task adds up the
 expected counts of its words, and Spark adds up the tasks (vocabulary x languages numbers, whatever the corpus).
 
-Words are runs of letters, lower-cased, longer ones cut at MAX_WORD letters; all letter pieces of the vocabulary take part, whatever
-their length; a character outside the vocabulary is a piece of probability UNKNOWN in every language. A text's language is
-the one with the highest total, its score that language's posterior at a tempering of one word in TEMPER. Null texts and
-texts without letters are ``und`` with score 0, as are all texts where there is nothing to learn from. Repeated rows get
-equal results; further columns stay, whatever they are called.
+Words are runs of letters, lower-cased, however long; all letter pieces of the vocabulary take part, whatever their length; a
+character outside the vocabulary is a piece of probability UNKNOWN in every language. Sums of long words are scaled on the
+way, so none is lost. A text's language is the one with the highest total, its score that language's posterior at a tempering
+of one word in TEMPER. Null texts and texts without letters are ``und`` with score 0, as are all texts where there is nothing to
+learn from. Repeated rows get equal results; further columns stay, whatever they are called.
 
 Training is on a bounded sample: about SAMPLE_PER_LANGUAGE labelled documents a language, chosen by a hash of their id, in
-EM_ROUNDS rounds. A model is a number per piece and language; more than MAX_LANGUAGES distinct labels are an error, so that it
-stays small enough to broadcast (24,000 pieces: 96 MB at most). A Python worker keeps the scores of CACHE_WORDS words.
+EM_ROUNDS rounds, where words count in parts of TRAINING_LETTERS letters. A model is a number per piece and language, so the number
+of its languages is bounded too, for it is broadcast: the MAX_LANGUAGES most frequent labels are learnt (24,000 pieces: 192 MB
+at most), and further labels are never predicted. A Python worker keeps the scores of CACHE_WORDS words.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from xpanel.llm.common import nested, text_slices, vocabulary_path, worker_cache
 
 UND = "und"
-MAX_WORD, UNKNOWN, TEMPER = 24, 1e-9, 4.0
-SAMPLE_PER_LANGUAGE, EM_ROUNDS, MAX_LANGUAGES, CACHE_WORDS = 3000, 2, 500, 250_000
+UNKNOWN, TEMPER = 1e-9, 4.0
+SAMPLE_PER_LANGUAGE, EM_ROUNDS, TRAINING_LETTERS, MAX_LANGUAGES, CACHE_WORDS = 3000, 2, 23, 1000, 250_000
+#: Numbers of a lattice or of its sums that a task holds at a time (one word may need more).
+CELLS = 10_000_000
 WORDS = regex.compile(r"\p{L}+")
 MARK = "▁"  # the vocabulary's sign for the beginning of a word
 
@@ -99,17 +102,38 @@ def lattice(codes: np.ndarray, pieces: Pieces) -> np.ndarray:
     return found
 
 
-def forward(codes: np.ndarray, found: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """alpha[word, position, language]: the summed probability of all segmentations up to a position. probs: pieces + 1 rows."""
+def forward(codes: np.ndarray, found: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """alpha[word, position, language], the summed probability of all segmentations up to a position, and the log factor [word, language]
+    that a word's last one is to be taken with: where sums get small, those that still count are scaled up. probs: pieces + 1 rows."""
     n, width = codes.shape
-    alpha = np.zeros((n, width + 1, probs.shape[1]))
+    longest = found.shape[2]
+    alpha, factor = np.zeros((n, width + 1, probs.shape[1])), np.zeros((n, probs.shape[1]))
     alpha[:, 0] = 1
     for start in range(width):
-        for k in range(min(found.shape[2], width - start)):
+        for k in range(min(longest, width - start)):
             use = np.flatnonzero(found[:, start, k] >= 0)
             if len(use):
                 alpha[use, start + k + 1] += alpha[use, start] * probs[found[use, start, k]]
-    return alpha
+        if start % 8 == 7:
+            ahead = alpha[:, start + 1 : start + 1 + longest]
+            most = ahead.max(1)
+            low = (most > 0) & (most < 1e-60)
+            if low.any():
+                scale = np.where(low, most, 1)
+                ahead /= scale[:, None]
+                factor += np.log(scale)
+    return alpha, factor
+
+
+def chunks(lengths: np.ndarray, wide: int) -> Iterator[slice]:
+    """Slices of ascending lengths, `wide` numbers a letter, of at most CELLS numbers (a longer word is alone)."""
+    start = 0
+    while start < len(lengths):
+        stop = int(min(len(lengths), start + 20_000))
+        while stop > start + 1 and (stop - start) * (int(lengths[stop - 1]) + 2) * wide > CELLS:
+            stop = start + (stop - start) // 2
+        yield slice(start, stop)
+        start = stop
 
 
 def log_scores(words: list[str], pieces: Pieces, probs: np.ndarray) -> np.ndarray:
@@ -117,22 +141,22 @@ def log_scores(words: list[str], pieces: Pieces, probs: np.ndarray) -> np.ndarra
     out = np.zeros((len(words), probs.shape[1]))
     lengths = np.array([len(w) for w in words])
     order = np.argsort(lengths, kind="stable")
-    for lo in range(0, len(order), 20_000):
-        at = order[lo : lo + 20_000]
+    for part in chunks(lengths[order], max(pieces.longest, probs.shape[1])):
+        at = order[part]
         codes = word_codes([words[i] for i in at], int(lengths[at[-1]]) + 1)
-        alpha = forward(codes, lattice(codes, pieces), probs)
-        out[at] = np.log(alpha[np.arange(len(at)), lengths[at] + 1] + 1e-300)
+        alpha, factor = forward(codes, lattice(codes, pieces), probs)
+        out[at] = np.log(alpha[np.arange(len(at)), lengths[at] + 1] + 1e-300) + factor
     return out
 
 
 def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
     """Expected piece counts [piece, language] of words with weights [word, language], by forward-backward."""
     total = np.zeros(probs.shape)
-    for lo in range(0, len(words), 20_000):
-        part, w = words[lo : lo + 20_000], weights[lo : lo + 20_000]
+    for at in chunks(np.full(len(words), max(map(len, words), default=0)), max(pieces.longest, probs.shape[1])):
+        part, w = words[at], weights[at]
         codes = word_codes(part, max(map(len, part)) + 1)
         found, lengths = lattice(codes, pieces), np.array([len(x) + 1 for x in part])
-        alpha = forward(codes, found, probs)
+        alpha, _ = forward(codes, found, probs)  # words of training are short: nothing is scaled
         beta = np.zeros_like(alpha)
         beta[np.arange(len(part)), lengths] = 1
         z = np.maximum(alpha[np.arange(len(part)), lengths], 1e-300)
@@ -148,19 +172,20 @@ def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, probs
     return total
 
 
-def text_words(text: str) -> list[str]:
+def text_words(text: str, letters: int | None = None) -> list[str]:
+    """The text's words; in parts of so many letters, if given."""
     words = WORDS.findall(text.lower())
-    if max(map(len, words), default=0) >= MAX_WORD:
-        words = [w[i : i + MAX_WORD - 1] for w in words for i in range(0, len(w), MAX_WORD - 1)]
+    if letters and max(map(len, words), default=0) > letters:
+        words = [w[i : i + letters] for w in words for i in range(0, len(w), letters)]
     return words
 
 
-def distinct_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def distinct_words(texts: list[str], letters: int | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct words of all texts, and for each word in order its number and its text's."""
     index: dict[str, int] = {}
     ids, owners = [], []
     for i, t in enumerate(texts):
-        got = [index.setdefault(w, len(index)) for w in text_words(t)]
+        got = [index.setdefault(w, len(index)) for w in text_words(t, letters)]
         ids.append(np.array(got, np.int64))
         owners.append(np.full(len(got), i))
     return list(index), np.concatenate([np.empty(0, np.int64), *ids]), np.concatenate([np.empty(0, np.int64), *owners])
@@ -173,7 +198,7 @@ def _expect(path: str, languages: list[str], probs):
         p = probs.value if probs else np.full(total.shape, 1 / pieces.size)
         for batch in batches:
             for b in text_slices(batch):
-                words, ids, owners = distinct_words(b.column("text").to_pylist())
+                words, ids, owners = distinct_words(b.column("text").to_pylist(), TRAINING_LETTERS)
                 if words:
                     lang = np.array([index[x] for x in b.column("lang").to_pylist()])
                     weights = np.bincount(ids * len(languages) + lang[owners], minlength=len(words) * len(languages)).reshape(len(words), -1)
@@ -194,11 +219,10 @@ def training_rows(docs: DataFrame, counts: dict[str, int], per_language: int = S
 def learn(docs: DataFrame, pieces_path: str, per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray | None]:
     """Languages in order and the piece probabilities [pieces + 1, languages]."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return [], None
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(counts)} labels are more than {MAX_LANGUAGES} languages")
     languages, rows = sorted(counts), training_rows(docs, counts, per_language)
     context, size, probs = docs.sparkSession.sparkContext, len(vocabulary(pieces_path)), None
     for _ in range(rounds):
