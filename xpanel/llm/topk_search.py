@@ -11,9 +11,9 @@ allows as much. A group of the second search is a shard and a block of at most a
 
 Vectors that are null or hold null or non-finite components take no part. Only vectors of the same length meet. Ties go
 to the smaller vec_id. A query is never its own neighbour (rows that repeat its id count as itself); fewer than k other
-vectors give as many rows as there are. Each distinct (vec_id, vector) counts once. Components beyond 64 bits and scores beyond
-64 bits are given as the nearest 64-bit number; scores are compared exactly. Further columns are ignored; an empty table gives no
-rows.
+vectors give as many rows as there are. Every other row is a candidate, one that repeats a vec_id or a vector too; equal queries
+are asked once. Components beyond 64 bits and scores beyond 64 bits are given as the nearest 64-bit number; scores are compared
+exactly. Further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -176,11 +176,11 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by `every`."""
     spark = embeddings.sparkSession
     v = embeddings.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), quantise(F.col("embedding")).alias("v"))
-    v = materialise(v.distinct().withColumn("dim", F.size("v")))
+    v = materialise(v.withColumn("dim", F.size("v")))
     sizes = v.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     v = materialise(v.withColumn("shard", planes(v, -(-sizes["n"] // SHARD_ROWS)).cast("int")))
     anew = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  columns of their own, for joining a table with itself
-    queries = anew(v.filter(F.col("vec_id") % every == 0))
+    queries = anew(v.filter(F.col("vec_id") % every == 0).distinct())
     none = F.lit(None).cast("decimal(38,0)").alias("at_least")
     near = materialise(v.groupBy("dim", "shard").cogroup(queries.select("*", none).groupBy("dim", "shard")).applyInPandas(_search(k), HITS))
     kth = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("at_least"))
