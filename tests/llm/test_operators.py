@@ -140,6 +140,13 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(rows)
 
 
+def test_keep_first_with_columns_named_as_its_own(spark):
+    docs = docs_of(spark).withColumns({c: F.lit("x") for c in ("_keep_id", "_keep_text", "_alone", "_row", "_id", "_text", "row", "label", "p", "place")})
+    kept = near_dup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.select("doc_id", "text").collect()), key=repr) == sorted(map(tuple, near_dup.keep_first(docs_of(spark)).select("doc_id", "text").collect()), key=repr)
+
+
 def test_near_duplicates_edges_and_first_kept(spark):
     got = {(r["doc_id"], r["class_id"]) for r in near_dup.near_duplicates(with_clash(docs_of(spark))).collect()}
     assert {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (7, 7)} <= got
@@ -329,6 +336,36 @@ def test_forward_sums_all_segmentations():
     assert counts[names.index("b")].min() >= 1 - 1e-9 and counts.sum(0).max() <= 4 + 1e-9
 
 
+def test_language_sums_all_segmentations_of_long_words():
+    """Runs of letters of any length against a sum in logs, position by position."""
+    rng = random.Random(8)
+    pieces = language.Pieces(["a", "b", "ab", "ba", "bab", "▁", "▁a", "▁ab", "aab"])
+    names = ["a", "b", "ab", "ba", "bab", "▁", "▁a", "▁ab", "aab"]
+    probs = np.array([[rng.random() ** 3 / 50 for _ in range(3)] for _ in names] + [[language.UNKNOWN] * 3])
+    words = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 22, 23, 24, 200, 200, 3000)] + ["c" * 120, "ab" * 700]
+    got = language.log_scores(words, pieces, probs)
+    for w, scores in zip(words, got):
+        marked = "▁" + w
+        for lang in range(3):
+            sums = [0.0] + [-math.inf] * len(marked)
+            for end in range(1, len(marked) + 1):
+                terms = [sums[end - len(p)] + math.log(probs[i, lang]) for i, p in enumerate(names) if marked[:end].endswith(p)]
+                if marked[end - 1] not in names:
+                    terms.append(sums[end - 1] + math.log(language.UNKNOWN))
+                top = max(terms, default=-math.inf)
+                sums[end] = top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else top
+            assert scores[lang] == pytest.approx(sums[-1], rel=1e-9)
+
+
+def test_language_with_very_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 40)
+    rows = [(i, ("bonjour le monde " if i % 2 else "guten tag welt ") * 5, ("fr" if i % 2 else "de") if i < 60 else f"x{i}", None, None) for i in range(960)]
+    languages, probs = language.learn(docs_of(spark, rows), PIECES)
+    assert len(languages) == 40 == probs.shape[1] and {"fr", "de"} <= set(languages)
+    got = language.language_report(docs_of(spark, rows), PIECES)
+    assert got.count() == 960
+
+
 def test_language_held_out_accuracy(spark):
     truth = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{DATA}/documents.parquet'").fetchall())
     rows = [r for r in catalog.op6_language_id(spark, DATA).collect() if r["held_out"]]
@@ -559,6 +596,14 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard):
     assert topk_search.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [4096, 7])
+def test_every_repeated_row_is_a_candidate(spark, monkeypatch, shard):
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", shard)
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 1.0]), (3, [2.0, 1.0])] + [(4, [0.5, 0.0])] * 20
+    got = [(r["query_id"], r["vec_id"]) for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1), (0, 1), (0, 1), (0, 3), (0, 2)]
+
+
 def test_top_k_of_huge_components(spark):
     df = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 0.0]), (2, [-1e18, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     big = 2**63 - 1

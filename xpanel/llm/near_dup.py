@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xpanel.llm.common import materialise, mix64, text_slices
+from xpanel.llm.common import materialise, mix64, nested, text_slices
 from xpanel.llm.words import word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK, BLOCK_SHINGLES = 5, 0.8, 20, 4, 256, 2_000_000
@@ -278,6 +278,7 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     chosen = rows.filter("label is not null").groupBy("label").agg(F.min(place).alias("p")).select("p.doc_id", "p.text_key", F.lit(False).alias("alone"))
     single = rows.filter("label is null").select("doc_id", "text_key", F.col("doc_id").isNull().alias("alone")).distinct()
     keep = materialise(chosen.unionByName(single)).toDF("_keep_id", "_keep_text", "_alone")
-    held = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep_id")) & (F.xxhash64(docs["text"]) == F.col("_keep_text")))
+    held = docs.select(nested(docs).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
+    held = held.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text") == F.col("_keep_text")))
     held = held.withColumn("_row", F.when(F.col("_alone"), F.monotonically_increasing_id()))
-    return held.dropDuplicates(["_keep_id", "_keep_text", "_row"]).select(*[docs[c] for c in docs.columns])
+    return held.dropDuplicates(["_keep_id", "_keep_text", "_row"]).select("row.*")
