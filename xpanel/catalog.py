@@ -41,8 +41,8 @@ def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors.with_returns(adapter.bars(spark, sf_dir))
 
 
-def _only(df: DataFrame, names) -> DataFrame:
-    return rounded(df.select("symbol", "date", *names))
+def _only(df: DataFrame, names, digits: int = 6) -> DataFrame:
+    return rounded(df.select("symbol", "date", *names), digits)
 
 
 @query(f"WITH {oracle.BARS.strip()} SELECT * FROM bars")
@@ -73,7 +73,8 @@ for _name in factors.PRICE_FAMILIES:
 
 @query(oracle.weighted_spread())
 def f_weighted_spread(spark, sf_dir):
-    return _only(factors.weighted_spread(_returns(spark, sf_dir)), [f"WVMA_{w}" for w in factors.WIDTHS])
+    """In prices, of the order of 10^4: four decimals are nine digits in all."""
+    return _only(factors.weighted_spread(_returns(spark, sf_dir)), [f"WVMA_{w}" for w in factors.WIDTHS], 4)
 
 
 def _aligned(spark, sf_dir):
@@ -366,7 +367,9 @@ def x12_sentiment(spark, sf_dir):
 
 STEPS = dict(train=24, val=3, test=3, step=6)
 OVERLAPPING = STEPS | dict(step=3)
-IC_FEATURES = ["ROC_5", "MA_20", "STD_20", "RSV_20", "CNTP_20", "RVOL_5"]
+IC_FEATURES = ["ROC_5", "MA_20", "STD_20", "RSV_20", "CNTP_20", "RVOL_5"]  #: of the models' queries
+#: All price factors of all widths, of the queries that correlate and select.
+PRICE_FEATURES = [k for f in oracle.FAMILIES.values() for w in oracle.WIDTHS for k in f(w)] + ["RVOL_5"]
 
 _WINDOWS = """
 b AS (SELECT min(date) AS first, max(date) AS last FROM scored),
@@ -403,28 +406,28 @@ def j6_window_rows(spark, sf_dir):
     return walkforward.usable_windows(_tagged(spark, sf_dir))
 
 
-def _features(spark, sf_dir):
+def _features(spark, sf_dir, names=tuple(IC_FEATURES)):
     rows = factors.forward_labels(_returns(spark, sf_dir), (5,))
-    parts = (("momentum", 5), ("momentum", 20), ("dispersion", 20), ("price_place", 20), ("up_down_counts", 20))
 
     def make(r):
-        made = {k: v for family, w in parts for k, v in factors.PRICE_FAMILIES[family](r, w).items()} | factors.relative_volume(r)
-        return {k: made[k] for k in IC_FEATURES}
+        made = {k: v for family in factors.PRICE_FAMILIES for w in factors.WIDTHS if any(k in names for k in factors.price_names(family, (w,))) for k, v in factors.price_factors(r, family, (w,)).items()}
+        return {k: v for k, v in (made | factors.relative_volume(r)).items() if k in names}
 
-    return factors.with_factors(rows, make).select("symbol", "date", "future_return_5d", *IC_FEATURES)
+    return factors.with_factors(rows, make).select("symbol", "date", "future_return_5d", *names)
 
 
 def _ics(spark, sf_dir):
-    rows = scratch.kept(_features(spark, sf_dir))
-    return ranks.window_ic(rows, walkforward.walk_forward_windows(spark, scored(spark, sf_dir), **STEPS), IC_FEATURES, "future_return_5d")
+    rows = _features(spark, sf_dir, PRICE_FEATURES)
+    rows = scratch.kept(rows.select("date", "future_return_5d", *[(F.rint(F.col(c) * 1e9) / 1e9).alias(c) for c in PRICE_FEATURES]))  # sums of the same numbers in another order are ties
+    return ranks.window_ic(rows, walkforward.walk_forward_windows(spark, scored(spark, sf_dir), **STEPS), PRICE_FEATURES, "future_return_5d")
 
 
-_F_SQL = {**oracle.momentum(5), **oracle.momentum(20), **oracle.dispersion(20), **oracle.price_place(20), **oracle.up_down_counts(20)}
+_F_SQL = {k: x for f in oracle.FAMILIES.values() for w in oracle.WIDTHS for k, x in f(w).items()}
 _F_SQL["RVOL_5"] = oracle.sdiv("volume", oracle.low(oracle.avg("volume", 5), 1.0))
 _IC_SQL = (
-    f"{_S}, {_WINDOWS}, feats AS (SELECT symbol, date, (lead(close, 5) OVER s / close - 1) * 100 AS y, {', '.join(f'{_F_SQL[k]} AS {k}' for k in IC_FEATURES)} FROM r {oracle.windows(5, 20)})"
+    f"{_S}, {_WINDOWS}, feats AS (SELECT symbol, date, (lead(close, 5) OVER s / close - 1) * 100 AS y, {', '.join(f'round_even(CAST({x} AS DOUBLE) * 1e9, 0) / 1e9 AS {k}' for k, x in _F_SQL.items())} FROM r {oracle.windows(*oracle.WIDTHS)})"
     + f""",
-    long AS (UNPIVOT (SELECT win, y, {', '.join(f'CAST({k} AS DOUBLE) AS {k}' for k in IC_FEATURES)} FROM feats JOIN wins ON date >= train_start AND date < train_end) ON {', '.join(IC_FEATURES)} INTO NAME feature VALUE v),
+    long AS (UNPIVOT (SELECT win, y, {', '.join(_F_SQL)} FROM feats JOIN wins ON date >= train_start AND date < train_end) ON {', '.join(_F_SQL)} INTO NAME feature VALUE v),
     rk AS (SELECT win, feature, rank() OVER (PARTITION BY win, feature ORDER BY v) + (count(*) OVER (PARTITION BY win, feature, v) - 1) / 2 AS rv,
                   rank() OVER (PARTITION BY win, feature ORDER BY y) + (count(*) OVER (PARTITION BY win, feature, y) - 1) / 2 AS ry FROM long WHERE v IS NOT NULL AND y IS NOT NULL),
     ics AS (SELECT CAST(win AS INTEGER) AS "window", feature, covar_pop(rv, ry) / nullif(stddev_pop(rv) * stddev_pop(ry), 0) AS ic, count(*) AS n FROM rk GROUP BY win, feature HAVING count(*) >= 30)"""
@@ -436,13 +439,20 @@ def m2_feature_ic(spark, sf_dir):
     return rounded(_ics(spark, sf_dir))
 
 
-_SELECTED = f"""{_IC_SQL}, kept AS (SELECT *, feature LIKE 'RVOL\\_%' ESCAPE '\\' AS forced FROM ics WHERE ic IS NOT NULL AND (feature LIKE 'RVOL\\_%' ESCAPE '\\' OR abs(ic) >= 0.01)),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY forced DESC, abs(ic) DESC, feature) AS place FROM kept),
-    chosen AS (SELECT * FROM placed WHERE forced OR place <= 4)"""
+@query()
+def m2_panel_ic(spark, sf_dir):
+    """Every factor of the whole panel, over the job's own overlapping windows (12 months, a month apart)."""
+    built = scratch.kept(_panel(spark, sf_dir))
+    return rounded(ranks.window_ic(built, walkforward.walk_forward_windows(spark, built), panel.model_inputs(built), "future_return_5d"))
+
+
+_SELECTED = f"""{_IC_SQL}, kept AS (SELECT *, feature LIKE 'RVOL\\_%' ESCAPE '\\' AS forced FROM ics WHERE ic IS NOT NULL AND (feature LIKE 'RVOL\\_%' ESCAPE '\\' OR abs(ic) >= 0.02)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY forced DESC, round(abs(ic), 9) DESC, feature) AS place FROM kept),
+    chosen AS (SELECT * FROM placed WHERE forced OR place <= 80)"""
 
 
 def _selected(spark, sf_dir):
-    return walkforward.select_features(_ics(spark, sf_dir), 0.01, 4)
+    return walkforward.select_features(_ics(spark, sf_dir))
 
 
 @query(f'{_SELECTED} SELECT "window", feature, {_R("ic")}, forced, CAST(place AS INTEGER) AS place FROM chosen', dates=())
@@ -590,7 +600,18 @@ def a1_newey_west(spark, sf_dir):
     return rounded(stats.newey_west(ics, "ic", 5, 20, "year"))
 
 
-@query()
+def _erfc(x: str) -> str:
+    poly = str(stats.ERFC[-1])
+    for c in stats.ERFC[-2::-1]:
+        poly = f"({c} + (1 / (1 + {x} / 2)) * {poly})"
+    return f"(1 / (1 + {x} / 2)) * exp({poly} - {x} * {x})"
+
+
+@query(
+    f"""{_S}{_RANKS} SELECT n, {_R('mean', 't_plain', 't_nw')}, round({_erfc('z')} + 1e-9, 6) + 0.0 AS p_value
+    FROM (SELECT *, abs(t_nw) / sqrt(2) AS z FROM {_nw('(SELECT 1 AS one, date, ic FROM ic)', 'ic', 'one')})""",
+    dates=(),
+)
 def a2_p_values(spark, sf_dir):
     ics = xsection.daily_rank_ic(scored(spark, sf_dir), "score", "future_return_5d", 5)
     return rounded(stats.normal_p_value(stats.newey_west(ics, "ic")))
@@ -731,5 +752,5 @@ def j4_scores_with_returns(spark, sf_dir):
 
 @query()
 def m13_regime_model(spark, sf_dir):
-    rows = factors.join_macro(_model_rows(spark, sf_dir), _macro(spark, sf_dir).select("date", "VIX_PERCENTILE"))
+    rows = scratch.kept(factors.join_macro(_model_rows(spark, sf_dir), _macro(spark, sf_dir).select("date", "VIX_PERCENTILE")))
     return rounded(models.regime_model(spark, rows, IC_FEATURES, trees=TREES))

@@ -1,9 +1,10 @@
 """Statistics of the last w rows, wider windows put together from narrower ones.
 
 The sum of the last 60 rows is that of the last 30 and that of the 30 before; so only the narrowest width slides over its
-rows, and every further width costs a lag and an addition, whatever its length. Sums of squared deviations and co-moments are
-joined by the pairwise update formula, which loses no precision to the level of the values. All steps share the symbol's
-partition and order: no further exchange or sort.
+rows, and every further width costs a lag and an addition, whatever its length. Sums of squared, cubed and fourth-power
+deviations and co-moments are joined by the pairwise update formulas, which lose no precision to the level of the values. How
+many of the last rows are smaller or larger is counted over lags, made once for all widths. All steps share the symbol's partition
+and order: no further exchange or sort.
 
 A window with fewer than w values that are there is null, since its parts are.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from xpanel.functions.exprs import back, correlation, full, rows
 
 #: width: (its recent part, the part before), narrow ones first.
-JOINS = {10: (5, 5), 20: (10, 10), 30: (10, 20), 60: (30, 30)}
+JOINS = {10: (5, 5), 15: (5, 10), 20: (10, 10), 30: (10, 20), 60: (30, 30)}
 BASE = 5
 
 
@@ -73,6 +74,25 @@ class Rolling:
         self.total(name, w, x)
         return self._value("m2", (name,), w)
 
+    def cubes(self, name: str, w: int, x: Column | None = None) -> Column:
+        """The sum of cubed deviations from the window's mean."""
+        self.squares(name, w, x)
+        return self._value("m3", (name,), w)
+
+    def fourths(self, name: str, w: int, x: Column | None = None) -> Column:
+        """The sum of fourth powers of the deviations from the window's mean."""
+        self.cubes(name, w, x)
+        return self._value("m4", (name,), w)
+
+    def places(self, name: str, w: int, x: Column | None = None) -> tuple[Column, Column]:
+        """How many of the w - 1 rows before are smaller, and larger, than this one."""
+        now, smaller, larger = self._input(name, x), F.lit(0), F.lit(0)
+        for k in range(1, w):
+            self.direct.setdefault(f"_lag_{name}_{k}", back(now, k))
+            smaller = smaller + (F.col(f"_lag_{name}_{k}") < now).cast("int")
+            larger = larger + (F.col(f"_lag_{name}_{k}") > now).cast("int")
+        return smaller, larger
+
     def std(self, name: str, w: int, x: Column | None = None) -> Column:
         return F.sqrt(self.squares(name, w, x) / F.lit(float(w - 1)))
 
@@ -92,6 +112,11 @@ class Rolling:
     # --- how it is made
 
     def _base(self, kind: str, names: tuple[str, ...]) -> Column:
+        if kind in ("m3", "m4"):
+            values = [F.col(f"_in_{names[0]}"), *[back(f"_in_{names[0]}", k) for k in range(1, BASE)]]
+            apart = [v - sum(values[1:], values[0]) / F.lit(float(BASE)) for v in values]
+            powers = [a * a * a if kind == "m3" else a * a * a * a for a in apart]
+            return sum(powers[1:], powers[0])
         x = [F.col(f"_in_{n}") for n in names]
         both = x[0] if len(x) == 1 else F.when(x[0].isNotNull() & x[1].isNotNull(), x[0])
         value = {"sum": F.sum, "max": F.max, "min": F.min, "m2": lambda v: F.var_pop(v), "cm": lambda *v: F.covar_pop(*v)}[kind](*x)
@@ -106,9 +131,23 @@ class Rolling:
             return a + b
         if kind in ("max", "min"):
             return F.when(a.isNotNull() & b.isNotNull(), (F.greatest if kind == "max" else F.least)(a, b))
+        if kind in ("m3", "m4"):
+            return self._higher(kind, names, recent, older, a, b, part)
         apart = lambda n: (lambda s: s[0] / F.lit(float(recent)) - s[1] / F.lit(float(older)))(part("sum", (n,)))
         return a + b + apart(names[0]) * apart(names[-1]) * F.lit(recent * older / w)
 
+    @staticmethod
+    def _higher(kind: str, names: tuple[str, ...], na: int, nb: int, a: Column, b: Column, part) -> Column:
+        """Third and fourth moments of two parts together."""
+        sums, squares, n = part("sum", names), part("m2", names), na + nb
+        d = sums[1] / F.lit(float(nb)) - sums[0] / F.lit(float(na))
+        if kind == "m3":
+            return a + b + d * d * d * F.lit(na * nb * (na - nb) / n**2) + d * (squares[1] * F.lit(float(na)) - squares[0] * F.lit(float(nb))) * F.lit(3 / n)
+        cubes = part("m3", names)
+        spread = d * d * d * d * F.lit(na * nb * (na**2 - na * nb + nb**2) / n**3)
+        second = d * d * (squares[1] * F.lit(float(na**2)) + squares[0] * F.lit(float(nb**2))) * F.lit(6 / n**2)
+        return a + b + spread + second + d * (cubes[1] * F.lit(float(na)) - cubes[0] * F.lit(float(nb))) * F.lit(4 / n)
+
     def add(self, df: DataFrame) -> DataFrame:
         df = df.withColumns({f"_in_{n}": x for n, x in self.inputs.items()})
         df = df.withColumns({self._name(k, n, BASE): self._base(k, n) for (k, n), widths in self.needs.items() if BASE in widths} | self.direct)

@@ -71,11 +71,11 @@ def price_place(r: Rolling, w: int) -> Factors:
     """RSV, MAX, MIN by the highest and lowest close; QTLU and QTLD: the share of the other closes below and above."""
     _, _, _, C, _, _ = _columns()
     high, low = r.highest("close", w), r.lowest("close", w)
-    closes = F.slice(F.collect_list(C).over(rows(max(WIDTHS))), -w, w)  # one list for all widths
-    share = lambda test: F.when(high.isNotNull(), F.size(F.filter(closes, test)) / F.lit(w - 1))
+    smaller, larger = r.places("close", w)
+    share = lambda n: F.when(high.isNotNull(), n / F.lit(w - 1))
     return {
         f"RSV_{w}": safe_div(C - low, high - low), f"MAX_{w}": safe_div(C, high) - 1.0, f"MIN_{w}": safe_div(C, low) - 1.0,
-        f"QTLU_{w}": share(lambda c: c < C), f"QTLD_{w}": share(lambda c: c > C),
+        f"QTLU_{w}": share(smaller), f"QTLD_{w}": share(larger),
     }
 
 
@@ -125,9 +125,9 @@ def volume_direction(r: Rolling, w: int) -> Factors:
 def weighted_spread(bars: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """WVMA: each row deviates from its own rolling weighted price, so the look-back is 2w - 1 rows (two chained windows)."""
     _, _, _, C, V, _ = _columns()
-    priced = bars.withColumns({f"_vwap{w}": ratio(total(C * V, w), total(V, w)) for w in widths})
     spread = lambda w: (C - F.col(f"_vwap{w}")) * (C - F.col(f"_vwap{w}")) * V
-    out = priced.withColumns({f"WVMA_{w}": F.sqrt(safe_div(total(spread(w), w), total(V, w))) for w in widths})
+    priced = with_factors(bars, lambda r: {f"_vwap{w}": ratio(r.total("money", w, C * V), r.total("volume", w)) for w in widths})
+    out = with_factors(priced, lambda r: {f"WVMA_{w}": F.sqrt(safe_div(r.total(f"spread{w}", w, spread(w)), r.total("volume", w))) for w in widths})
     return out.drop(*[f"_vwap{w}" for w in widths])
 
 
@@ -251,8 +251,9 @@ def higher_moments(r: Rolling) -> Factors:
     _, _, _, _, _, RET = _columns()
     n = 20.0
     # the moments of a constant window are undefined
-    moves = r.squares("ret", 20) > 0
-    g1, g2 = F.skewness(RET).over(rows(20)), F.kurtosis(RET).over(rows(20))
+    square = r.squares("ret", 20)
+    moves = square > 0
+    g1, g2 = r.cubes("ret", 20) * F.lit(n**0.5) / F.pow(square, 1.5), r.fourths("ret", 20) * F.lit(n) / (square * square) - 3
     auto = F.when(r.total("ret", 20).isNotNull(), r.correlation("ret", "ret_before", 15, xb=back(RET, 5)))
     return {
         "SKEW_20": F.when(moves, g1 * ((n * (n - 1)) ** 0.5 / (n - 2))), "KURT_20": F.when(moves, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)),

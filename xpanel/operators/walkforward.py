@@ -73,9 +73,9 @@ def _starts(prefixes: tuple[str, ...]):
 
 
 def select_features(ics: DataFrame, min_ic: float = 0.02, top_k: int | None = 80, forced: tuple[str, ...] = FORCED, macro: tuple[str, ...] = MACRO, macro_cap: int = 5) -> DataFrame:
-    """window, feature, ic, place: forced ones first (macro ones capped), then the best others up to top_k in all."""
+    """window, feature, ic, place: forced ones first (macro ones capped), then the best others up to top_k in all. |ic| counts to nine digits; ties go by name."""
     rows = ics.withColumn("forced", _starts(forced)).withColumn("macro", F.col("forced") & _starts(macro)).filter(F.col("forced") | (F.abs("ic") >= min_ic))
-    best = [F.desc(F.abs("ic")), F.col("feature")]
+    best = [F.desc(F.round(F.abs("ic"), 9)), F.col("feature")]
     rows = rows.withColumn("_m", F.row_number().over(Window.partitionBy("window", "macro").orderBy(*best))).filter(~F.col("macro") | (F.col("_m") <= macro_cap))
     place = F.row_number().over(Window.partitionBy("window").orderBy(F.desc("forced"), *best))
     out = rows.withColumn("place", place)

@@ -107,8 +107,8 @@ def log_scaled(factors: dict[str, str]) -> dict[str, str]:
     return {(f"LN_{k}" if k.startswith("RS_") else k): (f"sign({x}) * ln(1 + abs({x}))" if k.startswith("RS_") else x) for k, x in factors.items()}
 
 
-def select(factors: dict[str, str], source: str, ctes: str, widths) -> str:
-    columns = ", ".join(f"round({x} + 1e-9, 6) + 0.0 AS {name}" for name, x in factors.items())
+def select(factors: dict[str, str], source: str, ctes: str, widths, digits: int = 6) -> str:
+    columns = ", ".join(f"round({x} + 1e-9, {digits}) + 0.0 AS {name}" for name, x in factors.items())
     return f"WITH {ctes.strip()} SELECT symbol, date, {columns} FROM {source} {windows(*widths)}"
 
 
@@ -191,7 +191,7 @@ def core_panel(names) -> str:
 def weighted_spread() -> str:
     vwap = ", ".join(f"{total('(close * volume)', w)} / nullif({total('volume', w)}, 0) AS vwap{w}" for w in WIDTHS)
     ctes = RETURNS + f", p AS (SELECT *, {vwap} FROM r {windows(*WIDTHS)})"
-    return select({f"WVMA_{w}": f"sqrt({sdiv(total(f'((close - vwap{w}) * (close - vwap{w}) * volume)', w), total('volume', w))})" for w in WIDTHS}, "p", ctes, WIDTHS)
+    return select({f"WVMA_{w}": f"sqrt({sdiv(total(f'((close - vwap{w}) * (close - vwap{w}) * volume)', w), total('volume', w))})" for w in WIDTHS}, "p", ctes, WIDTHS, 4)
 
 
 def market_relative() -> str:

@@ -16,9 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars: a supplier is a symbol, its line items of a week are trades."""
+    """Weekly bars: a supplier is a symbol, its line items of a week are trades, in the order of day, order, line, part and price.
+
+    That order is one number of 35 digits, so first and last are kept in a hash aggregate's buffer; a struct would need two sorts.
+    """
     items = _table(spark, sf_dir, "lineitem")
-    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    order = F.weekday("l_shipdate").cast("decimal(1,0)")
+    for part, digits in ((F.col("l_orderkey"), 12), (F.col("l_linenumber"), 2), (F.col("l_partkey"), 11), (F.round(F.col("l_extendedprice") * 100), 9)):
+        order = (order * F.lit(10**digits).cast(f"decimal({digits + 1},0)") + part.cast(f"decimal({digits},0)")).cast("decimal(38,0)")
     price = F.col("l_extendedprice").cast("double")
     week = F.date_trunc("week", "l_shipdate").cast("date")
     return items.groupBy(F.col("l_suppkey").cast("string").alias("symbol"), week.alias("date")).agg(
