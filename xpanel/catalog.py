@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -674,6 +675,19 @@ def s4_read_panel(spark, sf_dir):
     return rounded(tables.read_panel(spark, path, built.columns))
 
 
+@query(oracle.core_panel(panel.CORE))
+def s5_merged_panel(spark, sf_dir):
+    """The core panel from bars in buckets, written without its last month, which is then merged in: its year alone is written anew."""
+    path, name = scratch.folder(spark), f"bars_{uuid.uuid4().hex}"
+    tables.write_bars(adapter.bars(spark, sf_dir), name, f"{path}/bars", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    built = scratch.kept(panel.project(panel.build_panel(spark.table(name), only=panel.CORE)))
+    spark.sql(f"DROP TABLE {name}")
+    last = walkforward.last_month(built)
+    tables.write_panel(last.filter(~F.col("holdout")).drop("holdout"), f"{path}/panel")
+    tables.merge_panel(last.filter("holdout").drop("holdout"), f"{path}/panel")
+    return rounded(tables.read_panel(spark, f"{path}/panel", built.columns))
+
+
 def _model_rows(spark, sf_dir):
     return _features(spark, sf_dir).dropna()
 

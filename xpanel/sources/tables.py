@@ -56,10 +56,36 @@ def read_panel(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
 
 
-def write_panel(panel: DataFrame, path: str) -> None:
+def _by_year(panel: DataFrame):
     """Partitioned by year, so that date ranges prune files; one shuffle gives each year its own files."""
-    year = F.year("date")
-    panel.withColumn("year", year).repartition("year", "symbol").write.mode("overwrite").partitionBy("year").parquet(path)
+    return panel.withColumn("year", F.year("date")).repartition("year", "symbol").write.mode("overwrite").partitionBy("year")
+
+
+def write_panel(panel: DataFrame, path: str) -> None:
+    _by_year(panel).parquet(path)
+
+
+def merge_panel(rows: DataFrame, path: str) -> None:
+    """New and corrected rows of a written panel, in place of those with their date and symbol: only the years that rows touch are
+    written anew, each in one step when all of its files are there; other years' files stay as they are."""
+    years = [r["year"] for r in rows.select(F.year("date").alias("year")).distinct().collect()]  # as many as the history has
+    there = rows.sparkSession.read.parquet(path).filter(F.col("year").isin(years)).drop("year")
+    untouched = there.join(rows.select("date", "symbol"), ["date", "symbol"], "left_anti")
+    _by_year(untouched.unionByName(rows, allowMissingColumns=True)).option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def write_bars(bars: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """Bars as a table of the catalog, in buckets of symbols sorted by date: every later pass of windows over a symbol's rows, and
+    every join by symbol with another such table, needs no exchange."""
+    bars.repartition(buckets, "symbol").write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("date").option("path", path).saveAsTable(name)
+
+
+def open_bars(spark: SparkSession, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """The table written at path; a session whose catalog does not know it is told of its buckets."""
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (symbol) SORTED BY (date) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
