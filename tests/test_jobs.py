@@ -123,6 +123,18 @@ def test_walk_forward_writes_scores_and_window_reports(spark, tmp_path, task):
     assert scores.groupBy("date", "symbol").count().filter("count > 1").isEmpty() and scores.count() == 12 * sum((b[6] - b[5]).days for b in bounds)
 
 
+def test_walk_forward_on_neutral_labels_with_two_families(spark, tmp_path):
+    """Labels moved by a date's own shift: the models are fitted for labels without it, scores are measured against the labels as they are."""
+    rows = learnable(spark).withColumn("future_return_5d", F.col("future_return_5d") + 50 * F.sin(F.dayofyear("date").cast("double")))
+    families = {"linear": models.SparkEstimator("linear"), "boosted": models.SparkEstimator(trees=4)}
+    got = jobs.walk_forward(spark, rows, FEATURES, str(tmp_path), k=2, steps=STEPS, families=families, neutral=True).first()
+    assert got["avg_cs_ic"] > 0.5
+    made = spark.read.parquet(*glob(f"{tmp_path}/predictions/*/test"))
+    assert {r["model"] for r in made.select("model").distinct().collect()} == {"5d:linear", "5d:boosted"}
+    assert made.join(rows.select("date", "symbol", F.col("future_return_5d").alias("given")), ["date", "symbol"]).filter("given <> future_return_5d").isEmpty()
+    assert made.agg(F.max(F.abs("prediction"))).first()[0] < 20
+
+
 def test_thin_windows_are_left_out(spark, tmp_path):
     few = (F.col("symbol") == "S00") & (F.dayofyear("date") % 2 == 0)  # 15 rows a month
     thin = learnable(spark).filter(few | (F.col("date") < DAY + dt.timedelta(days=300)))

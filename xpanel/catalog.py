@@ -720,11 +720,12 @@ def m6_walk_forward(spark, sf_dir):
 
 @query()
 def m10_tail_score(spark, sf_dir):
-    """The tail model against the walk-forward scores of the momentum factor alone, over the dates that both have."""
-    rows = scratch.kept(_model_rows(spark, sf_dir))
-    tail = jobs.tail_walk_forward(spark, rows, IC_FEATURES, scratch.folder(spark), "future_return_5d", TREES, 0.0, steps=TILES, depth=4)
-    base = rows.select("date", "symbol", F.col("ROC_5").alias("score"), "future_return_5d")
-    return rounded(jobs.compare_scores({"tail": tail, "momentum": base}, "future_return_5d", 5, (1, K), K))
+    """The tail model against the regression's walk-forward scores, both from their jobs, over the dates that both have."""
+    rows, path = scratch.kept(_model_rows(spark, sf_dir)), scratch.folder(spark)
+    tail = jobs.tail_walk_forward(spark, rows, IC_FEATURES, path, "future_return_5d", TREES, 0.0, steps=TILES, depth=4)
+    jobs.walk_forward(spark, rows, IC_FEATURES, f"{path}/base", trees=TREES, min_ic=0.0, k=K, steps=TILES)
+    base = spark.read.parquet(f"{path}/base/scores").join(rows.select("date", "symbol", "future_return_5d"), ["date", "symbol"])
+    return rounded(jobs.compare_scores({"tail": tail, "regression": base}, "future_return_5d", 5, (1, K), K))
 
 
 @query()
