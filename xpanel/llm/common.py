@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import os
 import tempfile
 import uuid
@@ -141,12 +140,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs now: it does so once the driver has collected their handles."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @contextlib.contextmanager
 def shuffles_released(spark: SparkSession) -> Iterator[None]:
     """Inside, each query's shuffle files go when it has ended, not when the driver collects their handles."""
