@@ -78,10 +78,20 @@ def test_license_signatures(spark):
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.": "apache,apache-2.0",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
         "GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version": "gpl,gpl-2.0-or-later",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2.0,mit", "SPDX-License-Identifier: GPL-2.0+": "gpl-2.0-or-later", "SPDX-License-Identifier: MIT-0": "mit-0",
+        "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": "classpath-exception-2.0,gpl-2.0-or-later", "SPDX-License-Identifier: AFL-3.0": "afl-3.0",
+        "SPDX-License-Identifier: EUPL-1.1": "eupl-1.1", "under LGPL-3.0": "lgpl-3.0", "AGPL-3.0": "agpl-3.0", "MPL-2.0 license": "mpl-2.0", "License: Apache-2.0": "apache-2.0",
+        'license = "MIT"': "mit", "https://www.gnu.org/licenses/gpl-3.0.html": "gpl-3.0", "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa-4.0", "GPLv2+, GPL v3": "gpl-2.0-or-later,gpl-3.0",
+        "llama 3.1 community license": "llama-community", "GNU General Public License v2+ or later": "gpl,gpl-2.0-or-later", "LGPLv2.1+": "lgpl-2.1-or-later", "the gpl and 2 0": "", "SPDX-License-Identifier: PHP-3.01": "php-3.01",
+        "BSD-3-Clause-Clear or MIT": "", "SPDX-License-Identifier: BSD-3-Clause-Clear AND (BSD-2-Clause OR ISC)": "bsd-2-clause,bsd-3-clause-clear,isc", "2.0+GPL 1+1=2+": "",
     }
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in license_scan.license_report(df).collect()}
     assert got == dict(enumerate(cases.values()))
+    documents = df.toPandas()  # noqa: F841
+    assert {r[0]: r[6] for r in duckdb.sql(license_scan.oracle()).fetchall()} == got
+    spans = license_scan.scan_licenses(df).filter("row.text LIKE '%(MIT OR%'").first()["license_detections"]
+    assert [(d["start"], d["end"], d["label"]) for d in spans] == [(3, 4, "mit"), (5, 8, "apache-2.0")]
 
 
 def test_license_gate_holds_every_rule():
