@@ -101,6 +101,9 @@ def test_license_gate_holds_every_rule():
         fixed = [x.replace("licen[cs]e", "license") for x in words.split() if not x.endswith("?")]
         assert keyword in fixed, line
         assert words.startswith("cc by") or any(all(any(g in alternative for g in license_scan.GATE) for alternative in x.split("|")) for x in fixed), line
+    for _, keyword, before, _, after in license_scan.CONTEXTS:
+        words = [keyword, *f"{before} {after}".replace("licen[cs]e", "license").split()]
+        assert any(all(any(g in alternative for g in license_scan.GATE) for alternative in x.split("|")) for x in words), keyword
 
 
 # --- 2 ----------------------------------------------------------------------------------------------------------------

@@ -30,8 +30,6 @@ RULES = """
 1 | gpl-3.0 | copyleft | the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works
 1 | gpl-2.0 | freedom | the licenses for most software are designed to take away your freedom to share and change it
 2 | gpl | covered | activities other than copying distribution and modification are not covered by this licen[cs]e they are outside its scope
-2 | gpl | convey | you may convey verbatim copies of the program s source code as you receive it in any medium
-2 | gpl | verbatim | you may copy and distribute verbatim copies of the program s source code as you receive it in any medium
 0 | agpl-3.0 | affero | gnu? affero general public licen[cs]e version|v? v?3
 0 | agpl-3.0-or-later | affero | gnu affero general public licen[cs]e as published by the free software foundation either version? v?3
 0 | agpl-1.0 | affero | affero general public licen[cs]e version? v?1
@@ -64,7 +62,7 @@ RULES = """
 2 | apache | apache | licensed under the? apache
 1 | apache-2.0 | contributor | each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e to reproduce
 1 | apache-2.0 | patent | each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent licen[cs]e
-1 | apache-1.1 | acknowledgment | the end user documentation included with the redistribution if any must include the following acknowledg(e)?ment this product includes software developed by the apache software foundation
+1 | apache-1.1 | acknowledgment | the end user documentation included with the redistribution if any must include the following acknowledgment this product includes software developed by the apache software foundation
 2 | apache | trademarks | this licen[cs]e does not grant permission to use the trade names trademarks service marks or product names of the licensor
 3 | apache | permissions | see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e
 3 | apache | agreed | unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis
