@@ -116,7 +116,7 @@ RULES = """
 0 | mpl-2.0 | source | this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0
 0 | mpl-2.0-no-copyleft-exception | incompatible | incompatible with secondary licenses as defined by the mozilla public licen[cs]e
 1 | mpl | mozilla | mozilla public licen[cs]e
-1 | mpl-1.1 | software | the contents of this file are subject to the mozilla public licen[cs]e version 1 1
+1 | mpl-1.1 | mozilla | the contents of this file are subject to the mozilla public licen[cs]e version 1 1
 1 | npl | netscape | netscape public licen[cs]e
 0 | epl-1.0 | eclipse | eclipse public licen[cs]e version|v? v?1 0
 0 | epl-2.0 | eclipse | eclipse public licen[cs]e version|v? v?2 0
@@ -162,7 +162,7 @@ RULES = """
 1 | ntp | ntp | ntp licen[cs]e
 0 | ofl-1.1 | font | sil open font licen[cs]e version? v?1 1
 1 | ofl | font | sil? open font licen[cs]e
-1 | ofl | fonts | neither the font software nor any of its individual components in original or modified versions may be sold by itself
+1 | ofl | font | neither the font software nor any of its individual components in original or modified versions may be sold by itself
 1 | ms-pl | microsoft | microsoft public licen[cs]e
 2 | ms-pl | accept | if you use the software you accept this licen[cs]e if you do not accept the licen[cs]e do not use the software
 1 | ms-rl | microsoft | microsoft reciprocal licen[cs]e
