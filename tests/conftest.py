@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 DATA = "/root/testdata/sf0.001"
+WIDE = "/root/testdata/sf0.01"  #: with enough names a day for portfolios
 
 
 @pytest.fixture(scope="session")
@@ -21,11 +22,20 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(scope="session")
-def duck():
+def tables_of(folder):
     import duckdb
 
     con = duckdb.connect()
-    for p in Path(DATA).glob("*.parquet"):
+    for p in Path(folder).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     return con
+
+
+@pytest.fixture(scope="session")
+def duck():
+    return tables_of(DATA)
+
+
+@pytest.fixture(scope="session")
+def wide_duck():
+    return tables_of(WIDE)

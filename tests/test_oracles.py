@@ -3,15 +3,16 @@
 import math
 
 import pytest
-from conftest import DATA
+from conftest import DATA, WIDE
 
 from xpanel import catalog
 
 NAMES = [
     "s1_bars", "s2_macro", "f_regression", "f_time_place", "f_weighted_spread", "f_market_relative", "f_higher_moments", "f_flow", "f_macro", "j3_macro_join", "j2_asof_union",
-    "f_forward_labels", "x2_tail_labels", "x3_relevance_grades", "x4_daily_rank_ic", "x7_bucket_returns", "x8_long_short", "m1_windows", "m3_select_features", "m9_dedupe_scores",
-    "a3_staggered_portfolio", "a4_long_excess", "a6_portfolio_report", "a8_significance", "m5_reweighting",
+    "f_forward_labels", "x2_tail_labels", "x3_relevance_grades", "x4_daily_rank_ic", "x7_bucket_returns", "m1_windows", "m3_select_features", "m9_dedupe_scores",
+    "m5_reweighting",
 ]
+WIDE_NAMES = ["x6_topk_return", "x8_long_short", "j7_rebalance_map", "a3_staggered_portfolio", "a4_long_excess", "a5_perf_stats", "a6_portfolio_report", "a7_equity_curve", "a8_significance"]
 
 
 def canonical(df):
@@ -31,5 +32,11 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", WIDE_NAMES)
+def test_portfolio_query_equals_sql(spark, wide_duck, name):
+    got = canonical(catalog.queries()[name](spark, WIDE).toPandas())
+    assert len(got[1]) > 0 and got == canonical(wide_duck.execute(catalog.oracle_sql()[name]).fetchdf())
+
+
 def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())

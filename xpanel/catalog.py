@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from xpanel import oracle
@@ -88,21 +88,29 @@ def j1_asof_benchmarks(spark, sf_dir):
     return _only(_aligned(spark, sf_dir), [f"{p}_{t}" for t in oracle.TICKERS for p in ("px", "r")])
 
 
-def _log_scaled(columns: dict) -> dict:
-    """Ratios to sums near zero vary by twelve orders: the queries give them as sign * ln(1 + |x|), named LN_*."""
-    return {(f"LN_{k}" if k.startswith("RS_") else k): (F.sign(x) * F.log1p(F.abs(x)) if k.startswith("RS_") else x) for k, x in columns.items()}
+def significant(x: Column) -> Column:
+    """Six significant digits, six decimals below 1: for values of many orders (ratios to sums near zero, compounded returns)."""
+    return F.when(F.abs(x) < 1, F.round(x + 1e-9, 6) + 0.0).when(x.isNotNull(), F.format_string("%.5e", x).cast("double"))
 
 
-def _extra(name: str, sql: str, make: Callable[[Rolling], dict], source: Callable = _returns) -> None:
+def _significant(*names: str) -> str:
+    return ", ".join(f"{oracle.significant(n)} AS {n}" for n in names)
+
+
+def _extra(name: str, sql: str, make: Callable[[Rolling], dict], source: Callable = _returns, ratios: str | None = None) -> None:
+    """ratios: the start of the names that are given by significant digits."""
+
     def run(spark, sf_dir):
-        return _only(factors.with_factors(source(spark, sf_dir), make), make(Rolling()))
+        names = list(make(Rolling()))
+        made = factors.with_factors(source(spark, sf_dir), make)
+        return _only(made.withColumns({k: significant(F.col(k)) for k in names if ratios and k.startswith(ratios)}), names)
 
     run.__name__ = name
     query(sql)(run)
 
 
-_extra("f_market_relative", oracle.market_relative(), lambda r: _log_scaled(factors.market_relative(r)), _aligned)
-_extra("f_etf_relative", oracle.etf_relative(), lambda r: _log_scaled(factors.etf_relative(r)), _aligned)
+_extra("f_market_relative", oracle.market_relative(), factors.market_relative, _aligned, "RS_")
+_extra("f_etf_relative", oracle.etf_relative(), factors.etf_relative, _aligned, "RS_")
 _extra("f_lead_signals", oracle.lead_signals(), factors.lead_signals, _aligned)
 _extra("f_higher_moments", oracle.higher_moments(), factors.higher_moments)
 _extra("f_volatility", oracle.volatility(), factors.volatility)
@@ -233,7 +241,7 @@ def j2_asof_union(spark, sf_dir):
 
 # --- cross-section ----------------------------------------------------------------------------------------------------
 
-K = 2  #: small enough for the smallest tables; the operators' defaults are 10 and 25
+K = 10  #: names held; the smallest tables have fewer than the 4 * K a day that a portfolio asks for
 _S = f"WITH {oracle.SCORED.strip()}"
 _R = lambda *names: ", ".join(f"round({n} + 1e-9, 6) + 0.0 AS {n}" for n in names)
 _RANKS = """, ranks AS (
@@ -330,13 +338,13 @@ def _nw(source: str, value: str, key: str, lag: int = 5, least: int = 20) -> str
 
 
 @query(
-    f"""{_S}{_ENDS}, d AS (SELECT 1 AS k, date, top - bottom AS spread FROM {_daily(1, 4, 'future_return_1d')} UNION ALL SELECT 2, date, top - bottom FROM {_daily(2, 8, 'future_return_1d')}),
+    f"""{_S}{_ENDS}, d AS (SELECT 5 AS k, date, top - bottom AS spread FROM {_daily(5, 20, 'future_return_1d')} UNION ALL SELECT 10, date, top - bottom FROM {_daily(10, 40, 'future_return_1d')}),
     g AS (SELECT k, avg(spread) / nullif(stddev_pop(spread), 0) * sqrt(252) AS sharpe FROM d GROUP BY k)
     SELECT CAST(k AS INTEGER) AS k, n, {_R('mean', 'sharpe', 't_nw')} FROM {_nw('d', 'spread', 'k')} JOIN g USING (k)""",
     dates=(),
 )
 def x8_long_short(spark, sf_dir):
-    return rounded(portfolio.long_short_spread(scored(spark, sf_dir), "future_return_1d", (1, 2)))
+    return rounded(portfolio.long_short_spread(scored(spark, sf_dir), "future_return_1d", (5, K)))
 
 
 @query(
@@ -554,45 +562,48 @@ def _perf(source: str, value: str, prefix: str = "") -> str:
             FROM (SELECT *, max(equity) OVER (PARTITION BY cost_bps ORDER BY date) AS peak FROM (SELECT cost_bps, date, {value}, product(1 + {value} / 100) OVER (PARTITION BY cost_bps ORDER BY date) AS equity FROM {source})) GROUP BY cost_bps))"""
 
 
-def _small(spark, sf_dir):
-    """Portfolio returns scaled down, as weekly prices of the adapter jump by factors."""
-    return portfolio.staggered_portfolio(scored(spark, sf_dir), "future_return_1d", K).withColumn("ret", F.col("ret") / 1000)
+def _portfolio(spark, sf_dir):
+    return portfolio.staggered_portfolio(scored(spark, sf_dir), "future_return_1d", K)
+
+
+def _given(df: DataFrame, *names: str) -> DataFrame:
+    return rounded(df.withColumns({n: significant(F.col(n)) for n in names}))
 
 
-_SMALL = f"{_PLAN}, small AS (SELECT cost_bps, date, ret / 1000 AS ret FROM port)"
+_PERF = ("total_return_pct", "ann_return_pct", "ann_vol_pct", "max_drawdown_pct", "sharpe")
 
 
-@query(f"{_SMALL} SELECT cost_bps, n_days, {_R('total_return_pct', 'ann_return_pct', 'ann_vol_pct', 'max_drawdown_pct', 'sharpe')} FROM {_perf('small', 'ret')}", dates=())
+@query(f"{_PLAN} SELECT cost_bps, n_days, {_significant(*_PERF)} FROM {_perf('port', 'ret')}", dates=())
 def a5_perf_stats(spark, sf_dir):
-    return rounded(stats.perf_stats(_small(spark, sf_dir), "ret", "cost_bps"))
+    return _given(stats.perf_stats(_portfolio(spark, sf_dir), "ret", "cost_bps"), *_PERF)
 
 
-_SPY = f"""{oracle.BENCH}, spy AS (SELECT date, (lead(close) OVER (ORDER BY date) / close - 1) * 100 / 1000 AS bench_ret FROM bench WHERE ticker = 'SPY'),
-    both_ AS (SELECT cost_bps, date, ret, bench_ret, ret - bench_ret AS excess FROM small JOIN spy USING (date) WHERE bench_ret IS NOT NULL)"""
+_REPORT = (*_PERF, *(f"bench_{n}" for n in _PERF), "excess_ann_pct")
+_SPY = f"""{oracle.BENCH}, spy AS (SELECT date, (lead(close) OVER (ORDER BY date) / close - 1) * 100 AS bench_ret FROM bench WHERE ticker = 'SPY'),
+    both_ AS (SELECT cost_bps, date, ret, bench_ret, ret - bench_ret AS excess FROM port JOIN spy USING (date) WHERE bench_ret IS NOT NULL)"""
 
 
 @query(
-    f"""{_SMALL}{_SPY} SELECT cost_bps, s.n_days, {_R('total_return_pct', 'ann_return_pct', 'ann_vol_pct', 'max_drawdown_pct', 'sharpe', 'bench_total_return_pct', 'bench_ann_return_pct', 'bench_ann_vol_pct', 'bench_sharpe', 'bench_max_drawdown_pct')},
-           round(mean * 252 + 1e-9, 6) + 0.0 AS excess_ann_pct, round(t_nw + 1e-9, 6) + 0.0 AS excess_t_nw
-    FROM {_perf('both_', 'ret')} s JOIN {_perf('both_', 'bench_ret', 'bench_')} b USING (cost_bps) JOIN {_nw('both_', 'excess', 'cost_bps', 5, 0)} USING (cost_bps)""",
+    f"""{_PLAN}{_SPY} SELECT cost_bps, n_days, {_significant(*_REPORT)}, {_R('excess_t_nw')}
+    FROM (SELECT *, s.n_days AS n_days, mean * 252 AS excess_ann_pct, t_nw AS excess_t_nw FROM {_perf('both_', 'ret')} s JOIN {_perf('both_', 'bench_ret', 'bench_')} b USING (cost_bps) JOIN {_nw('both_', 'excess', 'cost_bps', 5, 0)} USING (cost_bps))""",
     dates=(),
 )
 def a6_portfolio_report(spark, sf_dir):
     spy = adapter.bench(spark, sf_dir, adapter.bars(spark, sf_dir)).filter(F.col("ticker") == adapter.MARKET)
-    return rounded(portfolio.portfolio_report(_small(spark, sf_dir), portfolio.forward_benchmark(spy).withColumn("bench_ret", F.col("bench_ret") / 1000)))
+    return _given(portfolio.portfolio_report(_portfolio(spark, sf_dir), portfolio.forward_benchmark(spy)), *_REPORT)
 
 
 @query(
-    f"""{_SMALL}, c AS (SELECT cost_bps, date, ret, product(1 + ret / 100) OVER (PARTITION BY cost_bps ORDER BY date) AS equity FROM small)
-    SELECT cost_bps, date, {_R('ret', 'equity')}, round(equity / max(equity) OVER (PARTITION BY cost_bps ORDER BY date) - 1 + 1e-9, 6) + 0.0 AS drawdown FROM c"""
+    f"""{_PLAN}, c AS (SELECT cost_bps, date, ret, product(1 + ret / 100) OVER (PARTITION BY cost_bps ORDER BY date) AS equity FROM port)
+    SELECT cost_bps, date, {_significant('ret', 'equity')}, round(equity / max(equity) OVER (PARTITION BY cost_bps ORDER BY date) - 1 + 1e-9, 6) + 0.0 AS drawdown FROM c"""
 )
 def a7_equity_curve(spark, sf_dir):
-    return rounded(stats.equity_curve(_small(spark, sf_dir), "ret", "cost_bps"))
+    return _given(stats.equity_curve(_portfolio(spark, sf_dir), "ret", "cost_bps"), "ret", "equity")
 
 
-@query(f"{_SMALL} SELECT cost_bps, CAST(date_trunc('month', date) AS DATE) AS month, round(sum(ret) + 1e-9, 6) + 0.0 AS ret FROM small GROUP BY 1, 2", dates=("month",))
+@query(f"{_PLAN}, m AS (SELECT cost_bps, CAST(date_trunc('month', date) AS DATE) AS month, sum(ret) AS ret FROM port GROUP BY 1, 2) SELECT cost_bps, month, {_significant('ret')} FROM m", dates=("month",))
 def a7_monthly_sums(spark, sf_dir):
-    return rounded(stats.monthly_sums(_small(spark, sf_dir), "ret", "cost_bps"))
+    return _given(stats.monthly_sums(_portfolio(spark, sf_dir), "ret", "cost_bps"), "ret")
 
 
 @query(f"{_S}{_RANKS} SELECT year, n, {_R('mean', 't_plain', 't_nw')} FROM {_nw('(SELECT CAST(year(date) AS INTEGER) AS year, date, ic FROM ic)', 'ic', 'year')}", dates=())
@@ -750,7 +761,7 @@ def m12_ranking_model(spark, sf_dir):
 
 @query(
     f"""{_PLAN}{oracle.BENCH}, spy AS (SELECT date, (lead(close) OVER (ORDER BY date) / close - 1) * 100 AS bench_ret FROM bench WHERE ticker = 'SPY'),
-    both_ AS (SELECT cost_bps, date, ret / 1000 AS ret, bench_ret / 1000 AS bench_ret FROM port JOIN spy USING (date) WHERE bench_ret IS NOT NULL)
+    both_ AS (SELECT cost_bps, date, ret, bench_ret FROM port JOIN spy USING (date) WHERE bench_ret IS NOT NULL)
     SELECT cost_bps, count(*) AS n_days, {_R('mean_ret', 'mean_bench')} FROM (SELECT *, avg(ret) OVER (PARTITION BY cost_bps) AS mean_ret, avg(bench_ret) OVER (PARTITION BY cost_bps) AS mean_bench FROM both_) GROUP BY cost_bps, mean_ret, mean_bench""",
     dates=(),
 )
@@ -762,7 +773,7 @@ def j4_scores_with_returns(spark, sf_dir):
     held = spark.read.parquet(f"{path}/scores").join(rows.select("date", "symbol", "future_return_1d"), ["date", "symbol"])
     spy = adapter.bench(spark, sf_dir, adapter.bars(spark, sf_dir)).filter(F.col("ticker") == adapter.MARKET)
     both = portfolio.staggered_portfolio(held, "future_return_1d", K).join(F.broadcast(portfolio.forward_benchmark(spy)), "date")
-    return rounded(both.groupBy("cost_bps").agg(F.count("*").alias("n_days"), F.avg(F.col("ret") / 1000).alias("mean_ret"), F.avg(F.col("bench_ret") / 1000).alias("mean_bench")))
+    return rounded(both.groupBy("cost_bps").agg(F.count("*").alias("n_days"), F.avg("ret").alias("mean_ret"), F.avg("bench_ret").alias("mean_bench")))
 
 
 @query()

@@ -102,13 +102,17 @@ def flag(test: str) -> str:
     return f"coalesce(CAST({test} AS DOUBLE), 0.0)"
 
 
-def log_scaled(factors: dict[str, str]) -> dict[str, str]:
-    """Ratios to sums near zero vary by twelve orders: the queries give them as sign * ln(1 + |x|), named LN_*."""
-    return {(f"LN_{k}" if k.startswith("RS_") else k): (f"sign({x}) * ln(1 + abs({x}))" if k.startswith("RS_") else x) for k, x in factors.items()}
+def significant(x: str) -> str:
+    """Six significant digits, six decimals below 1."""
+    return f"CASE WHEN abs({x}) < 1 THEN round({x} + 1e-9, 6) + 0.0 WHEN {x} IS NOT NULL THEN CAST(printf('%.5e', {x}) AS DOUBLE) END"
 
 
 def select(factors: dict[str, str], source: str, ctes: str, widths, digits: int = 6) -> str:
-    columns = ", ".join(f"round({x} + 1e-9, {digits}) + 0.0 AS {name}" for name, x in factors.items())
+    columns = ", ".join(f"round({x} + 1e-9, {digits}) + 0.0 AS {name}" for name, x in factors.items() if not name.startswith("RS_"))
+    ratios = [name for name in factors if name.startswith("RS_")]
+    if ratios:  # to sums near zero: of many orders
+        exact = ", ".join(f"{factors[name]} AS {name}" for name in ratios)
+        return f"WITH {ctes.strip()} SELECT * REPLACE ({', '.join(f'{significant(name)} AS {name}' for name in ratios)}) FROM (SELECT symbol, date, {', '.join([columns, exact])} FROM {source} {windows(*widths)})"
     return f"WITH {ctes.strip()} SELECT symbol, date, {columns} FROM {source} {windows(*widths)}"
 
 
@@ -198,7 +202,7 @@ def market_relative() -> str:
     both = lambda n, agg: f"(CASE WHEN count(CASE WHEN ret IS NOT NULL THEN r_SPY END) OVER w{n} = {n} THEN {agg} OVER w{n} END)"
     f = {f"RS_SPY_{w}": sdiv(total("ret", w), low(f"abs({total('r_SPY', w)})", 1e-6)) for w in (5, 20)}
     f |= {f"BETA_SPY_{w}": sdiv(both(w, "covar_samp(ret, r_SPY)"), low(full("r_SPY", w, "var_samp(r_SPY)"), 1e-10)) for w in (20, 60)}
-    return select(log_scaled(f) | {"CORR_SPY_20": corr("ret", "r_SPY", 20)}, "a", ALIGNED, (5, 20, 60))
+    return select(f | {"CORR_SPY_20": corr("ret", "r_SPY", 20)}, "a", ALIGNED, (5, 20, 60))
 
 
 def etf_relative() -> str:
@@ -206,7 +210,7 @@ def etf_relative() -> str:
     for t in TICKERS[1:]:
         e = total(f"r_{t}", 20)
         f |= {f"CORR_{t}_20": corr("ret", f"r_{t}", 20), f"RS_{t}_20": sdiv(f"{total('ret', 20)} - {e}", low(f"abs({e})", 1e-6))}
-    return select(log_scaled(f), "a", ALIGNED, (20,))
+    return select(f, "a", ALIGNED, (20,))
 
 
 def lead_signals() -> str:
