@@ -472,6 +472,35 @@ def test_lm_texts_of_one_id_and_long_texts(spark, monkeypatch):
     assert len(whole) == len({d for d, *_ in EDGE})
 
 
+def test_lm_scores_read_and_hash_texts_once(spark):
+    """Words are counted, and n-grams of each level asked for, from one table of hashed words."""
+    texts, seen = docs_of(spark, [(i, f"w{i % 7} w{i % 5} w{i % 3}", None, None, None) for i in range(200)]), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    assert lm_score.score_corpus(texts.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")).count() == 200
+    assert seen.value == 200
+
+
+@pytest.mark.parametrize("most", [2, 10**6])
+def test_lm_counts_of_any_width(spark, most):
+    """Counts beyond one and two bytes, in chunks of any number of distinct words, whether or not the words are broadcast."""
+    rows = [(1, "a b c"), (2, "a b c"), (3, "a b c"), (4, " ".join(["a b c"] * 70_000)), (5, " ".join(f"w{i}" for i in range(70_000)))]
+    got = {r["doc_id"]: r for r in lm_score.score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), most).collect()}
+    words = {i: t.split() for i, t in rows}
+    for i in (1, 2, 3):
+        others = [ws for d, ws in words.items() if half_of(d) != half_of(i)]
+        c = {k: Counter(tuple(ws[j : j + k]) for ws in others for j in range(len(ws) - k + 1)) for k in (1, 2, 3)}
+        n = sum(map(len, others))
+        assert c[3]["a", "b", "c"]
+        want = math.log10(c[1]["a",] / n) + math.log10(c[2]["a", "b"] / c[1]["a",]) + math.log10(c[3]["a", "b", "c"] / c[2]["a", "b"])
+        assert got[i]["score"] == pytest.approx(want / 3, abs=2e-6)
+    assert [got[i]["n_words"] for i in (1, 4, 5)] == [3, 210_000, 70_000]
+
+
 def test_word_pieces_do_not_change_words():
     texts = ["", None, "Hello, World hello", " a", "ÉCOLE école" * 9, "z" * 300 + " " + "z" * 301, " ".join(f"w{i % 91}" for i in range(3000))]
     whole, cut = words_module.word_hashes(texts), words_module.word_hashes(texts, 40)

@@ -5,17 +5,14 @@ the counts of the other. A word scores c(trigram) / c(its first two words); wher
 c(pair) / c(first); where it has not seen the pair ALPHA^2 * u(word), u being c(word) / N or, of an unseen word, ALPHA / N. A
 text's first word scores u(word), its second begins with pairs. A document's score is the mean log10 of its words' scores.
 
-Nothing is pruned or capped. An n-gram changes the score of a document only if both halves have it, and by an amount that
-depends on the n-gram and the half alone. So the n-gram tables become tables of differences to the level below, and a document's
-score is a constant of its length plus the sum of the differences of its n-grams, which are exploded, joined by hash and summed.
+Nothing is pruned or capped. Texts are read once: documents of one half become chunks of about CHUNK characters, a row of arrays
+each. A chunk asks for its n-grams: its distinct ones travel with their occurrences as one sorted array for each range of hashes,
+of about PART_BYTES in all. The task of a range adds up each half and answers every chunk with the other half's counts, in the
+order asked. A chunk then has every count that the scores of its documents need. No key is hot: a chunk asks once for an n-gram.
 
-N-grams are counted per chunk of text first, and a chunk's counts travel as one sorted array for each hash partition, of about
-PART_BYTES in all, so the exchange moves few rows; a partition is added up whole. The table of words that both halves have is
-broadcast up to BROADCAST_WORDS rows (24 bytes each). Pairs and trigrams are joined in PASSES by hash, each ending in a sum per
-document, so what stands on disk is a pass's share.
-
-A trigram that both halves have consists of pairs that both halves have. Tasks therefore leave out other trigrams before they shuffle
-counts, by a Bloom filter of the pairs as long as that is small (FILTER_KEYS, 16 bits each; false positives go later).
+A pair or trigram that the other half has consists of words that both halves have. Chunks therefore leave out the others as long as
+the words of both halves are few (BROADCAST_WORDS, 8 bytes each, broadcast). Pairs and trigrams can be asked for in passes by hash, so
+what stands on disk is a pass's share.
 
 Words are as in `words`, lower-cased; they and n-grams are 64-bit hashes. Null texts and texts without words have n_words 0 and
 a null score. Rows that repeat a doc_id (null too) are texts of one document; further columns are ignored; an empty table gives
@@ -24,21 +21,28 @@ no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xpanel.llm.common import delete, intermediates, materialise, mix64, shuffles_released, small, text_slices, worker_cache
+from xpanel.llm.common import delete, intermediates, materialise, mix64, shuffles_released, text_slices, worker_cache
 from xpanel.llm.words import WORD_SQL, word_chunks
 
-ALPHA, PASSES, FILTER_KEYS, SEGMENTS = 0.4, 4, 16_000_000, 64
-CHUNK, PART_BYTES, BROADCAST_WORDS = 4_000_000, 16_000_000, 2_000_000
-COUNTS = "part int, x binary, y binary, c0 binary, c1 binary"
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+ALPHA, PASSES = 0.4, 1
+CHUNK, PART_BYTES, BROADCAST_WORDS = 2_000_000, 16_000_000, 2_000_000
+CHUNKS = pa.schema([("chunk", pa.int64()), ("half", pa.int32()), ("before", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("ids", pa.binary()), ("n_words", pa.int64())])
+ASKED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("half", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+ANSWERS = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("width", pa.int32()), ("counts", pa.binary())])
+SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64())])
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def half(doc_id: Column) -> Column:
@@ -54,222 +58,221 @@ def trigram_keys(ab: np.ndarray, bc: np.ndarray) -> np.ndarray:
     return mix64(ab * _B + bc)
 
 
-# --- filters ----------------------------------------------------------------------------------------------------------
+def ddl(schema: pa.Schema) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-class Filter:
-    """A Bloom filter in SEGMENTS parts by the keys' high bits."""
+def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
-    def __init__(self, segments: np.ndarray):
-        self.segments = segments  # [segment, byte]
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        found = np.ones(len(keys), bool)
-        for place in _places(keys, self.segments.shape[1] * 8):
-            found &= (self.segments[keys >> np.uint64(58), place >> 3] >> (place & 7)).astype(bool) & True
-        return found
+def _unsigned(most: int) -> str:
+    """The narrowest type that holds numbers up to `most`."""
+    return next(f"<u{k}" for k in (1, 2, 4, 8) if most < 256**k)
 
 
-def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    for shift in (0, 29):
-        yield ((keys >> np.uint64(shift)) % np.uint64(bits)).astype(np.int64)
+def placed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them."""
+    codes, distinct = pd.factorize(keys)
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[codes]
 
 
-def _segment(bits: int):
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
+def _looked_up(keys: np.ndarray, of: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each key, `of` being keys with values, in order; 0 where it is none of them."""
+    if not len(of):
+        return np.zeros(len(keys), values.dtype)
+    at = np.minimum(np.searchsorted(of, keys), len(of) - 1)
+    return np.where(of[at] == keys, values[at], values.dtype.type(0))
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
-        for b in batches:
-            keys, numbers = b.column("key").to_numpy().view(np.uint64), b.column("segment").to_numpy()
-            for k in np.unique(numbers):
-                if k != now:
-                    if now is not None:
-                        yield out()
-                    now, held = int(k), np.zeros(bits, bool)
-                for place in _places(keys[numbers == k], bits):
-                    held[place] = True
-        if now is not None:
-            yield out()
-
-    return segment
-
-
-def key_filter(table: DataFrame, key: str = "key", limit: int = FILTER_KEYS):
-    """A broadcast Filter of the keys, or None if there are more than `limit`."""
-    n = table.count()
-    if n > limit:
-        return None
-    bits = 1 << max(10, math.ceil(math.log2(max(n, 1) * 16 / SEGMENTS)))
-    rows = table.select(F.col(key).alias("key"), F.shiftrightunsigned(key, 58).cast("int").alias("segment")).repartition("segment").sortWithinPartitions("segment")
-    segments = np.zeros((SEGMENTS, bits // 8), np.uint8)
-    for r in materialise(rows.mapInArrow(_segment(bits), "segment int, bits binary")).collect():  # SEGMENTS rows
-        segments[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return table.sparkSession.sparkContext.broadcast(Filter(segments))
+# --- chunks -----------------------------------------------------------------------------------------------------------
 
 
-# --- counts -----------------------------------------------------------------------------------------------------------
+def _cut(size: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("lm", dict)
+        number, nothing = TaskContext.get().partitionId() << 33, (np.empty(0, np.uint64), np.empty(0, np.int64), 0)
+        for batch in batches:
+            for g in (0, 1):
+                for b in text_slices(batch.filter(pc.equal(batch.column("half"), g)), limit=size):
+                    docs, found = b.column("doc_id").to_pylist(), word_chunks(b.column("text").to_pylist(), 2, size)
+                    for words, owners, before in itertools.chain([next(found, nothing)], found):  # texts without words are a chunk too
+                        distinct, ids = placed(words)
+                        sizes = np.bincount(owners, minlength=len(docs))
+                        yield _row(CHUNKS, number, g, before, docs, sizes.astype("<u4").tobytes(), distinct.tobytes(), ids.astype(_unsigned(len(distinct))).tobytes(), len(words) - before)
+                        number += 1
+
+    return cut
+
+
+class Chunk:
+    """Words of documents of one half; the first `before` of them repeat the end of the chunk before, where a text goes on."""
+
+    def __init__(self, row: dict, known: np.ndarray | None):
+        self.chunk, self.half, self.before, self.docs = row["chunk"], row["half"], row["before"], row["docs"]
+        self.distinct, self.ids = np.frombuffer(row["words"], "<u8"), np.frombuffer(row["ids"], _unsigned(len(row["words"]) // 8))
+        self.owners = np.repeat(np.arange(len(self.docs)), np.frombuffer(row["sizes"], "<u4"))
+        self.words, self.known = self.distinct[self.ids], known
+
+    def grams(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where n-grams of `level` words end that the other half may have, and their keys."""
+        if level == 1:
+            return np.arange(len(self.ids)), self.words
+        inside = self.owners[level - 1 :] == self.owners[: 1 - level]
+        if self.known is not None:
+            known = _looked_up(self.distinct, self.known, np.ones(len(self.known), bool))[self.ids]
+            for k in range(level):
+                inside = inside & known[k : len(known) - level + 1 + k]
+        at = np.flatnonzero(inside) + level - 1
+        if level == 2:
+            return at, pair_keys(self.words[at - 1], self.words[at])
+        pairs = pair_keys(self.words[:-1], self.words[1:])
+        return at, trigram_keys(pairs[at - 2], pairs[at - 1])
+
 
+# --- counts -----------------------------------------------------------------------------------------------------------
 
-def _grams(words: np.ndarray, docs: np.ndarray, new: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the n-grams of `level` words that end in a new word: keys, the two parts (of a word: itself), and the texts they stand in."""
-    if level == 1:
-        return words[new:], words[new:], words[new:], docs[new:]
-    at = np.flatnonzero(docs[level - 1 :] == docs[: 1 - level]) + level - 1
-    at = at[at >= new]
-    if level == 2:
-        return pair_keys(words[at - 1], words[at]), words[at - 1], words[at], docs[at]
-    pairs = pair_keys(words[:-1], words[1:])
-    ab, bc = pairs[at - 2], pairs[at - 1]
-    return trigram_keys(ab, bc), ab, bc, docs[at]
 
+def _ask(level: int, parts: int, passes: int, turn: int, known):
+    """The chunks' distinct n-grams of `level` words by range of hashes, with their occurrences (none in the words that are repeated)."""
+    edges = np.array([(p << 32) // parts << 32 for p in range(1, parts)], np.uint64)
 
-def _count(level: int, possible, parts: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("lm", dict)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in text_slices(batch, limit=CHUNK):
-                halves = b.column("half").to_numpy()
-                for words, docs, new in word_chunks(b.column("text").to_pylist(), level - 1, CHUNK):
-                    keys, x, y, owners = _grams(words, docs, new, level)
-                    if possible is not None:
-                        keep = possible.value(x) & possible.value(y)
-                        keys, x, y, owners = keys[keep], x[keep], y[keep], owners[keep]
-                    keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-                    both, ones = np.bincount(at, minlength=len(keys)), np.bincount(at, halves[owners], len(keys))
-                    part = (keys % np.uint64(parts)).astype(np.int32)
-                    order = np.argsort(part, kind="stable")
-                    part, first = part[order], first[order]
-                    columns = x[first], y[first], (both - ones).astype("<u4")[order], ones.astype("<u4")[order]
-                    cuts = np.concatenate([np.flatnonzero(np.diff(part, prepend=-1)), [len(part)]])
-                    rows = [[c[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for c in columns]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), *(pa.array(r, pa.binary()) for r in rows)], ["part", "x", "y", "c0", "c1"])
-
-    return count
-
-
-def _key(level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return x if level == 1 else pair_keys(x, y) if level == 2 else trigram_keys(x, y)
-
-
-def _merge(level: int):
-    """The n-grams of each partition (of two words or more: that both halves have); the arrays of a partition come one after the other."""
-
-    def added(held: list[tuple[bytes, ...]]) -> pa.RecordBatch:
-        x, y, c0, c1 = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held), ("<u8", "<u8", "<u4", "<u4")))
-        keys, first, at = np.unique(_key(level, x, y), return_index=True, return_inverse=True)
-        c0, c1 = (np.bincount(at, c, len(keys)).astype(np.int64) for c in (c0, c1))
-        keep = (c0 > 0) & (c1 > 0) | (level == 1)
-        columns = [a.view(np.int64) for a in (keys[keep], x[first][keep], y[first][keep])] + [c0[keep], c1[keep]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "x", "y", "c0", "c1"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+            for i in range(batch.num_rows):
+                c = Chunk(batch.slice(i, 1).to_pylist()[0], known and known.value)
+                if not len(c.ids):
+                    continue
+                at, keys = c.grams(level)
+                if passes > 1:
+                    mine = keys % np.uint64(passes) == turn
+                    at, keys = at[mine], keys[mine]
+                if c.before:
+                    keys, place = placed(keys)
+                    n = np.bincount(place, at >= c.before, len(keys))
+                else:
+                    keys = np.sort(keys)
+                    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+                    keys, n = keys[first], np.diff(np.append(first, len(keys)))
+                cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                mine = np.flatnonzero(np.diff(cuts))
+                spans, n = [(cuts[p], cuts[p + 1]) for p in mine], n.astype("<u4")
+                columns = mine, np.full(len(mine), c.chunk), np.full(len(mine), c.half), [keys[a:b].tobytes() for a, b in spans], [n[a:b].tobytes() for a, b in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, ASKED)], schema=ASKED)
+
+    return ask
+
+
+def _summed(held: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(r["keys"], "<u8") for r in held)])
+    n = np.concatenate([np.empty(0, "<u4"), *(np.frombuffer(r["n"], "<u4") for r in held)]).astype(np.int64)
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    keys, n = keys[first], np.add.reduceat(n, first) if len(first) else n
+    return keys[n > 0], n[n > 0]
+
+
+def _answer(level: int):
+    """The other half's count of each n-gram a chunk asked for. The rows of a range come one after the other. Of words, a row without
+    a chunk holds those of the range that both halves have."""
+
+    def answered(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        tables = [_summed([r for r in held if r["half"] == g]) for g in (0, 1)]
+        for r in held:
+            counts = _looked_up(np.frombuffer(r["keys"], "<u8"), *tables[1 - r["half"]])
+            counts = counts.astype(_unsigned(counts.max(initial=0)))
+            yield _row(ANSWERS, r["part"], r["chunk"], counts.itemsize, counts.tobytes())
+        if level == 1:
+            yield _row(ANSWERS, held[0]["part"], None, 8, np.intersect1d(tables[0][0], tables[1][0], assume_unique=True).tobytes())
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for b in batches:
-            for part, *arrays in zip(*(b.column(c).to_pylist() for c in ("part", "x", "y", "c0", "c1"))):
-                if part != now and held:
-                    yield added(held)
+            for r in b.to_pylist():
+                if held and r["part"] != held[0]["part"]:
+                    yield from answered(held)
                     held = []
-                now = part
-                held.append(tuple(arrays))
+                held.append(r)
         if held:
-            yield added(held)
+            yield from answered(held)
 
-    return merge
+    return answer
 
 
-def count_table(docs: DataFrame, level: int, parts: int, possible=None) -> DataFrame:
-    """key, x, y, c0, c1: n-grams of `level` words with their counts in each half, added up in `parts` partitions; but for words, those
-    that both halves have."""
-    partial = docs.select("text", "half").mapInArrow(_count(level, possible, parts), COUNTS)
-    return partial.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge(level), "key long, x long, y long, c0 long, c1 long")
+def counts(chunks: DataFrame, level: int, parts: int, passes: int = 1, turn: int = 0, known=None) -> DataFrame:
+    """ANSWERS to what the chunks ask for at a level; known: a broadcast of the words that both halves have."""
+    asked = chunks.mapInArrow(_ask(level, parts, passes, turn, known), ddl(ASKED))
+    answers = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer(level), ddl(ANSWERS))
+    return answers.select(F.lit(level).alias("level"), F.lit(turn).alias("turn"), "part", "chunk", "width", "counts")
 
 
-# --- scores -----------------------------------------------------------------------------------------------------------
+def partitions(n_words: float) -> int:
+    """Hash ranges of the n-grams of so many words: a key and its occurrences a word, PART_BYTES in each."""
+    return max(8, math.ceil(n_words * 12 / PART_BYTES))
 
 
-def _explode(levels: tuple[int, ...], passes: int, which: int):
-    """doc_id, key, n: a document's n-grams of the levels with their occurrences, counted below zero in half 1. With words comes a row
-    without a key for each text: its steps of back-off if no n-gram were known."""
+# --- scores -----------------------------------------------------------------------------------------------------------
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in text_slices(batch):
-                ids, sign, sizes = b.column("doc_id"), np.where(b.column("half").to_numpy() == 0, 1, -1), np.zeros(b.num_rows, np.int64)
-                for words, docs, new in word_chunks(b.column("text").to_pylist(), max(levels) - 1):
-                    sizes += np.bincount(docs[new:], minlength=len(sizes))
-                    parts = [_grams(words, docs, new, level) for level in levels]
-                    keys, owners = (np.concatenate([p[i] for p in parts]) for i in (0, 3))
-                    if passes > 1:
-                        mine = (keys >> np.uint64(8)) % np.uint64(passes) == which
-                        keys, owners = keys[mine], owners[mine]
-                    _, first, n = np.unique(mix64(keys + owners.astype(np.uint64) * _C), return_index=True, return_counts=True)
-                    owner = owners[first]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(keys[first].view(np.int64)), pa.array((n * sign[owner]).astype(np.int32))], ["doc_id", "key", "n"])
-                if 1 in levels:
-                    backed = np.maximum(sizes - 1, 0) + np.maximum(sizes - 2, 0)
-                    yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(sizes), pa.int64()), pa.array(backed.astype(np.int32))], ["doc_id", "key", "n"])
-
-    return explode
-
-
-def differences(docs: DataFrame, counts: DataFrame, totals: list[float], filter_keys: int = FILTER_KEYS) -> DataFrame:
-    """key, d0, d1 of pairs and trigrams: what an n-gram adds to log10 scores under the counts of half 0 and of half 1, against the level
-    below. counts: those of words."""
-    log = lambda c: F.log10(c)
-    a, parts = math.log10(ALPHA), partitions(totals)
-    words = counts.filter("c0 > 0 AND c1 > 0").select("key", *[log(f"c{g}").alias(f"l{g}") for g in (0, 1)])
-    first, second = (words.toDF(k, f"{k}0", f"{k}1") for k in ("f", "s"))
-    if small(words, BROADCAST_WORDS):
-        first, second = F.broadcast(first), F.broadcast(second)
-    with intermediates() as made:
-        joined = count_table(docs, 2, parts).join(first, F.col("x") == F.col("f")).join(second, F.col("y") == F.col("s"))
-        pairs = materialise(
-            joined.select(
-                "key", *[log(f"c{g}").alias(f"l{g}") for g in (0, 1)], *[(log(f"c{g}") - F.col(f"f{g}")).alias(f"q{g}") for g in (0, 1)],
-                *[(log(f"c{g}") - F.col(f"f{g}") - a - F.col(f"s{g}") + math.log10(totals[g])).alias(f"d{g}") for g in (0, 1)],
-            )
-        )
-        three = materialise(count_table(docs, 3, parts, key_filter(pairs, limit=filter_keys)))
-        context, below = pairs.select(F.col("key").alias("k1"), "l0", "l1"), pairs.select(F.col("key").alias("k2"), "q0", "q1")
-        three = three.join(context, F.col("x") == F.col("k1")).join(below, F.col("y") == F.col("k2"))
-        three = three.select("key", *[(log(f"c{g}") - F.col(f"l{g}") - a - F.col(f"q{g}")).alias(f"d{g}") for g in (0, 1)])
-        table = materialise(pairs.select("key", "d0", "d1").unionByName(three))
-    delete(docs.sparkSession, made[:-1])
-    return table
-
-
-def partitions(totals: list[float]) -> int:
-    """Hash partitions of an n-gram table: an n-gram a word, of 24 bytes, PART_BYTES in each."""
-    return max(8, math.ceil(sum(totals) * 24 / PART_BYTES))
-
-
-def score_corpus(docs: DataFrame, filter_keys: int = FILTER_KEYS, passes: int = PASSES) -> DataFrame:
-    """doc_id, n_words, score: the mean log10 stupid-backoff score of a document's words under the other half's counts."""
+
+def _score(totals: list[float], passes: int, known):
+    """A chunk's words with the counts of the other half: n_words and summed log10 scores of its documents."""
+
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        c = Chunk(chunk.to_pylist()[0], known and known.value)
+        n, told = len(c.ids), {}
+        for r in sorted(answers.to_pylist(), key=lambda r: r["part"]):
+            told.setdefault((r["level"], r["turn"]), []).append(np.frombuffer(r["counts"], f"<u{r['width']}"))
+        seen = np.zeros((4, n))
+        for level in (1, 2, 3):
+            at, keys = c.grams(level) if n else (np.empty(0, np.int64), np.empty(0, np.uint64))
+            keys, place = placed(keys)
+            values, turns = np.zeros(len(keys)), keys % np.uint64(passes if level > 1 else 1)
+            for (of, turn), arrays in told.items():
+                if of == level:
+                    values[turns == turn] = np.concatenate(arrays)
+            seen[level, at] = values[place]
+        words, pairs, trigrams = seen[1:]
+        a, last = math.log10(ALPHA), np.append(1, words)[:n]
+        same = np.append(False, c.owners[1:] == c.owners[:-1])[:n]
+        two = same & np.append(False, same)[:n]
+        log = lambda x: np.log10(np.maximum(x, 1))  # noqa: E731  zeros are not looked at
+        value = np.log10(np.where(words > 0, words, ALPHA) / totals[1 - c.half]) + same * a
+        value = np.where(pairs > 0, log(pairs) - log(last), value) + two * a
+        value = np.where(trigrams > 0, log(trigrams) - log(np.append(1, pairs)[:n]), value)[c.before :]
+        owners, size = c.owners[c.before :], len(c.docs)
+        columns = c.docs, np.bincount(owners, minlength=size), np.bincount(owners, value, size)
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, SCORES)], schema=SCORES)
+
+    return score
+
+
+def score_corpus(docs: DataFrame, filter_keys: int | None = None, passes: int = PASSES) -> DataFrame:
+    """doc_id, n_words, score: the mean log10 stupid-backoff score of a document's words under the other half's counts. filter_keys: up to
+    how many words of both halves are broadcast (BROADCAST_WORDS); passes: in how many parts pairs and trigrams are asked for."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", half(F.col("doc_id")).alias("half"))
-    exploded = lambda *how: docs.mapInArrow(_explode(*how), "doc_id long, key long, n int")
-    other = lambda a, b: F.when(F.col("n") > 0, b).otherwise(a)  # noqa: E731  n is below zero in half 1, which is scored by half 0
-    a = math.log10(ALPHA)
-    with shuffles_released(docs.sparkSession):
-        size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-        counts = materialise(count_table(docs, 1, partitions([size / 50])).select("key", "c0", "c1"))  # far fewer distinct words than words
-        totals = [float(max(n or 0, 1)) for n in counts.agg(F.sum("c0"), F.sum("c1")).first()]
-        table = differences(docs, counts, totals, filter_keys)
-        # a word of one half alone is unseen wherever it stands
-        words = counts.filter("c0 > 0 AND c1 > 0").select("key", *[F.log10(f"c{g}").alias(f"d{g}") for g in (0, 1)])
-        words = F.broadcast(words) if small(words, BROADCAST_WORDS) else words
-        value = F.abs("n") * (F.coalesce(other(F.col("d0"), F.col("d1")), F.lit(a)) - other(F.lit(math.log10(totals[0])), F.lit(math.log10(totals[1]))))
-        of_words = exploded((1,), 1, 0).join(words, "key", "left")
-        sums = materialise(of_words.groupBy("doc_id").agg(F.sum(F.when(F.col("key").isNull(), F.col("n") * a).otherwise(value)).alias("score"), F.sum(F.when(F.col("key").isNull(), 0).otherwise(F.abs("n"))).alias("n_words")))
-        for i in range(passes):
-            mine = table.filter(F.shiftrightunsigned("key", 8) % passes == i)
-            joined = exploded((2, 3), passes, i).join(mine, "key")
-            part = joined.groupBy("doc_id").agg(F.sum(F.abs("n") * other(F.col("d0"), F.col("d1"))).alias("score"))
-            sums = sums.unionByName(materialise(part.withColumn("n_words", F.lit(0).cast("long"))))
-    out = sums.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score"))
-    return out.select("doc_id", "n_words", F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6).alias("score"))
+    with shuffles_released(spark), intermediates() as made:
+        chunks = materialise(docs.mapInArrow(_cut(CHUNK), ddl(CHUNKS)))
+        by_half = {r["half"]: r["n"] for r in chunks.groupBy("half").agg(F.sum("n_words").alias("n")).collect()}
+        totals = [float(max(by_half.get(g, 0), 1)) for g in (0, 1)]
+        parts, known = partitions(sum(totals)), None
+        answers = materialise(counts(chunks, 1, partitions(sum(totals) / 5)))  # fewer distinct words than words
+        both = answers.filter("chunk IS NULL")
+        if (both.agg(F.sum(F.length("counts"))).first()[0] or 0) <= 8 * (BROADCAST_WORDS if filter_keys is None else filter_keys):
+            held = sorted(both.select("part", "counts").collect())
+            known = spark.sparkContext.broadcast(np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(r["counts"], "<u8") for r in held)]))
+        for level in (2, 3):
+            for turn in range(passes):
+                answers = answers.unionByName(materialise(counts(chunks, level, max(8, math.ceil(parts / passes)), passes, turn, known)))
+        scored = chunks.groupBy("chunk").cogroup(answers.filter("chunk IS NOT NULL").groupBy("chunk")).applyInArrow(_score(totals, passes, known), ddl(SCORES))
+        sums = materialise(scored.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("score").alias("score")))
+    delete(spark, made[:-1])
+    return sums.select("doc_id", "n_words", F.round(F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")), 6).alias("score"))
 
 
 def oracle() -> str:
