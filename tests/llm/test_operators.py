@@ -248,6 +248,28 @@ def test_words_apart_encode_as_the_text():
     assert w(texts) == [np.array(e.ids, "<u4").tobytes() for e in w.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_letters_outlast_the_memory_of_words(monkeypatch):
+    """Words that come again with other marks, or after the memory of words was emptied, are not encoded again."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    w, plain = packing.WordTokenizer(TOKENIZER), []
+    encode = w._encode
+    monkeypatch.setattr(w, "_encode", lambda texts, *by: plain.extend(texts) or encode(texts, *by))
+    texts = ["zzalpha zzbeta, ZZGAMMA.", "zzdelta über Straße", "zzalpha; zzBeta! zzgamma über-", "d'être l'o't zz<|endoftext|>"]
+    for t in texts:
+        assert w([t]) == [np.array(w.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert {"zzalpha", "zzbeta", "zzgamma", "über"} <= w.letters.keys()
+    assert sum(t.split().count(x) for t in plain for x in ("zzalpha", "zzbeta", "zzgamma", "über")) == 4
+
+
+def test_ascii_letters_are_encoded_by_merges_alone():
+    """As by the whole tokenizer, whatever the letters."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + ["s", "t", "re", "ve", "ll", "endoftext"]
+    w = packing.WordTokenizer(TOKENIZER)
+    assert w.merges.normalizer is None
+    assert w([" ".join(words)]) == [np.array(w.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_best_fit_equals_a_scan():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 2049, 500)

@@ -15,6 +15,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from xpanel.llm.common import materialise, text_slices, vocabulary_path, worker_cache
 
-CAPACITY, SHARD_PIECES, CACHE_WORDS, CACHE_BYTES = 2048, 20_000, 600_000, 16_000_000
+CAPACITY, SHARD_PIECES, CACHE_WORDS, CACHE_LETTERS, CACHE_BYTES = 2048, 20_000, 600_000, 400_000, 16_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -39,48 +40,66 @@ class WordTokenizer:
 
     The tokenizer drops white space and neither its normaliser nor its merges reach across a blank, so words can be
     encoded apart; letters with punctuation after them are two pieces to it, and it lower-cases, so `Word,` is `word` and
-    `,`. Unknown runs of letters are encoded many in a string: each ends with the one id that carries the word end. The
-    memory of words is emptied when it holds CACHE_WORDS words or CACHE_BYTES of their characters.
+    `,`. Unknown runs of letters are encoded many in a string: each ends with the one id that carries the word end; where they
+    are lower-case ASCII nothing but the merges applies, so these run alone. The memory of words is emptied when it holds
+    CACHE_WORDS words or CACHE_BYTES of their characters, that of letters and marks at CACHE_LETTERS or CACHE_BYTES.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.tokenizer, self.known, self.letters, self.held = Tokenizer.from_file(vocabulary_path(path)), {}, {}, 0
+        self.tokenizer, self.known, self.letters = Tokenizer.from_file(vocabulary_path(path)), {}, {}
+        self.held = self.held_letters = 0  # characters
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[ends] = True
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.merges = Tokenizer.from_file(vocabulary_path(path))
+        self.merges.normalizer, self.merges.pre_tokenizer = None, WhitespaceSplit()
+
+    def _encode(self, texts: list[str], by=None) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_letters(self, words: list[str], by) -> None:
+        for i in range(0, len(words), 512):
+            some = words[i : i + 512]
+            ids = self._encode([" ".join(some)], by)[0]
+            ends = [0, *(4 * np.flatnonzero(self.is_end[np.frombuffer(ids, "<u4")]) + 4).tolist()]
+            if len(ends) == len(some) + 1:
+                self.letters.update(zip(some, [ids[a:b] for a, b in zip(ends, ends[1:])]))
+            else:
+                self.letters.update(zip(some, self._encode(some)))
 
     def _learn(self, words: list[str]) -> None:
-        parts = {w: m.groups() for w in words if (m := PLAIN.fullmatch(w))}
-        whole = [w for w in words if w not in parts]
-        if len(self.letters) > CACHE_WORDS // 3:  # only new words look here
+        plain, letters_of, marks_of, whole = [], [], [], []  # strings alone: the garbage collector doesn't follow them
+        for w in words:
+            if m := PLAIN.fullmatch(w):
+                plain.append(w)
+                letters_of.append(m[1].lower())
+                marks_of.append(m[2])
+            else:
+                whole.append(w)
+        if len(self.letters) > CACHE_LETTERS or self.held_letters > CACHE_BYTES:  # only new words look here
             self.letters.clear()
+            self.held_letters = 0
         self.known.update(zip(whole, self._encode(whole)))
-        letters = list(dict.fromkeys(x for a, _ in parts.values() if (x := a.lower()) not in self.letters))
-        marks = list(dict.fromkeys(b for _, b in parts.values() if b and b not in self.letters))
+        letters = [a for a in dict.fromkeys(letters_of) if a not in self.letters]
+        marks = [b for b in dict.fromkeys(marks_of) if b and b not in self.letters]
+        self.held_letters += sum(map(len, letters)) + sum(map(len, marks))
         self.letters.update(zip(marks, self._encode(marks)))
-        for i in range(0, len(letters), 512):
-            some = letters[i : i + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) == len(some):
-                self.letters.update(zip(some, (x.tobytes() for x in np.split(ids, ends[:-1]))))
-            else:
-                self.letters.update(zip(some, self._encode(some)))
-        self.known.update((w, self.letters[a.lower()] + (self.letters[b] if b else b"")) for w, (a, b) in parts.items())
+        self._learn_letters([a for a in letters if a.isascii()], self.merges)
+        self._learn_letters([a for a in letters if not a.isascii()], self.tokenizer)
+        of = self.letters
+        self.known.update(zip(plain, [of[a] + of[b] if b else of[a] for a, b in zip(letters_of, marks_of)]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
+        words = dict.fromkeys(chain.from_iterable(split))
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.known.clear()
-            self.letters.clear()
-            self.held, new = 0, list(dict.fromkeys(w for words in split for w in words))
+            self.held, new = 0, list(words)
         self.held += sum(map(len, new))
         self._learn(new)
         get = self.known.__getitem__
