@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from xpanel.llm.common import nested, text_slices, vocabulary_path, worker_cache
+from xpanel.llm.common import frugal, nested, text_slices, vocabulary_path, worker_cache
 
 UND = "und"
 UNKNOWN, TEMPER = 1e-9, 4.0
 SAMPLE_PER_LANGUAGE, EM_ROUNDS, TRAINING_LETTERS, MAX_LANGUAGES, CACHE_WORDS = 3000, 2, 23, 1000, 250_000
 #: Numbers of a lattice or of its sums that a task holds at a time (one word may need more).
-CELLS = 10_000_000
+CELLS = 4_000_000
 WORDS = regex.compile(r"\p{L}+")
 MARK = "▁"  # the vocabulary's sign for the beginning of a word
 
@@ -206,7 +206,7 @@ def _expect(path: str, languages: list[str], probs):
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
-    return expect
+    return frugal("training", expect)
 
 
 def training_rows(docs: DataFrame, counts: dict[str, int], per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
@@ -273,7 +273,7 @@ def _predict(path: str, languages: list[str], probs, model: str):
                     score = np.where(lettered, 1 / rest, 0)
                 yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=["row", "lang_pred", "lang_score"])
 
-    return predict
+    return frugal("language", predict)
 
 
 def identify(docs: DataFrame, pieces_path: str, model: tuple[list[str], np.ndarray | None]) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xpanel.llm.common import materialise, mix64, nested, text_slices
+from xpanel.llm.common import frugal, materialise, mix64, nested, text_slices
 from xpanel.llm.words import word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK, BLOCK_SHINGLES = 5, 0.8, 20, 4, 256, 2_000_000
@@ -141,7 +141,7 @@ def _sketch(weighted: bool):
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "set_key", "n_shingles", "bands", "shingles"])
 
-    return sketch
+    return frugal("near-dup", sketch)
 
 
 def sketches(docs: DataFrame, weighted: bool = False) -> DataFrame:
@@ -215,7 +215,7 @@ def _compare(threshold: float):
                 low, high = [], []
         yield out()
 
-    return compare
+    return frugal("near-dup", compare)
 
 
 def links(sketched: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xpanel.llm.common import materialise, text_slices, vocabulary_path, worker_cache
+from xpanel.llm.common import frugal, materialise, text_slices, vocabulary_path, worker_cache
 
 CAPACITY, SHARD_PIECES, CACHE_WORDS, CACHE_LETTERS, CACHE_BYTES = 2048, 20_000, 600_000, 400_000, 16_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
@@ -131,7 +131,7 @@ def _cut(path: str, end_id: int, capacity: int):
                 columns = [pa.array(ids_of, pa.int64()), pa.array(np.array(out[1], np.int32)), *[pa.array(np.array(c, np.int64)) for c in out[2:]]]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
 
-    return cut
+    return frugal("packing", cut)
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from xpanel.llm.common import materialise, mix64, nested, small, text_pieces, text_slices, worker_cache
+from xpanel.llm.common import frugal, materialise, mix64, nested, small, text_pieces, text_slices
 
 ORDER, PIECE_CHARS = 5, 1_000_000
 LOW, HIGH, LEAST, MIN_BAND = 6.0, 4.5, 0.01, 100  #: the band's ends, the least distance that counts, documents for a band
@@ -115,7 +115,6 @@ def _strings(points: np.ndarray) -> pa.Array:
 
 def _count(order: int, limit: int = 1_000_000):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("quality", dict)
         keys, n, points = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, order), np.uint32)
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -136,7 +135,7 @@ def _count(order: int, limit: int = 1_000_000):
                         keys, n, points = keys[:0], n[:0], points[:0]
         yield from out()
 
-    return count
+    return frugal("quality", count)
 
 
 def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -180,7 +179,7 @@ def _hashed(order: int):
             points = np.frombuffer("".join(b.column("gram").to_pylist()).encode("utf-32-le"), np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array(gram_keys(points, order)[::order].view(np.int64)), b.column("log_p")], ["key", "log_p"])
 
-    return hashed
+    return frugal("quality", hashed)
 
 
 def fit_model(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -223,7 +222,7 @@ def _measure(model, order: int, keep_text: bool):
                 columns = [b.column("row"), *([b.column("text")] if keep_text else []), b.column("lang"), *(pa.array(counts[:, i]) for i in range(5)), pa.array(np.round(entropy, 6), mask=np.isnan(entropy))]
                 yield pa.RecordBatch.from_arrays(columns, ["row", *(["text"] if keep_text else []), "lang", *COUNTS, "entropy"])
 
-    return measure
+    return frugal("quality", measure)
 
 
 def _text_grams(order: int):
@@ -241,7 +240,7 @@ def _text_grams(order: int):
                     n = np.diff(np.concatenate([first, [len(keys)]]))
                     yield pa.RecordBatch.from_arrays([pa.array(names[owners[first]]), pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int64))], ["text_key", "key", "n"])
 
-    return grams
+    return frugal("quality", grams)
 
 
 def _sums(model, order: int):
@@ -259,7 +258,7 @@ def _sums(model, order: int):
                     n += np.bincount(owners[found], minlength=len(n))
                 yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array(total), pa.array(n)], ["text_key", "log_p", "n"])
 
-    return sums
+    return frugal("quality", sums)
 
 
 def _text_entropies(docs: DataFrame, model: DataFrame, order: int, broadcast_rows: int, max_parts: int) -> DataFrame:
