@@ -3,7 +3,7 @@ import duckdb
 import pytest
 from conftest import DATA
 
-from xpanel.llm import common, language, near_dup, packing, quality
+from xpanel.llm import common, language, lm_score, near_dup, packing, quality
 
 
 def test_stages_keep_columns_and_every_decision_takes_effect(spark):
@@ -34,6 +34,7 @@ def test_clean_labelled_documents_pass_the_quality_stage(spark):
 
 @pytest.mark.parametrize("task", [
     lambda: quality._count(5), lambda: quality._measure(None, 5, False), lambda: language._expect(language_pieces(), ["en"], None), lambda: near_dup._sketch(False), lambda: near_dup._compare(0.8),
+    lambda: lm_score._ask(1, 8, 1, 0, None), lambda: lm_score._answer(1),
 ])
 def test_a_stage_keeps_no_cache_of_another(monkeypatch, task):
     monkeypatch.setattr(common, "_CACHE", {"packing x": object()})

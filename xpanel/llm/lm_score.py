@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from xpanel.llm.common import delete, intermediates, materialise, mix64, shuffles_released, text_slices, worker_cache
+from xpanel.llm.common import delete, frugal, intermediates, materialise, mix64, shuffles_released, text_slices
 from xpanel.llm.words import WORD_SQL, word_chunks
 
 ALPHA, PASSES = 0.4, 1
@@ -94,7 +94,6 @@ def _looked_up(keys: np.ndarray, of: np.ndarray, values: np.ndarray) -> np.ndarr
 
 def _cut(size: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("lm", dict)
         number, nothing = TaskContext.get().partitionId() << 33, (np.empty(0, np.uint64), np.empty(0, np.int64), 0)
         for batch in batches:
             for g in (0, 1):
@@ -106,7 +105,7 @@ def _cut(size: int):
                         yield _row(CHUNKS, number, g, before, docs, sizes.astype("<u4").tobytes(), distinct.tobytes(), ids.astype(_unsigned(len(distinct))).tobytes(), len(words) - before)
                         number += 1
 
-    return cut
+    return frugal("lm", cut)
 
 
 class Chunk:
@@ -164,7 +163,7 @@ def _ask(level: int, parts: int, passes: int, turn: int, known):
                 columns = mine, np.full(len(mine), c.chunk), np.full(len(mine), c.half), [keys[a:b].tobytes() for a, b in spans], [n[a:b].tobytes() for a, b in spans]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, ASKED)], schema=ASKED)
 
-    return ask
+    return frugal("lm", ask)
 
 
 def _summed(held: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +200,7 @@ def _answer(level: int):
         if held:
             yield from answered(held)
 
-    return answer
+    return frugal("lm", answer)
 
 
 def counts(chunks: DataFrame, level: int, parts: int, passes: int = 1, turn: int = 0, known=None) -> DataFrame:
