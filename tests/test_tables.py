@@ -54,3 +54,14 @@ def test_a_new_month_rewrites_its_year_alone(spark, tmp_path):
     assert got == sorted([*old[:-1], corrected, *new])
     tables.merge_panel(frame([(dt.date(2023, 1, 2), "a", 1.0, 2.0)]).withColumn("g", F.lit(3.0)), path)
     assert {y for y in files_by_year(path) if files_by_year(path)[y] != after.get(y)} == {"year=2023"}
+
+
+def test_a_panel_is_written_without_an_exchange_of_its_rows(spark, tmp_path, monkeypatch):
+    seen = []
+    made = tables._by_year
+    rows = spark.range(60).selectExpr("date_add(date'2020-01-01', cast(id * 20 as int)) AS date", "concat('s', id % 3) AS symbol", "cast(id AS double) AS f").repartition(3, "symbol")
+    monkeypatch.setattr(tables, "_by_year", lambda df: seen.append(made(df)) or seen[-1])
+    tables.write_panel(rows, str(tmp_path))
+    assert seen[0]._df._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1  # the rows' own
+    assert set(files_by_year(str(tmp_path))) == {"year=2020", "year=2021", "year=2022", "year=2023"}
+    assert sorted(map(tuple, tables.read_panel(spark, str(tmp_path), rows.columns).collect())) == sorted(map(tuple, rows.collect()))
